@@ -53,8 +53,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a context, should it not be installed there."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_lorespark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="lorespark-")) / "lorespark.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._lorespark_shipped = True
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Only id and text, under our own names, so other columns can't clash; a null text is empty. carry: row has all columns."""
+    shipped(docs.sparkSession)
     rest = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] * carry
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
 

@@ -4,11 +4,11 @@ SuperMinHash gives each element one random permutation of the registers, drawn s
 the register of that step; so registers are filled evenly (lower variance than independent minima), and an element set
 stops once no further step can lower any register. A batch's elements take their steps together.
 
-Plan. Equal sets fold into their smallest id. Signatures are cut into bands. In each bucket all members are linked to
-its smallest one and verified on their full texts (so a bucket of n costs n links), and links grouped. Only members
-of buckets that still hold several groups can have a link left to find; these are compared block by block by their
-signatures, and those whose estimate could reach the threshold are verified on full texts too.
-With 32 bands of 4, a pair at similarity 0.8 shares no band with probability 5e-8.
+Plan. Equal sets fold into their smallest id. Signatures are cut into bands. In each bucket members are linked to
+its smallest one (each document to the HUBS of those that it meets most often) and verified on their full texts, so a bucket
+of n costs at most n links; links are grouped. Only buckets that still hold several groups can have a link left to find: there the
+members outside the largest group are compared with all others on their full sets, block by block, and of the links found one for
+each document and other group goes on. With 32 bands of 4, a pair at similarity 0.8 shares no band with probability 5e-8.
 
 Cases: texts without words have an empty set, linked with nothing; texts of fewer than k words have their whole
 sequence as one shingle; null texts are empty; other columns are ignored; an empty table gives an empty result; a doc_id
@@ -28,8 +28,8 @@ from . import common, graph
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-SLACK = 0.17  # five standard deviations of the estimate at 0.8
-BLOCK = 256
+HUBS = 3
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # a block's members and shingles, on average
 _BITS = 25
 _U = np.uint64
 
@@ -123,13 +123,14 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     member = common.written(bands.join(hubs, "band"), "members")
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = member.where(F.col("doc_id") != F.col("hub.doc_id")).where(near(F.col("n"), F.col("hub.n")))
-    star = star.select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).distinct()
+    star = star.groupBy(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).count()
+    star = star.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), asc=False), 1, HUBS).alias("best"))  # of 32 at most
+    star = star.select("a", F.explode("best.b").alias("b"))
     text = common.texts(docs, id_col, text_col)
     links = common.written(verified(star, text, k, percent).distinct(), "verified")
     roots = common.written(graph.components(links), "roots")
 
-    rest = residual(member, roots, sk, percent)
-    more = common.written(verified(rest, text, k, percent).distinct(), "verified-rest")
+    more = common.written(residual(member, roots, text, k, percent), "verified-rest")
     if not more.isEmpty():
         roots = graph.components(links.unionByName(more))
     root = rep.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*own, F.coalesce("root", "rep").alias("root"))
@@ -138,39 +139,76 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     return found.select("doc_id", "n_shingles", whole.alias("component_id"), (F.col("doc_id") == whole).alias("kept"))
 
 
-def residual(member: DataFrame, roots: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, neither its hub, in different groups so far, whose signatures could mean a link."""
-    rest = member.where(F.col("doc_id") != F.col("hub.doc_id")).where("size > 2").select("band", "doc_id", "n")
-    rest = rest.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    mixed = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("band", "size")
+def residual(member: DataFrame, roots: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different groups so far: of each document to each group, one."""
+    rest = member.select("band", "doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rest = rest.select("band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    parts = rest.groupBy("band", "root").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    mixed = parts.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.max(F.struct("size", "n")).alias("most"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    blocks = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    mixed = mixed.where("kinds > 1 and size > 2").select("band", "top", blocks(F.col("most.size"), F.col("most.n")).alias("n_top"), blocks(F.col("size") - F.col("most.size"), F.col("n") - F.col("most.n")).alias("n_other"))
     rest = common.written(rest.join(mixed, "band"), "rest")
-    sig = sk.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.join(sig, "doc_id").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = ["band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    cells = rest.groupBy(*key).agg(F.collect_list(F.struct("doc_id", "n", "root", "block", "sig")).alias("m")).where(F.size("m") > 1).select("i", "j", "m")
-    floor = percent / 100 - SLACK
+    sets = shingle_sets(text.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"])
+    other = F.col("root") != F.col("top")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(other, F.col("n_other")).otherwise(F.col("n_top"))).cast("int")
+    rest = rest.join(sets, "doc_id").withColumns({"other": other, "own": own})
+    # a cell is a block of other members (i) and a block of the top group's (j) or again of others (-1 - j)
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    count = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    with_top = F.transform(count("n_top"), lambda j: cell(F.col("own"), j))
+    with_others = F.transform(count("n_other"), lambda j: cell(F.least("own", j), -1 - F.greatest("own", j)))
+    cells = F.when(other, F.concat(with_top, with_others)).otherwise(F.transform(count("n_other"), lambda i: cell(i, F.col("own"))))
+    placed = rest.select("band", F.explode(cells).alias("cell"), F.struct("doc_id", "root", "other", "own", "set").alias("m"))
+    groups_ = placed.groupBy("band", "cell").agg(F.collect_list("m").alias("m")).where(F.size("m") > 1).select("cell.i", "cell.j", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            a, z = [], []
             for r in range(b.num_rows):
-                cell = b.slice(r, 1)
-                m = cell.column(2).flatten()
-                doc, n, root, block = (m.field(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "n", "root", "block"))
-                sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint32).reshape(len(doc), REGISTERS)
-                i, j = cell.column(0)[0].as_py(), cell.column(1)[0].as_py()
-                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-                a, z = [], []
-                for x in left:
-                    y = right[(root[right] != root[x]) & (doc[right] > doc[x] if i == j else True)]
-                    y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
-                    y = y[(sig[y] == sig[x]).mean(axis=1) >= floor] if len(y) else y
-                    a.append(np.minimum(doc[x], doc[y]))
-                    z.append(np.maximum(doc[x], doc[y]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (a, z)], ["a", "b"])
-
-    return cells.mapInArrow(run, "a long, b long").distinct()
+                i, j, m = (b.column(c)[r] for c in range(3))
+                for x, y in _cell_links(i.as_py(), j.as_py(), m.values, percent):
+                    a.append(min(x, y))
+                    z.append(max(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+
+    return groups_.mapInArrow(run, "a long, b long").distinct()
+
+
+def _cell_links(i: int, j: int, members: pa.StructArray, percent: int) -> list[tuple[int, int]]:
+    """For each member of block i and each other group in the cell, its best link."""
+    doc, root, other, own = (members.field(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "root", "other", "own"))
+    sets = [np.frombuffer(x, _U) for x in members.field("set").to_pylist()]
+    left = np.flatnonzero(other & (own == i))
+    right = np.flatnonzero(~other) if j >= 0 else np.flatnonzero(other & (own == -1 - j))
+    if not len(left) or not len(right):
+        return []
+    size = np.array([len(s) for s in sets])
+    kinds, coded = np.unique(np.concatenate([sets[x] for x in right]), return_inverse=True)
+    first = np.concatenate(([0], np.cumsum(size[right])))[:-1]
+    has, found = np.zeros(len(kinds), np.int32), []
+    for x in left:
+        at = np.minimum(np.searchsorted(kinds, sets[x]), len(kinds) - 1)
+        at = at[kinds[at] == sets[x]]
+        has[at] = 1
+        same = np.add.reduceat(has[coded], first)
+        has[at] = 0
+        ok = np.flatnonzero((100 * same >= percent * (size[x] + size[right] - same)) & (root[right] != root[x]))
+        best: dict[int, int] = {}
+        for y in ok[np.argsort(-same[ok], kind="stable")].tolist():
+            best.setdefault(int(root[right[y]]), int(doc[right[y]]))
+        found += [(int(doc[x]), y) for y in best.values()]
+    return found
+
+
+def shingle_sets(text: DataFrame, k: int) -> DataFrame:
+    """doc_id and set: the sorted shingle hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, 1 << 20):
+            s, first = common.shingles(common.Words(*common.utf8(b.column(1))), k)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "set"])
+
+    return text.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
