@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, decontaminate, minhash, pii, secrets, simhash, toxicity, urls
+from . import bpe, counts, decontaminate, minhash, pii, secrets, simhash, suffixtree, toxicity, urls
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -48,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op4_decontaminate, op5_pii, op6_urls, op7_token_counts, op8_simhash, op9_secrets, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_suffix_tree, op4_decontaminate, op5_pii, op6_urls, op7_token_counts, op8_simhash, op9_secrets, op10_toxicity)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _DOC_WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x20\\x09-\\x0D]+')"

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 DEPTH = 5
-LEAST_SHARE = 2e-5
-GAIN = 30.0
+LEAST_SHARE = 3e-6
+GAIN = 12.0
 SEGMENT = 512
 SPACE, END = 32, 10
 _U = np.uint64
@@ -116,6 +116,9 @@ class Tree:
         step = np.zeros((len(at), self.size), np.int32)
         mass = (root + 0.5) / (root.sum() + 128)
         np.add.at(p[0], self.of.astype(np.int64), mass)
+        children: dict[bytes, list[tuple[int, int]]] = {}
+        for i, s in enumerate(self.names[1:], 1):
+            children.setdefault(s[:-1], []).append((s[-1], i))
         for i, s in enumerate(self.names):
             if i:
                 up = at[s[1:]]
@@ -125,8 +128,8 @@ class Tree:
                     np.add.at(n, self.of[list(c)].astype(np.int64), list(c.values()))
                     kinds = (n > 0).sum()
                     p[i] = (n + kinds * p[up]) / (n.sum() + kinds)
-            for x in range(256):
-                if (child := at.get(s + bytes([x]))) is not None and self.of[x] < self.size - 1:
+            for x, child in children.get(s, ()):
+                if self.of[x] < self.size - 1:
                     step[i, self.of[x]] = child
         p[:, -1] /= max(1, rest)  # each other byte alike
         # one column more: past the end of a text nothing changes
