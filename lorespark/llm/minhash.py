@@ -126,7 +126,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     star = star.groupBy(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).count()
     star = star.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), asc=False), 1, HUBS).alias("best"))  # of 32 at most
     star = star.select("a", F.explode("best.b").alias("b"))
-    text = common.texts(docs, id_col, text_col)
+    text = candidates(common.texts(docs, id_col, text_col), member.select("doc_id").distinct())
     links = common.written(verified(star, text, k, percent).distinct(), "verified")
     roots = common.written(graph.components(links), "roots")
 
@@ -139,6 +139,14 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     return found.select("doc_id", "n_shingles", whole.alias("component_id"), (F.col("doc_id") == whole).alias("kept"))
 
 
+def candidates(text: DataFrame, ids: DataFrame, most_ids: int = 500_000) -> DataFrame:
+    """The texts of the documents that share a bucket with another, written once for all that reads them. A list of ids that is
+    small (8 MB) is broadcast, so that the other texts aren't shuffled."""
+    ids = common.written(ids, "candidate-ids")
+    few = ids.count() <= most_ids
+    return common.written(text.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "candidates")
+
+
 def residual(member: DataFrame, roots: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different groups so far: of each document to each group, one."""
     rest = member.select("band", "doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
