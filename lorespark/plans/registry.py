@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from lorespark.plans import relational, retrieval
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+MODULES = (relational, retrieval)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: text for m in MODULES for name, text in m.ORACLE.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["entry_metrics"](spark, sf_dir)
