@@ -64,7 +64,7 @@ def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, size = [], [], 0
-        for b in common.slices(batches):
+        for b in common.slices(batches, 2 << 20):
             s, first = stream(common.Words(*common.utf8(b.column(1)), hashed=False), depth)
             real = np.ones(len(s), bool)
             for j in range(depth):
@@ -77,10 +77,10 @@ def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
             keys.append(key[new])
             counts.append(np.diff(np.append(new, len(key))))
             size += len(new)
-            if size > 4_000_000:
+            if size > 1_500_000:
                 k, n = _merge(keys, counts)
                 keys, counts, size = [k], [n], len(k)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield from _rows(k, n)
                     keys, counts, size = [], [], 0
         if keys:
@@ -212,7 +212,7 @@ def _blocks(texts: DataFrame, tree: Tree, block_bytes: int) -> DataFrame:
     return texts.mapInArrow(run, _BLOCK)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_share: float = LEAST_SHARE, gain: float = GAIN, block_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_share: float = LEAST_SHARE, gain: float = GAIN, block_bytes: int = 3 << 20) -> DataFrame:
     """doc_id, held_out (crc32(doc_id as text) mod 5 is 1), n_tokens, n_known, train_tokens, base_score, score.
 
     The model and the base counts come from documents that aren't held out.
