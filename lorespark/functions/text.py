@@ -88,8 +88,8 @@ def character_ngrams(text: Column, n: int = 3) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when(F.size(a) + F.size(b) > 0, both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
+    of = lambda both: F.when(F.size(a) + F.size(b) > 0, both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
+    return F.get(F.transform(F.array(F.size(F.array_intersect(a, b))), of), F.lit(0))
 
 
 def contains_word(text: Column, term: Column) -> Column:
