@@ -53,12 +53,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_BYTES = 16 << 20  # at most so much text in a batch on its way to Python, whatever the number of rows
+
+
 def shipped(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once a context, should it not be installed there."""
+    """Sends this package to the executors' Python, once a context, should it not be installed there; bounds Arrow batches."""
     import tempfile
     import zipfile
     from pathlib import Path
 
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_lorespark_shipped", False):
         return
@@ -89,7 +93,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows with about `most` bytes in the column, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -70,7 +70,7 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_shingles, d1 and d2 (digest of the set), bands (hash of each band), sig (registers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, 2 << 20):
+        for b in common.slices(batches):
             words = common.Words(*common.utf8(b.column(1)))
             s, first = common.shingles(words, k)
             n = np.diff(first)
@@ -95,7 +95,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in common.slices([whole], 2 << 20, 2):
+            for b in common.slices([whole], 1 << 20, 2):
                 sets = [common.shingles(common.Words(*common.utf8(b.column(i))), k) for i in (2, 3)]
                 keep = []
                 for i in range(b.num_rows):
