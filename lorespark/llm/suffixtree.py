@@ -17,6 +17,7 @@ symbols equally likely; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,7 +135,7 @@ class Tree:
         p[:, -1] /= max(1, rest)  # each other byte alike
         # one column more: past the end of a text nothing changes
         self.step = np.ascontiguousarray(np.column_stack([step, np.arange(len(at))]).astype(np.int32)).ravel()
-        self.cost = np.ascontiguousarray(np.column_stack([np.log10(np.maximum(p, 1e-300)), np.zeros(len(at))])).ravel()
+        self.cost = np.column_stack([np.log10(np.maximum(p, 1e-300)), np.zeros(len(at))]).astype(np.float32).ravel()
         self.depth, self.width = depth, self.size + 1
 
     def scores(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -147,7 +148,7 @@ class Tree:
         count = np.minimum(SEGMENT, n[text] - inner * SEGMENT)
         order = np.argsort(-count, kind="stable")
         start, count = start[order], count[order]
-        coded = np.append(self.of[symbols], 0).astype(np.int64)
+        coded = np.append(self.of[symbols], self.of[:1])
         state, total = np.zeros(len(start), np.int64), np.zeros(len(start))
         live = len(start)
         for t in range(self.depth + (int(count[0]) if len(count) else 0)):
@@ -187,32 +188,45 @@ def learn(grams: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE
     return Tree(contexts, depth)
 
 
-_BLOCK = "block long, doc_id array<long>, held_out array<boolean>, n_words array<long>, score array<double>, word array<long>, n array<long>, at binary, own binary, times binary"
+_BLOCK = "block long, doc_id array<long>, held_out array<boolean>, n_words array<long>, score array<double>, word array<long>, n array<long>, use binary"
+_PLACES = 23  # bits of a word's place in its block's list
+
+
+def _block_row(number: int, parts: list[tuple]) -> pa.RecordBatch:
+    """One block from the documents, words and scores of its slices."""
+    ids, held, n_words, score, text, hashes = (np.concatenate([p[i] for p in parts]) if i else sum((p[0] for p in parts), []) for i in range(6))
+    text = np.repeat(np.arange(len(n_words)), n_words)
+    kinds, own = np.unique(hashes, return_inverse=True)
+    n = np.bincount(own[~held[text]], minlength=len(kinds)) if len(kinds) else np.empty(0, np.int64)
+    pairs, times = np.unique(text << 32 | own, return_counts=True)
+    at = np.searchsorted(pairs >> 32, np.arange(len(n_words) + 1))
+    use = np.concatenate((at, np.diff(pairs & 0xFFFFFFFF, prepend=0), times)).astype("<i4")
+    one = lambda v, kind: pa.array([v], pa.list_(kind))
+    cols = [pa.array([number], pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(n_words, pa.int64()), one(score, pa.float64()), one(kinds.view(np.int64), pa.int64()), one(n.astype(np.int64), pa.int64()), pa.array([zlib.compress(use.tobytes(), 1)], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _BLOCK.split(", ")])
 
 
 def _blocks(texts: DataFrame, tree: Tree, block_bytes: int) -> DataFrame:
     """A row for each block of documents: its distinct words with their training counts, and each document's use of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for b in common.slices(batches, block_bytes):
-            words = common.Words(*common.utf8(b.column(1)))
-            held = b.column(2).to_numpy(zero_copy_only=False)
-            kinds, own = np.unique(words.hash, return_inverse=True)
-            n = np.bincount(own[~held[words.text]], minlength=len(kinds)) if len(kinds) else np.empty(0, np.int64)
-            pairs, times = np.unique(words.text << 32 | own, return_counts=True)
-            at = np.searchsorted(pairs >> 32, np.arange(b.num_rows + 1))
-            score = tree.scores(*stream(words, tree.depth))
-            one = lambda v, kind: pa.array([v], pa.list_(kind))
-            cols = [pa.array([number], pa.int64()), one(b.column(0).to_pylist(), pa.int64()), one(held, pa.bool_()), one(words.n, pa.int64()), one(score, pa.float64()), one(kinds.view(np.int64), pa.int64()), one(n.astype(np.int64), pa.int64())]
-            cols += [pa.array([x.astype(np.uint32).tobytes()], pa.binary()) for x in (at, pairs & 0xFFFFFFFF, times)]
-            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _BLOCK.split(", ")])
-            number += 1
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 20
+        parts, size = [], 0
+        for b in common.slices(batches):
+            data, off = common.utf8(b.column(1))
+            words = common.Words(data, off)
+            parts.append((b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False), words.n, tree.scores(*stream(words, tree.depth)), np.empty(0, np.int64), words.hash))
+            size += len(data)
+            if size >= block_bytes:
+                yield _block_row(number, parts)
+                parts, size, number = [], 0, number + 1
+        if parts:
+            yield _block_row(number, parts)
 
     return texts.mapInArrow(run, _BLOCK)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_share: float = LEAST_SHARE, gain: float = GAIN, block_bytes: int = 3 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_share: float = LEAST_SHARE, gain: float = GAIN, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out (crc32(doc_id as text) mod 5 is 1), n_tokens, n_known, train_tokens, base_score, score.
 
     The model and the base counts come from documents that aren't held out.
@@ -221,13 +235,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     texts = texts.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)))
     tree = learn(gram_counts(texts.where("not held_out"), depth), depth, least_share, gain)
     blocks = common.written(_blocks(texts, tree, block_bytes), "blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("word", "n")).alias("i", "w")).select("block", F.col("i").cast("int"), F.col("w.word").alias("word"), F.col("w.n").alias("n"))
+    words = blocks.select("block", F.posexplode(F.arrays_zip("word", "n")).alias("i", "w"))
+    words = words.select(F.shiftleft("block", _PLACES).bitwiseOR(F.col("i").cast("long")).alias("place"), F.col("w.word").alias("word"), F.col("w.n").alias("n"))
     counts = common.written(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda h: ~h))), F.lit(0))).first()[0]
     total, kinds = total + ends, kinds + (ends > 0)
-    found = words.join(counts, "word").groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("found"))
-    rows = blocks.select("block", "doc_id", "held_out", "n_words", "score", F.size("word").alias("kinds"), "at", "own", "times").join(found, "block", "left")
+    found = words.select("word", "place").join(counts, "word").select(F.shiftrightunsigned("place", _PLACES).alias("block"), F.col("place").bitwiseAND(F.lit((1 << _PLACES) - 1)).cast("int").alias("i"), "c")
+    found = found.groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("found"))
+    rows = blocks.select("block", "doc_id", "held_out", "n_words", "score", F.size("word").alias("kinds"), "use").join(found, "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log = lambda c: np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
@@ -237,8 +253,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
                 c = np.zeros(row["kinds"].as_py())
                 if (own := row["found"].values) is not None:
                     c[own.field("i").to_numpy(zero_copy_only=False)] = own.field("c").to_numpy(zero_copy_only=False)
-                at, own, times = (np.frombuffer(row[x].as_py(), np.uint32).astype(np.int64) for x in ("at", "own", "times"))
-                n = len(at) - 1
+                n = len(row["doc_id"].values)
+                use = np.frombuffer(zlib.decompress(row["use"].as_py()), "<i4").astype(np.int64)
+                at, rest = use[: n + 1], use[n + 1 :]
+                own, times = np.cumsum(rest[: at[-1]]), rest[at[-1] :]
                 text = np.repeat(np.arange(n), np.diff(at))
                 base = np.bincount(text, weights=times * log(c[own]), minlength=n) + log(float(ends))
                 known = np.bincount(text, weights=times * (c[own] > 0), minlength=n).astype(np.int64) + (ends > 0)
