@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.plans import documents, evaluation, graphs, relational, retrieval
+from lorespark.plans import documents, evaluation, graphs, lifecycle, relational, retrieval
 
-MODULES = (relational, retrieval, documents, graphs, evaluation)
+MODULES = (relational, retrieval, documents, graphs, evaluation, lifecycle)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: text for m in MODULES for name, text in m.ORACLE.items()}
 
