@@ -104,6 +104,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20, column: int =
             b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+        pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

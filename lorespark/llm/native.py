@@ -8,23 +8,36 @@ from pyspark.sql import functions as F
 _BLOCK = 128
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, evaluated once: what a lambda closes over would be evaluated again at each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def starts(lengths: Column, gaps: Column) -> Column:
     """Start (0-based) of each match: the sum of gaps up to it and of matches before it.
 
     Two levels of sums, so that a text with many matches takes about n * 64 steps, not n * n.
     """
-    n = F.size(lengths)
-    step = F.transform(lengths, lambda x, i: x + F.get(gaps, i))  # a gap and its match
-    blocks = F.sequence(F.lit(0), F.floor(n / _BLOCK).cast("int"))
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
-    sums = F.transform(blocks, lambda b: total(F.slice(step, b * _BLOCK + 1, F.lit(_BLOCK))))
-    before = F.transform(blocks, lambda b: total(F.slice(sums, F.lit(1), b)))
 
-    def start(x: Column, i: Column) -> Column:
-        b = F.floor(i / _BLOCK).cast("int")
-        return F.get(before, b) + total(F.slice(step, b * _BLOCK + 1, i - b * _BLOCK)) + F.get(gaps, i)
+    def of_blocks(s: Column) -> Column:
+        def start(x: Column, i: Column) -> Column:
+            b = F.floor(i / _BLOCK).cast("int")
+            return F.get(s["before"], b) + total(F.slice(s["step"], b * _BLOCK + 1, i - b * _BLOCK)) + F.get(s["gaps"], i)
+
+        return F.transform(s["step"], start)
+
+    def of_sums(s: Column) -> Column:
+        before = F.transform(s["sums"], lambda _, b: total(F.slice(s["sums"], F.lit(1), b)))
+        return let(F.struct(s["step"].alias("step"), s["gaps"].alias("gaps"), before.alias("before")), of_blocks)
 
-    return F.transform(lengths, start)
+    def of_steps(s: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.size(s["step"]) / _BLOCK).cast("int"))
+        sums = F.transform(blocks, lambda b: total(F.slice(s["step"], b * _BLOCK + 1, F.lit(_BLOCK))))
+        return let(F.struct(s["step"].alias("step"), s["gaps"].alias("gaps"), sums.alias("sums")), of_sums)
+
+    step = F.zip_with(lengths, F.slice(gaps, F.lit(1), F.size(lengths)), lambda n, g: n + g)  # a gap and its match
+    return let(F.struct(step.alias("step"), gaps.alias("gaps")), of_steps)
 
 
 def spans(text: Column, pattern: str, kind: str, rank: int, keep=None) -> Column:
@@ -35,8 +48,13 @@ def spans(text: Column, pattern: str, kind: str, rank: int, keep=None) -> Column
     kind_of = "array<struct<start:long,rank:int,end:long,kind:string,found:string>>"
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
-    lengths = F.transform(whole, lambda x: F.length(x).cast("long"))
-    at = F.arrays_zip(starts(lengths, gaps).alias("a"), whole.alias("w"), (keep(text, whole) if keep else F.transform(whole, lambda x: F.lit(True))).alias("k"))
+    kept = keep(text, whole) if keep else F.transform(whole, lambda x: F.lit(True))
+
+    def placed(s: Column) -> Column:
+        lengths = F.transform(s["w"], lambda x: F.length(x).cast("long"))
+        return F.arrays_zip(starts(lengths, s["g"]).alias("a"), s["w"].alias("w"), s["k"].alias("k"))
+
+    at = let(F.struct(whole.alias("w"), gaps.alias("g"), kept.alias("k")), placed)
     rows = F.transform(F.filter(at, lambda x: x["k"]), lambda x: F.struct(x["a"].alias("start"), F.lit(rank).alias("rank"), (x["a"] + F.length(x["w"])).alias("end"), F.lit(kind).alias("kind"), x["w"].alias("found")))
     return F.when(text.rlike(pattern), rows).otherwise(F.array()).cast(kind_of)
 

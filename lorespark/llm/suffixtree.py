@@ -78,10 +78,10 @@ def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
             keys.append(key[new])
             counts.append(np.diff(np.append(new, len(key))))
             size += len(new)
-            if size > 1_500_000:
+            if size > 800_000:
                 k, n = _merge(keys, counts)
                 keys, counts, size = [k], [n], len(k)
-                if size > 1_000_000:
+                if size > 500_000:
                     yield from _rows(k, n)
                     keys, counts, size = [], [], 0
         if keys:
@@ -226,7 +226,7 @@ def _blocks(texts: DataFrame, tree: Tree, block_bytes: int) -> DataFrame:
     return texts.mapInArrow(run, _BLOCK)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_share: float = LEAST_SHARE, gain: float = GAIN, block_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_share: float = LEAST_SHARE, gain: float = GAIN, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out (crc32(doc_id as text) mod 5 is 1), n_tokens, n_known, train_tokens, base_score, score.
 
     The model and the base counts come from documents that aren't held out.
