@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.functions import ship
+
 U = np.uint64
 _written: list[tuple[object, str]] = []
 
@@ -57,22 +59,9 @@ ARROW_BYTES = 16 << 20  # at most so much text in a batch on its way to Python,
 
 
 def shipped(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once a context, should it not be installed there; bounds Arrow batches."""
-    import tempfile
-    import zipfile
-    from pathlib import Path
-
+    """Sends this package to the executors' Python and bounds Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    sc = spark.sparkContext
-    if getattr(sc, "_lorespark_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="lorespark-")) / "lorespark.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(path))
-    sc._lorespark_shipped = True
+    ship.shipped(spark)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
