@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-PIECES_IN_MEMORY = 300_000
+MEMORY = 24 << 20  # bytes of remembered pre-tokens, their overhead included
 
 
 def byte_characters() -> list[str]:
@@ -85,6 +85,7 @@ class Codec:
         self.whole = {p: struct.pack("<I", i) for i, p in self.bytes_of.items()}
         self.ids = ids.astype("<u4")
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, words: list[str]) -> None:
         rest, shown = [], []
@@ -92,16 +93,18 @@ class Codec:
             raw = w.encode()
             if (one := self.whole.get(raw)) is not None:
                 self.known[w] = one
+                self.held += 120 + len(raw)
             else:
                 rest.append(w)
                 shown.append(raw.decode("latin-1").translate(self.char))
         for w, got in zip(rest, self.sp.encode(shown, num_threads=1) if shown else [], strict=True):
             self.known[w] = self.ids[got].tobytes()
+            self.held += 200 + 4 * len(w) + 4 * len(got)
 
     def encode(self, text: str) -> bytes:
         words = self.find(text)
-        if len(self.known) > PIECES_IN_MEMORY:
-            self.known.clear()
+        if self.held > MEMORY:
+            self.known, self.held = {}, 0
         if missing := list(set(words).difference(self.known)):
             self.learn(missing)
         return b"".join(map(self.known.__getitem__, words))
@@ -140,4 +143,4 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 cols.append(pa.ListArray.from_arrays(pa.array(at), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "ids"][: len(cols)])
 
-    return common.texts(docs, id_col, text_col).mapInArrow(run, kind)
+    return common.arrow_map(common.texts(docs, id_col, text_col), run, kind)

@@ -7,8 +7,10 @@ multilinear 64-bit hash (random odd multiplier per position, random value per by
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only in local mode, where it is unset."""
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="lorespark-")
@@ -55,7 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-ARROW_BYTES = 16 << 20  # at most so much text in a batch on its way to Python, whatever the number of rows
+ARROW_BYTES = 4 << 20  # at most so much text in a batch on its way to Python, whatever the number of rows
 
 
 def shipped(spark: SparkSession) -> None:
@@ -64,6 +68,26 @@ def shipped(spark: SparkSession) -> None:
     ship.shipped(spark)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that what one task or slice needed isn't held while others run."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema); a task that has ended leaves no memory behind in its Python worker."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Only id and text, under our own names, so other columns can't clash; a null text is empty. carry: row has all columns."""
     shipped(docs.sparkSession)
@@ -93,7 +117,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20, column: int =
             b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
-        pa.default_memory_pool().release_unused()
+            give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

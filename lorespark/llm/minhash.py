@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
             cols = [b.column(0), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(at, flat), pa.array([x.tobytes() for x in sig], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "d1", "d2", "bands", "sig"])
 
-    return common.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
+    return common.arrow_map(common.texts(docs, id_col, text_col), run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -108,7 +108,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     one = docs.where("doc_id is not null")
     with_a = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return common.arrow_map(with_b.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +179,7 @@ def residual(member: DataFrame, roots: DataFrame, text: DataFrame, k: int, perce
                     z.append(max(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
 
-    return groups_.mapInArrow(run, "a long, b long").distinct()
+    return common.arrow_map(groups_, run, "a long, b long").distinct()
 
 
 def _cell_links(i: int, j: int, members: pa.StructArray, percent: int) -> list[tuple[int, int]]:
@@ -216,7 +216,7 @@ def shingle_sets(text: DataFrame, k: int) -> DataFrame:
             s, first = common.shingles(common.Words(*common.utf8(b.column(1))), k)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "set"])
 
-    return text.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
+    return common.arrow_map(text.select("doc_id", "text"), run, "doc_id long, set binary")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,7 +87,7 @@ def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
         if keys:
             yield from _rows(*_merge(keys, counts))
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return common.arrow_map(texts, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _rows(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def _blocks(texts: DataFrame, tree: Tree, block_bytes: int) -> DataFrame:
         if parts:
             yield _block_row(number, parts)
 
-    return texts.mapInArrow(run, _BLOCK)
+    return common.arrow_map(texts, run, _BLOCK)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_share: float = LEAST_SHARE, gain: float = GAIN, block_bytes: int = 6 << 20) -> DataFrame:
@@ -264,4 +264,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
                 cols = [row["doc_id"].values, row["held_out"].values, pa.array(words + 1), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(base), row["score"].values]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return common.arrow_map(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
