@@ -5,8 +5,9 @@ array sorts the positions from which a whole test window could still match, by t
 suffix is binary-searched in it, which gives all verbatim matches and their locations; neighbouring windows on one
 diagonal join to the longest match.
 
-The test set travels to the tasks in slices of at most `slice_bytes` of text; a larger set takes several slices, one
-after the other within the same stage, so no broadcast outgrows that bound.
+The test set travels to the tasks as a broadcast of at most about `slice_bytes` of text (an item stays whole). A larger set takes
+several passes over the texts, one for each slice, of which only texts with hits are written, so neither the driver nor a task
+ever holds more than a slice.
 
 Cases: null and empty texts have no words and are clean; an item of fewer than `window` words, but not none, is one
 window; items without words never match; equal items are counted each; repeated document rows each give a row; an
@@ -17,17 +18,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from . import common
 
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
 
 
 class TestSet:
@@ -119,87 +121,108 @@ class TestSet:
         return runs[["text", "item", "doc_word", "item_word", "n_words"]]
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    at = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-    flat = np.concatenate(values) if values else []
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat, kind))
-
-
 LOCATION = "array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"
+_KIND = "doc_id long, n_words long, n_hit long, longest long, items array<string>, items_sha256 string, contaminated boolean"
+
+
+def _hits(tests: TestSet, words: common.Words) -> tuple[list[list[int]], list[list[str]], list[list[dict]]]:
+    """Per text: hit stretches (first and end word, one after the other), items, maximal matches."""
+    n_texts = len(words.n)
+    spans, items, matches = ([[] for _ in range(n_texts)] for _ in range(3))
+    at, win = tests.search(words)
+    if not len(at):
+        return spans, items, matches
+    edge = np.zeros(len(words.hash) + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + tests.size[win], -1)
+    inside = np.concatenate(([0], (np.cumsum(edge) > 0).astype(np.int8)[:-1], [0]))
+    step = np.diff(inside)
+    a, z = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    # one run may cross from a text into the next: cut it there
+    cuts = [c for c in words.first[1:-1].tolist() if c < len(words.hash) and c and inside[c] and inside[c + 1]]
+    a, z = np.union1d(a, cuts).astype(np.int64), np.union1d(z, cuts).astype(np.int64)
+    for s, e in zip(a.tolist(), z.tolist(), strict=True):
+        t = words.text[s]
+        spans[t] += [s - int(words.first[t]), e - int(words.first[t])]
+    for t, item in tests.items_of(words.text[at], win).tolist():
+        items[t].append(tests.item_ids[item])
+    for r in tests.locations(words, at, win).itertuples():
+        matches[r.text].append({"item_id": tests.item_ids[r.item], "doc_word": r.doc_word, "item_word": r.item_word, "n_words": r.n_words})
+    return spans, items, matches
+
+
+def _columns(doc_id: pa.Array, n_words: np.ndarray, spans: list, items: list, matches: list, percent: int) -> list[pa.Array]:
+    n_hit, kept = [], []
+    for own, named in zip(spans, items, strict=True):
+        hit, last = 0, 0
+        for s, e in sorted(zip(own[::2], own[1::2], strict=True)):
+            hit += max(0, e - max(s, last))
+            last = max(last, e)
+        n_hit.append(hit)
+        kept.append(sorted(set(named)))
+    n_hit = np.array(n_hit, np.int64)
+    longest = pa.array([max((m["n_words"] for m in own), default=0) for own in matches], pa.int64())
+    sha = pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in kept], pa.string())
+    return [doc_id, pa.array(n_words), pa.array(n_hit), longest, pa.array(kept, pa.list_(pa.string())), sha, pa.array((n_hit > 0) & (100 * n_hit >= percent * n_words))]
+
+
+def _sent(tests: DataFrame, window: int):
+    """The arrays of a slice of tests, built once and sent to every executor as a broadcast of bounded size."""
+    rows = tests.collect()  # at most about slice_bytes of text
+    return tests.sparkSession.sparkContext.broadcast(TestSet([r["item"] or "" for r in rows], [r["text"] for r in rows], window))
 
 
 def scan(docs: DataFrame, bench: DataFrame, window: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_bytes: int = SLICE_BYTES, carry: bool = False, locations: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside any match), items (sorted as strings), contaminated
-    (n_hit > 0 and 100 * n_hit >= percent * n_words); row (all columns, if carried); matches (if located)."""
+    """Per document: doc_id, n_words, n_hit (words inside any match), longest (words of its longest verbatim match, of a window or
+    more), items (sorted as strings), contaminated (n_hit > 0 and 100 * n_hit >= percent * n_words); row (all columns, if carried);
+    matches (if located)."""
     tests = bench.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_slices = max(1, -(-total // slice_bytes))
     df = common.texts(docs, id_col, text_col, carry)
-    df = df.withColumns({"spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>"), "matches": F.array().cast(LOCATION)})
-    for i in range(n_slices):
-        own = tests if n_slices == 1 else tests.where(F.pmod(F.xxhash64("item"), F.lit(n_slices)) == i)
-        rows = own.collect()  # at most about slice_bytes of text
-        df = _pass(df, [r["item"] or "" for r in rows], [r["text"] for r in rows], window, locations)
-    return _totals(df, percent, carry, locations)
+    if n_slices > 1:
+        df = _with_hits(df, tests, n_slices, window)
+        sent = None
+    else:
+        sent = _sent(tests, window)
+    kept = [f for f in df.schema.fields if f.name == "row"] + ([StructField("matches", _parse_datatype_string(LOCATION))] if locations else [])
+    schema = StructType([*_parse_datatype_string(_KIND).fields, *kept])
 
-
-def _pass(df: DataFrame, item_ids: list[str], item_texts: list[str], window: int, locations: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = None
         for b in common.slices(batches):
-            tests = tests or TestSet(item_ids, item_texts, window)
-            words = common.Words(*common.utf8(b.column(1)), common.ALNUM)
-            at, win = tests.search(words)
-            text = words.text[at]
-            spans, items = b.column("spans").to_pylist(), b.column("items").to_pylist()
-            matches = b.column("matches").to_pylist()
-            if len(at):
-                edge = np.zeros(len(words.hash) + 1, np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + tests.size[win], -1)
-                inside = np.concatenate(([0], (np.cumsum(edge) > 0).astype(np.int8)[:-1], [0]))
-                step = np.diff(inside)
-                a, z = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-                # one run may cross from a text into the next: cut it there
-                cuts = [c for c in words.first[1:-1].tolist() if c < len(words.hash) and c and inside[c] and inside[c + 1]]
-                a, z = np.union1d(a, cuts).astype(np.int64), np.union1d(z, cuts).astype(np.int64)
-                for s, e in zip(a.tolist(), z.tolist(), strict=True):
-                    t = words.text[s]
-                    spans[t] = spans[t] + [s - int(words.first[t]), e - int(words.first[t])]
-                for t, item in tests.items_of(text, win).tolist():
-                    items[t] = items[t] + [tests.item_ids[item]]
-                if locations:
-                    for r in tests.locations(words, at, win).itertuples():
-                        matches[r.text] = matches[r.text] + [{"item_id": tests.item_ids[r.item], "doc_word": r.doc_word, "item_word": r.item_word, "n_words": r.n_words}]
-            cols = {name: b.column(name) for name in b.schema.names} | {"spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string())), "matches": pa.array(matches, b.schema.field("matches").type)}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    return df.mapInArrow(run, df.schema)
-
-
-def _totals(df: DataFrame, percent: int, carry: bool, locations: bool) -> DataFrame:
-    kind = "doc_id long, n_words long, n_hit long, items array<string>, items_sha256 string, contaminated boolean"
-    kept = [f for f in df.schema.fields if f.name == "row" and carry or f.name == "matches" and locations]
-    schema = StructType([*_parse_datatype_string(kind).fields, *kept])
+            words = common.Words(*common.utf8(b.column(1)), common.ALNUM, hashed=sent is not None)
+            found = _hits(sent.value, words) if sent else tuple([x or [] for x in b.column(c).to_pylist()] for c in ("spans", "items", "matches"))
+            cols = _columns(b.column(0), words.n, *found, percent)
+            cols += ([b.column("row")] if carry else []) + ([pa.array(found[2], pa.list_(_MATCH))] if locations else [])
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches):
-            words = common.Words(*common.utf8(b.column(1)), common.ALNUM, hashed=False)
-            n_hit, items = [], []
-            for spans, own in zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True):
-                hit, last = 0, 0
-                for s, e in sorted(zip(spans[::2], spans[1::2], strict=True)):
-                    hit += max(0, e - max(s, last))
-                    last = max(last, e)
-                n_hit.append(hit)
-                items.append(sorted(set(own)))
-            n_hit = np.array(n_hit, np.int64)
-            bad = (n_hit > 0) & (100 * n_hit >= percent * words.n)
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            cols = [b.column(0), pa.array(words.n), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(sha), pa.array(bad)]
-            yield pa.RecordBatch.from_arrays([*cols, *(b.column(f.name) for f in kept)], schema.names)
-
-    return df.mapInArrow(run, schema)
+    return common.arrow_map(df, run, schema)
+
+
+_MATCH = pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
+
+
+def _with_hits(df: DataFrame, tests: DataFrame, n_slices: int, window: int) -> DataFrame:
+    """df with spans, items and matches over all slices. Each slice is one pass over the texts, which are written once; only
+    texts with hits leave a pass, so one slice at a time is in memory, on the driver too."""
+    df = common.written(df.withColumn("key", F.monotonically_increasing_id()), "texts")
+    parts = []
+    for i in range(n_slices):
+        sent = _sent(tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_slices)) == i), window)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in common.slices(batches):
+                spans, items, matches = _hits(sent.value, common.Words(*common.utf8(b.column(1)), common.ALNUM))
+                has = pa.array([bool(x) for x in spans])
+                cols = [b.column("key"), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(matches, pa.list_(_MATCH))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "spans", "items", "matches"]).filter(has)
+
+        hits = common.arrow_map(df.select("doc_id", "text", "key"), run, f"key long, spans array<long>, items array<string>, matches {LOCATION}")
+        parts.append(common.written(hits, "hits"))
+        sent.destroy()
+    hits = reduce(DataFrame.unionByName, parts)
+    hits = hits.groupBy("key").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "matches")])  # at most a row a slice
+    return df.join(hits, "key", "left").select(*[c for c in df.columns if c != "key"], "spans", "items", "matches")
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:

@@ -25,7 +25,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, percent=5)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "longest", F.size("items").cast("long").alias("n_items"), "items_sha256", "contaminated")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,19 +75,20 @@ FROM sets JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = sets.doc
 
 _OP4 = f"""
 WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark),
-wins AS (SELECT item, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 13 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' ')) END) AS x,
-    least(len(w), 13) AS size FROM items),
+spots AS (SELECT item, w, least(len(w), 13) AS size, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS q FROM items WHERE len(w) > 0),
+wins AS (SELECT item, size, q, array_to_string(w[q:q + size - 1], ' ') AS x FROM spots),
 docs AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
 sizes AS (SELECT DISTINCT size FROM wins),
 starts AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS p, w FROM docs, sizes WHERE len(w) >= size),
 grams AS (SELECT doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS x FROM starts),
-hits AS (SELECT g.doc_id, g.size, g.p, i.item FROM grams g JOIN wins i ON i.x = g.x AND i.size = g.size),
+hits AS (SELECT g.doc_id, g.size, g.p, i.item, i.q FROM grams g JOIN wins i ON i.x = g.x AND i.size = g.size),
 words AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS spot FROM (SELECT DISTINCT doc_id, p, size FROM hits)) GROUP BY doc_id),
-own AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(own.n, 0) AS BIGINT) AS n_items,
+own AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+runs AS (SELECT doc_id, count(*) + any_value(size) - 1 AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item, p - q ORDER BY p) AS island FROM hits) GROUP BY doc_id, item, p - q, island),
+longest AS (SELECT doc_id, max(n) AS n FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(longest.n, 0) AS BIGINT) AS longest, CAST(coalesce(own.n, 0) AS BIGINT) AS n_items,
     sha256(coalesce(own.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(d.w) AS contaminated
-FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN own USING (doc_id)
+FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 ORACLE = {"op2_minhash": _OP2, "op4_decontaminate": _OP4}
