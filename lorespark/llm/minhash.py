@@ -5,31 +5,38 @@ the register of that step; so registers are filled evenly (lower variance than i
 stops once no further step can lower any register. A batch's elements take their steps together.
 
 Plan. Equal sets fold into their smallest id. Signatures are cut into bands. In each bucket members are linked to
-its smallest one (each document to the HUBS of those that it meets most often) and verified on their full texts, so a bucket
-of n costs at most n links; links are grouped. Only buckets that still hold several groups can have a link left to find: there the
-members outside the largest group are compared with all others on their full sets, block by block, and of the links found one for
-each document and other group goes on. With 32 bands of 4, a pair at similarity 0.8 shares no band with probability 5e-8.
+its smallest one and verified on their full texts: first each document with the FIRST hubs that it meets most often, then with
+those others that are still in another group. Links are grouped. What is left are pairs in different groups in buckets of
+three or more. Small buckets (BLOCK members, BLOCK_SHINGLES shingles) are compared on full sets in one task. Larger ones are split
+first: sets at 80 % similarity share one of the rarest 20 % of either's shingles, so their members meet by those (counts are taken
+over all members of such buckets), and only where different groups meet; no pair is lost. Texts that merely share common
+passages don't meet there. Hot shingles are compared block by block. Only one link of each document to each other group leaves a task.
+
+With 32 bands of 4, a pair at similarity 0.8 shares no band with probability 5e-8; pairs that share one are all found.
 
 Cases: texts without words have an empty set, linked with nothing; texts of fewer than k words have their whole
-sequence as one shingle; null texts are empty; other columns are ignored; an empty table gives an empty result; a doc_id
-identifies a document, rows that repeat it are kept and answered alike.
+sequence as one shingle; null texts are empty; other columns are ignored; an empty table gives an empty result; a row without
+doc_id is linked with nothing and kept (component_id null); rows that repeat a doc_id are one document: each is answered, and a doc_id
+with several texts is linked with what any of them is linked with; where that document is kept, all its rows are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common, graph
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-HUBS = 3
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # a block's members and shingles, on average
+FIRST = 3
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # a block's members and shingles, on average; a bucket within them is compared at once
 _BITS = 25
 _U = np.uint64
 
@@ -117,26 +124,43 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     own = ["d1", "d2", "n_shingles"]
     full = sk.where("n_shingles > 0 and doc_id is not null")
     rep = common.written(full.groupBy(own).agg(F.min("doc_id").alias("rep")), "representatives")
-    reps = full.select("doc_id", "n_shingles", "bands").join(rep.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = full.join(rep.select(*own, F.col("rep").alias("doc_id")), [*own, "doc_id"], "left_semi").dropDuplicates([*own, "doc_id"])
     bands = common.written(reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band")), "bands")
     hubs = bands.groupBy("band").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
     member = common.written(bands.join(hubs, "band"), "members")
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     star = member.where(F.col("doc_id") != F.col("hub.doc_id")).where(near(F.col("n"), F.col("hub.n")))
     star = star.groupBy(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).count()
-    star = star.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), asc=False), 1, HUBS).alias("best"))  # of 32 at most
-    star = star.select("a", F.explode("best.b").alias("b"))
+    order = Window.partitionBy("a").orderBy(F.desc("count"), "b")  # BANDS rows at most for each text
+    star = common.written(star.select("a", "b", F.row_number().over(order).alias("place")), "stars")
     text = candidates(common.texts(docs, id_col, text_col), member.select("doc_id").distinct())
-    links = common.written(verified(star, text, k, percent).distinct(), "verified")
-    roots = common.written(graph.components(links), "roots")
-
-    more = common.written(residual(member, roots, text, k, percent), "verified-rest")
-    if not more.isEmpty():
-        roots = graph.components(links.unionByName(more))
+    links = common.written(verified(star.where(F.col("place") <= FIRST).select("a", "b"), text, k, percent).distinct(), "verified")
+    roots = common.written(graph.components(links.unionByName(_several(full, rep, own))), "roots")
+
+    others = _rooted(_rooted(star.where(F.col("place") > FIRST), roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b")
+    others = common.written(others.select("a", "b"), "others")
+    more = [] if others.isEmpty() else [common.written(verified(others, text, k, percent).distinct(), "verified-others")]
+    more.append(common.written(residual(member, roots, text, k, percent), "verified-rest"))
+    more = [m for m in more if not m.isEmpty()]
+    if more:
+        joined = reduce(DataFrame.unionByName, [roots.select(F.col("node").alias("a"), F.col("root").alias("b")), *more])
+        roots = graph.components(joined)
     root = rep.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*own, F.coalesce("root", "rep").alias("root"))
     found = sk.select("doc_id", *own).join(root, own, "left")
-    whole = F.coalesce("root", "doc_id")
-    return found.select("doc_id", "n_shingles", whole.alias("component_id"), (F.col("doc_id") == whole).alias("kept"))
+    whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return found.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(F.col("doc_id") == whole, F.lit(True)).alias("kept"))
+
+
+def _several(full: DataFrame, rep: DataFrame, own: list[str]) -> DataFrame:
+    """Links between the representatives of the texts of one doc_id, where it has several."""
+    many = full.groupBy("doc_id").agg(F.min(F.struct(*own)).alias("x"), F.max(F.struct(*own)).alias("y")).where("x <> y").select("doc_id")
+    of = full.join(many, "doc_id", "left_semi").join(rep, own).select("doc_id", F.col("rep").alias("a")).distinct()
+    return of.join(of.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").where("a <> b").select("a", "b")
+
+
+def _rooted(df: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+    """df with the root of a node, itself where it has no links."""
+    return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
 def candidates(text: DataFrame, ids: DataFrame, most_ids: int = 500_000) -> DataFrame:
@@ -149,25 +173,54 @@ def candidates(text: DataFrame, ids: DataFrame, most_ids: int = 500_000) -> Data
 
 def residual(member: DataFrame, roots: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different groups so far: of each document to each group, one."""
-    rest = member.select("band", "doc_id", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    rest = rest.select("band", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    parts = rest.groupBy("band", "root").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
-    mixed = parts.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.max(F.struct("size", "n")).alias("most"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    rest = _rooted(member.where("size > 2").select(F.col("band").alias("key"), "doc_id", "n"), roots, "doc_id", "root")
+    size = _mixed(rest).select("key", (F.greatest("n_top", F.lit(1)) + F.col("n_other") > 2).alias("large"))
+    rest = common.written(rest.join(size, "key"), "mixed")
+    small = rest.where("not large").select("key", "doc_id", "n", "root")
+    large = common.written(rest.where("large").select("doc_id", "n", "root").distinct(), "large")
+    if not large.isEmpty():
+        small = small.unionByName(prefixes(large, text, k, percent))
+    rest = small.join(_mixed(small), "key")
+    return _compared(common.written(rest, "rest"), text, k, percent)
+
+
+def _mixed(rest: DataFrame) -> DataFrame:
+    """Keys whose members are in several groups: the largest group (top), the blocks of its members and of the others."""
+    parts = rest.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.max(F.struct("size", "n")).alias("most"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
     blocks = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    mixed = mixed.where("kinds > 1 and size > 2").select("band", "top", blocks(F.col("most.size"), F.col("most.n")).alias("n_top"), blocks(F.col("size") - F.col("most.size"), F.col("n") - F.col("most.n")).alias("n_other"))
-    rest = common.written(rest.join(mixed, "band"), "rest")
-    sets = shingle_sets(text.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"])
+    return mixed.where("kinds > 1").select("key", "top", blocks(F.col("most.size"), F.col("most.n")).alias("n_top"), blocks(F.col("size") - F.col("most.size"), F.col("n") - F.col("most.n")).alias("n_other"))
+
+
+def prefixes(members: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+    """key, doc_id, n, root: each member by its rarest shingles, one more than it may lack and still be similar enough.
+
+    Shingles of one member alone meet nobody and are left out. A shingle's members are dealt by AQE's splitting of skewed joins.
+    """
+    sets = shingle_sets(text.join(members, "doc_id", "left_semi"), k)
+    one = sets.select("doc_id", "n", F.explode("shingles").alias("key"))
+    one = common.written(one.distinct(), "shingles")
+    often = one.groupBy("key").count()
+    ranked = one.join(often, "key").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("all"))  # one text's own set
+    spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = ranked.select("doc_id", "n", F.explode(F.slice("all", F.lit(1), spare.cast("int"))).alias("x")).where("x.count > 1")
+    return first.select(F.col("x.key").alias("key"), "doc_id", "n").join(members.select("doc_id", "root").distinct(), "doc_id").select("key", "doc_id", "n", "root")
+
+
+def _compared(rest: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members of one key in different groups, compared block by block on full sets; rest: key, doc_id, root, top, n_top, n_other."""
+    sets = shingle_sets(text.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), k).select("doc_id", "n", "set").distinct()
     other = F.col("root") != F.col("top")
     own = F.pmod(F.xxhash64("doc_id"), F.when(other, F.col("n_other")).otherwise(F.col("n_top"))).cast("int")
-    rest = rest.join(sets, "doc_id").withColumns({"other": other, "own": own})
+    rest = rest.join(sets, ["doc_id", "n"]).withColumns({"other": other, "own": own})
     # a cell is a block of other members (i) and a block of the top group's (j) or again of others (-1 - j)
     cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     count = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     with_top = F.transform(count("n_top"), lambda j: cell(F.col("own"), j))
     with_others = F.transform(count("n_other"), lambda j: cell(F.least("own", j), -1 - F.greatest("own", j)))
     cells = F.when(other, F.concat(with_top, with_others)).otherwise(F.transform(count("n_other"), lambda i: cell(i, F.col("own"))))
-    placed = rest.select("band", F.explode(cells).alias("cell"), F.struct("doc_id", "root", "other", "own", "set").alias("m"))
-    groups_ = placed.groupBy("band", "cell").agg(F.collect_list("m").alias("m")).where(F.size("m") > 1).select("cell.i", "cell.j", "m")
+    placed = rest.select("key", F.explode(cells).alias("cell"), F.struct("doc_id", "root", "other", "own", "set").alias("m"))
+    groups_ = placed.groupBy("key", "cell").agg(F.collect_list("m").alias("m")).where(F.size("m") > 1).select("cell.i", "cell.j", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,17 +262,20 @@ def _cell_links(i: int, j: int, members: pa.StructArray, percent: int) -> list[t
 
 
 def shingle_sets(text: DataFrame, k: int) -> DataFrame:
-    """doc_id and set: the sorted shingle hashes as bytes."""
+    """doc_id, n, set (the sorted shingle hashes as bytes) and shingles (as an array)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, 1 << 20):
+        for b in common.slices(batches):
             s, first = common.shingles(common.Words(*common.utf8(b.column(1))), k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "set"])
+            each = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(s.view(np.int64)))
+            cols = [b.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array([s[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary()), each]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "set", "shingles"])
 
-    return common.arrow_map(text.select("doc_id", "text"), run, "doc_id long, set binary")
+    return common.arrow_map(text.select("doc_id", "text"), run, "doc_id long, n long, set binary, shingles array<long>")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, that of the smallest id, with all its columns."""
-    kept = groups(docs, k, percent, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept.distinct(), id_col, "left_semi").select(*docs.columns)
+    """One document of each group, that of the smallest id, with all its columns and rows; rows without an id stay."""
+    kept = groups(docs, k, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col))
+    named = docs.where(F.col(id_col).isNotNull()).join(kept.distinct(), id_col, "left_semi").select(*docs.columns)
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

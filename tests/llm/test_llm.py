@@ -161,6 +161,41 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.groups(df, 2).collect()} == jaccard_components(rows, 2)
 
 
+def test_hubs_met_rarely(spark):
+    """A document whose link is to the hub that it meets least of four."""
+    random.seed(1)
+    for trial in range(3):
+        words = [f"w{trial}x{i}" for i in range(500)]
+        rows = {9: words, 1: random.sample(words, 400), **{i: random.sample(words, 477) for i in (2, 3, 4)}}
+        rows = {i: " ".join(w) for i, w in rows.items()}
+        df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.groups(df, 1, 80).collect()} == jaccard_components(rows, 1)
+
+
+def test_borderline_pairs(spark):
+    """Pairs planted just above and just below the threshold, with passages that many texts share."""
+    random.seed(5)
+    common_part = [f"c{i}" for i in range(60)]
+    rows = {}
+    for i in range(120):
+        base = [f"b{i}x{j}" for j in range(random.randint(40, 140))]
+        for _ in range(random.randint(1, 3)):
+            w = list(base)
+            for j in random.sample(range(len(w)), random.randint(0, len(w) // 4)):
+                w[j] = f"n{len(rows)}x{j}"
+            rows[len(rows)] = " ".join(w + common_part)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.groups(df, 1, 80).collect()} == jaccard_components(rows, 1)
+
+
+def test_ids_that_repeat_or_miss(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(5, a), (5, b), (1, a), (3, b), (None, a), (None, "x"), (7, "alone"), (7, "alone"), (8, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.groups(df, 2).collect()), key=repr)
+    assert got == sorted([(5, 1, False), (5, 1, False), (1, 1, True), (3, 1, False), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True), (8, 8, True)], key=repr)
+    assert sorted((r.doc_id for r in minhash.deduplicate(df, 2).collect()), key=repr) == sorted([1, 7, 7, 8, None, None], key=repr)
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 700).astype(np.uint64)
@@ -171,6 +206,13 @@ def test_superminhash_estimates():
     assert (sig >> 25).max() <= 8  # few steps fill all registers
 
 
+def test_components_of_heavy_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HEAVY", 3)
+    links = spark.createDataFrame([(5, i) for i in range(6, 40)] + [(39, 3), (3, 60), (70, 71)], "a long, b long")
+    got = {r.node: r.root for r in graph.components(links).collect()}
+    assert got == {i: 3 for i in [*range(5, 40), 60]} | {71: 70}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 70), (70, 60)], "a long, b long")
     got = {r.node: r.root for r in graph.components(links).collect()}
