@@ -412,7 +412,63 @@ def test_toxicity_on_held_out(spark):
     got = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").select("toxic", "predicted", "score").collect()
     hit = sum(r.predicted for r in got if r.toxic) / max(1, sum(r.toxic for r in got))
     wrong = sum(r.predicted for r in got if not r.toxic) / max(1, sum(1 - r.toxic for r in got))
-    assert hit >= 0.6 and wrong <= 0.05 and all(0 <= r.score <= 1 for r in got)
+    assert hit >= 0.6 and wrong <= 0.05 and all(0 <= r.score <= 1 for r in got)  # six toxic ones, two of them mislabelled
+
+
+def test_toxicity_finds_planted_texts(spark):
+    """Held-out texts with planted obfuscated insults, of clean words otherwise."""
+    random.seed(8)
+    vocabulary = [f"{a}{b}" for a in ("wa", "ne", "ko", "ri", "tu", "so") for b in ("lin", "mar", "del", "pon", "gus")]
+    insults = ["moron", "loser", "trash", "clown", "idiot"]
+    noise = [lambda w: w, lambda w: w.replace("o", "0").replace("i", "1").replace("a", "@"), lambda w: ".".join(w), lambda w: " ".join(w), lambda w: w[:2] + w[1] * 6 + w[2:]]
+    rows, marks = [], []
+    for i in range(1500):
+        w, toxic = [random.choice(vocabulary) for _ in range(random.randint(20, 60))], i % 4 == 0
+        if toxic:
+            for _ in range(3):
+                w.insert(random.randrange(len(w)), random.choice(noise if zlib.crc32(str(i).encode()) % 5 == 0 else noise[:1])(random.choice(insults)))
+        rows.append((i, " ".join(w)))
+        marks.append((i, 1, int(toxic)))
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    hit = [r.predicted for r in got if r.doc_id % 4 == 0]
+    wrong = [r.predicted for r in got if r.doc_id % 4]
+    assert sum(hit) >= 0.9 * len(hit) and sum(wrong) <= 0.01 * len(wrong)
+
+
+def test_viterbi_is_the_best_path():
+    """The decoder against all ways through the lattice."""
+    counts = Counter()
+    for word in ("moron", "loser", "no", "so", "mono", "señor", "lose", "oslo"):
+        padded = "  " + word + " "
+        counts.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    decode, c = toxicity.Decoder(counts), toxicity.COST
+
+    def every(token, i, ab, cost, out, spelled):
+        if i == len(token):
+            yield cost + (decode.cost(ab + " ") if ab[1] != " " else 0), out.strip()
+            return
+        ch = token[i]
+        letters, drop = decode.ways(token, i)
+        gap = cost + c["gap"] + decode.cost(ab + " ")
+        if drop is not None:
+            yield from every(token, i + 1, ab, cost + drop, out, spelled)
+            if ch in toxicity.SEPARATORS and ab[1] != " ":
+                yield from every(token, i + 1, "  ", gap, out + " ", spelled)
+        run = ch == token[i - 1 : i] and ch in (token[i - 2 : i - 1], token[i + 1 : i + 2])
+        for x, price in letters:
+            yield from every(token, i + 1, ab[1] + x, cost + price + decode.cost(ab + x), out + x, spelled)
+            if x == ab[1]:
+                yield from every(token, i + 1, ab, cost + c["drop_repeat" if run else "drop_double"], out, spelled)
+            if spelled and ab[1] != " ":
+                yield from every(token, i + 1, " " + x, gap + price + decode.cost("  " + x), out + " " + x, spelled)
+
+    random.seed(3)
+    for _ in range(300):
+        token = "".join(random.choice("mos0nl1eñ.-$") for _ in range(random.randint(1, 7)))
+        spelled = random.random() < 0.4
+        best = min(every(token, 0, "  ", 0.0, "", spelled))
+        ties = {w for s, w in every(token, 0, "  ", 0.0, "", spelled) if s < best[0] + 1e-9}
+        assert decode.decode(token, spelled) in ties, token
 
 
 def test_deobfuscation(spark):
@@ -422,6 +478,7 @@ def test_deobfuscation(spark):
     model = toxicity.fit(spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet"))
     decode = toxicity.Decoder(model.counts)
     assert [decode(x) for x in ("m0r0n", "l.o.s.e.r", "tr@sh", "stuuuuupid", "cl0wn", "$cum")] == ["moron", "loser", "trash", "stupid", "clown", "scum"]
+    assert decode("m0rön") == "moron" and decode("st" + "u" * 200 + "pid") == "stupid" and decode("москва") == "москва"
     texts = pa.array(["the thing is a m0r0n and of", "the thing is a m o r o n and of", "the thing is a then and of"])
     p = model.score(model.columns(texts, decode))
     assert p[0] > p[2] and p[1] > p[2]
