@@ -7,8 +7,8 @@ stops once no further step can lower any register. A batch's elements take their
 Plan. Equal sets fold into their smallest id. Signatures are cut into bands. In each bucket members are linked to
 its smallest one and verified on their full texts: first each document with the FIRST hubs that it meets most often, then with
 those others that are still in another group. Links are grouped. What is left are pairs in different groups in buckets of
-three or more. Small buckets (BLOCK members, BLOCK_SHINGLES shingles) are compared on full sets in one task. Larger ones are split
-first: sets at 80 % similarity share one of the rarest 20 % of either's shingles, so their members meet by those (counts are taken
+three or more. Where the members outside the largest group fit in one block (BLOCK members, BLOCK_SHINGLES shingles), they are compared
+with the bucket's blocks on full sets, which takes copies in proportion to its members. Other buckets are split first: sets at 80 % similarity share one of the rarest 20 % of either's shingles, so their members meet by those (counts are taken
 over all members of such buckets), and only where different groups meet; no pair is lost. Texts that merely share common
 passages don't meet there. Hot shingles are compared block by block. Only one link of each document to each other group leaves a task.
 
@@ -36,7 +36,7 @@ from . import common, graph
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 FIRST = 3
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # a block's members and shingles, on average; a bucket within them is compared at once
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # a block's members and shingles, on average
 _BITS = 25
 _U = np.uint64
 
@@ -174,7 +174,7 @@ def candidates(text: DataFrame, ids: DataFrame, most_ids: int = 500_000) -> Data
 def residual(member: DataFrame, roots: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different groups so far: of each document to each group, one."""
     rest = _rooted(member.where("size > 2").select(F.col("band").alias("key"), "doc_id", "n"), roots, "doc_id", "root")
-    size = _mixed(rest).select("key", (F.greatest("n_top", F.lit(1)) + F.col("n_other") > 2).alias("large"))
+    size = _mixed(rest).select("key", (F.col("n_other") > 1).alias("large"))
     rest = common.written(rest.join(size, "key"), "mixed")
     small = rest.where("not large").select("key", "doc_id", "n", "root")
     large = common.written(rest.where("large").select("doc_id", "n", "root").distinct(), "large")
@@ -200,7 +200,7 @@ def prefixes(members: DataFrame, text: DataFrame, k: int, percent: int) -> DataF
     sets = shingle_sets(text.join(members, "doc_id", "left_semi"), k)
     one = sets.select("doc_id", "n", F.explode("shingles").alias("key"))
     one = common.written(one.distinct(), "shingles")
-    often = one.groupBy("key").count()
+    often = common.written(one.groupBy("key").count(), "shingle-counts")  # apart, so that hot keys of the join can be split
     ranked = one.join(often, "key").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("all"))  # one text's own set
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     first = ranked.select("doc_id", "n", F.explode(F.slice("all", F.lit(1), spare.cast("int"))).alias("x")).where("x.count > 1")
