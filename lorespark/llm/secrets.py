@@ -1,11 +1,16 @@
 """Secret scans: fixed forms, and a randomness test battery with length-aware false-discovery control.
 
 Fixed forms are assignments, access keys and long hex runs. The battery takes other runs of 20 or more token characters,
-infers an encoding (hex, base32, letters and digits, base64) and asks three tests whether the run is uniform over it: a
-chi-squared test of symbol counts, a test of the number of runs of character classes, and the serial correlation of neighbouring
-symbols. Those that no test rejects are discoveries against the null of natural text; its p-value comes from the coincidence of
-symbols and the changes of class that natural text of this length would show. Benjamini-Hochberg thresholds are set for each length class over all
-runs of the corpus, from a histogram of p-values. Only Spark expressions are used.
+infers an encoding (hex, base32, letters and digits, base64) and computes three statistics: chi-squared of the symbol counts against
+a uniform alphabet, the number of runs of character classes, and the serial correlation of neighbouring symbols. Each becomes a
+p-value under two hypotheses, and the three are combined by Fisher's method:
+
+* uniform: the run is random over its alphabet (chi-squared one-sided, the others two-sided);
+* natural: the run is text whose symbols coincide, whose classes stay and whose neighbours resemble each other at least as much as the
+  stated bounds say (one-sided tests).
+
+Benjamini-Hochberg runs over all runs of the corpus within each length class, twice: runs rejected as uniform are no secrets;
+of the others, those rejected as natural are. Both thresholds come from one histogram of p-values. Only Spark expressions are used.
 
 Cases: null texts are empty; texts without findings have zero counts and the hash of nothing; repeated rows each give a row; an
 empty table gives an empty result; other columns are ignored, or carried along.
@@ -24,11 +29,12 @@ ASSIGN = r"((?i)password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-NATURAL_COINCIDENCE = 0.06  # least share of equal symbol pairs in natural text, of any language
+NATURAL_COINCIDENCE = 0.06  # least share of equal symbol pairs in natural text, of any language: the sum of squared symbol shares
+NATURAL_SPREAD = 0.003  # most variance of a symbol's share in natural text: the sum of cubed shares less the square of the former
 NATURAL_SWITCHES = 0.12  # share of neighbours in natural text that differ in character class
 CLASSES = (32, 48, 1 << 30)  # upper ends of the length classes
-RATE, BINS = 0.01, 320
-RANDOM_LIMIT = 3.3  # standard deviations beyond which a test rejects uniformity
+RATE, BINS = 0.05, 320
+LENIENT = 2.0  # -log10 p below which no run is called uneven, however many runs the corpus has
 
 _encodings = ((16, "^[0-9a-f]+$", "0123456789abcdef"), (16, "^[0-9A-F]+$", "0123456789ABCDEF"), (32, "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), (36, "^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"), (36, "^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (62, "^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), (64, ".", "+-/_0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 
@@ -47,69 +53,100 @@ def _pick(token: Column, values: list) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct<z_chi, z_runs, z_serial, p>: deviations from uniformity, and -log10 p of natural text being this even."""
+    """struct<chi, z_chi, z_runs, z_serial, uniform, natural>: the statistics, and -log10 p of the combined tests."""
     body = F.rtrim(token, F.lit("="))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
-    def tests(s: Column) -> Column:
-        t, k, alphabet = s["t"], s["k"].cast("double"), s["alphabet"]
+    def parts(s: Column) -> Column:
+        t, alphabet = s["t"], s["alphabet"]
         chars = F.split(t, "")
-        n = F.greatest(F.length(t), F.lit(2)).cast("double")
         counts = F.transform(F.array_distinct(chars), lambda c: (F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("double"))
-        pairs = total(F.transform(counts, lambda c: c * (c - 1)))
-        chi = k / n * (pairs + n) - n
-        z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        kinds = F.translate(t, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-", "0" * 10 + "A" * 26 + "a" * 26 + "+" * 4)
+        kinds = F.split(F.translate(t, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-", "0" * 10 + "A" * 26 + "a" * 26 + "+" * 4), "")
         share = lambda p: F.length(F.regexp_replace(alphabet, p, "")) / F.length(alphabet)
         same = sum((share(p) * share(p) for p in ("[^0-9]", "[^A-Z]", "[^a-z]", "[^+/_-]")), F.lit(0.0))
-        runs = 1.0 + total(F.transform(F.sequence(F.lit(2), F.greatest(F.length(t), F.lit(2))), lambda i: (F.substring(kinds, i, F.lit(1)) != F.substring(kinds, i - 1, F.lit(1))).cast("double")))
-        z_runs = (runs - 1 - (n - 1) * (1 - same)) / F.sqrt((n - 1) * same * (1 - same) + 0.25)
         code = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double"))
-        mean = total(code) / n
-        dev = F.transform(code, lambda c: c - mean)
+        n = F.greatest(F.length(t), F.lit(2)).cast("double")
+        pairs = total(F.transform(counts, lambda c: c * (c - 1)))
+        return F.struct(s["k"].cast("double").alias("k"), n.alias("n"), pairs.alias("pairs"), kinds.alias("kinds"), same.alias("same"), code.alias("code"), (total(code) / n).alias("mean"))
+
+    def tests(s: Column) -> Column:
+        n, k, same = s["n"], s["k"], s["same"]
+        next_to = lambda x, f: F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), f)
+        chi = k / n * (s["pairs"] + n) - n
+        m = k - 1  # Wilson and Hilferty's transform
+        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / m, F.lit(1 / 3)) - (1 - 2 / (9 * m))) / F.sqrt(2 / (9 * m))
+        runs = 1.0 + total(next_to(s["kinds"], lambda x, y: (x != y).cast("double")))
+        z_runs = (runs - 1 - (n - 1) * (1 - same)) / F.sqrt((n - 1) * same * (1 - same) + 0.25)
+        dev = F.transform(s["code"], lambda c: c - s["mean"])
         spread = F.greatest(total(F.transform(dev, lambda d: d * d)), F.lit(1e-9))
-        serial = total(F.zip_with(F.slice(dev, F.lit(1), F.size(dev) - 1), F.slice(dev, F.lit(2), F.size(dev) - 1), lambda x, y: x * y)) / spread
-        z_serial = (serial + 1 / n) * F.sqrt(n)
-        c = NATURAL_COINCIDENCE
-        spread_nat = F.sqrt(2 * c * (1 - c) / (n * (n - 1)) + 4 * max(1.1 * c**1.5 - c * c, 0) / n)
-        z = (c - pairs / (n * (n - 1))) / spread_nat
-        even = F.when(z > 0, z * z / 2 + F.log(z * math.sqrt(2 * math.pi) + 2)).otherwise(0.0)
-        q, r = NATURAL_SWITCHES, F.least((runs - 1) / (n - 1), F.lit(1 - 1e-9))
-        switches = F.when(r > q, (n - 1) * (r * F.log(r / q) + (1 - r) * F.log((1 - r) / (1 - q)))).otherwise(0.0)  # Chernoff's bound
-        both = even + switches
-        tail = (both - F.log1p(both)) / math.log(10)  # Fisher's combination of two
-        return F.struct(z_chi.alias("z_chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), tail.alias("p"))
+        z_serial = (total(next_to(dev, lambda x, y: x * y)) / spread + 1 / n) * F.sqrt(n)
+        return F.struct(n.alias("n"), s["pairs"].alias("pairs"), runs.alias("runs"), chi.alias("chi"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"))
+
+    def logs(s: Column) -> Column:
+        """-ln p of each test, under both hypotheses."""
+        c, n = NATURAL_COINCIDENCE, s["n"]
+        spread = F.sqrt(2 * c * (1 - c) / (n * (n - 1)) + 4 * NATURAL_SPREAD / n)
+        even = native.let((c - s["pairs"] / (n * (n - 1))) / spread, lambda z: F.when(z > 0, z * z / 2 + F.log(z * math.sqrt(2 * math.pi) + 2)).otherwise(0.0))
+        q = NATURAL_SWITCHES
+        chernoff = lambda r: F.when(r > q, (n - 1) * (r * F.log(r / q) + (1 - r) * F.log((1 - r) / (1 - q)))).otherwise(0.0)
+        switches = native.let(F.least((s["runs"] - 1) / (n - 1), F.lit(1 - 1e-9)), chernoff)
+        alike = native.let(s["z_serial"], lambda z: -F.log(1 - _upper(z)))  # neighbours of natural text don't repel each other
+        both_sides = F.transform(F.array(s["z_runs"], s["z_serial"]), lambda z: -F.log(F.greatest(2 * _upper(F.abs(z)), F.lit(1e-300))))
+        uniform = native.let(s["z_chi"], lambda z: -F.log(_upper(z))) + total(both_sides)
+        return F.struct(*[s[x].alias(x) for x in ("chi", "z_chi", "z_runs", "z_serial")], uniform.alias("u"), (even + switches + alike).alias("v"))
+
+    def combined(s: Column) -> Column:
+        return F.struct(*[s[x].alias(x) for x in ("chi", "z_chi", "z_runs", "z_serial")], _fisher(s["u"]).alias("uniform"), _fisher(s["v"]).alias("natural"))
 
     start = F.struct(body.alias("t"), _pick(body, [k for k, _, _ in _encodings]).alias("k"), _pick(body, [a for _, _, a in _encodings]).alias("alphabet"))
-    return F.get(F.transform(F.array(start), tests), F.lit(0))
+    return native.let(native.let(native.let(native.let(start, parts), tests), logs), combined)
+
+
+def _upper(z: Column) -> Column:
+    """P(Z > z) of the normal distribution (Abramowitz and Stegun 26.2.17, to 7.5e-8)."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
+    return F.least(F.greatest(F.when(z >= 0, tail).otherwise(1 - tail), F.lit(1e-300)), F.lit(1 - 1e-12))
 
 
-def random_like(found: Column) -> Column:
-    return (F.abs(found["z_chi"]) < RANDOM_LIMIT) & (F.abs(found["z_runs"]) < RANDOM_LIMIT) & (F.abs(found["z_serial"]) < RANDOM_LIMIT)
+def _fisher(logs: Column) -> Column:
+    """-log10 p of three tests, from the sum of their -ln p."""
+    return (logs - F.log(1 + logs + logs * logs / 2)) / math.log(10)
 
 
 def _class(length: Column) -> Column:
     return sum(((length >= c).cast("int") for c in CLASSES[:-1]), F.lit(0))
 
 
-def thresholds(runs: DataFrame) -> list[float]:
-    """For each length class the least -log10 p that is a discovery, by Benjamini-Hochberg over all runs (found)."""
-    tests = runs.select(_class(F.length("found")).alias("class"), F.col("test"))
-    bins = F.least(F.floor(F.col("test.p") * 10), F.lit(BINS - 1)).cast("int")
-    passed = random_like(F.col("test"))
-    rows = tests.select("class", F.when(passed, bins).otherwise(0).alias("bin")).groupBy("class", "bin").count().collect()  # at most classes * BINS
+def _bin(p: Column) -> Column:
+    return F.least(F.floor(p * 10), F.lit(BINS - 1)).cast("int")
+
+
+def least_rejected(counts: list[int], rate: float = RATE) -> float:
+    """The least -log10 p that Benjamini-Hochberg rejects, from the numbers of runs by tenths of it; infinite if none."""
+    m, above, best = sum(counts), 0, math.inf
+    for b in range(len(counts) - 1, 0, -1):
+        above += counts[b]
+        if above and 10 ** (-b / 10) * m <= rate * above:
+            best = b / 10
+    return best
+
+
+def thresholds(runs: DataFrame) -> list[tuple[float, float]]:
+    """For each length class from which -log10 p on a run is uneven, and from which it isn't natural; over all runs (found, test)."""
+    bins = runs.groupBy(_class(F.length("found")).alias("class"), _bin(F.col("test.uniform")).alias("u"), _bin(F.col("test.natural")).alias("n"))
+    rows = bins.count().collect()  # at most classes * BINS * BINS
     out = []
     for c in range(len(CLASSES)):
-        n = [0] * BINS
-        for r in rows:
-            if r["class"] == c:
-                n[r["bin"]] += r["count"]
-        m, above, best = sum(n), 0, math.inf
-        for b in range(BINS - 1, 0, -1):
-            above += n[b]
-            if above and 10 ** (-b / 10) * m <= RATE * above:
-                best = b / 10
-        out.append(best)
+        own = [r for r in rows if r["class"] == c]
+        uniform, natural = [0] * BINS, [0] * BINS
+        for r in own:
+            uniform[r["u"]] += r["count"]
+        uneven = max(least_rejected(uniform), LENIENT)
+        for r in own:
+            natural[r["n"] if r["u"] / 10 < uneven else 0] += r["count"]
+        out.append((uneven, least_rejected(natural)))
     return out
 
 
@@ -130,7 +167,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
         return ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
 
     def secret(x: Column) -> Column:
-        found = lambda t: random_like(t) & (t["p"] >= F.get(F.array(*[F.lit(float(v)) for v in least]), _class(F.length(x["found"]))))
+        limit = lambda i: F.get(F.array(*[F.lit(float(v[i])) for v in least]), _class(F.length(x["found"])))
+        found = lambda t: (_bin(t["uniform"]) / 10 < limit(0)) & (_bin(t["natural"]) / 10 >= limit(1))
         return F.get(F.transform(F.array(battery(x["found"])), found), F.lit(0))
 
     df = df.withColumn("base", base).withColumn("runs", _runs(F.col("text")))

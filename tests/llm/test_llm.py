@@ -387,6 +387,70 @@ def test_random_runs(spark):
     assert got == {1: "random:2:36", 2: "", 3: ""}
 
 
+def battery_by_hand(token):
+    t = token.rstrip("=")
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
+    alphabet, k = next(((a, len(a)) for a in alphabets if set(t) <= set(a)), ("+-/_" + alphabets[-1], 64))
+    n, counts = len(t), Counter(t)
+    chi = sum((counts[c] - n / k) ** 2 / (n / k) for c in counts) + (k - len(counts)) * n / k
+    kind = lambda c: "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s"
+    share = Counter(map(kind, alphabet))
+    same = sum((x / len(alphabet)) ** 2 for x in share.values())
+    runs = 1 + sum(kind(a) != kind(b) for a, b in zip(t, t[1:]))  # noqa: B905
+    code = [alphabet.index(c) + 1 for c in t]
+    mean = sum(code) / n
+    serial = sum((a - mean) * (b - mean) for a, b in zip(code, code[1:])) / max(1e-9, sum((a - mean) ** 2 for a in code))  # noqa: B905
+    m = k - 1
+    z = ((chi / m) ** (1 / 3) - (1 - 2 / (9 * m))) / math.sqrt(2 / (9 * m)), (runs - 1 - (n - 1) * (1 - same)) / math.sqrt((n - 1) * same * (1 - same) + 0.25), (serial + 1 / n) * math.sqrt(n)
+    fisher = lambda x: (x - math.log(1 + x + x * x / 2)) / math.log(10)
+    return chi, *z, fisher(-math.log(math.erfc(z[0] / math.sqrt(2)) / 2) + sum(-math.log(math.erfc(abs(x) / math.sqrt(2))) for x in z[1:]))
+
+
+def test_battery_is_the_formula(spark):
+    random.seed(12)
+    signs = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"
+    tokens = ["".join(random.choice(signs[:k]) for _ in range(random.randint(20, 70))) for k in (10, 36, 62, 64) for _ in range(10)]
+    tokens += ["donaudampfschifffahrtsgesellschaft", "some_long_name_of_a_thing", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "deadbeef" * 4]
+    df = spark.createDataFrame([(t,) for t in tokens], "found string")
+    for r in df.select("found", secrets.battery(F.col("found")).alias("t")).collect():
+        want = battery_by_hand(r.found)
+        assert np.allclose([r.t.chi, r.t.z_chi, r.t.z_runs, r.t.z_serial], want[:4], rtol=1e-6, atol=1e-6), r.found
+        assert abs(r.t.uniform - want[4]) < 0.02 * max(1, want[4]), r.found
+
+
+def test_discoveries_are_benjamini_hochberg():
+    random.seed(2)
+    for _ in range(200):
+        logs = [random.choice([random.random(), random.expovariate(0.5)]) for _ in range(random.randint(0, 60))]
+        counts = [0] * secrets.BINS
+        for x in logs:
+            counts[min(int(x * 10), secrets.BINS - 1)] += 1
+        p = sorted(10 ** (-min(int(x * 10), secrets.BINS - 1) / 10) for x in logs)
+        ok = [q for i, q in enumerate(p) if q < 1 and q <= secrets.RATE * (sum(x <= q for x in p)) / len(p)]
+        got = secrets.least_rejected(counts)
+        assert sum(q <= 10 ** -got * (1 + 1e-9) for q in p) == sum(q <= max(ok, default=0) for q in p)
+
+
+def test_planted_secrets(spark):
+    """Random strings of five encodings in natural text, which has long words and names of its own."""
+    import string
+
+    random.seed(1)
+    low, both = string.ascii_lowercase + string.digits, string.ascii_letters + string.digits
+    alphabets = ["0123456789abcdef", string.ascii_uppercase + "234567", low, both, both + "+/"]
+    natural = ["donaudampfschifffahrtsgesellschaft", "a_rather_long_function_name_with_parts", "/usr/share/documentation/readme", "SomeRatherLongClassNameFactory", "internationalisierungsprozesse", "MAXIMUM_NUMBER_OF_CONNECTIONS", "2024-01-31-report-of-the-year"]
+    rows, planted = [], {}
+    for i in range(400):
+        words = [random.choice(["the", "of", "report", "house", "garden", "people"]) for _ in range(40)] + random.sample(natural, 3)
+        if i % 2 == 0:
+            planted[i] = "".join(random.choice(alphabets[i // 2 % 5]) for _ in range(random.choice([24, 32, 40, 64])))
+            words.insert(20, planted[i])
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: [x.found for x in r.found] for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(any(x in s for x in got[i]) for i, s in planted.items()) >= 0.9 * len(planted)
+    assert sum(any(x not in planted.get(i, "") for x in found) for i, found in got.items()) <= 0.02 * len(rows)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, 'é token = "0123456789abcdef0123456789" end', 5), (2, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(df, length_col="n_chars").collect()}
