@@ -1,8 +1,10 @@
 """A policy gate for read-only SQL: default-deny over Catalyst's plan, bounded execution, redaction, audit records.
 
-The statement is parsed, not run; every node of its plan and every expression must be on an allow-list; tables must be in the
-policy's set; functions must be on the list of allowed names. The limit is injected or clamped, the result bounded in rows and
-bytes. Syntax of other dialects is a parse error, which is a rejection too.
+The statement is parsed, not run. Every node of its plan, every expression in it (those of subqueries, common tables and named
+windows too), every function name, quoted or not, and every cast's type must be on an allow-list; tables must be in the
+policy's set. The limit is injected or clamped, the result bounded in rows and bytes. Syntax of other dialects is a parse error,
+which is a rejection too. Allowed names that Spark spells otherwise are rewritten after validation (array_length, json_build_object);
+json_agg and its like are refused, since no Spark aggregate keeps nulls in order.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import json
 import math
 import re
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -24,12 +27,22 @@ from lorespark.functions.text import sha256_text
 # The function names that statements may use.
 FUNCTIONS = frozenset("""
 abs array_agg array_length avg bool_and bool_or btrim cast ceil ceiling char_length coalesce concat concat_ws count current_date
-current_timestamp date_part date_trunc dense_rank every extract first_value floor greatest json_agg json_build_object
-jsonb_agg jsonb_build_object lag last_value lead least length localtime localtimestamp lower ltrim max min mod now nth_value nullif
+current_timestamp date_part date_trunc dense_rank every extract first_value floor greatest json_build_object
+jsonb_build_object lag last_value lead least length localtimestamp lower ltrim max min mod now nth_value nullif
 position power rank regexp_replace replace right round row_number rtrim split_part sqrt string_agg substring sum to_char to_date
 to_timestamp trim upper
 """.split())
-PLANS = frozenset("Project Filter Aggregate Sort Join Union Distinct Intersect Except SubqueryAlias UnresolvedRelation UnresolvedWith With CTERelationDef UnresolvedSubqueryColumnAliases GlobalLimit LocalLimit UnresolvedInlineTable LateralJoin WithWindowDefinition UnresolvedHaving Window OneRowRelation".split())
+PLANS = frozenset("Project Filter Aggregate Sort Join Union Distinct Intersect Except SubqueryAlias UnresolvedRelation UnresolvedWith With CTERelationDef UnresolvedSubqueryColumnAliases GlobalLimit LocalLimit UnresolvedInlineTable LateralJoin WithWindowDefinition UnresolvedHaving Window OneRowRelation LocalRelation".split())
+EXPRESSIONS = frozenset("""
+Add Alias And AttributeReference Cast Concat CurrentRow$ EqualNullSafe EqualTo GreaterThan GreaterThanOrEqual GroupingSets Cube Rollup ILike In
+InSubquery IsNotNull IsNull LessThan LessThanOrEqual Like ListQuery Literal Multiply Not Or Remainder ScalarSubquery SortOrder SpecifiedWindowFrame
+StringLocate StringTrim StringTrimLeft StringTrimRight Substring Subtract UnaryMinus UnaryPositive UnboundedFollowing$
+UnboundedPreceding$ UnresolvedAlias UnresolvedAttribute UnresolvedFunction UnresolvedOrdinal UnresolvedStar UnresolvedWindowExpression
+UnspecifiedFrame$ WindowExpression WindowSpecDefinition
+""".split())
+CONDITIONAL = {"Divide": "division", "CaseWhen": "case", "Exists": "exists"}
+CAST_TYPES = re.compile(r"(bigint|boolean|binary|char|date|decimal|double|float|int|interval|smallint|string|time|timestamp|timestamp_ntz|varchar)\b")
+LITERAL_FUNCTIONS = frozenset(("current_user", "session_user", "user", "current_role", "current_catalog", "current_database", "current_schema", "current_time", "grouping__id"))
 EXTRAS = frozenset(("division", "case", "exists"))
 
 
@@ -62,17 +75,51 @@ class Result:
     relations: list[str] = field(default_factory=list)
 
 
+def _seq(scala) -> list:
+    return [scala.apply(i) for i in range(scala.size())]
+
+
 def _nodes(plan) -> list:
     """All plan nodes, those of subqueries and common table expressions included."""
     found, todo = [], [plan]
     while todo:
         p = todo.pop()
         found.append(p)
-        for seq in (p.children(), p.innerChildren()):
-            todo += [seq.apply(i) for i in range(seq.size())]
+        todo += _seq(p.children()) + _seq(p.innerChildren())
+    return found
+
+
+def _expressions(node) -> list:
+    """All expressions of a plan node, those of its named windows included."""
+    found, todo = [], _seq(node.expressions())
+    if node.nodeName() == "WithWindowDefinition":
+        todo += _seq(node.windowDefinitions().values().toSeq())
+    while todo:
+        e = todo.pop()
+        found.append(e)
+        todo += _seq(e.children())
     return found
 
 
+def _check_expression(e, policy: Policy) -> None:
+    kind = e.getClass().getSimpleName()
+    if kind in CONDITIONAL:
+        if CONDITIONAL[kind] not in policy.extras:
+            raise Rejected("operator", f"{CONDITIONAL[kind]} is not allowed")
+    elif kind not in EXPRESSIONS:
+        raise Rejected("operator", f"{kind} is not allowed")
+    if kind == "UnresolvedFunction":
+        parts = _seq(e.nameParts())
+        if len(parts) != 1 or parts[0].lower() not in FUNCTIONS | {"between"}:
+            raise Rejected("function", f"{'.'.join(parts)} is not allowed")
+    elif kind == "UnresolvedAttribute":
+        parts = _seq(e.nameParts())
+        if len(parts) == 1 and parts[0].lower() in LITERAL_FUNCTIONS:
+            raise Rejected("function", f"{parts[0]} is not allowed")
+    elif kind == "Cast" and not CAST_TYPES.match(e.dataType().simpleString()):
+        raise Rejected("operator", f"a cast to {e.dataType().simpleString()} is not allowed")
+
+
 _FORBIDDEN = re.compile(r"(?is)\b(insert|update|delete|merge|create|drop|alter|truncate|grant|revoke|copy|into|for\s+update|for\s+share|recursive|tablesample|qualify|pivot|unpivot|offset|fetch|transform|lateral\s+view)\b")
 
 
@@ -108,13 +155,20 @@ def validate(spark: SparkSession, sql: str, policy: Policy) -> tuple[str, list[s
     for n in nodes:
         if n.nodeName() not in PLANS:
             raise Rejected("plan_node", f"{n.nodeName()} is not allowed")
-    _check_words(bare, policy)
-    tree = plan.toString()
-    named = set(re.findall(r"(?i)\b(?:with|,)\s*([a-z_]\w*)\s*(?:\([^()]*\)\s*)?as\s*\(", bare))
-    relations = sorted({r.lower() for r in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree)} - {n.lower() for n in named})
+    expressions = [e for n in nodes for e in _expressions(n)]
+    if len(nodes) + len(expressions) > policy.max_nodes:
+        raise Rejected("too_complex", "too many expressions")
+    for e in expressions:
+        _check_expression(e, policy)
+    names = [tuple(x.lower() for x in _seq(n.multipartIdentifier())) for n in nodes if n.nodeName() == "UnresolvedRelation"]
+    own = {alias.lower() for n in nodes if n.nodeName() == "UnresolvedWith" for alias in (r._1() for r in _seq(n.cteRelations()))}
+    relations = sorted({".".join(x) for x in names if x not in {(o,) for o in own}})
     for r in relations:
-        if r.replace(", ", ".") not in policy.tables:
+        if r not in policy.tables:
             raise Rejected("unknown_table", f"{r} is not in the policy")
+    for o in own - policy.tables:  # a common table's name must not reach a table where it is out of scope
+        if spark.catalog.tableExists(o):
+            raise Rejected("unknown_table", f"{o} names a table that is not in the policy")
     tail = re.search(r"(?is)\blimit\s+(\S+)\s*$", bare)
     if len(re.findall(r"(?i)\blimit\b", bare)) > bool(tail):
         raise Rejected("nested_limit", "a limit may only end the statement")
@@ -126,25 +180,46 @@ def validate(spark: SparkSession, sql: str, policy: Policy) -> tuple[str, list[s
     return text, relations, min(asked, policy.max_rows), "explicit" if asked <= policy.max_rows else "clamped"
 
 
-def _check_words(bare: str, policy: Policy) -> None:
-    keywords = {"in", "and", "or", "not", "as", "on", "over", "by", "from", "join", "where", "select", "values", "using", "exists", "when", "then", "else", "union", "all", "intersect", "except", "having", "with", "filter", "sets", "grouping", "rollup", "cube", "lateral", "any", "distinct", "between", "partition", "order", "group", "decimal", "numeric", "varchar", "char", "within"}
-    for qualified, name in re.findall(r"(?i)((?:[a-z_]\w*\s*\.\s*)?)([a-z_]\w*)\s*\(", bare):
-        low = name.lower()
-        if qualified:
-            raise Rejected("function", f"qualified function {qualified}{name}")
-        if low not in FUNCTIONS and low not in keywords and not re.search(rf"(?i)\b{re.escape(name)}\s*(?:\([^()]*\))?\s*as\s*\(", bare):
-            raise Rejected("function", f"{name} is not allowed")
-    for extra, pattern in (("division", r"/"), ("case", r"(?i)\bcase\b"), ("exists", r"(?i)\bexists\b")):
-        if extra not in policy.extras and re.search(pattern, bare):
-            raise Rejected("operator", f"{extra} is not allowed")
-    if re.search(r"::|<->|@>|\?\||~", bare):
-        raise Rejected("operator", "this operator is not allowed")
+def _rewritten(sql: str) -> str:
+    """Allowed names that Spark spells otherwise, outside of literals and quoted names: array_length(a, 1) is size(a),
+    json_build_object(k, v, ...) is to_json(named_struct(k, v, ...))."""
+    found = re.search(r"(?i)\b(array_length|jsonb?_build_object)\s*\(", _blanked(sql))
+    if not found:
+        return sql
+    depth, end, commas, blank = 1, found.end(), [], _blanked(sql)
+    while depth and end < len(sql):
+        c = blank[end]
+        depth += (c == "(") - (c == ")")
+        if c == "," and depth == 1:
+            commas.append(end)
+        end += 1
+    inside = sql[found.end() : end - 1]
+    if found[1].lower() == "array_length":
+        new = f"size({sql[found.end() : commas[0] if commas else end - 1]})"
+    else:
+        new = f"to_json(named_struct({inside}))"
+    return _rewritten(sql[: found.start()] + new + sql[end:])
+
+
+def _blanked(sql: str) -> str:
+    """The statement with the insides of literals, quoted names and comments as blanks, each sign in its place."""
+    part = r"(?s)('(?:[^']|'')*'|`[^`]*`|\"[^\"]*\")|--[^\n]*|/\*.*?\*/"
+    return re.sub(part, lambda m: " " * len(m[0]), sql)
+
+
+def _over_views(sql: str, views: dict[str, str]) -> str:
+    """The statement with the tables as common tables over views of other names, so that no view of the session is touched."""
+    if not views:
+        return sql
+    heads = ", ".join(f"`{name}` AS (SELECT * FROM `{view}`)" for name, view in views.items())
+    begun = re.match(r"(?is)(?:\s|--[^\n]*\n|/\*.*?\*/)*with\b", sql)
+    return f"WITH {heads}, {sql[begun.end():]}" if begun else f"WITH {heads} {sql}"
 
 
 def execute(spark: SparkSession, sql: str, policy: Policy, tables: dict[str, DataFrame], audit: Callable[[dict], None] = lambda record: None) -> Result:
     """Runs a valid statement over the policy's tables: at most max_rows rows and max_bytes of JSON, whole rows only.
 
-    The tables become views of the session; give the gate a session of its own (newSession()) where names could meet others.
+    The tables are reached through views of random names, which are dropped afterwards; views of the session stay as they are.
     """
     base = {"sql": redacted(sql), "fingerprint": sha256_text(sql)}
     audit(base | {"state": "created"})
@@ -154,11 +229,12 @@ def execute(spark: SparkSession, sql: str, policy: Policy, tables: dict[str, Dat
         audit(base | {"state": "rejected", "category": e.category})
         raise
     audit(base | {"state": "validated", "relations": relations, "limit": limit})
-    began = time.monotonic()
+    began, views = time.monotonic(), {}
     try:
         for name in relations:
-            tables[name].createOrReplaceTempView(name)
-        df = spark.sql(text)
+            views[name] = f"gated_{uuid.uuid4().hex}"
+            tables[name].createTempView(views[name])
+        df = spark.sql(_over_views(_rewritten(text), views))
         audit(base | {"state": "executing"})
         out = Result(df.columns, [], None, limit, source, relations)
         size = 2
@@ -179,6 +255,9 @@ def execute(spark: SparkSession, sql: str, policy: Policy, tables: dict[str, Dat
         if isinstance(e, AnalysisException):
             raise Rejected(category, str(e).splitlines()[0]) from e
         raise
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
     audit(base | {"state": "succeeded", "rows": len(out.rows), "truncated": out.truncated, "seconds": time.monotonic() - began})
     return out
 

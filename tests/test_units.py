@@ -223,8 +223,8 @@ def test_fingerprint_ignores_order(spark):
     assert f(df) == f(df.repartition(5).select("x", "id")) and f(df) != f(df.where("id > 0"))
 
 
-ACCEPTED = ["SELECT c_name FROM customer", "SELECT count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey", "WITH x AS (SELECT c_custkey AS k FROM customer) SELECT k FROM x UNION SELECT n_nationkey FROM nation", "SELECT c_name FROM customer WHERE c_name LIKE 'A%' ORDER BY c_name LIMIT 5", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS r FROM customer", "SELECT c_custkey FROM customer WHERE c_name = 'drop table; --'"]
-REFUSED = {"DELETE FROM customer": "not_a_query", "SELECT 1; SELECT 2": "several_statements", "SELECT * FROM secret": "unknown_table", "SELECT sleep(5) FROM customer": "function", "SELECT pg.abs(1) FROM customer": "function", "SELECT c_acctbal / 2 FROM customer": "operator", "SELECT c_name FROM customer LIMIT 5 OFFSET 3": "forbidden", "SELECT * FROM (SELECT * FROM customer LIMIT 3) t": "nested_limit", "SELECT * FROM customer TABLESAMPLE (5 PERCENT)": "forbidden", "WITH RECURSIVE r AS (SELECT 1 AS n) SELECT n FROM r": "forbidden", "": "empty", "SELECT c_name FROM customer LIMIT ALL": "limit", "SELECT explode(array(1)) FROM customer": "function", "SELECT CASE WHEN true THEN 1 END FROM customer": "operator", "SELECT c_name FROM customer GROUP HAVING (": "syntax", "INSERT INTO customer SELECT * FROM nation": "not_a_query", "SELECT c_wrong FROM customer": "unknown_column"}
+ACCEPTED = ["SELECT c_name FROM customer", "SELECT count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey", "WITH x AS (SELECT c_custkey AS k FROM customer) SELECT k FROM x UNION SELECT n_nationkey FROM nation", "SELECT c_name FROM customer WHERE c_name LIKE 'A%' ORDER BY c_name LIMIT 5", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS r FROM customer", "SELECT c_custkey FROM customer WHERE c_name = 'drop table; --'", "SELECT array_length(array_agg(c_custkey), 1) AS n, json_build_object('k', max(c_name)) AS j FROM customer", "SELECT c_acctbal::int AS x, sum(c_acctbal) OVER w AS s FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "SELECT * FROM (VALUES (1), (2)) AS v(a)", "SELECT c_custkey % 3 AS m, count(*) FILTER (WHERE c_acctbal > 0) AS n FROM customer WHERE c_acctbal BETWEEN 1 AND 5000 AND c_nationkey IN (SELECT n_nationkey FROM nation) GROUP BY ROLLUP(c_custkey % 3) HAVING count(*) > 1", "SELECT trim(BOTH 'x' FROM c_name) AS t, position('a' IN c_name) AS p, extract(year FROM current_date) AS y FROM customer", "WITH /* c */ nation AS (SELECT 1 AS k) SELECT k FROM nation"]
+REFUSED = {"SELECT `reflect`('java.lang.System','getProperty','user.home') FROM nation": "function", "SELECT `java_method`('java.lang.System','getProperty','user.home') FROM nation": "function", "SELECT `ntile`(2) OVER (ORDER BY n_name) FROM nation": "function", "SELECT current_user FROM nation": "function", "SELECT n_nationkey div 2 FROM nation": "operator", "SELECT n_nationkey & 1 FROM nation": "operator", "SELECT n_name FROM nation WHERE n_name RLIKE 'a'": "operator", "SELECT sum(n_nationkey) OVER w FROM nation WINDOW w AS (ORDER BY `reflect`('java.lang.System','getProperty','user.home'))": "function", "SELECT json_agg(n_name) FROM nation": "function", "SELECT transform(array_agg(n_name), x -> x) FROM nation": "forbidden", "SELECT `to_json`(named_struct('a', 1)) FROM nation": "function", "SELECT n_name FROM nation ORDER BY `reflect`('java.lang.System','getProperty','user.home')": "function", "SELECT n.n_name FROM nation n JOIN customer c ON c.c_name = `java_method`('java.lang.System','getProperty','user.home')": "function", "SELECT CAST(array_agg(n_name) AS array<string>) FROM nation": "operator", "SELECT * EXCEPT (n_name) FROM nation": "operator", "SELECT IDENTIFIER('abs')(1) FROM nation": "operator", "DELETE FROM customer": "not_a_query", "SELECT 1; SELECT 2": "several_statements", "SELECT * FROM secret": "unknown_table", "SELECT sleep(5) FROM customer": "function", "SELECT pg.abs(1) FROM customer": "function", "SELECT c_acctbal / 2 FROM customer": "operator", "SELECT c_name FROM customer LIMIT 5 OFFSET 3": "forbidden", "SELECT * FROM (SELECT * FROM customer LIMIT 3) t": "nested_limit", "SELECT * FROM customer TABLESAMPLE (5 PERCENT)": "forbidden", "WITH RECURSIVE r AS (SELECT 1 AS n) SELECT n FROM r": "forbidden", "": "empty", "SELECT c_name FROM customer LIMIT ALL": "limit", "SELECT explode(array(1)) FROM customer": "function", "SELECT CASE WHEN true THEN 1 END FROM customer": "operator", "SELECT c_name FROM customer GROUP HAVING (": "syntax", "INSERT INTO customer SELECT * FROM nation": "not_a_query", "SELECT c_wrong FROM customer": "unknown_column"}
 
 
 @pytest.fixture
@@ -245,6 +245,19 @@ def test_gate_refuses(gated, sql):
     assert e.value.category == REFUSED[sql], e.value
 
 
+def test_gate_leaves_views_alone(spark, gated):
+    spark.range(3).createOrReplaceTempView("nation")
+    spark.range(2).createOrReplaceTempView("hidden")
+    try:
+        assert len(gated("SELECT n_name FROM nation").rows) == 25 and spark.table("nation").count() == 3
+        with pytest.raises(gate.Rejected):
+            gated("SELECT (SELECT max(id) FROM (WITH hidden AS (SELECT 1 AS id) SELECT id FROM hidden)) AS a, id FROM hidden")
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("gated_")]
+    finally:
+        spark.catalog.dropTempView("nation")
+        spark.catalog.dropTempView("hidden")
+
+
 def test_gate_bounds(gated):
     log = []
     r = gated("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey", log.append, max_rows=3)
