@@ -3,7 +3,8 @@
 Each vocabulary entry becomes a piece: its bytes mapped to printable characters, scored by its negative rank, with
 identity normalisation. Sentencepiece merges the best-scored neighbours first, leftmost on ties, which is the order of
 ranks. Pre-tokens come from the vocabulary's pattern; a pre-token that is an entry is taken whole, as the rank library
-does. Decoding maps ids to pieces and characters back to bytes.
+does. Where that library's Unicode version puts a code point into another class of the pattern than ours, a stand-in of the right class
+takes its place while the pattern is matched. Decoding maps ids to pieces and characters back to bytes.
 
 Cases: null text and empty text give no ids and the hash of no bytes; null ids stay; repeated rows each give a row;
 an empty table gives an empty result; other columns are ignored. Long texts are encoded whole.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -67,16 +69,40 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return bytes(out + _field(2, trainer) + _field(3, normal))
 
 
+def classes_of(pattern: str) -> tuple[list[str], list[set[str]], list[set[str]]]:
+    """The character classes in a pattern, and the code points in each: to the rank library, and to our pattern engine."""
+    import regex
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    single = {bytes([i]): i for i in range(256)}
+    names = sorted(set(re.findall(r"\\[pP]\{\^?\w+\}|\\[sSdDwW]", pattern)))
+    theirs = [tiktoken.Encoding("class", pat_str=n, mergeable_ranks=single, special_tokens={}) for n in names]
+    return names, [set(e.decode(e.encode_ordinary(every))) for e in theirs], [set(regex.findall(n, every)) for n in names]
+
+
+def stand_ins(pattern: str) -> dict[int, str]:
+    """For each code point that the two engines put into different classes, one that both put where the rank library puts it."""
+    _, theirs, ours = classes_of(pattern)
+    odd = set().union(*(a ^ b for a, b in zip(theirs, ours, strict=True)))
+    usual: dict[tuple[bool, ...], str] = {}
+    for c in map(chr, range(0xA0, 0x3100)):  # beyond ASCII, so that no sign that the pattern names is taken
+        if c not in odd:
+            usual.setdefault(tuple(c in own for own in ours), c)
+    return {ord(c): usual[tuple(c in own for own in theirs)] for c in odd}
+
+
 class Codec:
     """Encodes texts to ids as little-endian unsigned 32-bit integers, and decodes them."""
 
-    def __init__(self, model: bytes, ids: np.ndarray, pattern: str):
+    def __init__(self, model: bytes, ids: np.ndarray, pattern: str, odd: dict[int, str] | None = None):
         import regex
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor()
         self.sp.LoadFromSerializedProto(model)
-        self.find = regex.compile(pattern).findall
+        self.pattern, self.odd = regex.compile(pattern), odd or {}
+        self.odd_set = set(map(chr, self.odd))
         chars = byte_characters()
         self.char = dict(enumerate(chars))
         back = {c: b for b, c in enumerate(chars)}
@@ -102,7 +128,10 @@ class Codec:
             self.held += 200 + 4 * len(w) + 4 * len(got)
 
     def encode(self, text: str) -> bytes:
-        words = self.find(text)
+        if text.isascii() or self.odd_set.isdisjoint(text):
+            words = self.pattern.findall(text)
+        else:
+            words = [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.odd))]
         if self.held > MEMORY:
             self.known, self.held = {}, 0
         if missing := list(set(words).difference(self.known)):
@@ -119,13 +148,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     The model is built once on the driver and travels with the task: its size is that of the vocabulary file.
     """
     ranks = read_ranks(path)
-    model, ids = serialise(ranks), np.array(sorted(ranks.values()), "<u4")
+    model, ids, odd = serialise(ranks), np.array(sorted(ranks.values()), "<u4"), stand_ins(pattern)
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<long>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for b in common.slices(batches):
-            codec = codec or Codec(model, ids, pattern)
+            codec = codec or Codec(model, ids, pattern, odd)
             n, sha, back, same, kept = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 got = codec.encode(text)
