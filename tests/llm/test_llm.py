@@ -98,6 +98,21 @@ def test_bpe_is_the_rank_library(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
+def test_bpe_over_all_code_points():
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks, pattern = bpe.read_ranks(path), public_tokenizers.PATTERN
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(bpe.serialise(ranks), np.array(sorted(ranks.values()), "<u4"), pattern, bpe.stand_ins(pattern))
+    odd = sorted(bpe.stand_ins(pattern))
+    points = [*odd, *range(0x80), *range(0x80, 0x110000, 17)]
+    for a in range(0, len(points), 5000):
+        text = "\n".join(f"a{chr(c)}b {chr(c)}'s{chr(c)} 1{chr(c)}" for c in points[a : a + 5000] if not 0xD800 <= c < 0xE000)
+        ids = codec.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(text) and codec.decode(ids) == text.encode()
+
+
 def test_counts_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
@@ -468,6 +483,56 @@ def test_urls(spark, sf):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_model_is_the_formula(spark):
+    """Character models of accepted and rejected stems by hand, then each URL's mean log-likelihood difference."""
+    random.seed(7)
+    urls_ = [f"http://{h}.example.{t}/{s}/{random.choice(['shop', 'news', 'about', 'sport'])}-{random.randint(1, 99)}" for t in ("net", "org", "com") for s in ("en", "fr", "de", "xx") for h in ("www", "blog", "casino", "m") for _ in range(4)]
+    rows = list(enumerate(urls_))
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    host, path = urls.parts(F.col("url"))
+    df = urls.with_rule(spark.createDataFrame(rows, "page_id long, url string").select("page_id", host.alias("host"), path.alias("path")))
+    stems = {}
+    for r in df.withColumn("aside5", F.pmod(F.xxhash64("stem"), F.lit(5)) == 0).collect():
+        own = stems.setdefault(r.stem, {"good": False, "bad": False, "aside5": r.aside5})
+        own["good"] |= r.ruled == "allow"
+        own["bad"] |= r.ruled == "block"
+    counts = {"good": Counter(), "bad": Counter()}
+    code = lambda c: urls.SYMBOLS.find(c) + 1
+    grams = lambda stem: list(zip(x := [0, 0, *map(code, stem), 0], x[1:], x[2:], strict=False))
+    for stem, own in stems.items():
+        term = bool(set(re.split("[^a-z]+", stem)) & set(urls.REJECTED_TERMS))
+        good, bad = own["good"] and not term, own["bad"] or term
+        if (good or bad) and not (own["aside5"] and (good or term)):
+            for side, has in (("good", good), ("bad", bad)):
+                if has:
+                    counts[side].update(grams(stem))
+
+    def p(side, a, b, x):
+        c = counts[side]
+        one = (sum(n for g, n in c.items() if g[2] == x) + 1) / (sum(c.values()) + urls.SIZE)
+        after = Counter()
+        for g, n in c.items():
+            if g[1] == b:
+                after[g[2]] += n
+        two = (after[x] + len(after) * one) / (sum(after.values()) + len(after)) if after else one
+        after = {g[2]: n for g, n in c.items() if g[:2] == (a, b)}
+        return (after.get(x, 0) + len(after) * two) / (sum(after.values()) + len(after)) if after else two
+
+    want = {s: np.mean([math.log(p("good", *g)) - math.log(p("bad", *g)) for g in grams(s)]) for s in stems}
+    checked = 0
+    for r in df.collect():
+        if r.rule is None:
+            assert abs(got[r.page_id].score - want[r.stem]) < 2e-6
+            checked += 1
+    assert checked > 10
+
+
+def test_odd_urls(spark):
+    rows = [(1, "http://a/" + "x" * 20000, "h"), (1, "http://a/" + "x" * 20000, "h"), (None, "http://b.net/", None), (3, None, "h"), (4, "", "h")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, host string")).collect()
+    assert len(got) == 5 and sum(r.page_id == 1 and len(r.path) == 20001 for r in got) == 2 and {r.verdict for r in got if r.page_id is None} == {"block"}
+
+
 def test_toxicity_on_held_out(spark):
     from tests.conftest import SF
 
