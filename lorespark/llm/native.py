@@ -67,12 +67,12 @@ def replaced(text: Column, pattern: str, by) -> Column:
     return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
-def _draw(key: str, kind: str, i: Column, x: Column, modulus: Column) -> Column:
-    digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), i.cast("string"), x.cast("string"), modulus.cast("string")), 256)
+def _draw(key: str, kind, i: Column, x: Column, modulus: Column) -> Column:
+    digest = F.sha2(F.concat_ws(":", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), i.cast("string"), x.cast("string"), modulus.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % modulus
 
 
-def feistel(a: Column, b: Column, mod_a: Column, mod_b: Column, key: str, kind: str, rounds: int = 10) -> Column:
+def feistel(a: Column, b: Column, mod_a: Column, mod_b: Column, key: str, kind, rounds: int = 10) -> Column:
     """struct<a, b>: a keyed permutation of the pairs a < mod_a, b < mod_b (an even number of rounds keeps the halves)."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
@@ -83,24 +83,36 @@ def feistel(a: Column, b: Column, mod_a: Column, mod_b: Column, key: str, kind:
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, turn)
 
 
-def permuted_digits(digits: Column, key: str, kind: str) -> Column:
-    """A string of 2 to 36 digits, permuted within its length; a single digit stays."""
-    n = F.length(digits)
-    u = F.floor(n / 2).cast("int")
-    ten = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
-    left, right = F.substring(digits, F.lit(1), u), F.substring(digits, u + 1, n - u)
-    got = feistel(left.cast("long"), right.cast("long"), ten(u), ten(n - u), key, kind)
-    whole = F.transform(F.array(got), lambda s: F.concat(F.lpad(s["a"].cast("string"), u, "0"), F.lpad(s["b"].cast("string"), n - u, "0")))
-    return F.when(n < 2, digits).otherwise(F.get(whole, F.lit(0)))
+_CHUNK = 22  # digits of base 36 in two halves that a long holds
 
 
-def permuted_number(x: Column, size: int, key: str, kind: str) -> Column:
-    """A number below size, permuted below size: the Feistel over the next square, walked until it falls below."""
+def permuted_digits(digits: Column, key: str, kind: str, base: int = 10) -> Column:
+    """A string of digits of the base (10 or 36, lower case), permuted within its length; long ones chunk by chunk."""
+    power = F.array(*[F.lit(base**k) for k in range(_CHUNK // 2 + 1)])
+    shown = lambda x, n: F.lpad(x.cast("string") if base == 10 else F.lower(F.conv(x.cast("string"), 10, base)), n, "0")
+
+    def one(c: Column, i: Column) -> Column:
+        n = F.length(c)
+        u = F.floor(n / 2).cast("int")
+        left, right = (F.conv(x, base, 10).cast("long") for x in (F.concat(F.lit("0"), F.substring(c, F.lit(1), u)), F.substring(c, u + 1, n - u)))
+        got = feistel(left, right, F.get(power, u), F.get(power, n - u), key, F.concat_ws("/", F.lit(kind), i.cast("string")))
+        return let(got, lambda s: F.concat(F.when(u > 0, shown(s["a"], u)).otherwise(F.lit("")), shown(s["b"], n - u)))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.length(digits) - 1) / _CHUNK).cast("int")), lambda i: F.substring(digits, i * _CHUNK + 1, F.lit(_CHUNK)))
+    return F.when(F.length(digits) == 0, digits).otherwise(F.array_join(F.transform(chunks, one), ""))
+
+
+def walked(start: Column, step, ok, most: int = 64) -> Column:
+    """step(start), step of that and so on, to the first value that is ok: a permutation of the values that are, if step is one."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), step(start), lambda s, _: F.when(ok(s), s).otherwise(step(s)))
+
+
+def permuted_number(x: Column, size: int, key: str, kind: str, ok=lambda v: F.lit(True)) -> Column:
+    """A number below size that is ok, permuted among those: the Feistel over the next square, walked until it falls among them."""
     side = int(size**0.5)
     side += side * side < size
-    step = lambda v: F.get(F.transform(F.array(feistel(F.floor(v / side), v % side, F.lit(side), F.lit(side), key, kind)), lambda s: s["a"] * side + s["b"]), F.lit(0))
-    walk = lambda s, _: F.when(s < size, s).otherwise(step(s))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(48)), step(x.cast("long")), walk)
+    step = lambda v: let(feistel(F.floor(v / side), v % side, F.lit(side), F.lit(side), key, kind), lambda s: s["a"] * side + s["b"])
+    return walked(x.cast("long"), step, lambda s: (s < size) & ok(s))
 
 
 def luhn_digit(body: Column) -> Column:

@@ -33,7 +33,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.lorespark.pii.key", "a key for the synthetic tables, no secret")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key)
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

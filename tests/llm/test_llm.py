@@ -53,7 +53,7 @@ def operators(spark, labels, bench):
         "suffixtree": suffixtree.score,
         "decontaminate": lambda d: decontaminate.scan(d, bench, locations=True),
         "remove_contaminated": lambda d: decontaminate.remove_contaminated(d, bench),
-        "pii": pii.pseudonymise,
+        "pii": lambda d: pii.pseudonymise(d, "k"),
         "simhash": simhash.with_edits,
         "secrets": secrets.scan,
         "redact": lambda d: secrets.redact(d, length_col="n_chars"),
@@ -323,7 +323,7 @@ def luhn(s):
 
 def test_pseudonyms(spark):
     rows = [(1, "card 4041894974608795, call +1 (017) 555-7713 or a.b@mail.example.com"), (2, "4041-8949-7460-8795 at 10.20.30.40 on 2024-02-29; 4041894974608796"), (3, "DE89 3704 0044 0532 0130 00 / 2023-02-30"), (4, None)]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     first = re.search(r"\d{16}", got[1].text)[0]
     assert first != "4041894974608795" and luhn(first) and first in got[2].text.replace("-", "")
     assert "4041894974608796" in got[2].text and "2023-02-30" in got[3].text and "a.b@" not in got[1].text and "10.20.30.40" not in got[2].text
@@ -333,9 +333,100 @@ def test_pseudonyms(spark):
     assert got[4].text is None and got[1].n_found == 3
 
 
+def feistel_by_hand(a, b, mod_a, mod_b, key, kind):
+    for i in range(10):
+        m = mod_a if i % 2 == 0 else mod_b
+        draw = int(hashlib.sha256(f"{key}:{kind}:{i}:{b}:{m}".encode()).hexdigest()[:15], 16) % m
+        a, b = b, (a + draw) % m
+    return a, b
+
+
+def digits_by_hand(text, key, kind, base=10):
+    signs, out = "0123456789abcdefghijklmnopqrstuvwxyz", ""
+    for i in range(0, len(text), 22):
+        c = text[i : i + 22]
+        u = len(c) // 2
+        x = feistel_by_hand(int("0" + c[:u], base), int(c[u:], base), base**u, base ** (len(c) - u), key, f"{kind}/{i // 22}")
+        for v, n in zip(x, (u, len(c) - u), strict=True):
+            got = ""
+            while v:
+                v, d = divmod(v, base)
+                got = signs[d] + got
+            out += got.rjust(n, "0") if n else ""
+    return out
+
+
+def test_pseudonyms_by_hand(spark):
+    """Mail, phone, social security numbers, cards and dates against a plain implementation of the permutation."""
+    import datetime
+
+    def laid(m, signs, kind):
+        it = iter(signs)
+        return "".join(next(it) if re.match(kind, c) else c for c in m)
+
+    def mail(m):
+        name, domain = m.lower().split("@")
+        inner, last = domain.rsplit(".", 1)
+        own = lambda x, kind: laid(x, digits_by_hand(re.sub("[^a-z0-9]", "", x), "k", kind, 36), "[a-z0-9]")
+        return f"{own(name, 'mail')}@{own(inner + '.', 'domain')}{last}"
+
+    def ssn(m):
+        d = m.replace("-", "")
+        while True:
+            d = digits_by_hand(d, "k", "ssn")
+            if not re.match("000|666|9|...00|.*0000$", d):
+                return laid(m, d, r"\d")
+
+    def phone(m):
+        d = re.sub(r"\D", "", m)
+        code = re.match(pii.COUNTRY, d)[0] if m.startswith("+") else ""
+        return laid(m, code + digits_by_hand(d[len(code) :], "k", "phone"), r"\d")
+
+    def card(m):
+        d = digits_by_hand(re.sub(r"\D", "", m)[:-1], "k", "card")
+        return laid(m, d + next(c for c in "0123456789" if luhn(d + c)), r"\d")
+
+    def date(m, shape, kind, ok):
+        x = (datetime.datetime.strptime(m, shape).date() - datetime.date(1900, 1, 1)).days
+        while True:
+            a, b = feistel_by_hand(x // 271, x % 271, 271, 271, "k", kind)
+            x = a * 271 + b
+            d = datetime.date(1900, 1, 1) + datetime.timedelta(x)
+            if x < pii.DAYS and ok(d):
+                return d.strftime(shape)
+
+    random.seed(4)
+    pick = lambda n, signs="0123456789": "".join(random.choice(signs) for _ in range(n))
+    cases = []
+    for _ in range(40):
+        m = f"{pick(random.randint(1, 30), 'abcXYZ019')}.{pick(3, 'abc')}@{pick(random.randint(1, 8), 'abc9')}-{pick(2, 'xyz')}.Example.org"
+        cases.append((m, mail(m)))
+        m = f"{random.choice(['123', '078', '665', '899'])}-{pick(1, '123456789')}{pick(1)}-{pick(3)}7"
+        cases.append((m, ssn(m)))
+        m = f"+{random.choice(['1', '49', '351', '7'])} {pick(3)} {pick(4)} {pick(2)}"
+        cases.append((m, phone(m)))
+        body = pick(15)
+        m = body + next(c for c in "0123456789" if luhn(body + c))
+        m = f"{m[:4]}-{m[4:8]}-{m[8:12]}-{m[12:]}"
+        cases.append((m, card(m)))
+        y, a, b = random.randint(1900, 2099), random.randint(1, 12), random.randint(13, 28)
+        cases.append((f"{y}-{a:02}-{b}", date(f"{y}-{a:02}-{b}", "%Y-%m-%d", "date", lambda d: True)))
+        cases.append((f"{b}.{a:02}.{y}", date(f"{b}.{a:02}.{y}", "%d.%m.%Y", "date", lambda d: True)))
+        cases.append((f"{a:02}/{b}/{y}", date(f"{a:02}/{b}/{y}", "%m/%d/%Y", "month-first", lambda d: d.day > 12)))
+    df = spark.createDataFrame([(i, f"x {m} y") for i, (m, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_found) for r in pii.pseudonymise(df, "k").collect()}
+    for i, (m, want) in enumerate(cases):
+        assert got[i] == (f"x {want} y", 1), m
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, "")
+
+
 def test_feistel_is_a_permutation(spark):
     from lorespark.llm import native
 
+    short = spark.range(36).select(native.permuted_digits(F.lower(F.conv(F.col("id").cast("string"), 10, 36)), "k", "x", 36).alias("p")).collect()
+    assert len({r.p for r in short}) == 36
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"), native.permuted_number(F.col("id"), 1000, "k", "x").alias("n"))
     got = df.select(native.permuted_digits(F.col("d"), "k", "x").alias("p"), "n").collect()
     assert len({r.p for r in got}) == 1000 and {r.n for r in got} == set(range(1000))
