@@ -173,38 +173,37 @@ def candidates(text: DataFrame, ids: DataFrame, most_ids: int = 500_000) -> Data
 
 def residual(member: DataFrame, roots: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different groups so far: of each document to each group, one."""
-    rest = _rooted(member.where("size > 2").select(F.col("band").alias("key"), "doc_id", "n"), roots, "doc_id", "root")
-    size = _mixed(rest).select("key", (F.col("n_other") > 1).alias("large"))
-    rest = common.written(rest.join(size, "key"), "mixed")
-    small = rest.where("not large").select("key", "doc_id", "n", "root")
-    large = common.written(rest.where("large").select("doc_id", "n", "root").distinct(), "large")
+    rest = _rooted(member.where("size > 2").select("band", "doc_id", "n"), roots, "doc_id", "root")
+    rest = common.written(rest.join(_mixed(rest, "band"), "band"), "mixed")
+    placed = rest.where("n_other = 1").withColumnRenamed("band", "key")
+    large = common.written(rest.where("n_other > 1").select("doc_id", "n", "root").distinct(), "large")
     if not large.isEmpty():
-        small = small.unionByName(prefixes(large, text, k, percent))
-    rest = small.join(_mixed(small), "key")
-    return _compared(common.written(rest, "rest"), text, k, percent)
+        rare = common.written(prefixes(large, text, k, percent), "rare")
+        placed = placed.unionByName(rare.join(_mixed(rare, "shingle"), "shingle").withColumnRenamed("shingle", "key"))
+    return _compared(placed, text, k, percent)
 
 
-def _mixed(rest: DataFrame) -> DataFrame:
+def _mixed(rest: DataFrame, key: str) -> DataFrame:
     """Keys whose members are in several groups: the largest group (top), the blocks of its members and of the others."""
-    parts = rest.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.max(F.struct("size", "n")).alias("most"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    parts = rest.groupBy(key, "root").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    mixed = parts.groupBy(key).agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.max(F.struct("size", "n")).alias("most"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
     blocks = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    return mixed.where("kinds > 1").select("key", "top", blocks(F.col("most.size"), F.col("most.n")).alias("n_top"), blocks(F.col("size") - F.col("most.size"), F.col("n") - F.col("most.n")).alias("n_other"))
+    return mixed.where("kinds > 1").select(key, "top", blocks(F.col("most.size"), F.col("most.n")).alias("n_top"), blocks(F.col("size") - F.col("most.size"), F.col("n") - F.col("most.n")).alias("n_other"))
 
 
 def prefixes(members: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
-    """key, doc_id, n, root: each member by its rarest shingles, one more than it may lack and still be similar enough.
+    """shingle, doc_id, n, root: each member by its rarest shingles, one more than it may lack and still be similar enough.
 
     Shingles of one member alone meet nobody and are left out. A shingle's members are dealt by AQE's splitting of skewed joins.
     """
     sets = shingle_sets(text.join(members, "doc_id", "left_semi"), k)
-    one = sets.select("doc_id", "n", F.explode("shingles").alias("key"))
+    one = sets.select("doc_id", "n", F.explode("shingles").alias("shingle"))
     one = common.written(one.distinct(), "shingles")
-    often = common.written(one.groupBy("key").count(), "shingle-counts")  # apart, so that hot keys of the join can be split
-    ranked = one.join(often, "key").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("all"))  # one text's own set
+    often = common.written(one.groupBy("shingle").count(), "shingle-counts")  # apart, so that hot keys of the join can be split
+    ranked = one.join(often, "shingle").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("all"))  # one text's own set
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     first = ranked.select("doc_id", "n", F.explode(F.slice("all", F.lit(1), spare.cast("int"))).alias("x")).where("x.count > 1")
-    return first.select(F.col("x.key").alias("key"), "doc_id", "n").join(members.select("doc_id", "root").distinct(), "doc_id").select("key", "doc_id", "n", "root")
+    return first.select(F.col("x.shingle").alias("shingle"), "doc_id", "n").join(members.select("doc_id", "root").distinct(), "doc_id").select("shingle", "doc_id", "n", "root")
 
 
 def _compared(rest: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
