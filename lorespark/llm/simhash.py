@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import native
+from . import common, native
 
 BITS = 128
+RADIUS = 6  # bits that near fingerprints may differ in
 _LANES = (1 << 32) + 1
 
 
@@ -103,8 +104,11 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(F.coalesce(following, F.lit("")), F.lit(1), half))
 
 
-def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document with an id."""
+def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, query_every: int = 20) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near of each document with an id.
+
+    n_near: where the id is divisible by query_every, the number of other documents within the radius, else null.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_next(texts).withColumn("edited", edited(F.col("text"), F.col("next"))).drop("next")
     keys = ["bucket", "rn", "doc_id", "own", "n_chars", "edited_sha256"]
@@ -115,27 +119,46 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fp = fp.groupBy(*keys).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited"))
     fp = fp.withColumn("next", F.lead("fp").over(w)).where("own")
     near = lambda c: native.likeness(F.col("fp"), F.col(c), BITS)
-    return fp.select("doc_id", "n_chars", "edited_sha256", shown(F.col("fp")).alias("fingerprint"), shown(F.col("edited")).alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next").alias("near_next"))
+    fp = common.written(fp.withColumn("query", F.col("doc_id") % query_every == 0), "edited-fingerprints")
+    found = near_counts(fp.select("fp", "query"), radius).withColumnRenamed("q", "fp")
+    asked = fp.where("query").join(found, "fp").withColumn("n_near", F.col("n") - 1)
+    fp = asked.drop("n").unionByName(fp.where("not query").withColumn("n_near", F.lit(None).cast("long")))
+    return fp.select("doc_id", "n_chars", "edited_sha256", shown(F.col("fp")).alias("fingerprint"), shown(F.col("edited")).alias("edited_fingerprint"), near("edited").alias("near_edited"), near("next").alias("near_next"), "n_near")
+
+
+def tables(radius: int, blocks: int | None = None) -> list[tuple[tuple[int, ...], list[int]]]:
+    """(blocks, their bits as two masks) of each table: choices of blocks - radius of the blocks that 128 bits are cut into."""
+    blocks = blocks or (radius + 2 if radius <= 8 else radius + 1)
+    if not 0 <= radius < blocks <= BITS:
+        raise ValueError("more blocks than the radius are needed, and no more than there are bits")
+    bits = [[i for i in range(BITS) if i * blocks // BITS == b] for b in range(blocks)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    mask = lambda own, half: signed(sum(1 << (i % 64) for b in own for i in bits[b] if i // 64 == half))
+    return [(c, [mask(c, 0), mask(c, 1)]) for c in combinations(range(blocks), blocks - radius)]
 
 
 def within(queries: DataFrame, index: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
-    """query_id, doc_id, distance of all pairs of fingerprints (id, fp) at most `radius` bits apart.
+    """q, x, distance: all pairs of distinct fingerprints, q of queries and x of index (fp), at most `radius` bits apart.
 
-    128 bits are cut into `blocks` blocks (radius + 2 unless given). Fingerprints that are so near agree in blocks - radius
-    of them at least; each choice of so many blocks is a table, keyed by them, so no pair is missed. Equal fingerprints are joined once
-    and expanded at the end.
+    128 bits are cut into blocks (radius + 2 unless given; radius + 1 beyond 8). Fingerprints that are so near agree in blocks - radius
+    of them at least; each choice of so many blocks is a table, keyed by their bits, so no pair is missed. A pair counts in
+    the first table that it agrees in, so nothing has to be made distinct. Keys that many share are split as skewed joins.
     """
-    blocks = blocks or min(radius + 2, 16)
-    if not radius < blocks:
-        raise ValueError("more blocks than the radius are needed")
-    width = -(-BITS // blocks)
-    texts = F.concat(*[F.lpad(F.bin(F.get(F.col("fp"), F.lit(i))), 64, "0") for i in (0, 1)])
-    choices = list(combinations(range(blocks), blocks - radius))
-    key = lambda c: F.concat_ws(",", F.lit(str(c)), *[F.substring(texts, b * width + 1, width) for b in c])
-    tables = F.explode(F.array(*[F.xxhash64(key(c)) for c in choices])).alias("key")
-    q = queries.select("fp").distinct().select(F.col("fp").alias("q"), tables)
-    x = index.select("fp").distinct().select(F.col("fp").alias("x"), tables)
-    apart = F.aggregate(F.zip_with("q", "x", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-    near = q.join(x, "key").select("q", "x", apart.alias("distance")).where(F.col("distance") <= radius).distinct()
-    near = near.join(queries.select(F.col("id").alias("query_id"), F.col("fp").alias("q")), "q")
-    return near.join(index.select(F.col("id").alias("doc_id"), F.col("fp").alias("x")), "x").select("query_id", "doc_id", "distance")
+    made = tables(radius, blocks)
+    masked = lambda fp, m: [F.get(fp, F.lit(i)).bitwiseAND(F.lit(m[i])) for i in (0, 1)]
+    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), F.xxhash64(F.lit(t), *masked(F.col("fp"), m)).alias("key")) for t, (_, m) in enumerate(made)]))
+    q = queries.select("fp").distinct().select(F.col("fp").alias("q"), keys.alias("k")).select("q", "k.*")
+    x = index.select("fp").distinct().select(F.col("fp").alias("x"), keys.alias("k")).select("x", "k.*")
+    q, x = common.written(q, "query-keys"), common.written(x, "index-keys")
+    off = F.zip_with("q", "x", lambda a, b: a.bitwiseXOR(b))
+    distance = F.aggregate(F.transform("off", F.bit_count), F.lit(0), lambda s, v: s + v)
+    pairs = q.join(x, ["table", "key"]).select("q", "x", "table", off.alias("off")).where(distance <= radius)
+    agree = F.transform(F.array(*[F.array(*map(F.lit, m)) for _, m in made]), lambda m: F.aggregate(F.zip_with("off", m, lambda a, b: a.bitwiseAND(b)), F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(v)) == 0)
+    return pairs.where(F.array_position(agree, True) == F.col("table") + 1).select("q", "x", distance.alias("distance"))
+
+
+def near_counts(fps: DataFrame, radius: int) -> DataFrame:
+    """q and n: for each fingerprint of the query rows (query: true), how many rows (itself included) are within the radius."""
+    index = common.written(fps.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
+    pairs = within(fps.where("query"), index, radius)
+    return pairs.join(index.withColumnRenamed("fp", "x"), "x").groupBy("q").agg(F.sum("n").alias("n"))

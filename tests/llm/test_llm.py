@@ -461,9 +461,40 @@ def test_hamming_tables(spark):
                 x[random.randrange(2)] ^= 1 << random.randrange(63)
             fps.append(x)
     df = spark.createDataFrame(list(enumerate(fps)), "id int, fp array<long>")
-    got = {(r.query_id, r.doc_id): r.distance for r in simhash.within(df.where("id % 20 = 0"), df, 3).collect()}
-    far = lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(a, b, strict=True))
-    assert got == {(i, j): far(fps[i], fps[j]) for i in range(0, len(fps), 20) for j in range(len(fps)) if far(fps[i], fps[j]) <= 3}
+    far = lambda a, b: sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a, b, strict=True))
+    for radius in (0, 3, 17):
+        got = sorted((tuple(r.q), tuple(r.x), r.distance) for r in simhash.within(df.where("id % 20 = 0"), df, radius).collect())
+        kinds, asked = {tuple(f) for f in fps}, {tuple(f) for f in fps[::20]}
+        assert got == sorted((q, x, far(q, x)) for q in asked for x in kinds if far(q, x) <= radius)
+
+
+def test_simhash_votes(spark):
+    """Fingerprints and neighbours by hand."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h2 = lambda a, b: xxhash.xxh64(b, seed=xxhash.xxh64(a, seed=42).intdigest()).intdigest()
+
+    def votes(text):
+        w = [x for x in re.split(r"\s+", text.lower()) if x]
+        total, up = 0, [0] * 128
+        for a, b in zip(w, w[1:], strict=False) if len(w) > 1 else [(x, "") for x in w]:
+            h, weight = h2(a.encode(), b.encode()), min(16, len(a) + len(b))
+            total += weight
+            both = h | h2(h.to_bytes(8, "little"), (1).to_bytes(4, "little")) << 64
+            for i in range(128):
+                up[i] += weight * (both >> i & 1)
+        return sum((2 * n > total) << i for i, n in enumerate(up))
+
+    random.seed(3)
+    base = [" ".join(random.choice("abcdefgh") * random.randint(1, 6) for _ in range(60)) for _ in range(6)]
+    texts = {i: (t := random.choice(base))[: len(t) - random.choice([0, 0, 1, 3])] for i in range(80)} | {80: "", 81: "One", 82: "One"}
+    got = {r.doc_id: r for r in simhash.with_edits(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    fps = {i: votes(t) for i, t in texts.items()}
+    for i, r in got.items():
+        assert int(r.fingerprint[:16], 16) | int(r.fingerprint[16:], 16) << 64 == fps[i]
+        near = sum(bin(fps[i] ^ f).count("1") <= simhash.RADIUS for f in fps.values()) - 1
+        assert r.n_near == (near if i % 20 == 0 else None)
 
 
 ASSIGN = re.compile(r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
