@@ -1,15 +1,19 @@
 """Language-model scores by a probabilistic suffix tree.
 
 A text is a sequence of symbols: the bytes of its lower-cased words, a space after each word, one end. The tree's contexts are
-up to DEPTH symbols long. A context stays if it is frequent enough (share LEAST_SHARE of all training symbols, so at most
-DEPTH / LEAST_SHARE contexts can stay and the model has a bounded size) and if its next-symbol distribution diverges from
-that of its longest proper suffix by GAIN nats over all its occurrences. Distributions are smoothed towards the shorter context's
-(Witten-Bell). Contexts are closed under suffixes and prefixes, so the longest suffix state follows from the last one and
-the symbol: an automaton, which runs over many segments of texts at once. Segments begin DEPTH symbols early, so cutting
-a long text changes nothing.
+up to DEPTH symbols long. A context stays if it is frequent enough (a share of all training symbols: LEAST_SHARE up to 10^8 symbols,
+then falling with the fifth root of their number, so that the tree grows with the corpus, but more slowly: a share of 2e-7 at 100 TB)
+and if its next-symbol distribution diverges from that of its longest proper suffix by GAIN nats over all its occurrences.
+Of 2 million symbols about 1 % of the contexts that the share admits stay, 17,000. Distributions are smoothed towards the
+shorter context's (Witten-Bell, with ESCAPE times as much weight on it). Contexts are closed under suffixes and prefixes, so the longest
+suffix state follows from the last one and the symbol: an automaton, which runs over many segments of texts at once. Bytes too
+rare to be in any context share a column of it, their probabilities in proportion to their counts. Segments begin DEPTH symbols
+early, so cutting a long text changes nothing.
 
 The base score is that of single words. Word counts are exact and of any size: blocks of documents list their distinct words,
-whose counts are added up by word, joined back to the lists and gathered by block.
+whose counts are added up by word, joined back to the lists and gathered by block. Words of very many blocks get their counts from a
+broadcast (they have more than HEAVY blocks and a SHARE of all places, so there are SHARE of them at most). The base score gives the same
+mass to each unknown word, however many there are, so it is no distribution and easily good on few documents.
 
 Cases: a null or empty text has one token, its end; repeated rows each give a row; without training texts all counts are 0 and all
 symbols equally likely; an empty table gives an empty result; other columns are ignored.
@@ -31,6 +35,8 @@ from . import common
 DEPTH = 5
 LEAST_SHARE = 3e-6
 GAIN = 12.0
+ESCAPE = 2.5
+HEAVY, SHARE = 1000, 50_000
 SEGMENT = 512
 SPACE, END = 32, 10
 _U = np.uint64
@@ -98,16 +104,15 @@ def _rows(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
 class Tree:
     """The automaton: next state and log10 probability for each state and symbol class."""
 
-    def __init__(self, contexts: dict[bytes, dict[int, int]], depth: int):
-        """contexts: next-symbol counts of the contexts that stay, the empty one included."""
+    def __init__(self, contexts: dict[bytes, dict[int, int]], depth: int, least: float = 0.0):
+        """contexts: next-symbol counts of the contexts that stay, the empty one included; least: how often a byte must occur to be in one."""
         root = np.zeros(256)
         for x, n in contexts.get(b"", {}).items():
             root[x] = n
-        common_ = np.flatnonzero(root >= max(1, root.sum() * 1e-6))
+        common_ = np.flatnonzero(root >= max(1, least))
         self.size = len(common_) + 1  # the last class: all other bytes
         self.of = np.full(256, self.size - 1, np.uint8 if self.size < 256 else np.uint16)
         self.of[common_] = np.arange(len(common_))
-        rest = 256 - len(common_)
         names = {b""}
         for s in contexts:
             names |= {s[i:j] for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
@@ -127,12 +132,13 @@ class Tree:
                 if c := contexts.get(s):
                     n = np.zeros(self.size)
                     np.add.at(n, self.of[list(c)].astype(np.int64), list(c.values()))
-                    kinds = (n > 0).sum()
-                    p[i] = (n + kinds * p[up]) / (n.sum() + kinds)
+                    kinds = len(c)
+                    p[i] = (n + ESCAPE * kinds * p[up]) / (n.sum() + ESCAPE * kinds)
             for x, child in children.get(s, ()):
                 if self.of[x] < self.size - 1:
                     step[i, self.of[x]] = child
-        p[:, -1] /= max(1, rest)  # each other byte alike
+        own = mass / np.bincount(self.of, weights=mass, minlength=self.size)[self.of]
+        self.extra = np.log10(np.where(own > 0, own, 1)).astype(np.float32)  # of a byte within its class
         # one column more: past the end of a text nothing changes
         self.step = np.ascontiguousarray(np.column_stack([step, np.arange(len(at))]).astype(np.int32)).ravel()
         self.cost = np.column_stack([np.log10(np.maximum(p, 1e-300)), np.zeros(len(at))]).astype(np.float32).ravel()
@@ -148,7 +154,7 @@ class Tree:
         count = np.minimum(SEGMENT, n[text] - inner * SEGMENT)
         order = np.argsort(-count, kind="stable")
         start, count = start[order], count[order]
-        coded = np.append(self.of[symbols], self.of[:1])
+        coded, extra = np.append(self.of[symbols], self.of[:1]), np.append(self.extra[symbols], self.extra[:1])
         state, total = np.zeros(len(start), np.int64), np.zeros(len(start))
         live = len(start)
         for t in range(self.depth + (int(count[0]) if len(count) else 0)):
@@ -156,7 +162,7 @@ class Tree:
                 live -= 1
             at = state[:live] * self.width + coded[start[:live] + t]
             if t >= self.depth:
-                total[:live] += self.cost[at]
+                total[:live] += self.cost[at] + extra[start[:live] + t]
             state[:live] = self.step[at]
         return np.bincount(text[order], weights=total, minlength=len(n))
 
@@ -167,7 +173,7 @@ def learn(grams: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE
     total = grams.agg(F.sum("n")).first()[0] or 0
     if not total:
         return Tree({b"": {}}, depth)
-    least = max(2.0, total * least_share)
+    least = max(2.0, total * least_share * min(1.0, (total / 1e8) ** -0.2))
     context = lambda d: F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
     tables = {}
     for d in range(depth + 1):
@@ -182,10 +188,10 @@ def learn(grams: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE
             both = t.join(up, (F.col("up") == F.col("s").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))) & (F.col("ux") == F.col("x")))
             far = both.groupBy("s").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("of") / F.col("q"))).alias("gain")).where(F.col("gain") >= gain)
             t = t.join(far, "s", "left_semi")
-        rows = t.select("s", "x", "n").toPandas()  # at most 256 / least_share rows
+        rows = t.select("s", "x", "n").toPandas()  # only contexts that stay
         for s, x, n in zip(rows["s"].tolist(), rows["x"].tolist(), rows["n"].tolist(), strict=True):
             contexts.setdefault(s.to_bytes(d, "big"), {})[x] = n
-    return Tree(contexts, depth)
+    return Tree(contexts, depth, least)
 
 
 _BLOCK = "block long, doc_id array<long>, held_out array<boolean>, n_words array<long>, score array<double>, word array<long>, n array<long>, use binary"
@@ -226,6 +232,16 @@ def _blocks(texts: DataFrame, tree: Tree, block_bytes: int) -> DataFrame:
     return common.arrow_map(texts, run, _BLOCK)
 
 
+def _counted(words: DataFrame, counts: DataFrame, most: int, places: int) -> DataFrame:
+    """words (word, place) with the count c of each; those of very many blocks aren't dealt by word."""
+    limit = max(HEAVY, places // SHARE)
+    light = counts.where(F.col("blocks") <= limit).select("word", "c")
+    if most <= limit:
+        return words.join(light, "word")
+    heavy = F.broadcast(counts.where(F.col("blocks") > limit).select("word", "c"))
+    return words.join(heavy, "word").unionByName(words.join(heavy, "word", "left_anti").join(light, "word"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_share: float = LEAST_SHARE, gain: float = GAIN, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out (crc32(doc_id as text) mod 5 is 1), n_tokens, n_known, train_tokens, base_score, score.
 
@@ -237,11 +253,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     blocks = common.written(_blocks(texts, tree, block_bytes), "blocks")
     words = blocks.select("block", F.posexplode(F.arrays_zip("word", "n")).alias("i", "w"))
     words = words.select(F.shiftleft("block", _PLACES).bitwiseOR(F.col("i").cast("long")).alias("place"), F.col("w.word").alias("word"), F.col("w.n").alias("n"))
-    counts = common.written(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    counts = common.written(words.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")).where("c > 0"), "word-counts")
+    total, kinds, most, places = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.max("blocks"), F.sum("blocks")).first()
     ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda h: ~h))), F.lit(0))).first()[0]
     total, kinds = total + ends, kinds + (ends > 0)
-    found = words.select("word", "place").join(counts, "word").select(F.shiftrightunsigned("place", _PLACES).alias("block"), F.col("place").bitwiseAND(F.lit((1 << _PLACES) - 1)).cast("int").alias("i"), "c")
+    found = _counted(words.select("word", "place"), counts, most or 0, places or 0).select(F.shiftrightunsigned("place", _PLACES).alias("block"), F.col("place").bitwiseAND(F.lit((1 << _PLACES) - 1)).cast("int").alias("i"), "c")
     found = found.groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("found"))
     rows = blocks.select("block", "doc_id", "held_out", "n_words", "score", F.size("word").alias("kinds"), "use").join(found, "block", "left")
 

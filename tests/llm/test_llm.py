@@ -266,7 +266,7 @@ def test_suffix_tree_is_the_formula(spark, sf):
             if of[d][g[:-1]] >= max(2.0, total * 1e-4):
                 gains[g[:-1]] += k * math.log(k / of[d][g[:-1]] / (by[d - 1][g[1:]] / of[d - 1][g[1:-1]]))
         keep |= {s for s, x in gains.items() if x >= 5.0 - 1e-9}
-    rare = {x for x in range(256) if by[0][bytes([x])] < max(1, total * 1e-6)}
+    rare = {x for x in range(256) if by[0][bytes([x])] < max(2, total * 1e-4)}
     after = {}
     for d in (0, 1, 2, 3):
         for g, k in by[d].items():
@@ -281,7 +281,8 @@ def test_suffix_tree_is_the_formula(spark, sf):
         if context not in keep:
             return p(context[1:], x)
         d = len(context)
-        return (by[d][context + bytes([x])] + len(after[context]) * p(context[1:], x)) / (of[d][context] + len(after[context]))
+        escape = suffixtree.ESCAPE * len(after[context])
+        return (by[d][context + bytes([x])] + escape * p(context[1:], x)) / (of[d][context] + escape)
 
     checked = 0
     for i, s in list(stream.items())[:25]:
@@ -297,6 +298,17 @@ def test_suffix_tree_is_the_formula(spark, sf):
     assert checked > 5
 
 
+def test_tree_sums_to_one_and_heavy_words(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = {r.doc_id: r for r in suffixtree.score(docs, block_bytes=20_000).collect()}
+    monkeypatch.setattr(suffixtree, "HEAVY", 2)
+    two = {r.doc_id: r for r in suffixtree.score(docs, block_bytes=20_000).collect()}
+    assert all(abs(one[i].base_score - two[i].base_score) < 1e-6 and one[i].n_known == two[i].n_known for i in one)
+    tree = suffixtree.learn(suffixtree.gram_counts(common.texts(docs), 4), 4, 1e-4, 5.0)
+    p = 10 ** tree.cost.reshape(-1, tree.width)[:, :-1].astype(float)  # by class
+    assert np.allclose(p.sum(1), 1, atol=1e-3) and abs(sum(10 ** tree.extra[tree.of == tree.size - 1].astype(float)) - 1) < 1e-3
+
+
 def test_decontamination_slices_and_locations(spark, bench):
     docs = spark.createDataFrame([(1, "x Same  text, HERE y " + " ".join(f"W{i}" for i in range(3, 20))), (2, "same text"), (3, None), (4, "same text here. same text here")], "doc_id long, text string")
     one = decontaminate.scan(docs, bench, locations=True)
