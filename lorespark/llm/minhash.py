@@ -174,7 +174,8 @@ def candidates(text: DataFrame, ids: DataFrame, most_ids: int = 500_000) -> Data
 def residual(member: DataFrame, roots: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different groups so far: of each document to each group, one."""
     rest = _rooted(member.where("size > 2").select("band", "doc_id", "n"), roots, "doc_id", "root")
-    rest = common.written(rest.join(_mixed(rest, "band"), "band"), "mixed")
+    rest = common.written(rest, "rooted")  # keys and members apart, so that the join can split a key that many have
+    rest = common.written(rest.join(common.written(_mixed(rest, "band"), "mixed-keys"), "band"), "mixed")
     placed = rest.where("n_other = 1").withColumnRenamed("band", "key")
     large = common.written(rest.where("n_other > 1").select("doc_id", "n", "root").distinct(), "large")
     if not large.isEmpty():
