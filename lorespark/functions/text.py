@@ -14,8 +14,10 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 TOKEN = r"[\p{L}\p{N}]+(?:[._-][\p{L}\p{N}]+)*"
-#: Code point ranges whose runs give single characters and neighbouring pairs.
-CJK_RANGES = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x3040, 0x30FF), (0xAC00, 0xD7AF))
+# Code point ranges whose runs give single characters and neighbouring pairs.
+UNSPACED = r"\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0002FA1F"
+_LETTER = rf"(?:(?![{UNSPACED}])[^\W_])"
+_MIXED = re.compile(rf"(?P<run>[{UNSPACED}]+)|{_LETTER}(?:[._-]?{_LETTER})*(?:[._-](?=[{UNSPACED}]))?")
 
 
 def tokens(text: Column) -> Column:
@@ -23,35 +25,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def _is_cjk(c: str) -> bool:
-    return any(a <= ord(c) <= z for a, z in CJK_RANGES)
-
-
 def mixed_tokens(text: str | None) -> list[str]:
-    """Words of mixed scripts: compatibility-normalised, case-folded; a run without word breaks gives its characters, then its
-    neighbouring pairs; . _ and - join a word only between two of its characters."""
-    s = unicodedata.normalize("NFKC", text or "").casefold()
+    """Words of compatibility-normalised, case-folded text, as one pattern has them: words may join over . _ and -; a run of a
+    script without word breaks gives its characters, then its neighbouring pairs."""
     out: list[str] = []
-    i, n = 0, len(s)
-    while i < n:
-        if _is_cjk(s[i]):
-            j = i
-            while j < n and _is_cjk(s[j]):
-                j += 1
-            run = s[i:j]
-            out += [*run, *(run[k : k + 2] for k in range(len(run) - 1))]
-            i = j
-        elif s[i].isalnum():
-            j = i + 1
-            while j < n:
-                if s[j].isalnum() and not _is_cjk(s[j]) or s[j] in "._-" and j + 1 < n and s[j + 1].isalnum():
-                    j += 1
-                else:
-                    break
-            out.append(s[i:j])
-            i = j
-        else:
-            i += 1
+    for m in _MIXED.finditer(unicodedata.normalize("NFKC", text or "").casefold()):
+        run = m["run"]
+        out.extend([m[0]] if run is None else [*run, *map("".join, zip(run, run[1:], strict=False))])
     return out
 
 

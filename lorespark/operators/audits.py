@@ -19,7 +19,7 @@ def leakage(pairs: DataFrame, query: str, source: str, metadata: str | None = No
     return pairs.withColumn("codes", F.filter(F.array(*codes), lambda c: c.isNotNull()))
 
 
-def near_pairs(items: DataFrame, key: str, text: str, threshold: float, most_shared: int = 64) -> DataFrame:
+def near_pairs(items: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """a, b, similarity of items whose 3-grams have at least this Jaccard similarity.
 
     Prefix filter: in the order of rarest n-grams first, two sets that are so similar share one of the first

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lorespark.operators.sparse import ranked
 
@@ -21,20 +26,40 @@ def vector_faults(vectors: DataFrame, key: str, vector: str, dimension: int, tol
     return vectors.select(key, reason.alias("reason")).where("reason is not null")
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, key: str, limit: int, query_id: str = "query_id", query_vector: str = "query_vector", vector: str = "vector", digits: int = 5, most_queries: int = 20_000) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, key: str, limit: int, query_id: str = "query_id", query_vector: str = "query_vector", vector: str = "vector", digits: int = 5, most_queries: int = 4096) -> DataFrame:
     """query_id, key, score, rank: exact, ties by key. The stated query set is held against all vectors in blocks of queries.
 
-    A block of queries is packed into one row, so vectors stream past it once; the window keeps the best of each task before the
-    shuffle.
+    Vectors stream past a block of queries once: a matrix product for each Arrow batch, of which only each query's `limit` best
+    leave (and whatever rounding might still tie with them). Null vectors are left out; other dimensions than the queries' are an error.
     """
-    blocks = max(1, -(-queries.count() // most_queries))
-    own = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q"))
+    own = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q"))
+    blocks = max(1, -(-own.count() // most_queries))
+    kinds = {"query_id": dict(own.dtypes)["query_id"], key: dict(vectors.dtypes)[key]}
+    schema = f"query_id {kinds['query_id']}, `{key}` {kinds[key]}, score double"
+    known = vectors.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).cast("array<double>").alias("v"))
     scored = None
     for i in range(blocks):
         block = own if blocks == 1 else own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        packed = block.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))  # one row, about most_queries vectors
-        pairs = vectors.select(F.col(key), F.col(vector).alias("v")).join(F.broadcast(packed)).select(key, "v", F.explode("qs").alias("x"))
-        got = pairs.select(F.col("x.query_id").alias("query_id"), key, F.round(dot(F.col("x.q"), F.col("v")), digits).alias("score"))
+        rows = block.collect()  # about most_queries vectors
+        names = pa.array([r["query_id"] for r in rows], to_arrow_type(own.schema["query_id"].dataType))
+        matrix = np.array([r["q"] for r in rows], float)
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows or not len(names):
+                    continue
+                flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
+                if len(flat) != b.num_rows * matrix.shape[1]:
+                    raise ValueError("vectors and queries are of different dimensions")
+                for a in range(0, b.num_rows, step := max(1, (1 << 22) // len(names))):
+                    part = flat[a * matrix.shape[1] : (a + step) * matrix.shape[1]].reshape(-1, matrix.shape[1])
+                    got = matrix @ part.T
+                    k = min(limit, got.shape[1])
+                    least = np.partition(got, -k, axis=1)[:, -k] - 2 * 10.0**-digits
+                    x, y = np.nonzero(got >= least[:, None])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), b.column(0).take(pa.array(y + a)), pa.array(got[x, y])], ["query_id", key, "score"])
+
+        got = known.mapInArrow(run, schema).withColumn("score", F.round("score", digits))
         scored = got if scored is None else scored.unionByName(got)
     return ranked(scored, ["query_id"], [F.desc("score"), F.asc(key)], limit)
 

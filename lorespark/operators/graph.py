@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorespark.functions import text as T
+from lorespark.operators.linking import ratio
 from lorespark.operators.sparse import ranked
 
 SEEDS, NEIGHBOURS, RELATIONS, EVIDENCE = 5, 20, 100, 50
 # Bonus of each kind of path, and the scores of seed matches.
 BONUS = {"seed": 0.08, "relation": 0.12, "bridge": 0.06, "mixed": 0.02}
-EXACT, CONTAINS = 1.0, 0.93
+EXACT, CONTAINS, LEXICAL = 1.0, 0.93, 0.78
+WAYS, KINDS = ("exact", "contains", "lexical"), ("local_name", "local_alias", "canonical_name", "canonical_alias")
 
 
 def supported(entities: DataFrame, support: DataFrame) -> DataFrame:
@@ -26,26 +29,39 @@ def score(seed: Column, hop: Column, kind: Column) -> Column:
     return F.round(F.least(F.lit(1.0), 0.72 * seed + 0.2 / (1 + hop) + bonus), 6)
 
 
-def seeds(queries: DataFrame, terms: DataFrame, limit: int = SEEDS, generic: int | None = None) -> DataFrame:
-    """query_id, entity_id, method, score, term, rank: entities one of whose terms (entity_id, term) is in the query.
+def seeds(queries: DataFrame, terms: DataFrame, limit: int = SEEDS, generic: int | None = None, lexical: bool = True) -> DataFrame:
+    """query_id, entity_id, method, score, term, canonical_id, rank: entities by their terms (entity_id, term and, if they have
+    them, kind and canonical_id).
 
-    exact: the query is the term; contains: it holds the term between word ends. A term that more than `generic` (4 * limit)
-    entities share says nothing and is left out.
+    exact: the query is the term (1.0); contains: it holds it, ASCII terms between word ends (0.93); lexical: their similarity is
+    LEXICAL or more (0.88 of it). Methods rank in this order, within one by KINDS. A term that more than `generic` (4 * limit)
+    entities share says nothing and is left out. Queries meet terms by the terms' first four characters, and, for similarity, by
+    pairs of neighbouring characters: of two strings so similar, some two stand together in both.
     """
     generic = 4 * limit if generic is None else generic
-    words = F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9]+"))
-    q = queries.select("query_id", F.lower(F.trim("text")).alias("q"), words.alias("words"))
-    t = terms.select("entity_id", F.lower(F.trim("term")).alias("term")).distinct().where("term <> ''")
-    shared = t.groupBy("term").agg(F.countDistinct("entity_id").alias("n")).where(F.col("n") <= generic)
-    t = t.join(shared, "term").withColumn("first", F.regexp_extract("term", r"[a-z0-9]+", 0))
-    q = q.withColumn("first", F.explode("words")).where("first <> ''")
-    padded = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^a-z0-9_]", " "), F.lit(" "))
-    hit = q.join(t, "first").where(F.contains(padded(F.col("q")), padded(F.col("term"))))
-    exact = F.col("q") == F.col("term")
-    hit = hit.select("query_id", "entity_id", "term", F.when(exact, "exact").otherwise("contains").alias("method"), F.when(exact, EXACT).otherwise(CONTAINS).alias("score")).distinct()
-    best = hit.groupBy("query_id", "entity_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "method", "term")).alias("b"))
-    best = best.select("query_id", "entity_id", F.col("b.method").alias("method"), (-F.col("b.s")).alias("score"), F.col("b.term").alias("term"))
-    return ranked(best, ["query_id"], [F.desc("score"), F.asc("method"), F.asc("term"), F.asc("entity_id")], limit)
+    kind = F.col("kind") if "kind" in terms.columns else F.lit(KINDS[0])
+    canonical = F.col("canonical_id").cast("string") if "canonical_id" in terms.columns else F.lit(None).cast("string")
+    t = terms.select("entity_id", "term", T.label(F.col("term")).alias("norm"), kind.alias("kind"), canonical.alias("canonical_id")).distinct().where(F.length("norm") >= 2)
+    shared = t.groupBy("norm").agg(F.countDistinct("entity_id").alias("n")).where(F.col("n") <= generic)
+    t = t.join(shared.select("norm"), "norm")
+    q, labels = queries.select("query_id", T.label(F.col("text")).alias("q")), t.select("norm").distinct()
+    grams = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    at = q.select("query_id", "q", F.explode(F.array_distinct(F.concat(*[grams(F.col("q"), n) for n in (2, 3, 4)]))).alias("key"))
+    held = at.join(labels.withColumn("key", F.substring("norm", 1, 4)), "key").where(T.contains_word(F.col("q"), F.col("norm")))
+    exact = F.col("q") == F.col("norm")
+    hit = held.select("query_id", "norm", F.when(exact, 0).otherwise(1).alias("way"), F.when(exact, EXACT).otherwise(CONTAINS).alias("score"))
+    if lexical:
+        two = lambda df, c, *keep: df.select(*keep, c, F.explode(F.array_distinct(grams(F.col(c), 2))).alias("key"))
+        close = 2 * F.least(F.length("q"), F.length("norm")) >= LEXICAL * (F.length("q") + F.length("norm"))
+        like = two(q, "q", "query_id").join(two(labels.where(F.length("norm") >= 3), "norm"), "key").where(close & (F.col("q") != F.col("norm"))).select("query_id", "q", "norm").distinct()
+        like = like.where(~T.contains_word(F.col("q"), F.col("norm"))).withColumn("r", ratio(F.col("q"), F.col("norm"))).where(F.col("r") >= LEXICAL)
+        hit = hit.unionByName(like.select("query_id", "norm", F.lit(2).alias("way"), F.round(F.col("r") * 0.88, 6).alias("score")))
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    found = hit.join(t, "norm").withColumn("priority", F.col("way") * len(KINDS) + place)
+    best = found.groupBy("query_id", "entity_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "priority", "norm", "term", F.coalesce("canonical_id", F.lit("")).alias("c"), "kind", "way")).alias("b"))
+    ways = F.array(*map(F.lit, WAYS))
+    best = best.select("query_id", "entity_id", F.concat_ws("_", F.get(ways, F.col("b.way")), "b.kind").alias("method"), (-F.col("b.s")).alias("score"), F.col("b.term").alias("term"), F.nullif(F.col("b.c"), F.lit("")).alias("canonical_id"), F.col("b.priority").alias("priority"))
+    return ranked(best, ["query_id"], [F.desc("score"), F.asc("priority"), F.asc("entity_id")], limit).drop("priority")
 
 
 def edges(relations: DataFrame, memberships: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from lorespark.functions import text as T
+from lorespark.functions.scratch import shared_folder
 
 BLOCK, WINDOW, BUDGET, SIMILAR = 64, 16, 200, 0.72
 
@@ -19,7 +20,7 @@ def ratio(a: Column, b: Column) -> Column:
     """Share of matching characters (twice the matches over both lengths), longest blocks first; an Arrow function."""
 
     def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p or "", q or "", autojunk=False).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([SequenceMatcher(None, p or "", q or "", autojunk=True).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
 
     return F.pandas_udf(of, DoubleType())(a, b)
 
@@ -97,9 +98,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
 
 def _shared(spark) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lorespark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def canonical_plan(members: DataFrame, entities: DataFrame) -> DataFrame:

@@ -32,28 +32,52 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], limit: int | None
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, key: str, query_id: str, limit: int = 20, scope: Column | None = None, text_col: str = "text", query_text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, key, score, matched_terms, rank.
+def index_rows(chunks: DataFrame, key: str, text_col: str = "text", tokens=T.tokens, carry: tuple[str, ...] = ()) -> DataFrame:
+    """An index: key, dl, term, tf and the carried columns; a row for each term of a chunk, and one without a term for the chunk itself.
 
-    The scope (a filter of chunks) holds for everything: number of documents (empty ones too), mean length, document frequency.
-    Only postings of query terms are joined; scores are rounded before they are ranked, so that ties are ties.
+    Tokens are counted within their row, so nothing is shuffled.
     """
-    chunks = chunks.where(scope) if scope is not None else chunks
-    terms = query_terms(queries, query_id, query_text)
-    n, mean = chunks.select(F.size(T.tokens(F.col(text_col))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
-    if not n:
-        n, mean = 0, 1.0
+    one = chunks.select(key, *carry, tokens(F.col(text_col)).alias("t"))
+    counted = one.select(key, *carry, F.greatest(F.size("t"), F.lit(0)).alias("dl"), F.array_sort(F.coalesce("t", F.array().cast("array<string>"))).alias("t"))
+    # of sorted tokens the places where a new one begins; the distances between them are the frequencies
+    places = F.filter(F.sequence(F.lit(0), F.size("t")), lambda i: (i == F.size("t")) | (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    begun = counted.withColumn("p", places)
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), lambda j: F.struct(F.get("t", F.get("p", j - 1)).alias("term"), (F.get("p", j) - F.get("p", j - 1)).cast("long").alias("tf")))
+    own = F.when(F.size("t") > 0, each).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+    chunk = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf")))
+    return begun.select(key, *carry, "dl", F.explode(F.concat(chunk, own)).alias("x")).select(key, *carry, "dl", "x.term", "x.tf")
+
+
+def search(queries: DataFrame, index: DataFrame, key: str, query_id: str, limit: int = 20, scope: Column | None = None, query_text: str = "text", k1: float = K1, b: float = B, tokens=T.tokens) -> DataFrame:
+    """query_id, key, score, matched_terms, rank, from an index.
+
+    The scope (a filter of the index's key and carried columns) holds for everything: number of documents (empty ones too), mean
+    length, document frequency. Only postings of query terms are joined; scores are rounded before they are ranked, so that ties are ties.
+    """
+    index = index.where(scope) if scope is not None else index
+    terms = query_terms(queries, query_id, query_text, tokens)
+    n, mean = index.where("term is null").agg(F.count("*"), F.avg("dl")).first()
     wanted = terms.select("term").distinct()
-    words = chunks.select(key, T.tokens(F.col(text_col)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    hits = words.join(wanted, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    hits = index.where("term is not null").select("term", key, "tf", "dl").join(F.broadcast(wanted) if _few(wanted) else wanted, "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(mean or 1.0))))
-    weighted = hits.join(df, "term").select("term", key, (idf * weight).alias("w"))
-    scored = terms.join(weighted, "term").groupBy("query_id", key).agg(F.round(F.sum("w"), 6).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
+    asked = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    scored = hits.select("term", key, weight.alias("w")).join(asked, "term")
+    scored = scored.groupBy("query_id", key).agg(F.round(F.sum(F.col("idf") * F.col("w")), 6).alias("score"), F.array_sort(F.collect_list("term")).alias("matched_terms"))
     return ranked(scored, ["query_id"], [F.desc("score"), F.asc(key)], limit)
 
 
+def _few(terms: DataFrame, most: int = 100_000) -> bool:
+    return terms.limit(most + 1).count() <= most
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, key: str, query_id: str, limit: int = 20, scope: Column | None = None, text_col: str = "text", query_text: str = "text", k1: float = K1, b: float = B, tokens=T.tokens) -> DataFrame:
+    """search over an index of the chunks that the scope admits, made for this call."""
+    chunks = chunks.where(scope) if scope is not None else chunks
+    return search(queries, index_rows(chunks, key, text_col, tokens), key, query_id, limit, None, query_text, k1, b, tokens)
+
+
 def index_status(expected: DataFrame, stored: DataFrame, keys: list[str], fingerprint: str) -> DataFrame:
     """status (missing, stale, incompatible, ready) and n of expected and stored chunks."""
     both = expected.select(*keys, F.col(fingerprint).alias("e")).join(stored.select(*keys, F.col(fingerprint).alias("s")), keys, "full_outer")

@@ -116,7 +116,7 @@ def leak_01_codes(spark, sf_dir):
 
 
 def jn_15_near_pairs(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("n_chars between 40 and 400")
+    d = _t(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
     return A.near_pairs(d, "doc_id", "text", 0.8)
 
 
@@ -165,7 +165,7 @@ def snk_13_registration(spark, sf_dir):
 
 
 def snk_15_resume(spark, sf_dir):
-    inputs = _t(spark, sf_dir, "orders").where("o_custkey < 400").groupBy(F.col("o_custkey").alias("document_id")).agg(F.count("*").cast("string").alias("fingerprint"))
+    inputs = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("document_id")).agg(F.count("*").cast("string").alias("fingerprint"))
     documents = inputs.where("document_id % 5 <> 0").withColumn("fingerprint", F.when(F.col("document_id") % 7 == 0, F.lit("old")).otherwise(F.col("fingerprint"))).withColumn("status", F.lit("completed"))
     chunks = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.lit("f").alias("fingerprint"), F.lit("f").alias("expected"), F.when(F.col("o_totalprice") > 499000, "failed").otherwise("completed").alias("status"))
     return A.resume_decisions(inputs, documents, chunks)
@@ -263,7 +263,7 @@ ORACLE = {
     "top_04_stratified": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn BETWEEN 3 AND 5",
     "top_05_diverse": "SELECT doc_id, source, CAST(tier AS INT) AS tier FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1 THEN 0 ELSE 1 END AS tier FROM documents) ORDER BY tier, n_chars DESC, doc_id LIMIT 30",
     "top_06_worst": "SELECT doc_id, CAST(contains(text, '!!') AS INT) AS shouting, n_chars FROM documents ORDER BY shouting DESC, n_chars DESC, doc_id LIMIT 10",
-    "jn_15_near_pairs": f"WITH g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(length({_SQZ}) - 1, 2)), lambda i: substr({_SQZ}, i, 3))) AS g FROM documents WHERE n_chars BETWEEN 40 AND 400), p AS (SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.doc_id < b.doc_id AND least(len(a.g), len(b.g)) >= 0.8 * greatest(len(a.g), len(b.g))) SELECT * FROM p WHERE similarity >= 0.8",
+    "jn_15_near_pairs": f"WITH g AS (SELECT item_id AS doc_id, list_distinct(list_transform(range(1, greatest(length({_SQZ}) - 1, 2)), lambda i: substr({_SQZ}, i, 3))) AS g FROM benchmark), p AS (SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.doc_id < b.doc_id AND least(len(a.g), len(b.g)) >= 0.8 * greatest(len(a.g), len(b.g))) SELECT * FROM p WHERE similarity >= 0.8",
     "leak_02_same_text": f"SELECT md5({_SQZ}) AS fingerprint, count(*) AS n, min(conv_id) AS first FROM conversations GROUP BY 1 HAVING count(*) > 1",
     "aud_01_labels": "SELECT 'label_without_text' AS code, count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 50) HAVING count(*) > 0 UNION ALL SELECT 'unlabelled', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) HAVING count(*) > 0",
     "aud_03_order": "WITH s AS (SELECT event_type AS t, value AS v, lag(event_type) OVER w AS lt, lag(value) OVER w AS lv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), c AS (SELECT CASE WHEN t = lt AND v = lv THEN 'repeated' WHEN t < lt OR (t = lt AND v < lv) THEN 'not_monotone' END AS code FROM s) SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1",
@@ -273,7 +273,7 @@ ORACLE = {
     "snk_12_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "snk_13_registration": "SELECT CASE WHEN doc_id % 3 <> 0 THEN 'insert' WHEN doc_id % 30 = 0 THEN 'conflict' ELSE 'valid' END AS plan, count(*) AS n FROM documents GROUP BY 1",
     "snk_14_attribution": "WITH o AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'xx' ELSE lang END AS kb FROM documents WHERE doc_id % 9 <> 0 UNION ALL SELECT doc_id, 'zz' FROM documents WHERE doc_id % 25 = 1), g AS (SELECT doc_id, count(DISTINCT kb) AS n, min(kb) AS owner FROM o GROUP BY 1), j AS (SELECT CASE WHEN d.doc_id % 4 <> 0 THEN lang END AS kb, n, owner, CASE WHEN n IS NULL THEN 'unmapped' WHEN n > 1 THEN 'ambiguous' ELSE 'mapped' END AS state FROM documents d LEFT JOIN g USING (doc_id)) SELECT state, CASE WHEN state <> 'mapped' THEN 'none' WHEN kb IS NULL THEN 'update' WHEN kb = owner THEN 'ok' ELSE 'conflict' END AS action, count(*) AS n FROM j GROUP BY 1, 2",
-    "snk_15_resume": "WITH i AS (SELECT o_custkey AS document_id, bool_and(o_totalprice <= 499000) AS done FROM orders WHERE o_custkey < 400 GROUP BY 1) SELECT document_id, CASE WHEN document_id % 5 = 0 THEN 'new' WHEN document_id % 7 <> 0 AND done THEN 'reuse' ELSE 'rebuild' END AS decision FROM i",
+    "snk_15_resume": "WITH i AS (SELECT o_custkey AS document_id, bool_and(o_totalprice <= 499000) AS done FROM orders GROUP BY 1) SELECT document_id, CASE WHEN document_id % 5 = 0 THEN 'new' WHEN document_id % 7 <> 0 AND done THEN 'reuse' ELSE 'rebuild' END AS decision FROM i",
     "snk_16_roll_up": "WITH c AS (SELECT o_custkey AS document_id, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_totalprice > 450000 THEN 'failed' WHEN o_totalprice < 5000 THEN 'deferred' ELSE 'completed' END AS s FROM orders), g AS (SELECT document_id, count(*) FILTER (WHERE s = 'completed') AS completed, count(*) FILTER (WHERE s = 'failed') AS failed, count(*) FILTER (WHERE s = 'deferred') AS deferred, count(*) AS n FROM c GROUP BY 1) SELECT document_id, completed, failed, deferred, CASE WHEN completed = n THEN 'completed' WHEN deferred > 0 THEN 'provider_blocked' ELSE 'failed' END AS status FROM g",
     "src_03_representatives": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS rn FROM documents WHERE n_chars > 0) WHERE rn = 1",
     "src_04_duplicate_keys": "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",

@@ -14,14 +14,14 @@ _t = table
 def _entities(spark, sf_dir):
     n = _t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.col("n_name").alias("name"), F.lit("place").alias("type"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("document_id"))
     r = _t(spark, sf_dir, "region").select(F.concat(F.lit("g"), F.col("r_regionkey").cast("string")).alias("entity_id"), F.col("r_name").alias("name"), F.lit("place").alias("type"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("document_id"))
-    s = _t(spark, sf_dir, "supplier").where("s_suppkey < 60").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.col("s_name").alias("name"), F.lit("firm").alias("type"), F.concat(F.lit("r"), (F.col("s_nationkey") % 5).cast("string")).alias("document_id"))
+    s = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.col("s_name").alias("name"), F.lit("firm").alias("type"), F.concat(F.lit("r"), (F.col("s_nationkey") % 5).cast("string")).alias("document_id"))
     return n.unionByName(r).unionByName(s)
 
 
 def _relations(spark, sf_dir):
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     a = _t(spark, sf_dir, "nation").select(key("in", "n_nationkey").alias("relation_id"), key("n", "n_nationkey").alias("source_entity_id"), key("g", "n_regionkey").alias("target_entity_id"), key("r", "n_regionkey").alias("document_id"))
-    b = _t(spark, sf_dir, "supplier").where("s_suppkey < 60").select(key("at", "s_suppkey").alias("relation_id"), key("s", "s_suppkey").alias("source_entity_id"), key("n", "s_nationkey").alias("target_entity_id"), F.concat(F.lit("r"), (F.col("s_nationkey") % 5).cast("string")).alias("document_id"))
+    b = _t(spark, sf_dir, "supplier").select(key("at", "s_suppkey").alias("relation_id"), key("s", "s_suppkey").alias("source_entity_id"), key("n", "s_nationkey").alias("target_entity_id"), F.concat(F.lit("r"), (F.col("s_nationkey") % 5).cast("string")).alias("document_id"))
     return a.unionByName(b)
 
 
@@ -96,7 +96,7 @@ def agg_25_graph_coverage(spark, sf_dir):
 
 
 def _parts(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").where("p_partkey < 400")
+    p = _t(spark, sf_dir, "part")
     return p.select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("entity_id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), F.col("p_type").alias("type"), F.concat(F.lit("d"), (F.col("p_size") % 9).cast("string")).alias("document_id"))
 
 
@@ -186,10 +186,10 @@ FUNCTIONS = (
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _E = """e AS (SELECT 'n' || n_nationkey AS entity_id, n_name AS name, 'place' AS type, 'r' || n_regionkey AS document_id FROM nation UNION ALL SELECT 'g' || r_regionkey, r_name, 'place', 'r' || r_regionkey FROM region
-    UNION ALL SELECT 's' || s_suppkey, s_name, 'firm', 'r' || (s_nationkey % 5) FROM supplier WHERE s_suppkey < 60),
-rel AS (SELECT 'in' || n_nationkey AS relation_id, 'n' || n_nationkey AS s, 'g' || n_regionkey AS t, 'r' || n_regionkey AS document_id FROM nation UNION ALL SELECT 'at' || s_suppkey, 's' || s_suppkey, 'n' || s_nationkey, 'r' || (s_nationkey % 5) FROM supplier WHERE s_suppkey < 60),
+    UNION ALL SELECT 's' || s_suppkey, s_name, 'firm', 'r' || (s_nationkey % 5) FROM supplier),
+rel AS (SELECT 'in' || n_nationkey AS relation_id, 'n' || n_nationkey AS s, 'g' || n_regionkey AS t, 'r' || n_regionkey AS document_id FROM nation UNION ALL SELECT 'at' || s_suppkey, 's' || s_suppkey, 'n' || s_nationkey, 'r' || (s_nationkey % 5) FROM supplier),
 sup AS (SELECT 'entity' AS node_kind, entity_id AS node_id, 'ev-' || entity_id AS evidence_id, document_id FROM e WHERE entity_id NOT IN ('n7', 's9') UNION ALL SELECT 'relation', relation_id, 'ev-' || relation_id, document_id FROM rel)"""
-_SEED = """seed AS (SELECT CAST(q.n_nationkey AS BIGINT) AS query_id, e.entity_id, 'contains' AS method, 0.93 AS score, row_number() OVER (PARTITION BY q.n_nationkey ORDER BY lower(e.name), e.entity_id) AS rank
+_SEED = """seed AS (SELECT CAST(q.n_nationkey AS BIGINT) AS query_id, e.entity_id, 'contains_local_name' AS method, 0.93 AS score, row_number() OVER (PARTITION BY q.n_nationkey ORDER BY e.entity_id) AS rank
     FROM nation q JOIN e ON regexp_matches('what of ' || lower(q.n_name) || ' now', '(^|[^a-z0-9_])' || regexp_replace(lower(e.name), '([^a-z0-9 ])', '.', 'g') || '([^a-z0-9_]|$)'))"""
 _P = """ed AS (SELECT s AS a, t AS b, relation_id FROM rel UNION ALL SELECT t, s, relation_id FROM rel),
 h0 AS (SELECT query_id, entity_id AS seed_id, [entity_id] AS nodes, CAST([] AS VARCHAR[]) AS rels FROM seed WHERE rank <= 5),
@@ -199,7 +199,7 @@ x2 AS (SELECT query_id, seed_id, list_append(nodes, b) AS nodes, list_append(rel
 h2 AS (SELECT query_id, seed_id, nodes, rels FROM x2 WHERE nth <= 20),
 p AS (SELECT *, 0 AS hop, round(least(1, 0.72 * 0.93 + 0.2 + 0.08), 6) AS score FROM h0 UNION ALL SELECT *, 1, round(least(1, 0.72 * 0.93 + 0.1 + 0.12), 6) FROM h1 UNION ALL SELECT *, 2, round(least(1, 0.72 * 0.93 + 0.2 / 3 + 0.12), 6) FROM h2)"""
 _EV = """ev AS (SELECT query_id, evidence_id, document_id, CAST(max(score) AS DOUBLE) AS score, max({'s': score, 'h': -hop, 'd': seed_id}) AS b, count(DISTINCT {'n': nodes, 'r': rels}) AS n_paths FROM p JOIN sup ON node_kind = 'entity' AND node_id = nodes[-1] GROUP BY ALL)"""
-_PARTS = "p AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS id, p_name AS name, p_brand AS alias, p_type AS type, 'd' || (p_size % 9) AS doc FROM part WHERE p_partkey < 400)"
+_PARTS = "p AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS id, p_name AS name, p_brand AS alias, p_type AS type, 'd' || (p_size % 9) AS doc FROM part)"
 _BL = f"{_PARTS}, t AS (SELECT DISTINCT id, trim(regexp_replace(lower(x), '\\s+', ' ', 'g')) AS term FROM (SELECT id, unnest([name, alias]) AS x FROM p))"
 _EX = f"{_BL}, sz AS (SELECT term, count(*) AS n FROM t GROUP BY 1), c AS (SELECT a.id AS a, b.id AS b, term FROM t a JOIN t b USING (term) JOIN sz USING (term) WHERE a.id < b.id AND n <= 64)"
 _SIG = f"{_EX}, d AS (SELECT DISTINCT a, b FROM c), s AS (SELECT d.a, d.b, lower(x.name) = lower(y.name) AS name_match, list_sort(list_intersect(list_distinct([lower(x.name), lower(x.alias)]), list_distinct([lower(y.name), lower(y.alias)]))) AS t, CASE WHEN lower(x.alias) = lower(y.alias) THEN lower(x.alias) ELSE '' END AS al, x.type = y.type AS same_type, x.doc = y.doc AS same_document FROM d JOIN p x ON x.id = d.a JOIN p y ON y.id = d.b)"

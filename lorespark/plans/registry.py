@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorespark.functions.ship import shipped
-from lorespark.plans import documents, evaluation, graphs, lifecycle, relational, retrieval
+from lorespark.plans import candidates, documents, evaluation, graphs, lifecycle, relational, retrieval
 
-MODULES = (relational, retrieval, documents, graphs, evaluation, lifecycle)
+MODULES = (relational, retrieval, documents, graphs, evaluation, lifecycle, candidates)
 
 
 def _with_package(f):

@@ -1,6 +1,6 @@
 """Sparse and dense retrieval, fusion and packing over the test tables, with their SQL.
 
-documents are the chunks, benchmark texts the queries; embeddings are the vectors, those with an id divisible by 25 the
+documents are the chunks, benchmark texts the queries; embeddings are the vectors, those with an id divisible by 20 the
 queries, and equal labels are relevant.
 """
 
@@ -62,7 +62,7 @@ def _vectors(spark, sf_dir):
 
 
 def _vector_queries(spark, sf_dir):
-    v = _vectors(spark, sf_dir).where("vec_id % 25 = 0")
+    v = _vectors(spark, sf_dir).where("vec_id % 20 = 0")
     return v.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("label").alias("query_label"))
 
 
@@ -234,13 +234,13 @@ QUERIES = {f.__name__: f for f in FUNCTIONS}
 def _dense_sql(limit: int, digits: int = 5, where: str = "true", name: str = "d") -> str:
     return f"""{name} AS (SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
     SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), {digits}) AS score
-    FROM embeddings q JOIN embeddings v ON q.vec_id % 25 = 0 WHERE {where})) WHERE rank <= {limit})"""
+    FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 WHERE {where})) WHERE rank <= {limit})"""
 
 
 _SP = """sp AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(-abs(v.vec_id - q.vec_id) AS DOUBLE) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(v.vec_id - q.vec_id), v.vec_id) AS rank
-    FROM embeddings q JOIN embeddings v ON q.vec_id % 25 = 0 AND v.vec_id BETWEEN q.vec_id - 6 AND q.vec_id + 6)"""
-_GOLD = "gold AS (SELECT q.vec_id AS query_id, v.vec_id FROM embeddings q JOIN embeddings v ON q.vec_id % 25 = 0 AND q.label = v.label)"
-_QS = "qs AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 25 = 0)"
+    FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND v.vec_id BETWEEN q.vec_id - 6 AND q.vec_id + 6)"""
+_GOLD = "gold AS (SELECT q.vec_id AS query_id, v.vec_id FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.label = v.label)"
+_QS = "qs AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0)"
 
 
 def _metrics_sql(run: str, name: str) -> str:

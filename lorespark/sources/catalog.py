@@ -61,3 +61,11 @@ def inventory(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFra
 def described(cols: DataFrame, comments: DataFrame) -> DataFrame:
     """columns with their comments, cleaned and bounded."""
     return cols.join(comments.select("relation", "name", clean_comment(F.col("comment")).alias("comment")), ["relation", "name"], "left")
+
+
+def corpus(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """The documents of a manifest (document_id, path, sha) with their files' columns (path, ...): of equal contents the one of the
+    smallest id stands for all (n_copies); present: whether its file is there."""
+    first = manifest.groupBy("sha").agg(F.min(F.struct("document_id", "path")).alias("m"), F.count("*").alias("n_copies"))
+    first = first.select("m.document_id", "m.path", "sha", "n_copies")
+    return first.join(files.withColumn("present", F.lit(True)), "path", "left").withColumn("present", F.coalesce("present", F.lit(False)))

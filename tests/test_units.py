@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
-from lorespark.operators import audits, blocks, dense, fusion, graph, lifecycle, linking, metrics, sparse
+from lorespark.operators import audits, blocks, candidates, comparisons, dense, fusion, graph, lifecycle, linking, metrics, sparse
 from lorespark.operators import sqlgate as gate
 from lorespark.sources import catalog
 from lorespark.streaming import usage
@@ -174,7 +174,7 @@ def test_traversal_with_bridge(spark):
 def test_generic_terms(spark):
     q = spark.createDataFrame([(1, "the red ring")], "query_id int, text string")
     t = spark.createDataFrame([("e1", "red"), ("e2", "ring"), ("e3", "ring"), ("e4", "the red ring")], "entity_id string, term string")
-    assert [(r[1], r[2]) for r in rows(graph.seeds(q, t, generic=1), "rank")] == [("e4", "exact"), ("e1", "contains")]
+    assert [(r[1], r[2]) for r in rows(graph.seeds(q, t, generic=1), "rank")] == [("e4", "exact_local_name"), ("e1", "contains_local_name")]
 
 
 def test_linking(spark):
@@ -277,7 +277,64 @@ def test_generations(spark, tmp_path):
     g.replace(spark.createDataFrame([("d1", 5), ("d1", 6)], "document_id string, x int"), "d1", {"v": 1})
     assert sorted(r.x for r in g.read().collect()) == [2, 5, 6]
     assert g.delete("d1", {"v": 1}) == 2 and g.delete("d1", {"v": 1}) == 0 and g.read().count() == 1
-    assert len([p for p in tmp_path.iterdir() if p.name.startswith("gen=")]) == 1
+    kept = lambda: len([p for p in tmp_path.iterdir() if p.name.startswith("gen=")])
+    assert kept() == 3 and g.prune(1) == 2 and kept() == 1 and g.read().count() == 1
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("aside")]
+    with pytest.raises(ValueError):
+        g.replace_documents(spark.createDataFrame([("d2", 1), ("d2", 1)], "document_id string, x int"), {"v": 1}, identity="x")
+    assert g.read().count() == 1 and kept() == 1
+
+
+def test_branches(spark):
+    rows_ = spark.range(2).toDF("key")
+
+    def broken():
+        raise KeyError("x")
+
+    out = candidates.run_branches({"a": lambda: rows_, "b": broken}, rows_.where("false"))
+    assert (out["a"].status, out["b"].status, out["b"].error, out["b"].rows.count()) == ("success", "failed", "KeyError", 0)
+    with pytest.raises(KeyError):
+        candidates.run_branches({"a": lambda: rows_, "b": broken}, rows_, strict=True)
+    with pytest.raises(candidates.AllFailed):
+        candidates.run_branches({"b": broken}, rows_)
+    with pytest.raises(Exception, match="no lineage"):
+        candidates.with_lineage(rows_, rows_.where("key = 0"), "key").collect()
+    with pytest.raises(ValueError):
+        candidates.scoped(rows_, "")
+
+
+def test_facts():
+    cols, rows_ = ["n", "x"], [("a", 1), ("b", 2.0000000001), ("a", 1)]
+    hold = lambda facts, r=rows_, c=cols: comparisons.facts_hold(c, r, facts)
+    assert hold([]) is None and hold([{"n": "a"}, {"n": "a", "x": 1}]) and not hold([{"n": "a"}] * 3) and hold([{"x": 2}])
+    assert hold([{}], []) and not hold([{}]) and not hold([{"y": 1}]) and not hold([{"n": "a"}], c=["n", "n"])
+
+
+def test_seeds_of_any_script(spark):
+    terms = spark.createDataFrame([("e1", "Москва", "local_name", None), ("e2", "北京", "local_alias", None), ("e3", "moscow city", "local_name", None), ("e3", "Moskow", "canonical_alias", "c9"), ("e4", "art", "local_name", None)], "entity_id string, term string, kind string, canonical_id string")
+    q = spark.createDataFrame([(1, "где Москва сейчас"), (2, "我在北京住"), (3, "moscow citi"), (4, "party time"), (5, "Moskow")], "query_id int, text string")
+    got = [(r.query_id, r.entity_id, r.method, r.score, r.canonical_id) for r in graph.seeds(q, terms).orderBy("query_id", "rank").collect()]
+    assert got == [(1, "e1", "contains_local_name", 0.93, None), (2, "e2", "contains_local_alias", 0.93, None), (3, "e3", "lexical_local_name", round(20 / 22 * 0.88, 6), None), (5, "e3", "exact_canonical_alias", 1.0, "c9")]
+
+
+def test_mixed_tokens():
+    cases = {"bge-m3 2024 x_i": ["bge-m3", "2024", "x_i"], "中文检索ok": ["中", "文", "检", "索", "中文", "文检", "检索", "ok"], "a..b a.": ["a", "b", "a"], "ｆｕｌｌ Straße": ["full", "strasse"], "かな한글": ["かな한글"], "v.中": ["v.", "中"], "": []}
+    assert {k: T.mixed_tokens(k) for k in cases} == cases
+
+
+def test_search_with_mixed_tokens(spark):
+    chunks = spark.createDataFrame([(1, "中文检索 works"), (2, "other text"), (3, None), (4, "中 国")], "id int, text string")
+    q = spark.createDataFrame([(7, "检索"), (8, "中"), (9, "   ")], "qid int, text string")
+    got = [(r.query_id, r.id) for r in sparse.bm25(q, chunks, "id", "qid", tokens=T.mixed_script_tokens).orderBy("query_id", "rank").collect()]
+    assert got == [(7, 1), (8, 4), (8, 1)]
+
+
+def test_command_line(capsys, spark, sf, tmp_path):
+    from lorespark.__main__ import main
+
+    assert main(["list"]) == 0 and "ret_04_bm25" in capsys.readouterr().out
+    assert main(["run", "no_such", sf]) == 2
+    assert main(["run", "ret_18_branches", sf, str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
 def test_documents_source(spark, tmp_path):
