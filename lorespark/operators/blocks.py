@@ -215,7 +215,7 @@ def lineage_faults(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     both = used.join(known, [*DOC, "block_id"], "left")
     pages = both.groupBy(*DOC, "ordinal", "page_start", "page_end").agg(F.min("page_number").alias("a"), F.max("page_number").alias("z")).where("a <> page_start or z <> page_end")
     one = lambda df, code: df.select(F.lit(code).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-    return one(both.where("known is null"), "unknown_block").unionByName(one(pages, "page_range")).unionByName(one(known.join(used, [*DOC, "block_id"], "left_anti"), "uncovered_block"))
+    return one(both.where("known is null").select(*DOC, "block_id").distinct(), "unknown_block").unionByName(one(pages, "page_range")).unionByName(one(known.join(used, [*DOC, "block_id"], "left_anti"), "uncovered_block"))
 
 
 def profile(chunks: DataFrame, most: int = MOST) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import sha256_text
 
 
+def _contract_hash(contract: dict) -> str:
+    return sha256_text(json.dumps(contract, sort_keys=True))
+
+
 class Generations:
     """Immutable generations `gen=<sha>` under a root that all executors share, and numbered pointer files that name them.
 
@@ -31,16 +35,22 @@ class Generations:
         names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
         return sorted(int(n) for n in names if n.isdigit())
 
-    def _named(self, number: int) -> str:
+    def _named(self, number: int) -> tuple[str, str]:
+        """(generation, hash of its contract) of a pointer."""
         stream = self._fs.open(self._path(f"pointers/{number:09}"))
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return tuple(bytes(stream.readAllBytes()).decode().split())
         finally:
             stream.close()
 
+    def current(self, contract: dict) -> bool:
+        """Whether the active generation was built under this contract."""
+        have = self._pointers()
+        return bool(have) and self._named(have[-1])[1] == _contract_hash(contract)
+
     def active(self) -> str | None:
         have = self._pointers()
-        return self._named(have[-1]) if have else None
+        return self._named(have[-1])[0] if have else None
 
     def read(self) -> DataFrame | None:
         name = self.active()
@@ -56,19 +66,19 @@ class Generations:
                 check(done)
             n, content = done.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")), F.lit(0))).first()
             name = "gen=" + sha256_text(json.dumps({"contract": contract, "n": n, "content": str(content), "schema": rows.schema.simpleString()}, sort_keys=True))
-            if before and name == self._named(before[-1]):
+            if before and (name, _contract_hash(contract)) == self._named(before[-1]):
                 return name
             if not self._fs.exists(self._path(name)) and not self._fs.rename(self._path(aside), self._path(name)):
                 raise RuntimeError("the generation could not be moved into place")
-            self._point(name, (before[-1] if before else 0) + 1)
+            self._point(f"{name} {_contract_hash(contract)}", (before[-1] if before else 0) + 1)
             return name
         finally:
             self._fs.delete(self._path(aside), True)
 
-    def _point(self, name: str, number: int) -> None:
+    def _point(self, content: str, number: int) -> None:
         new, target = self._path(f"pointers/new-{uuid.uuid4().hex}"), self._path(f"pointers/{number:09}")
         out = self._fs.create(new, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(content.encode()))
         out.close()
         if self._fs.exists(target) or not self._fs.rename(new, target):
             self._fs.delete(new, False)
@@ -79,7 +89,7 @@ class Generations:
         have = self._pointers()
         for number in have[:-keep]:
             self._fs.delete(self._path(f"pointers/{number:09}"), False)
-        named = {self._named(n) for n in have[-keep:]}
+        named = {self._named(n)[0] for n in have[-keep:]}
         gone = [s.getPath() for s in self._fs.listStatus(self._path("")) if s.getPath().getName().startswith("gen=") and s.getPath().getName() not in named]
         for p in gone:
             self._fs.delete(p, True)

@@ -45,8 +45,13 @@ def blk_05_chunks(spark, sf_dir):
 
 
 def blk_08_lineage(spark, sf_dir):
+    """Faults planted in the real chunks: every fiftieth document's blocks are unknown, every fortieth's chunks claim a page more."""
     b = _blocks(spark, sf_dir)
-    return B.lineage_faults(B.chunked(B.sectioned(b)), b)
+    every = lambda n: F.col("document_id").cast("long") % n == 0
+    chunks = B.chunked(B.sectioned(b)).withColumn("page_end", F.when(every(40), F.col("page_end") + 1).otherwise(F.col("page_end")))
+    chunks = chunks.where(~every(30))
+    found = B.lineage_faults(chunks, b.where(~every(50)))
+    return found.where("code <> 'page_range'")
 
 
 def _sections_as_chunks(spark, sf_dir):
@@ -177,6 +182,7 @@ _R = f"""r AS (SELECT document_id, block_id, {_M} AS modality, CASE type WHEN 't
 _SQ = "regexp_replace(lower(text), '\\s+', '', 'g')"
 _NG = f"list_distinct(list_transform(range(1, greatest(length({_SQ}) - 1, 2)), lambda i: substr({_SQ}, i, 3)))"
 ORACLE = {
+    "blk_08_lineage": f"WITH {_B}, d AS (SELECT CAST(document_id AS BIGINT) AS d FROM b) SELECT 'unknown_block' AS code, count(*) AS n FROM d WHERE d % 50 = 0 AND d % 30 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'uncovered_block', count(*) FROM d WHERE d % 30 = 0 AND d % 50 <> 0 HAVING count(*) > 0",
     "src_07_blocks": f"WITH {_B} SELECT kb_id, document_id, page_number, reading_order, block_id, type, md5(text) AS text FROM b",
     "blk_01_render": f"WITH {_B} SELECT document_id, block_id, md5({_SHOWN}) AS shown FROM b",
     "blk_03_sections": f"WITH {_B}, {_S} SELECT document_id, block_id, section FROM s",

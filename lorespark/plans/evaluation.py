@@ -8,6 +8,7 @@ from lorespark.functions import text as T
 from lorespark.operators import audits as A
 from lorespark.operators import metrics as M
 from lorespark.operators import sparse
+from lorespark.plans.retrieval import document_index
 from lorespark.sources.tables import table as _t
 
 
@@ -109,7 +110,7 @@ def top_05_diverse(spark, sf_dir):
 
 def leak_01_codes(spark, sf_dir):
     docs, items = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
-    run = sparse.bm25(items, docs, "doc_id", "item_id", limit=3)
+    run = sparse.search(items, document_index(spark, sf_dir), "doc_id", "item_id", limit=3)
     pairs = run.join(docs.select("doc_id", F.col("text").alias("source"), "lang"), "doc_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
     got = A.leakage(pairs, "query", "source")
     return got.select("query_id", "doc_id", F.array_join("codes", ",").alias("codes")).where("codes <> ''")
@@ -148,7 +149,7 @@ def ret_05_index_status(spark, sf_dir):
 
 
 def aud_04_fingerprint(spark, sf_dir):
-    return A.table_fingerprint(_t(spark, sf_dir, "nation")).select("n", (F.length("fingerprint") == 64).alias("whole"))
+    return A.table_fingerprint(_t(spark, sf_dir, "nation"))
 
 
 def snk_14_attribution(spark, sf_dir):
@@ -269,7 +270,7 @@ ORACLE = {
     "aud_03_order": "WITH s AS (SELECT event_type AS t, value AS v, lag(event_type) OVER w AS lt, lag(value) OVER w AS lv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), c AS (SELECT CASE WHEN t = lt AND v = lv THEN 'repeated' WHEN t < lt OR (t = lt AND v < lv) THEN 'not_monotone' END AS code FROM s) SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1",
     "jn_12_index_audit": f"WITH {_MD} UNION ALL SELECT doc_id + 1000000, f FROM d WHERE doc_id % 50 = 0), j AS (SELECT d.f AS e, st.f AS a FROM d FULL OUTER JOIN st USING (doc_id)) SELECT count(*) FILTER (WHERE e = a) AS matched, count(*) FILTER (WHERE a IS NULL) AS missing, count(*) FILTER (WHERE e IS NULL) AS stale, count(*) FILTER (WHERE e <> a) AS changed FROM j",
     "ret_05_index_status": f"WITH {_MD}), j AS (SELECT d.f AS e, st.f AS a FROM d FULL OUTER JOIN st USING (doc_id)) SELECT CASE WHEN a IS NULL THEN 'missing' WHEN e IS NULL THEN 'stale' WHEN e <> a THEN 'incompatible' ELSE 'ready' END AS status, count(*) AS n FROM j GROUP BY 1",
-    "aud_04_fingerprint": "SELECT count(*) AS n, true AS whole FROM nation",
+    "aud_04_fingerprint": """WITH h AS (SELECT sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS h FROM nation) SELECT count(*) AS n, sha256(sum(CAST('0x' || h[1:15] AS HUGEINT)) || ':' || sum(CAST('0x' || h[16:30] AS HUGEINT))) AS fingerprint FROM h""",
     "snk_12_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "snk_13_registration": "SELECT CASE WHEN doc_id % 3 <> 0 THEN 'insert' WHEN doc_id % 30 = 0 THEN 'conflict' ELSE 'valid' END AS plan, count(*) AS n FROM documents GROUP BY 1",
     "snk_14_attribution": "WITH o AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'xx' ELSE lang END AS kb FROM documents WHERE doc_id % 9 <> 0 UNION ALL SELECT doc_id, 'zz' FROM documents WHERE doc_id % 25 = 1), g AS (SELECT doc_id, count(DISTINCT kb) AS n, min(kb) AS owner FROM o GROUP BY 1), j AS (SELECT CASE WHEN d.doc_id % 4 <> 0 THEN lang END AS kb, n, owner, CASE WHEN n IS NULL THEN 'unmapped' WHEN n > 1 THEN 'ambiguous' ELSE 'mapped' END AS state FROM documents d LEFT JOIN g USING (doc_id)) SELECT state, CASE WHEN state <> 'mapped' THEN 'none' WHEN kb IS NULL THEN 'update' WHEN kb = owner THEN 'ok' ELSE 'conflict' END AS action, count(*) AS n FROM j GROUP BY 1, 2",

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorespark.operators import dense, fusion, metrics, sparse
+from lorespark.functions.scratch import shared_folder
+from lorespark.functions.text import sha256_text
+from lorespark.operators import dense, fusion, lifecycle, metrics, sparse
+from lorespark.sources import catalog
 from lorespark.sources.tables import table
 
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[._-][\p{L}\p{N}]+)*')"
@@ -34,13 +37,28 @@ def ret_03_doc_stats(spark, sf_dir):
     return sparse.stats(table(spark, sf_dir, "documents"), ["lang", "doc_id"])
 
 
+def document_index(spark, sf_dir):
+    """The sparse index of documents: a generation in the shared folder, built where the table's files are others than they were."""
+    store = lifecycle.Generations(spark, f"{shared_folder(spark)}/lorespark/bm25-{sha256_text(sf_dir)[:16]}")
+    contract = {"tokens": sparse.T.TOKEN, "source": catalog.stamp(spark, f"{sf_dir}/documents.parquet")}
+    if not store.current(contract):
+        store.build(sparse.index_rows(table(spark, sf_dir, "documents"), "doc_id", carry=("lang",)), contract)
+        store.prune()
+    return store.read()
+
+
+def snk_01_generation(spark, sf_dir):
+    index = document_index(spark, sf_dir)
+    return index.groupBy("lang").agg(F.count_if(F.col("term").isNull()).alias("n_documents"), F.count("term").alias("n_postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).cast("long").alias("dl"))
+
+
 def ret_04_bm25(spark, sf_dir):
-    got = sparse.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "doc_id", "item_id", limit=10)
+    got = sparse.search(table(spark, sf_dir, "benchmark"), document_index(spark, sf_dir), "doc_id", "item_id", limit=10)
     return got.select("query_id", "doc_id", "score", F.array_join("matched_terms", " ").alias("terms"), F.col("rank").cast("long").alias("rank"))
 
 
 def ret_04_bm25_scoped(spark, sf_dir):
-    got = sparse.bm25(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "doc_id", "item_id", limit=5, scope=F.col("lang") == "en")
+    got = sparse.search(table(spark, sf_dir, "benchmark"), document_index(spark, sf_dir), "doc_id", "item_id", limit=5, scope=F.col("lang") == "en")
     return got.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -217,14 +235,14 @@ def agg_29_agreement(spark, sf_dir):
 def entry_metrics(spark, sf_dir):
     """BM25 over the documents for every benchmark text; gold: documents that contain the text."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    run = sparse.bm25(items, docs, "doc_id", "item_id", limit=10)
+    run = sparse.search(items, document_index(spark, sf_dir), "doc_id", "item_id", limit=10)
     pair = run.join(docs.select("doc_id", "text"), "doc_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
     gold = pair.where(F.contains("text", "q")).select("query_id", "doc_id")
     return metrics.query_metrics(items.select(F.col("item_id").alias("query_id")), run, gold, "doc_id").select("query_id", "first_rank", "mrr", "hit_1", "hit_3", "hit_10")
 
 
 FUNCTIONS = (
-    ret_01_tokens, ret_02_term_frequencies, ret_03_postings, ret_03_doc_stats, ret_04_bm25, ret_04_bm25_scoped, ret_06_dense_top_k, jn_03_vector_filter, ret_07_exact_ranking, emb_vector_faults, ret_08_over_fetch,
+    ret_01_tokens, ret_02_term_frequencies, ret_03_postings, ret_03_doc_stats, snk_01_generation, ret_04_bm25, ret_04_bm25_scoped, ret_06_dense_top_k, jn_03_vector_filter, ret_07_exact_ranking, emb_vector_faults, ret_08_over_fetch,
     ret_09_evidence_dedup, ret_10_rerank, ret_11_rrf, agg_32_source_distribution, ret_13_fair_pool, ret_14_contributions, ret_25_context, ret_26_rendered, ret_27_ranking_difference, agg_01_distinct_ranking, agg_04_metrics,
     agg_05_raw_hits, agg_06_means, agg_07_paired, agg_08_rank_movement, agg_13_branch_recovery, agg_14_coverage, agg_29_agreement, entry_metrics,
 )
@@ -261,6 +279,7 @@ ORACLE = {
     "ret_02_term_frequencies": f"SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL",
     "ret_03_postings": f"SELECT lang, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT lang, doc_id, term, count(*) AS tf FROM (SELECT lang, doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL) GROUP BY lang, term HAVING count(*) >= 5",
     "ret_03_doc_stats": f"SELECT lang, doc_id, CAST(len({_TOK}) AS BIGINT) AS dl FROM documents",
+    "snk_01_generation": f"WITH c AS (SELECT lang, doc_id, {_TOK} AS t FROM documents) SELECT lang, count(*) AS n_documents, CAST(sum(len(list_distinct(t))) AS BIGINT) AS n_postings, CAST(sum(len(t)) AS BIGINT) AS n_tokens, CAST(sum(len(t)) AS BIGINT) AS dl FROM c GROUP BY 1",
     "ret_04_bm25": _bm25_sql("true", 10, True),
     "ret_04_bm25_scoped": _bm25_sql("lang = 'en'", 5, False),
     "ret_06_dense_top_k": f"WITH {_dense_sql(10)} SELECT * FROM d",

@@ -69,3 +69,19 @@ def corpus(manifest: DataFrame, files: DataFrame) -> DataFrame:
     first = manifest.groupBy("sha").agg(F.min(F.struct("document_id", "path")).alias("m"), F.count("*").alias("n_copies"))
     first = first.select("m.document_id", "m.path", "sha", "n_copies")
     return first.join(files.withColumn("present", F.lit(True)), "path", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """What a table's files are at the moment: a hash of their names, sizes and times."""
+    from lorespark.functions.text import sha256_text
+
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, files = p.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    todo = [fs.getFileStatus(p)]
+    while todo:
+        s = todo.pop()
+        if s.isDirectory():
+            todo += list(fs.listStatus(s.getPath()))
+        else:
+            files.append(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}")
+    return sha256_text("\n".join(sorted(files)))
