@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-MEMORY = 24 << 20  # bytes of remembered pre-tokens, their overhead included
+MEMORY = 48 << 20  # bytes of remembered pre-tokens, their overhead included
 
 
 def byte_characters() -> list[str]:
@@ -69,27 +69,28 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return bytes(out + _field(2, trainer) + _field(3, normal))
 
 
-def classes_of(pattern: str) -> tuple[list[str], list[set[str]], list[set[str]]]:
-    """The character classes in a pattern, and the code points in each: to the rank library, and to our pattern engine."""
+def stand_ins(pattern: str, step: int = 1 << 15) -> dict[int, str]:
+    """For each code point that the rank library and our pattern engine put into different classes of the pattern, one that both
+    put where the rank library puts it. Code points are tried `step` at a time."""
     import regex
     import tiktoken
 
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     single = {bytes([i]): i for i in range(256)}
     names = sorted(set(re.findall(r"\\[pP]\{\^?\w+\}|\\[sSdDwW]", pattern)))
-    theirs = [tiktoken.Encoding("class", pat_str=n, mergeable_ranks=single, special_tokens={}) for n in names]
-    return names, [set(e.decode(e.encode_ordinary(every))) for e in theirs], [set(regex.findall(n, every)) for n in names]
-
-
-def stand_ins(pattern: str) -> dict[int, str]:
-    """For each code point that the two engines put into different classes, one that both put where the rank library puts it."""
-    _, theirs, ours = classes_of(pattern)
-    odd = set().union(*(a ^ b for a, b in zip(theirs, ours, strict=True)))
+    engines = [(tiktoken.Encoding("class", pat_str=n, mergeable_ranks=single, special_tokens={}), regex.compile(n)) for n in names]
     usual: dict[tuple[bool, ...], str] = {}
-    for c in map(chr, range(0xA0, 0x3100)):  # beyond ASCII, so that no sign that the pattern names is taken
-        if c not in odd:
-            usual.setdefault(tuple(c in own for own in ours), c)
-    return {ord(c): usual[tuple(c in own for own in theirs)] for c in odd}
+    odd: dict[int, tuple[bool, ...]] = {}
+    for a in range(0, 0x110000, step):
+        every = "".join(chr(c) for c in range(a, a + step) if not 0xD800 <= c < 0xE000)
+        theirs = [set(e.decode(e.encode_ordinary(every))) for e, _ in engines]
+        ours = [set(p.findall(every)) for _, p in engines]
+        differ = set().union(*(x ^ y for x, y in zip(theirs, ours, strict=True)))
+        odd |= {ord(c): tuple(c in x for x in theirs) for c in differ}
+        if a < 0x3100:  # beyond ASCII, so that no sign that the pattern names is taken
+            for c in every[0xA0 if a == 0 else 0 : max(0, 0x3100 - a)]:
+                if c not in differ:
+                    usual.setdefault(tuple(c in x for x in ours), c)
+    return {c: usual[kind] for c, kind in odd.items()}
 
 
 class Codec:
@@ -103,6 +104,7 @@ class Codec:
         self.sp.LoadFromSerializedProto(model)
         self.pattern, self.odd = regex.compile(pattern), odd or {}
         self.odd_set = set(map(chr, self.odd))
+        self.beyond = re.compile(f"[{chr(min(self.odd, default=0x10FFFF))}-\U0010ffff]").search
         chars = byte_characters()
         self.char = dict(enumerate(chars))
         back = {c: b for b, c in enumerate(chars)}
@@ -128,7 +130,7 @@ class Codec:
             self.held += 200 + 4 * len(w) + 4 * len(got)
 
     def encode(self, text: str) -> bytes:
-        if text.isascii() or self.odd_set.isdisjoint(text):
+        if text.isascii() or not self.beyond(text) or self.odd_set.isdisjoint(text):
             words = self.pattern.findall(text)
         else:
             words = [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.odd))]
