@@ -110,17 +110,17 @@ def name_uuid(namespace: str, name: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-#: Short or long spellings of column types and the plain one.
-TYPE_NAMES = {
-    "int2": "smallint", "int4": "integer", "int8": "bigint", "float4": "real", "float8": "double precision", "bool": "boolean", "character varying": "varchar",
-    "bpchar": "character", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamptz",
-}
+# Long spellings of column types and the short ones.
+TYPE_SPELLINGS = {"character varying": "varchar", "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamptz", "time without time zone": "time", "time with time zone": "timetz"}
 
 
 def clean_type(name: Column) -> Column:
-    """A column type's plain name: lower case, without length, spaces collapsed, common spellings united."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"\([^)]*\)", ""), r"\s+", " "))
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair]), s), s)
+    """A column type in its short spelling, lower case, with its length or precision; spaces collapse, those at commas go.
+    Null for blank names and for names with control characters."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"\s+", " "), r" ?, ?", ",")
+    for long, short in TYPE_SPELLINGS.items():
+        s = F.replace(s, F.lit(long), F.lit(short))
+    return F.when((F.length(s) > 0) & ~s.rlike(r"\p{C}"), s)
 
 
 def clean_comment(text: Column, most: int = 1000) -> Column:

@@ -140,8 +140,9 @@ def str_04_occurs(spark, sf_dir):
 
 
 def str_05_types(spark, sf_dir):
-    df = spark.sql("SELECT explode(array('INT4', 'character varying(20)', 'numeric(10, 2)', 'timestamp with time zone', 'bool')) AS t")
-    return df.select("t", T.clean_type(F.col("t")).alias("clean"))
+    n = F.col("n_nationkey").cast("string")
+    made = F.array(F.concat(F.lit(" Character  VARYING("), n, F.lit(")")), F.concat(F.lit("numeric("), n, F.lit(" , 2)")), F.lit("TIMESTAMP with  time zone"), F.concat(F.lit("time("), n, F.lit(") WITHOUT time zone")), F.lit("time without time zone"), F.lit("   "), F.lit("in\u0001t"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", T.clean_type(F.element_at(made, (F.col("n_nationkey") % 7 + 1).cast("int"))).alias("clean"))
 
 
 def str_06_comment(spark, sf_dir):
@@ -202,7 +203,7 @@ ORACLE = {
     "str_03_ngrams": f"SELECT item_id, CAST(len({_NG}) AS BIGINT) AS n FROM benchmark",
     "str_03_jaccard": f"WITH g AS (SELECT item_id, {_NG} AS g FROM benchmark) SELECT a.item_id, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.item_id = b.item_id + 1",
     "str_04_occurs": r"SELECT doc_id FROM documents WHERE contains(text, 'of the') OR contains(regexp_replace(text, '[^\w]+', '', 'g'), 'ofthe')",
-    "str_05_types": "SELECT * FROM (VALUES ('INT4', 'integer'), ('character varying(20)', 'varchar'), ('numeric(10, 2)', 'numeric'), ('timestamp with time zone', 'timestamptz'), ('bool', 'boolean')) v(t, clean)",
+    "str_05_types": "SELECT n_nationkey, ['varchar(' || n_nationkey || ')', 'numeric(' || n_nationkey || ',2)', 'timestamptz', 'time(' || n_nationkey || ') without time zone', 'time', NULL, NULL][n_nationkey % 7 + 1] AS clean FROM nation",
     "str_06_comment": r"SELECT doc_id, CAST(length(substr(trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), '\s+', ' ', 'g'), ' '), 1, 1000)) AS BIGINT) AS n FROM documents",
     "id_01_identity": """SELECT c_custkey, 'entity_v2_' || sha256('{"identity_schema_version":"2.0","kind":"entity","payload":{"name":"' || c_name || '","nation":' || c_nationkey || ',"segment":"' || c_mktsegment || '"}}') AS id FROM customer""",
     "id_02_pair_identity": """SELECT a.n_name AS a, b.n_name AS b, 'link_pair_v2_' || sha256('{"identity_schema_version":"2.0","kind":"link_pair","payload":{"first":"' || least(a.n_name, b.n_name) || '","second":"' || greatest(a.n_name, b.n_name) || '"}}') AS id FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name""",
