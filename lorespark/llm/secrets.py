@@ -30,8 +30,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 NATURAL_COINCIDENCE = 0.06  # least share of equal symbol pairs in natural text, of any language: the sum of squared symbol shares
-NATURAL_SPREAD = 0.003  # most variance of a symbol's share in natural text: the sum of cubed shares less the square of the former
-NATURAL_SWITCHES = 0.12  # share of neighbours in natural text that differ in character class
+NATURAL_SPREAD = 0.002  # most variance of a symbol's share in natural text: the sum of cubed shares less the square of the former
+NATURAL_SWITCHES = 0.12  # most neighbours in natural text that differ in character class, as a share
+ONE_CASE_SWITCHES = 0.06  # the same where letters are of one case, so that only digits interrupt them
 CLASSES = (32, 48, 1 << 30)  # upper ends of the length classes
 RATE, BINS = 0.05, 320
 LENIENT = 2.0  # -log10 p below which no run is called uneven, however many runs the corpus has
@@ -80,14 +81,14 @@ def battery(token: Column) -> Column:
         dev = F.transform(s["code"], lambda c: c - s["mean"])
         spread = F.greatest(total(F.transform(dev, lambda d: d * d)), F.lit(1e-9))
         z_serial = (total(next_to(dev, lambda x, y: x * y)) / spread + 1 / n) * F.sqrt(n)
-        return F.struct(n.alias("n"), s["pairs"].alias("pairs"), runs.alias("runs"), chi.alias("chi"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"))
+        return F.struct(k.alias("k"), n.alias("n"), s["pairs"].alias("pairs"), runs.alias("runs"), chi.alias("chi"), z_chi.alias("z_chi"), z_runs.alias("z_runs"), z_serial.alias("z_serial"))
 
     def logs(s: Column) -> Column:
         """-ln p of each test, under both hypotheses."""
         c, n = NATURAL_COINCIDENCE, s["n"]
         spread = F.sqrt(2 * c * (1 - c) / (n * (n - 1)) + 4 * NATURAL_SPREAD / n)
         even = native.let((c - s["pairs"] / (n * (n - 1))) / spread, lambda z: F.when(z > 0, z * z / 2 + F.log(z * math.sqrt(2 * math.pi) + 2)).otherwise(0.0))
-        q = NATURAL_SWITCHES
+        q = F.when(s["k"] <= 36, ONE_CASE_SWITCHES).otherwise(NATURAL_SWITCHES)
         chernoff = lambda r: F.when(r > q, (n - 1) * (r * F.log(r / q) + (1 - r) * F.log((1 - r) / (1 - q)))).otherwise(0.0)
         switches = native.let(F.least((s["runs"] - 1) / (n - 1), F.lit(1 - 1e-9)), chernoff)
         alike = native.let(s["z_serial"], lambda z: -F.log(1 - _upper(z)))  # neighbours of natural text don't repel each other
