@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -13,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not (where := getattr(spark.sparkContext, "_lorespark_folder", None)):
-        import tempfile
-
-        where = spark.sparkContext._lorespark_folder = "file://" + tempfile.mkdtemp(prefix="lorespark-")
+        own = tempfile.mkdtemp(prefix="lorespark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = spark.sparkContext._lorespark_folder = f"file://{own}"
     return where

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,7 +17,8 @@ def shipped(spark: SparkSession) -> None:
     if getattr(sc, "_lorespark_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="lorespark-")) / "lorespark.zip"
+    path = Path(tempfile.mkdtemp(prefix="lorespark-")) / "lorespark.zip"  # executors fetch it from here while the driver runs
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
