@@ -83,6 +83,16 @@ def test_empty_table(name, spark, odd, labels, bench):
     assert operators(spark, labels, bench)[name](odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_null_and_repeated_ids(name, spark, labels, bench):
+    """Rows without an id, and one id with several texts."""
+    rows = [(None, "some plain words here", "en", "s", 21, 1, "r", "o"), (None, None, None, None, None, None, None, None), (4, "one text of it", "en", "s", 14, 1, "r", "o"), (4, "quite another text", "en", "s", 18, 1, "r", "o")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = operators(spark, labels, bench)[name](df).collect()
+    assert len(got) == (2 if name == "simhash" else 4)  # fingerprints are of documents with an id
+    assert sum(r.doc_id is None for r in got) == (0 if name == "simhash" else 2)
+
+
 def test_bpe_is_the_rank_library(spark, sf):
     import tiktoken
 
