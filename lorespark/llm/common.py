@@ -156,11 +156,11 @@ LOWER[65:91] += 32
 class Words:
     """The words of a batch of texts, in order: start and end in the bytes, text number, 64-bit hash.
 
-    data: lower-cased bytes (A-Z only); inside: mask of word bytes; n: words of each text.
+    data: bytes, lower-cased (A-Z only) unless asked otherwise; inside: mask of word bytes; n: words of each text.
     """
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, mask: np.ndarray = SPACES, hashed: bool = True):
-        self.data, self.off = LOWER[data], off
+    def __init__(self, data: np.ndarray, off: np.ndarray, mask: np.ndarray = SPACES, hashed: bool = True, lower: bool = True):
+        self.data, self.off = LOWER[data] if lower else data, off
         size, count = len(data), len(off) - 1
         self.inside = mask[self.data]
         edge = np.zeros(size + 1, bool)

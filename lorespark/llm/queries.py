@@ -1,11 +1,11 @@
-"""The queries op1 to op10 over the test tables, with production parameters, and their SQL where SQL can say them."""
+"""The queries of the numbered operators over the test tables, with production parameters, and their SQL where SQL can say them."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, decontaminate, minhash, pii, secrets, simhash, suffixtree, toxicity, urls
+from . import alignment, bpe, counts, decontaminate, minhash, periodic, pii, secrets, simhash, suffixtree, toxicity, urls
 from .common import table
 
 
@@ -53,7 +53,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_minhash, op3_suffix_tree, op4_decontaminate, op5_pii, op6_urls, op7_token_counts, op8_simhash, op9_secrets, op10_toxicity)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.report(alignment.align(table(spark, sf_dir, "documents"), a, b))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.detect(periodic.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+_ALL = (op1_bpe, op2_minhash, op3_suffix_tree, op4_decontaminate, op5_pii, op6_urls, op7_token_counts, op8_simhash, op9_secrets, op10_toxicity, op11_alignment, op13_periodic)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _DOC_WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x20\\x09-\\x0D]+')"
