@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, counts, decontaminate, minhash, periodic, pii, secrets, simhash, suffixtree, toxicity, urls
+from . import alignment, bpe, counts, decontaminate, jaccard, minhash, periodic, pii, secrets, simhash, suffixtree, toxicity, urls
 from .common import table
 
 
@@ -58,32 +58,40 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(alignment.align(table(spark, sf_dir, "documents"), a, b))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(periodic.detect(periodic.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
-_ALL = (op1_bpe, op2_minhash, op3_suffix_tree, op4_decontaminate, op5_pii, op6_urls, op7_token_counts, op8_simhash, op9_secrets, op10_toxicity, op11_alignment, op13_periodic)
+_ALL = (op1_bpe, op2_minhash, op3_suffix_tree, op4_decontaminate, op5_pii, op6_urls, op7_token_counts, op8_simhash, op9_secrets, op10_toxicity, op11_alignment, op12_jaccard, op13_periodic)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _DOC_WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x20\\x09-\\x0D]+')"
 _ITEM_WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
-_OP2 = f"""
+def _linked(k: int, percent: int, more: str) -> str:
+    """SQL of components of documents whose sets of k-word shingles have percent of their union in common."""
+    shingle = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_DOC_WORDS} AS w FROM documents),
-sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
-    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: {shingle})) END AS s FROM w),
 sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb
-    FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+    FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent}
     GROUP BY ALL),
-links AS (SELECT a, b FROM pairs WHERE 100 * i >= 80 * (na + nb - i)),
+links AS (SELECT a, b FROM pairs WHERE 100 * i >= {percent} * (na + nb - i)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
-SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.c AS component_id, sets.doc_id = m.c AS kept
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.c AS component_id{more}
 FROM sets JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = sets.doc_id
 """
 
+
 _OP4 = f"""
 WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark),
 spots AS (SELECT item, w, least(len(w), 13) AS size, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS q FROM items WHERE len(w) > 0),
@@ -102,4 +110,4 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0)
 FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
-ORACLE = {"op2_minhash": _OP2, "op4_decontaminate": _OP4}
+ORACLE = {"op2_minhash": _linked(2, 80, ", sets.doc_id = m.c AS kept"), "op4_decontaminate": _OP4, "op12_jaccard": _linked(3, 90, "")}
