@@ -3,9 +3,9 @@
 The global order is that of 64-bit hashes of the k-word shingles. It is cut into fragments of equal width; a text's set falls into one segment a
 fragment. Two sets that are similar enough differ in at most d shingles, so with d + 1 + e fragments at least 1 + e of their segments are the same.
 Sets are of size classes with a scheme (number of fragments) each; a set also takes part in the scheme of the class below if that holds sets
-small enough to be similar. Segments' digests are the join's keys. Empty segments are none, unless a set has more than e of them: if both sets have
-more, they meet by those, else the same segments can't all be empty. So no link is lost, and texts that merely share common passages don't meet: a
-whole segment, some six to nine shingles from all over the text, must be the same.
+small enough to be similar. Segments' digests are the join's keys. Slight segments, of fewer than SLIGHT shingles, are none, unless a set has more than e of them: if both sets
+have more, they meet by those too, else the same segments can't all be slight. So no link is lost, and texts that merely share frequent shingles or common
+passages seldom meet: a whole segment, some six to eight shingles from all over the text, must be the same.
 
 Plan. Equal sets fold into their smallest id. Each set is paired with the smallest one in its buckets, first with the FIRST that it meets most often. For
 a pair, the same segments count whole, by their digests; sizes of the others bound the overlap from above, which accepts or rejects most pairs
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from . import common, graph, minhash
 
-FIRST = 2
+FIRST, SLIGHT = 1, 3
 _U = np.uint64
 _CUT = pa.struct([("scheme", pa.int32()), ("whole", pa.bool_()), ("sizes", pa.list_(pa.int32())), ("sigs", pa.list_(pa.int64()))])
 
@@ -44,15 +44,14 @@ class Schemes:
             raise ValueError("percent must be over 50 and at most 100")
         low = [1]
         while low[-1] < most:
-            low.append(max(low[-1] + 1, -(-low[-1] * 135 // percent)))
+            low.append(max(low[-1] + 1, -(-low[-1] * 122 // percent)))
         self.percent, self.low = percent, np.array(low)
         self.fragments, self.spare = [], []
         for top in low[1:]:
             n = top - 1
             differ = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
-            k = differ + 1
-            self.spare.append(2 + k // 100)
-            self.fragments.append(k + self.spare[-1] if differ else 0)
+            self.spare.append(2 + differ // 13)
+            self.fragments.append(differ + 1 + self.spare[-1] if differ else 0)
 
     def of(self, n: int) -> list[int]:
         """The schemes of a set of n shingles, its own class's last; none if only equal sets are similar."""
@@ -73,7 +72,7 @@ def digests(elements: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (digest of the set), cuts: for each scheme the sizes and digests of all segments, and whether empty ones count."""
+    """doc_id, n_shingles, d1 and d2 (digest of the set), cuts: for each scheme the sizes and digests of all segments, and whether slight ones count."""
     schemes = Schemes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +86,7 @@ def sketches(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text
                     size = np.diff(at)
                     name = common.mix(np.arange(len(size), dtype=_U) + _U(c << 40))
                     scheme.append(c)
-                    whole.append(bool((n_empty := int((size == 0).sum())) == 0 or n_empty > schemes.spare[c]))
+                    whole.append(bool((size < SLIGHT).sum() > schemes.spare[c]))
                     sizes.append(size)
                     sigs.append(common.mix(sum1[at[1:]] - sum1[at[:-1]] ^ name).view(np.int64))
                 own.append(len(scheme))
@@ -175,7 +174,7 @@ def groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id
     rep = common.written(full.groupBy(own).agg(F.min("doc_id").alias("rep")), "representatives")
     sets = sk.where("n_shingles > 0").join(rep.select(*own, F.col("rep").alias("doc_id")), [*own, "doc_id"], "left_semi").dropDuplicates([*own, "doc_id"])
     sets = common.written(sets.select("doc_id", F.col("n_shingles").alias("n"), "d1", "cuts"), "sets")
-    counted = F.when(F.col("cut.whole"), F.col("cut.sigs")).otherwise(F.filter("cut.sigs", lambda _, i: F.get("cut.sizes", i) > 0))
+    counted = F.when(F.col("cut.whole"), F.col("cut.sigs")).otherwise(F.filter("cut.sigs", lambda _, i: F.get("cut.sizes", i) >= SLIGHT))
     marks = sets.select("doc_id", "n", F.explode("cuts").alias("cut")).select("doc_id", "n", F.explode(counted).alias("band"))
     hubs = common.written(marks.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
     member = common.written(marks.join(hubs, "band"), "members")
