@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,9 @@ from . import common
 from .bpe import byte_characters
 from .counts import pieces
 
-MEMORY = 40 << 20  # bytes of remembered parts, their overhead included
-PART_BYTES = 1 << 18  # bytes of new parts that are encoded together
+MEMORY = 96 << 20  # bytes of remembered parts, their overhead included
+PART_BYTES = 1 << 14  # characters of new parts that are encoded together
+_PLAIN = re.compile(r" \S(?:.*\S)?", re.DOTALL)
 MOST_PAIRS = 2_000_000
 _B_IDS = 1 << 20  # a pair's code is a * _B_IDS + b
 _SPAN = re.compile(rb"[0-2]*3")  # labels: 0 none, 1 A-end, 2 B-end, 3 both
@@ -53,6 +54,10 @@ class Aligner:
         for piece, i in self.a.get_vocab(with_added_tokens=False).items():
             self.a_bytes[i] = bytes(back[c] for c in piece)
         self.b_bytes = [self._piece(i) for i in range(self.b.GetPieceSize())]
+        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_size = np.array(list(map(len, self.b_bytes)))
+        ids = range(max(len(self.a_size), len(self.b_size)))
+        self.comma, self.bar, self.semicolon = (np.array([f"{i}{sign}" for i in ids], object) for sign in ",|;")
         if any(b" " in p.lstrip(b" ") for p in self.b_bytes):
             raise ValueError("a piece of the second tokenizer has a space after another character")
         self.known: dict[str, tuple] = {}
@@ -62,64 +67,77 @@ class Aligner:
         piece = self.b.IdToPiece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.IsByte(i) else piece.replace("▁", " ").encode()
 
-    def _tokens(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each part; a part begins with the space that B adds."""
-        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        return a, self.b.encode([p[1:] for p in parts], num_threads=1)
-
-    def aligned(self, parts: list[str]) -> Iterator[tuple | None]:
-        """(n_a, n_b, groups as text, pair codes) of each part, or None where either's bytes differ from it."""
-        a, b = self._tokens(parts)
-        same, a_sizes, b_sizes = [], [], []
-        for part, x, y in zip(parts, a, b, strict=True):
-            raw, xs, ys = part.encode(), [self.a_bytes[i] for i in x], [self.b_bytes[i] for i in y]
-            same.append(ok := b"".join(xs) == raw and b"".join(ys) == raw)
-            if ok:
-                a_sizes += map(len, xs)
-                b_sizes += map(len, ys)
-        label = np.zeros(sum(a_sizes), np.uint8)
-        label[np.cumsum(np.array(a_sizes, np.int64)) - 1] = 1
-        label[np.cumsum(np.array(b_sizes, np.int64)) - 1] |= 2
-        spans = (m.group() for m in _SPAN.finditer((label + ord("0")).tobytes()))
-        for ok, x, y in zip(same, a, b, strict=True):
-            if not ok:
-                yield None
-                continue
-            i = j = 0
-            groups, pairs = [], []
-            while i < len(x):
-                span = next(spans)
-                to_a, to_b = i + span.count(b"1") + 1, j + span.count(b"2") + 1
-                groups.append(f"{','.join(map(str, x[i:to_a]))}|{','.join(map(str, y[j:to_b]))}")
-                i, j = to_a, to_b
-                pairs.append(x[i - 1] * _B_IDS + y[j - 1])
-            yield len(x), len(y), ";".join(groups), np.array(pairs, np.int64).tobytes()
+    def _grouped(self, raw: bytes, a: list[int], b: list[int], ends: np.ndarray) -> list[tuple] | None:
+        """(groups as text, pair codes, n_a, n_b) of the parts of raw that end at `ends`; None unless both tokenizers spell raw and end where parts do."""
+        xs, ys = np.array(a, np.int64), np.array(b, np.int64)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        label = np.zeros(len(raw), np.uint8)
+        label[np.cumsum(self.a_size[xs]) - 1] = 1
+        label[np.cumsum(self.b_size[ys]) - 1] |= 2
+        if not (label[ends - 1] == 3).all():
+            return None
+        spans = _SPAN.findall((label + ord("0")).tobytes())
+        of_a, of_b = (np.array([s.count(mark) for s in spans], np.int64) + 1 for mark in (b"1", b"2"))  # tokens of each group
+        to_a, to_b, end = np.cumsum(of_a), np.cumsum(of_b), np.cumsum(np.array(list(map(len, spans)), np.int64))
+        pairs = xs[to_a - 1] * _B_IDS + ys[to_b - 1]
+        shown = np.empty(len(xs) + len(ys), object)  # each group's A tokens, then its B tokens
+        at_a, at_b = np.arange(len(xs)) + np.repeat(to_b - of_b, of_a), np.arange(len(ys)) + np.repeat(to_a, of_b)
+        shown[at_a], shown[at_b] = self.comma[xs], self.comma[ys]
+        shown[at_a[to_a - 1]], shown[at_b[to_b - 1]] = self.bar[xs[to_a - 1]], self.semicolon[ys[to_b - 1]]
+        groups = np.searchsorted(end, ends) + 1  # groups up to the end of each part
+        n_a, n_b = (np.diff(x, prepend=0) for x in (to_a[groups - 1], to_b[groups - 1]))
+        words, z, first = shown.tolist(), (to_a + to_b)[groups - 1].tolist(), 0
+        out, low = [], 0
+        for g, t, x, y in zip(groups.tolist(), z, n_a.tolist(), n_b.tolist(), strict=True):
+            out.append(("".join(words[first:t]), pairs[low:g].tobytes(), x, y))
+            first, low = t, g
+        return out
+
+    def alone(self, part: str) -> tuple | None:
+        """As _grouped, of one part, which begins with the space that B adds."""
+        raw = part.encode()
+        got = self._grouped(raw, self.a.encode(part, add_special_tokens=False).ids, self.b.encode(part[1:]), np.array([len(raw)]))
+        return got[0] if got else None
 
     def learn(self, texts: list[list[str]]) -> None:
         """Remembers the parts of all texts; forgets the others if there are too many."""
         new = set().union(*texts).difference(self.known)
-        if self.held + sum(300 + 20 * len(p) for p in new) > MEMORY:
+        if self.held + sum(350 + 20 * len(p) for p in new) > MEMORY:
             self.known, self.held, new = {}, 0, set().union(*texts)
         todo, size = [], 0
-        for part in sorted(new, key=len):
+        for part in new:
+            if not _PLAIN.fullmatch(part):
+                self._remember([part], [self.alone(part)])
+                continue
             todo.append(part)
             size += len(part)
             if size >= PART_BYTES:
-                self._remember(todo)
+                self._together(todo)
                 todo, size = [], 0
-        self._remember(todo)
-
-    def _remember(self, parts: list[str]) -> None:
-        for part, got in zip(parts, self.aligned(parts) if parts else (), strict=True):
+        if todo:
+            self._together(todo)
+
+    def _together(self, parts: list[str]) -> None:
+        """Plain parts one after the other are a text that is cut into them again, so they are encoded as one."""
+        text = "".join(parts)
+        raw = text.encode()
+        ends = np.cumsum(list(map(len, parts)) if len(raw) == len(text) else [len(p.encode()) for p in parts])
+        got = self._grouped(raw, self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]), ends)
+        self._remember(parts, got or map(self.alone, parts))
+
+    def _remember(self, parts: list[str], found: Iterable[tuple | None]) -> None:
+        for part, got in zip(parts, found, strict=True):
             self.known[part] = got
-            self.held += 300 + 2 * len(part) + (len(got[2]) + len(got[3]) if got else 0)
+            self.held += 350 + 2 * len(part) + (len(got[0]) + len(got[1]) if got else 0)
 
     def text(self, parts: list[str]) -> tuple | None:
-        """As aligned, of the text that the parts make."""
+        """(groups as text, pair codes, n_a, n_b) of the text that the parts make, None where either tokenizer's bytes differ from it."""
         each = list(map(self.known.__getitem__, parts))
         if None in each:
-            return next(self.aligned(["".join(parts)]))
-        return sum(e[0] for e in each), sum(e[1] for e in each), ";".join([e[2] for e in each]), b"".join([e[3] for e in each])
+            return self.alone("".join(parts))
+        shown, pairs, n_a, n_b = zip(*each, strict=True)
+        return "".join(shown), b"".join(pairs), sum(n_a), sum(n_b)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,9 +159,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             aligner.learn(cut)
             n_a, n_b, n_groups, groups, codes, times = [], [], [], [], [], []
             for parts in cut:
-                x, y, shown, pairs = parts and aligner.text(parts) or (0, 0, None, b"")
+                shown, pairs, x, y = parts and aligner.text(parts) or (None, b"", 0, 0)
                 distinct, often = np.unique(np.frombuffer(pairs, np.int64), return_counts=True)
-                for column, value in ((n_a, x), (n_b, y), (n_groups, len(pairs) // 8), (groups, shown), (codes, distinct), (times, often)):
+                for column, value in ((n_a, x), (n_b, y), (n_groups, len(pairs) // 8), (groups, shown and shown[:-1]), (codes, distinct), (times, often)):
                     column.append(value)
             at = pa.array(np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32))
             links = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (codes, times)], fields=list(link)))
