@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from . import common, graph, minhash
 
-FIRST, SLIGHT = 1, 3
+FIRST, SLIGHT, PAIRED = 1, 3, 128
 _U = np.uint64
 _CUT = pa.struct([("scheme", pa.int32()), ("whole", pa.bool_()), ("sizes", pa.list_(pa.int32())), ("sigs", pa.list_(pa.int64()))])
 
@@ -166,6 +166,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, text: DataFrame, k: int, percen
     return known_links.unionByName(summed.where(F.col("n") * 100 >= (F.col("na") + F.col("nb") - F.col("n")) * percent).select("a", "b")).distinct()
 
 
+def residual(member: DataFrame, star: DataFrame, roots: DataFrame, sets: DataFrame, text: DataFrame, k: int, percent: int) -> list[DataFrame]:
+    """Links (a, b) between members of one bucket that are in different groups so far. In buckets of up to PAIRED members each pair of them
+    is taken on, which makes PAIRED / 2 pairs a member at most; larger ones that hold several groups are compared block by block."""
+    rest = minhash._rooted(member.where("size > 2").select("band", "doc_id", "n", "size"), roots, "doc_id", "root")
+    rest = common.written(rest, "rooted")
+    mixed = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    small = common.written(rest.where(F.col("size") <= PAIRED).join(mixed, "band", "left_semi"), "mixed")
+    side = lambda x: small.select("band", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"root_{x}"))
+    pairs = side("b").join(side("a"), "band").where("b < a and root_a <> root_b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    pairs = common.written(pairs.select("a", "b").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"), "pairs-of-buckets")
+    large = rest.where(F.col("size") > PAIRED).select("band", "doc_id", "n", "size").join(mixed, "band", "left_semi")
+    out = [] if pairs.isEmpty() else [confirmed(pairs, sets, text, k, percent)]
+    large = common.written(rest.where(F.col("size") > PAIRED).join(mixed, "band", "left_semi").select("band", "doc_id", "n", "size"), "large-mixed")
+    return out if large.isEmpty() else [*out, minhash.residual(large, roots, text, k, percent)]
+
+
 def groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links)."""
     sk = common.written(sketches(docs, k, percent, id_col, text_col), "cuts")
@@ -188,7 +204,7 @@ def groups(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id
     others = minhash._rooted(minhash._rooted(star.where(F.col("place") > FIRST), roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b")
     others = common.written(others.select("a", "b"), "others")
     more = [] if others.isEmpty() else [common.written(confirmed(others, sets, text, k, percent), "confirmed-others")]
-    more.append(common.written(minhash.residual(member, roots, text, k, percent), "confirmed-rest"))
+    more += [common.written(m, "confirmed-rest") for m in residual(member, star, roots, sets, text, k, percent)]
     if more := [m for m in more if not m.isEmpty()]:
         roots = graph.components(reduce(DataFrame.unionByName, [roots.select(F.col("node").alias("a"), F.col("root").alias("b")), *more]))
     root = rep.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*own, F.coalesce("root", "rep").alias("root"))
