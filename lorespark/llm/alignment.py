@@ -123,7 +123,7 @@ class Aligner:
         text = "".join(parts)
         raw = text.encode()
         ends = np.cumsum(list(map(len, parts)) if len(raw) == len(text) else [len(p.encode()) for p in parts])
-        got = self._grouped(raw, self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]), ends)
+        got = self._grouped(raw, self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:]), ends)
         self._remember(parts, got or map(self.alone, parts))
 
     def _remember(self, parts: list[str], found: Iterable[tuple | None]) -> None:
