@@ -30,7 +30,7 @@ from . import common
 from .bpe import byte_characters
 from .counts import pieces
 
-MEMORY = 96 << 20  # bytes of remembered parts, their overhead included
+MEMORY = 192 << 20  # bytes of remembered parts, their overhead included
 PART_BYTES = 1 << 14  # characters of new parts that are encoded together
 _PLAIN = re.compile(r" \S(?:.*\S)?", re.DOTALL)
 MOST_PAIRS = 2_000_000
