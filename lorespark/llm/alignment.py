@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from . import common
 from .bpe import byte_characters
 from .counts import pieces
 
-MEMORY = 192 << 20  # bytes of remembered parts, their overhead included
+MEMORY = 96 << 20  # bytes of remembered parts, their overhead included: those met lately, and those met before them
 PART_BYTES = 1 << 14  # characters of new parts that are encoded together
 _PLAIN = re.compile(r" \S(?:.*\S)?", re.DOTALL)
 MOST_PAIRS = 2_000_000
@@ -60,7 +61,8 @@ class Aligner:
         self.comma, self.bar, self.semicolon = (np.array([f"{i}{sign}" for i in ids], object) for sign in ",|;")
         if any(b" " in p.lstrip(b" ") for p in self.b_bytes):
             raise ValueError("a piece of the second tokenizer has a space after another character")
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
         self.held = 0
 
     def _piece(self, i: int) -> bytes:
@@ -101,12 +103,14 @@ class Aligner:
         return got[0] if got else None
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Remembers the parts of all texts; forgets the others if there are too many."""
+        """Remembers the parts of all texts; once there are too many, those that haven't been met since the last time are forgotten."""
+        if self.held > MEMORY // 2:
+            self.before, self.known, self.held = self.known, {}, 0
         new = set().union(*texts).difference(self.known)
-        if self.held + sum(350 + 20 * len(p) for p in new) > MEMORY:
-            self.known, self.held, new = {}, 0, set().union(*texts)
+        again = new.intersection(self.before)
+        self._remember(again, map(self.before.__getitem__, again))
         todo, size = [], 0
-        for part in new:
+        for part in new - again:
             if not _PLAIN.fullmatch(part):
                 self._remember([part], [self.alone(part)])
                 continue
@@ -126,7 +130,7 @@ class Aligner:
         got = self._grouped(raw, self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:]), ends)
         self._remember(parts, got or map(self.alone, parts))
 
-    def _remember(self, parts: list[str], found: Iterable[tuple | None]) -> None:
+    def _remember(self, parts: Iterable[str], found: Iterable[tuple | None]) -> None:
         for part, got in zip(parts, found, strict=True):
             self.known[part] = got
             self.held += 350 + 2 * len(part) + (len(got[0]) + len(got[1]) if got else 0)
@@ -140,6 +144,12 @@ class Aligner:
         return "".join(shown), b"".join(pairs), sum(n_a), sum(n_b)
 
 
+@lru_cache(maxsize=1)
+def _aligner(a_model: str, b_model: bytes) -> Aligner:
+    """One for all tasks of a Python worker."""
+    return Aligner(a_model, b_model)
+
+
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, groups (`a1,a2|b1;a3|b2,b3`, null without tokens), links: array<struct<pair, n>>, each distinct pair (a id * 2^20
     + b id) of tokens that end together and how often the text holds it."""
@@ -152,9 +162,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        aligner = None
         for b in common.slices(batches):
-            aligner = aligner or Aligner(a_model, b_model)
+            aligner = _aligner(a_model, b_model)
             cut = [pieces(" " + text) if text else [] for text in b.column(1).to_pylist()]
             aligner.learn(cut)
             n_a, n_b, n_groups, groups, codes, times = [], [], [], [], [], []
