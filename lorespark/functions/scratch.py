@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = spark.sparkContext._lorespark_folder = f"file://{own}"
     return where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder: what several parts of a plan read is made once, and lost executors can read it again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

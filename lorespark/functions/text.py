@@ -61,10 +61,43 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"\s+", "")
 
 
+# The entities that texts of web pages have most, and their characters; the ampersand comes last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def unescaped(text: Column) -> Column:
+    """text with the usual entities as characters."""
+    out = text
+    for name, char in ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+
+def characters(text: Column) -> Column:
+    """The characters of a text, in order."""
+    return F.split(text, "")
+
+
+def _joined(text: Column, n: int, short: Column) -> Column:
+    """Each n neighbouring characters as a string, in order: shifted slices of the characters, which are taken apart once."""
+
+    def of(c: Column) -> Column:
+        out = c
+        for i in range(1, n):
+            out = F.zip_with(out, F.slice(c, i + 1, F.greatest(F.size(c) - i, F.lit(0))), lambda x, y: F.concat(x, y))
+        return F.when(F.size(c) >= n, F.slice(out, F.lit(1), F.size(c) - n + 1)).otherwise(short)
+
+    return F.get(F.transform(F.array(characters(text)), of), F.lit(0))
+
+
+def neighbours(text: Column) -> Column:
+    """The pairs of neighbouring characters, in order; none in texts of one character."""
+    return _joined(text, 2, F.array().cast("array<string>"))
+
+
 def character_ngrams(text: Column, n: int = 3) -> Column:
     """Distinct n-grams of characters; a shorter text is its own."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
+    return F.array_distinct(_joined(text, n, F.array(text)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

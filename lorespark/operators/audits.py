@@ -9,14 +9,36 @@ from pyspark.sql.window import Window
 from lorespark.functions import text as T
 
 
-def leakage(pairs: DataFrame, query: str, source: str, metadata: str | None = None, copy_chars: int = 24, near_chars: int = 32, near: float = 0.8) -> DataFrame:
-    """pairs with codes: metadata_in_query, exact_copy, substring (of copy_chars or more), near_copy (3-gram Jaccard)."""
-    q, s = T.squeezed(F.col(query)), T.squeezed(F.col(source))
-    sets = F.transform(F.array(F.struct(T.character_ngrams(q).alias("q"), T.character_ngrams(s).alias("s"))), lambda x: T.jaccard(x["q"], x["s"]))
-    grams = F.get(sets, F.lit(0))  # each set is made once
-    codes = [F.when(F.contains(q, T.squeezed(F.col(metadata))), "metadata_in_query")] if metadata else []
-    codes += [F.when(q == s, "exact_copy"), F.when((F.length(q) >= copy_chars) & (q != s) & F.contains(s, q), "substring"), F.when((F.least(F.length(q), F.length(s)) >= near_chars) & (q != s) & (grams >= near), "near_copy")]
-    return pairs.withColumn("codes", F.filter(F.array(*codes), lambda c: c.isNotNull()))
+def _compared_text(texts: DataFrame, key: str, text: str, ids: DataFrame, least: int) -> DataFrame:
+    """key, t (the text as it is compared), g (its 3-grams, of texts of `least` characters or more): once a text, only of those asked for."""
+    plain = T.squeezed(T.unescaped(F.col(text)))
+    of = texts.join(ids.select(key).distinct(), key, "left_semi").select(key, plain.alias("t"))
+    return of.withColumn("g", F.when(F.length("t") >= least, T.character_ngrams(F.col("t"))))
+
+
+def leakage(pairs: DataFrame, queries: DataFrame, sources: DataFrame, query_key: str = "query_id", source_key: str = "doc_id", metadata: list[str] | None = None, copy_chars: int = 24, near_chars: int = 32, near: float = 0.8) -> DataFrame:
+    """pairs (of the keys) with codes, sorted: exact_copy; metadata_in_query (a metadata value of the source stands in the query); near_copy (3-grams, Jaccard
+    similarity, of texts of near_chars or more); substring (one text stands in the other, the source's having copy_chars or more).
+
+    queries: query_key, query; sources: source_key, source and the metadata columns. Texts are compared without white space, case and entities. Sets of
+    n-grams are made once a text; a pair compares them only if their sizes allow the similarity. Blank sources leak nothing.
+    """
+    q = _compared_text(queries, query_key, "query", pairs, near_chars).withColumnsRenamed({"t": "q", "g": "gq"})
+    s = _compared_text(sources, source_key, "source", pairs, near_chars).withColumnsRenamed({"t": "s", "g": "gs"})
+    both = pairs.join(q, query_key).join(s, source_key)
+    if metadata:
+        values = F.array(*[T.squeezed(F.col(c).cast("string")) for c in metadata])
+        both = both.join(sources.select(source_key, values.alias("m")), source_key)
+    there = F.length("s") > 0
+    sized = F.least(F.size("gq"), F.size("gs")) >= near * F.greatest(F.size("gq"), F.size("gs"))
+    alike = F.when(F.col("gq").isNotNull() & F.col("gs").isNotNull(), F.when(sized, T.jaccard(F.col("gq"), F.col("gs")) >= near))
+    codes = [
+        F.when(there & (F.col("q") == F.col("s")), "exact_copy"),
+        F.when(F.exists("m", lambda v: (F.length(v) > 0) & F.contains(F.col("q"), v)), "metadata_in_query") if metadata else F.lit(None).cast("string"),
+        F.when(there & alike, "near_copy"),
+        F.when((F.length("s") >= copy_chars) & (F.contains("s", "q") | F.contains("q", "s")), "substring"),
+    ]
+    return both.withColumn("codes", F.filter(F.array(*codes), lambda c: c.isNotNull())).drop("q", "s", "gq", "gs", "m")
 
 
 def near_pairs(items: DataFrame, key: str, text: str, threshold: float) -> DataFrame:

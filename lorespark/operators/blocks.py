@@ -69,7 +69,9 @@ class _Cells(html.parser.HTMLParser):
         self.open = False
 
     def handle_starttag(self, tag, attrs):
-        if tag == "tr":
+        if tag == "br" and self.open:
+            self.rows[-1][-1] += " "
+        elif tag == "tr":
             self.rows.append([])
         elif tag in ("td", "th"):
             if not self.rows:
@@ -86,15 +88,25 @@ class _Cells(html.parser.HTMLParser):
             self.rows[-1][-1] += data
 
 
+def _flat(s: str) -> str:
+    return re.sub(r"\s+", " ", s).strip()
+
+
+def table_rows(markup: str) -> list[list[str]]:
+    """The cells of each row of an HTML table."""
+    p = _Cells()
+    p.feed(markup)
+    return [list(map(_flat, r)) for r in p.rows]
+
+
 def table_text(markup: str | None) -> str | None:
     """Rows of an HTML table as `a | b`; without cells all its text, without text the markup."""
     if markup is None:
         return None
     p = _Cells()
     p.feed(markup)
-    flat = lambda s: re.sub(r"\s+", " ", s).strip()
-    rows = [" | ".join(map(flat, r)) for r in p.rows if any(map(flat, r))]
-    return "\n".join(rows) or flat(" ".join(p.words)) or markup
+    rows = [" | ".join(map(_flat, r)) for r in p.rows if any(map(_flat, r))]
+    return "\n".join(rows) or _flat(" ".join(p.words)) or markup
 
 
 def rendered_table(markup: Column) -> Column:

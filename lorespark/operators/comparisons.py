@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,25 +58,31 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataF
     return both.select(*keys, change.alias("change")).where("change is not null")
 
 
-def facts_hold(columns: list[str], rows: list[tuple], facts: list[dict], tolerance: float = 1e-6) -> bool | None:
-    """Whether each expected fact (column: value; an empty one: no rows) is found in a row of its own; None without facts."""
-    if not facts:
-        return None
-    if len(set(columns)) < len(columns):
-        return False
-
-    def equal(x, y) -> bool:
-        numbers = all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in (x, y))
-        return math.isclose(x, y, rel_tol=tolerance, abs_tol=tolerance) if numbers else x == y
-
-    left = [dict(zip(columns, r, strict=True)) for r in rows]
-    for fact in facts:
-        if not fact:
-            if rows:
-                return False
-            continue
-        fits = (i for i, r in enumerate(left) if all(c in r and equal(r[c], v) for c, v in fact.items()))
-        if (i := next(fits, None)) is None:
-            return False
-        del left[i]
-    return True
+def facts_hold(cases: DataFrame, facts: DataFrame, results: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """case_id, holds of every case: whether each expected fact is found in a result row of its own; null for cases without facts.
+
+    facts: case_id, fact, column, number, string (a row for each column that the fact names; a fact without columns says that there are no rows: one
+    row, column null); results: case_id, row, column, number, string. Numbers are equal within the tolerance (relative or absolute), all else exactly.
+    Facts take the first row that fits and isn't taken, in order. A result that names a column twice in a row holds nothing.
+    """
+    asked = facts.where("column is not null").groupBy("case_id", "fact").agg(F.count("*").alias("n"))
+    f = facts.where("column is not null").select("case_id", "fact", "column", F.col("number").alias("x"), F.col("string").alias("s"))
+    r = results.select("case_id", "row", "column", F.col("number").alias("y"), F.col("string").alias("t"))
+    near = F.abs(F.col("x") - F.col("y")) <= F.greatest(F.lit(tolerance), tolerance * F.greatest(F.abs("x"), F.abs("y")))
+    equal = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), near).otherwise(F.col("x").isNull() & F.col("y").isNull() & F.col("s").eqNullSafe(F.col("t")))
+    fits = f.join(r, ["case_id", "column"]).where(equal).groupBy("case_id", "fact", "row").agg(F.countDistinct("column").alias("m"))
+    fits = fits.join(asked, ["case_id", "fact"]).where("m = n").groupBy("case_id", "fact").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    wanted = asked.join(fits, ["case_id", "fact"], "left").groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("fact", "rows"))).alias("facts"))
+
+    def take(used: Column, one: Column) -> Column:
+        free = F.get(F.array_except(one["rows"], used), F.lit(0))
+        return F.when(used.isNotNull() & free.isNotNull(), F.array_append(used, free))
+
+    kind = f"array<{dict(results.dtypes)['row']}>"
+    found = wanted.select("case_id", F.aggregate("facts", F.array().cast(kind), take).isNotNull().alias("found"))
+    empty = facts.where("column is null").select("case_id").distinct().withColumn("no_rows", F.lit(True))
+    some = results.groupBy("case_id", "row").agg((F.count("*") > F.countDistinct("column")).alias("twice")).groupBy("case_id").agg(F.bool_or("twice").alias("twice"))
+    all_ = cases.select("case_id").distinct().join(found, "case_id", "left").join(empty, "case_id", "left").join(some, "case_id", "left")
+    none = F.col("found").isNull() & F.col("no_rows").isNull()
+    holds = F.coalesce("found", F.lit(True)) & (F.col("no_rows").isNull() | F.col("twice").isNull()) & ~F.coalesce("twice", F.lit(False))
+    return all_.select("case_id", F.when(~none, holds).alias("holds"))

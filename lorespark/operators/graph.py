@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorespark.functions import text as T
-from lorespark.operators.linking import ratio
+from lorespark.operators.similarity import similar_texts
 from lorespark.operators.sparse import ranked
 
 SEEDS, NEIGHBOURS, RELATIONS, EVIDENCE = 5, 20, 100, 50
@@ -35,8 +35,8 @@ def seeds(queries: DataFrame, terms: DataFrame, limit: int = SEEDS, generic: int
 
     exact: the query is the term (1.0); contains: it holds it, ASCII terms between word ends (0.93); lexical: their similarity is
     LEXICAL or more (0.88 of it). Methods rank in this order, within one by KINDS. A term that more than `generic` (4 * limit)
-    entities share says nothing and is left out. Queries meet terms by the terms' first four characters, and, for similarity, by
-    pairs of neighbouring characters: of two strings so similar, some two stand together in both.
+    entities share says nothing and is left out. Queries meet terms by the terms' first four characters, and, for similarity, by the
+    similarity join's bounds.
     """
     generic = 4 * limit if generic is None else generic
     kind = F.col("kind") if "kind" in terms.columns else F.lit(KINDS[0])
@@ -51,10 +51,9 @@ def seeds(queries: DataFrame, terms: DataFrame, limit: int = SEEDS, generic: int
     exact = F.col("q") == F.col("norm")
     hit = held.select("query_id", "norm", F.when(exact, 0).otherwise(1).alias("way"), F.when(exact, EXACT).otherwise(CONTAINS).alias("score"))
     if lexical:
-        two = lambda df, c, *keep: df.select(*keep, c, F.explode(F.array_distinct(grams(F.col(c), 2))).alias("key"))
-        close = 2 * F.least(F.length("q"), F.length("norm")) >= LEXICAL * (F.length("q") + F.length("norm"))
-        like = two(q, "q", "query_id").join(two(labels.where(F.length("norm") >= 3), "norm"), "key").where(close & (F.col("q") != F.col("norm"))).select("query_id", "q", "norm").distinct()
-        like = like.where(~T.contains_word(F.col("q"), F.col("norm"))).withColumn("r", ratio(F.col("q"), F.col("norm"))).where(F.col("r") >= LEXICAL)
+        words = labels.where(F.length("norm") >= 3)
+        like = similar_texts(q.select(F.col("q").alias("s")), words.select(F.col("norm").alias("s")), LEXICAL).where(F.col("similarity") >= LEXICAL)
+        like = q.join(like.select(F.col("x").alias("q"), F.col("y").alias("norm"), F.col("similarity").alias("r")), "q").where(~T.contains_word(F.col("q"), F.col("norm")))
         hit = hit.unionByName(like.select("query_id", "norm", F.lit(2).alias("way"), F.round(F.col("r") * 0.88, 6).alias("score")))
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     found = hit.join(t, "norm").withColumn("priority", F.col("way") * len(KINDS) + place)

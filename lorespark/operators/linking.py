@@ -2,34 +2,24 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from lorespark.functions import text as T
-from lorespark.functions.scratch import shared_folder
+from lorespark.functions.scratch import cut
+from lorespark.operators.similarity import long_enough, ratio
 
 BLOCK, WINDOW, BUDGET, SIMILAR = 64, 16, 200, 0.72
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Share of matching characters (twice the matches over both lengths), longest blocks first; an Arrow function."""
-
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p or "", q or "", autojunk=True).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
-
-    return F.pandas_udf(of, DoubleType())(a, b)
-
-
 def blocks(entities: DataFrame) -> DataFrame:
-    """entity_id, kind (exact, prefix), term: the keys under which entities (entity_id, name, aliases, type) meet."""
+    """entity_id, kind (exact, prefix), term: the keys under which entities (entity_id, name, aliases, type) meet: every name and alias, and the
+    first two characters of the name."""
     names = F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), T.label))
     terms = entities.select("entity_id", F.explode(names).alias("term")).where("term <> ''")
-    return terms.select("entity_id", F.lit("exact").alias("kind"), "term").unionByName(terms.select("entity_id", F.lit("prefix").alias("kind"), F.substring("term", 1, 2).alias("term"))).distinct()
+    heads = entities.select("entity_id", F.lit("prefix").alias("kind"), F.substring(T.label(F.col("name")), 1, 2).alias("term")).where("length(term) = 2")
+    return terms.select("entity_id", F.lit("exact").alias("kind"), "term").unionByName(heads).distinct()
 
 
 def telemetry(entities: DataFrame, most: int = BLOCK) -> DataFrame:
@@ -40,16 +30,30 @@ def telemetry(entities: DataFrame, most: int = BLOCK) -> DataFrame:
     return size.groupBy("kind").agg(F.count("*").alias("n_blocks"), F.count_if(big).alias("skipped_blocks"), F.coalesce(F.sum(F.when(big, pairs)), F.lit(0.0)).cast("long").alias("skipped_pairs"))
 
 
-def candidates(entities: DataFrame, most: int = BLOCK, window: int = WINDOW, prefix: bool = True) -> DataFrame:
-    """a, b, kind, term: pairs a < b that share a block of at most `most`; in prefix blocks only the next `window` by id."""
-    keys = blocks(entities)
+def candidates(entities: DataFrame, most: int = BLOCK, window: int = WINDOW, prefix: bool = True, similar: float | None = SIMILAR) -> DataFrame:
+    """a, b, kind, term: pairs a < b that share a block of at most `most`; in prefix blocks only the next `window` by id, and of these only
+    those whose names are similar enough."""
+    keys = blocks(entities) if prefix else blocks(entities).where("kind = 'exact'")
     w = Window.partitionBy("kind", "term")
     sized = keys.groupBy("kind", "term").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= most))
     members = keys.join(sized, ["kind", "term"]).withColumn("rn", F.row_number().over(w.orderBy("entity_id")))
     x = members.select("kind", "term", F.col("entity_id").alias("a"), F.col("rn").alias("ra"))
     y = members.select("kind", "term", F.col("entity_id").alias("b"), F.col("rn").alias("rb"))
-    pairs = x.join(y, ["kind", "term"]).where("rb > ra").where((F.col("kind") == "exact") | (F.lit(prefix) & (F.col("rb") <= F.col("ra") + window)))
-    return pairs.select("a", "b", "kind", "term")
+    pairs = x.join(y, ["kind", "term"]).where("rb > ra").where((F.col("kind") == "exact") | (F.col("rb") <= F.col("ra") + window)).select("a", "b", "kind", "term")
+    if similar is None or not prefix:
+        return pairs
+    near = with_similarity(pairs.where("kind = 'prefix'"), entities, similar).where(F.col("similarity") >= similar)
+    return pairs.where("kind = 'exact'").unionByName(near.select("a", "b", "kind", "term"))
+
+
+def with_similarity(pairs: DataFrame, entities: DataFrame, least: float = 0.0) -> DataFrame:
+    """pairs (a, b) with similarity: the matching-blocks ratio of their names; each pair of names is matched once, and only if their lengths
+    allow `least`, else the similarity is 0."""
+    named = entities.select("entity_id", T.label(F.col("name")).alias("n"))
+    both = pairs.join(named.withColumnsRenamed({"entity_id": "a", "n": "name_a"}), "a").join(named.withColumnsRenamed({"entity_id": "b", "n": "name_b"}), "b")
+    names = both.where(long_enough(F.length("name_a"), F.length("name_b"), least)).select("name_a", "name_b").distinct()
+    matched = names.withColumn("similarity", F.round(ratio(F.col("name_a"), F.col("name_b")), 6))
+    return both.join(matched, ["name_a", "name_b"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
 def budgeted(pairs: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -59,13 +63,13 @@ def budgeted(pairs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def signals(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    """pairs with name_match, term_overlap, alias_overlap, same_type, same_document."""
+    """pairs with name_match, term_overlap, alias_overlap, same_type, same_document and similarity."""
     e = entities.select("entity_id", T.label(F.col("name")).alias("n"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), T.label).alias("al"), "type", "document_id")
     x = e.select(*[F.col(c).alias(f"{c}_a") for c in e.columns]).withColumnRenamed("entity_id_a", "a")
     y = e.select(*[F.col(c).alias(f"{c}_b") for c in e.columns]).withColumnRenamed("entity_id_b", "b")
-    both = pairs.join(x, "a").join(y, "b")
+    both = with_similarity(pairs.select("a", "b"), entities).drop("name_a", "name_b").join(x, "a").join(y, "b")
     terms = lambda s: F.array_distinct(F.concat(F.array(f"n_{s}"), f"al_{s}"))
-    return both.select("a", "b", (F.col("n_a") == F.col("n_b")).alias("name_match"), F.array_sort(F.array_intersect(terms("a"), terms("b"))).alias("term_overlap"), F.array_sort(F.array_intersect("al_a", "al_b")).alias("alias_overlap"), (F.col("type_a") == F.col("type_b")).alias("same_type"), (F.col("document_id_a") == F.col("document_id_b")).alias("same_document"), F.col("n_a").alias("name_a"), F.col("n_b").alias("name_b"))
+    return both.select("a", "b", (F.col("n_a") == F.col("n_b")).alias("name_match"), F.array_sort(F.array_intersect(terms("a"), terms("b"))).alias("term_overlap"), F.array_sort(F.array_intersect("al_a", "al_b")).alias("alias_overlap"), (F.col("type_a") == F.col("type_b")).alias("same_type"), (F.col("document_id_a") == F.col("document_id_b")).alias("same_document"), F.col("n_a").alias("name_a"), F.col("n_b").alias("name_b"), "similarity")
 
 
 def decisions(df: DataFrame, similarity: str = "similarity") -> DataFrame:
@@ -82,25 +86,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     """node, root: the least node reachable over links, for nodes with links. Labels spread to neighbours and jump to labels' labels;
     each round is cut off as a checkpoint in the shared folder."""
     both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    _shared(both.sparkSession)
-    both = both.checkpoint()
-    labels = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("l")).checkpoint()
+    both = cut(both)
+    labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("l")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("l").alias("m"))
         new = labels.join(near, "x").select("x", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         jump = new.select(F.col("x").alias("l"), F.col("l").alias("l2"))
-        new = new.join(jump, "l", "left").select("x", F.coalesce(F.least("l", "l2"), "l").alias("l"), "old").checkpoint()
+        new = new.join(jump, "l", "left").select("x", F.coalesce(F.least("l", "l2"), "l").alias("l"), "old")
+        new = cut(new)
         labels = new.select("x", "l")
         if new.where("l <> old").isEmpty():
             return labels.select(F.col("x").alias("node"), F.col("l").alias("root"))
     raise RuntimeError("components have not settled")
 
 
-def _shared(spark) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
 def canonical_plan(members: DataFrame, entities: DataFrame) -> DataFrame:
     """root, representative (least normalised name, id), n_members, aliases (all names and aliases, distinct and sorted)."""
     e = entities.select(F.col("entity_id").alias("node"), "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))

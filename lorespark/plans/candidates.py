@@ -90,24 +90,72 @@ def ret_18_branches(spark, sf_dir):
 
 
 def lnk_02_parsed(spark, sf_dir):
-    good = '{"entities": [{"name": "A", "entity_type": "人物", "aliases": []}], "relations": [{"source": "A", "target": "B", "relation_type": "属于", "evidence": "A of B"}]}'
-    forms = (good, f"```json\n{good}\n```", "not json", good.replace("人物", "person"), good.replace("属于", "of"), good.replace('"relations"', '"links"'), "[1, 2]", good.replace('"A", "entity_type"', '"", "entity_type"'))
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, forms)), (F.col("doc_id") % 8 + 1).cast("int")).alias("output"))
-    return E.parsed(d).select("doc_id", "category", F.size("parsed.entities").alias("n"))
+    return E.parsed(_t(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, [f for f, _, _ in _OUTPUTS])), (F.col("doc_id") % len(_OUTPUTS) + 1).cast("int")).alias("output"))).select("doc_id", "category", F.size("parsed.entities").alias("n"))
+
+
+_OUTPUT = '{"entities": [{"name": "A", "entity_type": "人物", "aliases": []}], "relations": [{"source": "A", "target": "B", "relation_type": "属于", "evidence": "A of B"}]}'
+#: Outputs of a model, what they should be told to be, and how many entities they give.
+_OUTPUTS = [
+    (_OUTPUT, "ok", 1),
+    (f"```json\n{_OUTPUT}\n```", "ok", 1),
+    ("not json", "invalid_json", None),
+    (_OUTPUT.replace("人物", "person"), "unknown_entity_type", None),
+    (_OUTPUT.replace("属于", "of"), "unknown_relation_type", None),
+    (_OUTPUT.replace('"relations"', '"links"'), "schema_validation", None),
+    ("[1, 2]", "schema_validation", None),
+    (_OUTPUT.replace('"A", "entity_type"', '" ", "entity_type"'), "schema_validation", None),
+    (_OUTPUT.replace('"aliases": []', '"aliases": [], "x": 1'), "schema_validation", None),
+    (_OUTPUT.replace('"aliases": []', '"aliases": "q"'), "schema_validation", None),
+    (_OUTPUT.replace('"aliases": []', '"aliases": ["q", "Q "]'), "schema_validation", None),
+    (_OUTPUT.replace('"aliases": []', '"aliases": ["q", 1]'), "schema_validation", None),
+    (_OUTPUT.replace('"aliases": []', '"aliases": ["q", "r"]'), "ok", 1),
+    (_OUTPUT.replace('"name": "A"', '"name": 7'), "schema_validation", None),
+    (_OUTPUT.replace('"name": "A"', f'"name": "{"a" * 201}"'), "schema_validation", None),
+    (_OUTPUT.replace(', "evidence": "A of B"', ""), "schema_validation", None),
+    ('{"entities": null}', "schema_validation", None),
+    ('{"entities": [3]}', "schema_validation", None),
+    ("{}", "ok", 0),
+]
 
 
 def lnk_03_relations(spark, sf_dir):
+    """Each nation's relation to its region with a fault by its number: see the SQL for which."""
     n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    key = F.col("n_nationkey")
-    rel = n.select(F.col("r_name").alias("document_id"), key, F.col("n_name").alias("source"), F.when(key % 7 == 0, F.lit("Atlantis")).when(key % 5 == 0, F.col("n_name")).otherwise(F.col("r_name")).alias("target"), F.lit("in").alias("relation_type"), F.when(key % 3 == 0, F.lit("elsewhere")).otherwise(F.concat("n_name", F.lit("  lies in"))).alias("evidence"), F.concat("n_name", F.lit(" lies in "), "r_name").alias("text"))
-    names = n.select(F.col("r_name").alias("document_id"), F.initcap("n_name").alias("name")).union(n.select("r_name", "r_name"))
-    return E.grounded_relations(rel, names).select("n_nationkey", "status")
+    by = F.col("n_nationkey") % 8
+    land = F.concat("n_name", F.lit(" land"))
+    lies = lambda *x: F.concat(*x)
+    rows = n.select(
+        F.col("r_name").alias("document_id"), F.col("n_nationkey").cast("long").alias("relation_no"), F.when(by == 4, land).otherwise(F.upper("n_name")).alias("source"),
+        F.when(by == 0, F.lit("Atlantis")).when(by == 5, F.lit("realm")).otherwise(F.col("r_name")).alias("target"), F.lit("位于").alias("relation_type"),
+        F.when(by == 1, F.lit("lies elsewhere")).when(by == 2, lies(F.lit("lies  in "), "r_name")).when(by == 3, lies("n_name", F.lit(" lies"))).otherwise(lies("n_name", F.lit(" LIES in "), "r_name")).alias("evidence"),
+    )
+    again = rows.where("relation_no % 8 = 6").withColumn("relation_no", F.col("relation_no") + 100)
+    named = n.select(F.col("r_name").alias("document_id"), F.col("n_name").alias("entity_id"), F.initcap("n_name").alias("name"), F.array(land, F.lit("Realm")).alias("aliases"))
+    regions = n.select(F.col("r_name").alias("document_id"), F.col("r_name").alias("entity_id"), F.col("r_name").alias("name"), F.array().cast("array<string>").alias("aliases")).distinct()
+    texts = n.groupBy(F.col("r_name").alias("document_id")).agg(F.array_join(F.collect_list(F.concat("n_name", F.lit(" lies in "), "r_name")), ". ").alias("text"))
+    return E.grounded_relations(rows.unionByName(again), named.unionByName(regions), texts).select("relation_no", "source_id", "status")
+
+
+def cmp_02_facts(spark, sf_dir):
+    """What is expected of each nation's suppliers (by its number: the first supplier's balance, a wrong balance, one row twice, no rows, nothing) against the suppliers."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("case_id"), F.col("s_suppkey").cast("long").alias("row"), "s_name", F.col("s_acctbal").cast("double").alias("b"))
+    cell = lambda c, x, t: F.struct(F.lit(c).alias("column"), x.cast("double").alias("number"), t.cast("string").alias("string"))
+    results = s.select("case_id", "row", F.inline(F.array(cell("name", F.lit(None), F.col("s_name")), cell("balance", F.col("b"), F.lit(None)))))
+    first = s.groupBy("case_id").agg(F.min(F.struct("row", "s_name", "b")).alias("r"))
+    cases = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("case_id")).join(first, "case_id", "left")
+    by, name, balance = F.col("case_id") % 5, F.col("r.s_name"), F.col("r.b")
+    fact = lambda i, *cells: F.transform(F.array(*cells), lambda c: F.struct(F.lit(i).alias("fact"), c["column"].alias("column"), c["number"].alias("number"), c["string"].alias("string")))
+    one = fact(0, cell("name", F.lit(None), name), cell("balance", balance * (1 + 1e-9), F.lit(None)))
+    none = F.array(F.struct(F.lit(0).alias("fact"), F.lit(None).cast("string").alias("column"), F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("string")))
+    asked = F.when(by == 0, one).when(by == 1, fact(0, cell("name", F.lit(None), name), cell("balance", balance + 1, F.lit(None)))).when(by == 2, F.concat(one, fact(1, cell("name", F.lit(None), name)))).when(by == 3, none)
+    facts = cases.where(asked.isNotNull()).select("case_id", F.inline(asked))
+    return X.facts_hold(cases, facts, results)
 
 
 def str_07_cells(spark, sf_dir):
     n = _t(spark, sf_dir, "nation")
-    md = F.concat(F.lit("| name | key |\n|:---|---:|\n| "), "n_name", F.lit("  x |"), F.col("n_nationkey").cast("string"), F.lit("|\n|  | |\nno cells"))
-    html = F.concat(F.lit("<table><tr><th>name</th></tr><TR class='x'><td><b>"), "n_name", F.lit("</b></td><td> "), F.col("n_nationkey").cast("string"), F.lit(" </td></TR><tr><td></td></tr></table>"))
+    md = F.concat(F.lit("| name | key |\n|:---|---:|\n| "), "n_name", F.lit("  x |"), F.col("n_nationkey").cast("string"), F.lit("|\n|  | |\nno cells\n| a\\|b | c |"))
+    html = F.concat(F.lit("<table><tr><th>name</th></tr><TR class='x'><td><b>"), "n_name", F.lit("</b><br>y</td><td> "), F.col("n_nationkey").cast("string"), F.lit(" </td></TR><tr><td></td></tr></table>"))
     flat = lambda c: F.array_join(F.transform(c, lambda r: F.array_join(r, "|")), ";")
     return n.select("n_nationkey", flat(E.markdown_cells(md)).alias("markdown"), flat(E.html_cells(html)).alias("html"))
 
@@ -185,7 +233,7 @@ def stream_frames(spark, sf_dir):
 
 FUNCTIONS = (
     flt_01_scope, flt_01_scope_narrow, flt_07_text_present, flt_08_question_gates, jn_02_missing_lineage, jn_02_lineage, jn_06_evidence_in_chunk, ret_12_best_match, ret_15_candidate_ids, ret_18_branches, lnk_02_parsed,
-    lnk_03_relations, str_07_cells, agg_09_deltas, agg_11_contribution, agg_24_corpus_audit, aud_02_snapshot_diff, src_02_corpus, snk_03_generation_delete, snk_04_replace_vectors, snk_05_replace_refused, stream_frames,
+    lnk_03_relations, cmp_02_facts, str_07_cells, agg_09_deltas, agg_11_contribution, agg_24_corpus_audit, aud_02_snapshot_diff, src_02_corpus, snk_03_generation_delete, snk_04_replace_vectors, snk_05_replace_refused, stream_frames,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -201,9 +249,10 @@ ORACLE = {
     "ret_12_best_match": "SELECT query_id, chunk, score, hop, rank, seed_id, evidence_id FROM (SELECT CAST(l_suppkey % 20 AS BIGINT) AS query_id, l_partkey AS chunk, round(l_discount, 2) AS score, CAST(l_linenumber AS BIGINT) AS hop, CAST(trunc(l_quantity) AS BIGINT) % 5 AS rank, l_suppkey AS seed_id, l_orderkey AS evidence_id FROM lineitem) QUALIFY row_number() OVER (PARTITION BY query_id, chunk ORDER BY score DESC, hop, rank, seed_id, evidence_id) = 1",
     "ret_15_candidate_ids": f"SELECT doc_id, {_ID.format(kind='chunk')} AS chunk, {_ID.format(kind='evidence')} AS evidence FROM documents",
     "ret_18_branches": "SELECT * FROM (VALUES ('dense', 'success', true), ('sparse', 'empty', true), ('graph', 'failed', true), ('multimodal', 'timed_out', true)) v(branch, status, degraded)",
-    "lnk_02_parsed": "SELECT doc_id, ['ok', 'ok', 'invalid_json', 'unknown_entity_type', 'unknown_relation_type', 'schema_validation', 'schema_validation', 'schema_validation'][doc_id % 8 + 1] AS category, CASE WHEN doc_id % 8 < 2 THEN 1 END AS n FROM documents",
-    "lnk_03_relations": "SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN 'no_target' WHEN n_nationkey % 5 = 0 THEN 'self' WHEN n_nationkey % 3 = 0 THEN 'no_evidence' ELSE 'ground' END AS status FROM nation",
-    "str_07_cells": "SELECT n_nationkey, 'name|key;' || n_name || ' x|' || n_nationkey AS markdown, 'name;' || n_name || '|' || n_nationkey AS html FROM nation",
+    "lnk_02_parsed": f"SELECT doc_id, [{', '.join(repr(c) for _, c, _ in _OUTPUTS)}][doc_id % {len(_OUTPUTS)} + 1] AS category, [{', '.join('NULL' if n is None else str(n) for _, _, n in _OUTPUTS)}][doc_id % {len(_OUTPUTS)} + 1] AS n FROM documents",
+    "lnk_03_relations": "WITH k AS (SELECT n_nationkey AS k, n_name AS s FROM nation UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_nationkey % 8 = 6) SELECT CAST(k AS BIGINT) AS relation_no, s AS source_id, CASE WHEN k >= 100 THEN 'duplicate' ELSE ['endpoint', 'evidence', 'source', 'target', 'ground', 'endpoint', 'ground', 'ground'][k % 8 + 1] END AS status FROM k",
+    "cmp_02_facts": "WITH c AS (SELECT n_nationkey AS k, count(s_suppkey) AS n, count(DISTINCT s_name) AS names FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1) SELECT CAST(k AS BIGINT) AS case_id, CASE k % 5 WHEN 0 THEN n > 0 WHEN 1 THEN false WHEN 2 THEN n > 0 AND names < n WHEN 3 THEN n = 0 END AS holds FROM c",
+    "str_07_cells": "SELECT n_nationkey, 'name|key;' || n_name || ' x|' || n_nationkey || ';a|b|c' AS markdown, 'name;' || n_name || ' y|' || n_nationkey AS html FROM nation",
     "agg_09_deltas": "WITH d AS (SELECT o_orderstatus, 1.0::DOUBLE / (1 + o_orderkey % 5) - 1.0::DOUBLE / (1 + o_custkey % 7) AS d FROM orders), g AS (SELECT o_orderstatus, list(d ORDER BY d) AS v, count(*) AS n, count(*) FILTER (WHERE d > 0) AS n_positive, count(*) FILTER (WHERE d = 0) AS n_zero, count(*) FILTER (WHERE d < 0) AS n_negative, round(avg(d), 8) AS mean, round(min(d), 8) AS least, round(max(d), 8) AS most FROM d GROUP BY 1) SELECT o_orderstatus, n, n_positive, n_zero, n_negative, mean, least, most, round(v[CAST(round_even((n - 1) * 0.5, 0) AS BIGINT) + 1], 8) AS p50, round(v[CAST(round_even((n - 1) * 0.95, 0) AS BIGINT) + 1], 8) AS p95 FROM g",
     "agg_11_contribution": "WITH o AS (SELECT o_custkey % 50 AS q, o_orderkey AS k, o_orderpriority AS p, o_totalprice AS t, o_orderdate AS d FROM orders), v AS (SELECT q, k FROM o QUALIFY row_number() OVER (PARTITION BY q ORDER BY t DESC, k) <= 5), g AS (SELECT q, k FROM o WHERE q % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY d DESC, k) <= 5), h AS (SELECT q, k FROM o QUALIFY row_number() OVER (PARTITION BY q ORDER BY t * (k % 3) DESC, k) <= 5), gold AS (SELECT DISTINCT q, k FROM o WHERE p = '1-URGENT' AND k % 4 = 0), m AS (SELECT gold.q, v.k IS NOT NULL AS v, g.k IS NOT NULL AS g, h.k IS NOT NULL AS h FROM gold LEFT JOIN v ON v.q = gold.q AND v.k = gold.k LEFT JOIN g ON g.q = gold.q AND g.k = gold.k LEFT JOIN h ON h.q = gold.q AND h.k = gold.k), p AS (SELECT q, bool_or(v) AS v, bool_or(g) AS g, bool_or(h) AS h, count(*) FILTER (WHERE g AND NOT v) AS r, count(*) FILTER (WHERE g AND NOT v AND h) AS f FROM m GROUP BY q) SELECT count(*) AS n_queries, count(*) FILTER (WHERE v) AS n_vector, count(*) FILTER (WHERE g) AS n_graph, count(*) FILTER (WHERE v AND g) AS n_both, count(*) FILTER (WHERE q NOT IN (SELECT q FROM g)) AS n_graph_empty, CAST(coalesce(sum(r), 0) AS BIGINT) AS n_recovered, CAST(coalesce(sum(f), 0) AS BIGINT) AS n_final_recovered, count(*) FILTER (WHERE h AND NOT v) AS n_improved, count(*) FILTER (WHERE v AND NOT h) AS n_regressed, count(*) FILTER (WHERE v = h) AS n_unchanged FROM p",
     "agg_24_corpus_audit": "WITH a AS (SELECT 'customers' AS part, c_custkey AS k, 1 AS e, 0 AS s FROM customer UNION ALL SELECT 'customers', o_custkey, 0, 1 FROM orders UNION ALL SELECT 'parts', p_partkey, 1, 0 FROM part WHERE p_partkey % 6 <> 0 UNION ALL SELECT 'parts', p_partkey, 0, 1 FROM part WHERE p_partkey % 10 <> 0), g AS (SELECT part, k, sum(e) AS e, sum(s) AS s FROM a GROUP BY 1, 2) SELECT part, count(*) FILTER (WHERE e > 0) AS n_expected, count(*) FILTER (WHERE s > 0) AS n_stored, count(*) FILTER (WHERE e > 0 AND s = 0) AS n_missing, count(*) FILTER (WHERE s > 0 AND e = 0) AS n_unexpected, count(*) FILTER (WHERE s > 1) AS n_repeated FROM g GROUP BY 1",

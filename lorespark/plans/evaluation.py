@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as T
 from lorespark.operators import audits as A
 from lorespark.operators import metrics as M
+from lorespark.operators import similarity as S
 from lorespark.operators import sparse
-from lorespark.plans.retrieval import document_index
+from lorespark.plans.retrieval import bm25_sql, document_index
 from lorespark.sources.tables import table as _t
 
 
@@ -109,21 +110,41 @@ def top_05_diverse(spark, sf_dir):
 
 
 def leak_01_codes(spark, sf_dir):
+    """Benchmark items against the documents that answer them best; items of an even length have a document's number in their text."""
     docs, items = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
-    run = sparse.search(items, document_index(spark, sf_dir), "doc_id", "item_id", limit=3)
-    pairs = run.join(docs.select("doc_id", F.col("text").alias("source"), "lang"), "doc_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
-    got = A.leakage(pairs, "query", "source")
+    run = sparse.search(items, document_index(spark, sf_dir), "doc_id", "item_id", limit=3).select("query_id", "doc_id")
+    first = run.groupBy("query_id").agg(F.min("doc_id").alias("first"))
+    queries = items.select(F.col("item_id").alias("query_id"), "text").join(first, "query_id")
+    key = lambda c: F.concat(F.lit("doc-"), c.cast("string"), F.lit("-end"))
+    named = F.when(F.length("text") % 2 == 0, F.concat("text", F.lit(" "), key(F.col("first")))).otherwise(F.col("text"))
+    sources = docs.select("doc_id", F.col("text").alias("source"), key(F.col("doc_id")).alias("name"))
+    got = A.leakage(run, queries.select("query_id", named.alias("query")), sources, metadata=["name"])
     return got.select("query_id", "doc_id", F.array_join("codes", ",").alias("codes")).where("codes <> ''")
 
 
 def jn_15_near_pairs(spark, sf_dir):
-    d = _t(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
-    return A.near_pairs(d, "doc_id", "text", 0.8)
+    """Benchmark items, those of an even length also without their last three characters."""
+    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), "text")
+    cut = b.where("length(text) % 2 = 0").select(F.concat(F.lit("cut-"), "doc_id").alias("doc_id"), F.expr("left(text, length(text) - 3)").alias("text"))
+    return A.near_pairs(b.unionByName(cut), "doc_id", "text", 0.8)
+
+
+def _turns(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), T.label(F.col("text")).alias("text"))
+
+
+def jn_15_ratio_pairs(spark, sf_dir):
+    """Turns of conversations, of which the short ones come once more with one character changed, that are alike by matching blocks."""
+    t = _turns(spark, sf_dir)
+    changed = t.where(F.length("text").between(30, 199)).select((F.col("turn_id") + 500_000_000).alias("turn_id"), F.expr("overlay(text placing '#' from 5 for 1)").alias("text"))
+    return S.similar_pairs(t.unionByName(changed), "turn_id", "text", 0.92)
 
 
 def leak_02_same_text(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations")
-    return A.duplicate_groups(c, F.md5(T.squeezed(F.col("text"))), "conv_id")
+    """Turns, every tenth of them also with other white space."""
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "text")
+    spaced = c.where("conv_id % 10 = 0").select((F.col("conv_id") + 1_000_000).alias("conv_id"), F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit(" \t"))).alias("text"))
+    return A.duplicate_groups(c.unionByName(spaced), F.md5(T.squeezed(F.col("text"))), "conv_id")
 
 
 def aud_01_labels(spark, sf_dir):
@@ -235,7 +256,7 @@ def smp_01_review(spark, sf_dir):
 
 FUNCTIONS = (
     agg_10_split_summary, agg_15_nearest_rank, agg_15_nearest_rank_list, agg_16_percentiles, agg_17_summary, agg_18_rates, agg_19_stage_counts, agg_20_strict_sum, agg_21_cost, agg_22_failed_buckets, agg_23_extrapolation, agg_26_subject_summary,
-    agg_27_duplicates, agg_27_inventory, agg_30_bad_cases, agg_31_warnings, top_04_stratified, top_05_diverse, top_06_worst, leak_01_codes, jn_15_near_pairs, leak_02_same_text, aud_01_labels, aud_03_order, jn_12_index_audit, ret_05_index_status,
+    agg_27_duplicates, agg_27_inventory, agg_30_bad_cases, agg_31_warnings, top_04_stratified, top_05_diverse, top_06_worst, leak_01_codes, jn_15_near_pairs, jn_15_ratio_pairs, leak_02_same_text, aud_01_labels, aud_03_order, jn_12_index_audit, ret_05_index_status,
     aud_04_fingerprint, snk_12_latest, snk_13_registration, snk_14_attribution, snk_15_resume, snk_16_roll_up, src_03_representatives, src_04_duplicate_keys, src_05_contiguous, flt_06_exclusion, cmp_01_tolerance, cmp_03_outcomes, srt_02_pagination, smp_01_review,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
@@ -243,6 +264,16 @@ QUERIES = {f.__name__: f for f in FUNCTIONS}
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[._-][\p{L}\p{N}]+)*')"
 _SQZ = "regexp_replace(lower(text), '\\s+', '', 'g')"
+_G3 = "list_distinct(list_transform(range(1, greatest(length({s}) - 1, 2)), lambda i: substr({s}, i, 3)))"
+
+
+def _plain_sql(text: str) -> str:
+    """A text as leakage compares it."""
+    for name, char in T.ENTITIES:
+        text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace(lower({text}), '\\s+', '', 'g')"
+
+
 _MD = "d AS (SELECT doc_id, md5(text) AS f FROM documents), st AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'old' ELSE f END AS f FROM d WHERE doc_id % 11 <> 0"
 ORACLE = {
     "agg_10_split_summary": f"WITH a AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'test' ELSE 'dev' END AS split, round(avg(value), 6) AS base, round(avg(value) FILTER (WHERE {_K} > 10), 6) AS system FROM events GROUP BY 1) SELECT *, round(system - base, 6) AS delta, round((system - base) / nullif(base, 0), 6) AS relative FROM a",
@@ -264,8 +295,13 @@ ORACLE = {
     "top_04_stratified": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn BETWEEN 3 AND 5",
     "top_05_diverse": "SELECT doc_id, source, CAST(tier AS INT) AS tier FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1 THEN 0 ELSE 1 END AS tier FROM documents) ORDER BY tier, n_chars DESC, doc_id LIMIT 30",
     "top_06_worst": "SELECT doc_id, CAST(contains(text, '!!') AS INT) AS shouting, n_chars FROM documents ORDER BY shouting DESC, n_chars DESC, doc_id LIMIT 10",
-    "jn_15_near_pairs": f"WITH g AS (SELECT item_id AS doc_id, list_distinct(list_transform(range(1, greatest(length({_SQZ}) - 1, 2)), lambda i: substr({_SQZ}, i, 3))) AS g FROM benchmark), p AS (SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.doc_id < b.doc_id AND least(len(a.g), len(b.g)) >= 0.8 * greatest(len(a.g), len(b.g))) SELECT * FROM p WHERE similarity >= 0.8",
-    "leak_02_same_text": f"SELECT md5({_SQZ}) AS fingerprint, count(*) AS n, min(conv_id) AS first FROM conversations GROUP BY 1 HAVING count(*) > 1",
+    "leak_01_codes": f"""WITH r AS (SELECT query_id, doc_id FROM ({bm25_sql('true', 3, False)})), f AS (SELECT query_id, min(doc_id) AS first FROM r GROUP BY 1), q AS (SELECT item_id AS query_id, {_plain_sql("text || CASE WHEN length(text) % 2 = 0 THEN ' doc-' || first || '-end' ELSE '' END")} AS q FROM benchmark JOIN f ON f.query_id = item_id),
+        d AS (SELECT doc_id, {_plain_sql("text")} AS s, 'doc-' || doc_id || '-end' AS m FROM documents WHERE doc_id IN (SELECT doc_id FROM r)), g AS (SELECT *, {_G3.format(s="s")} AS gs FROM d), h AS (SELECT *, {_G3.format(s="q")} AS gq FROM q),
+        c AS (SELECT query_id, doc_id, list_filter([CASE WHEN q = s THEN 'exact_copy' END, CASE WHEN contains(q, m) THEN 'metadata_in_query' END, CASE WHEN length(q) >= 32 AND length(s) >= 32 AND len(list_intersect(gq, gs)) >= 0.8 * (len(gq) + len(gs) - len(list_intersect(gq, gs))) THEN 'near_copy' END, CASE WHEN length(s) >= 24 AND (contains(s, q) OR contains(q, s)) THEN 'substring' END], lambda x: x IS NOT NULL) AS c FROM r JOIN h USING (query_id) JOIN g USING (doc_id))
+        SELECT query_id, doc_id, array_to_string(c, ',') AS codes FROM c WHERE len(c) > 0""",
+    "jn_15_near_pairs": f"WITH b AS (SELECT CAST(item_id AS VARCHAR) AS doc_id, text FROM benchmark), a AS (SELECT * FROM b UNION ALL SELECT 'cut-' || doc_id, text[:-4] FROM b WHERE length(text) % 2 = 0), g AS (SELECT doc_id, {_G3.format(s=_SQZ)} AS g FROM a), p AS (SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS similarity FROM g a JOIN g b ON a.doc_id < b.doc_id AND least(len(a.g), len(b.g)) >= 0.8 * greatest(len(a.g), len(b.g))) SELECT * FROM p WHERE similarity >= 0.8",
+    "jn_15_ratio_pairs": "WITH t AS (SELECT conv_id * 1000 + turn AS id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM conversations) SELECT id AS a, id + 500000000 AS b, round((n - 1) / n, 6) AS similarity FROM t WHERE n BETWEEN 30 AND 199",
+    "leak_02_same_text": f"WITH c AS (SELECT conv_id, text FROM conversations UNION ALL SELECT conv_id + 1000000, ' ' || replace(text, ' ', ' ' || chr(9)) FROM conversations WHERE conv_id % 10 = 0) SELECT md5({_SQZ}) AS fingerprint, count(*) AS n, min(conv_id) AS first FROM c GROUP BY 1 HAVING count(*) > 1",
     "aud_01_labels": "SELECT 'label_without_text' AS code, count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 50) HAVING count(*) > 0 UNION ALL SELECT 'unlabelled', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) HAVING count(*) > 0",
     "aud_03_order": "WITH s AS (SELECT event_type AS t, value AS v, lag(event_type) OVER w AS lt, lag(value) OVER w AS lv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), c AS (SELECT CASE WHEN t = lt AND v = lv THEN 'repeated' WHEN t < lt OR (t = lt AND v < lv) THEN 'not_monotone' END AS code FROM s) SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1",
     "jn_12_index_audit": f"WITH {_MD} UNION ALL SELECT doc_id + 1000000, f FROM d WHERE doc_id % 50 = 0), j AS (SELECT d.f AS e, st.f AS a FROM d FULL OUTER JOIN st USING (doc_id)) SELECT count(*) FILTER (WHERE e = a) AS matched, count(*) FILTER (WHERE a IS NULL) AS missing, count(*) FILTER (WHERE e IS NULL) AS stale, count(*) FILTER (WHERE e <> a) AS changed FROM j",

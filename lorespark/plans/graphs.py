@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespark.operators import graph as G
 from lorespark.operators import linking as L
+from lorespark.operators.similarity import similar_texts
 from lorespark.sources.tables import table
 
 _t = table
@@ -101,11 +102,12 @@ def _parts(spark, sf_dir):
 
 
 def lnk_06_candidates(spark, sf_dir):
-    return L.candidates(_parts(spark, sf_dir), prefix=False).select("a", "b", "term")
+    """Pairs of exact blocks, and of prefix blocks those in reach whose names are similar."""
+    return L.candidates(_parts(spark, sf_dir), most=400).where("kind = 'prefix' or length(term) > 8").select("a", "b", "kind", "term")
 
 
 def jn_11_band(spark, sf_dir):
-    return L.candidates(_parts(spark, sf_dir), most=400).where("kind = 'prefix'").select("a", "b", "term")
+    return L.candidates(_parts(spark, sf_dir), most=400, similar=None).where("kind = 'prefix'").select("a", "b", "term")
 
 
 def lnk_06_telemetry(spark, sf_dir):
@@ -119,19 +121,19 @@ def lnk_06_budget(spark, sf_dir):
 def lnk_07_signals(spark, sf_dir):
     pairs = L.candidates(_parts(spark, sf_dir), prefix=False).select("a", "b").distinct()
     s = L.signals(pairs, _parts(spark, sf_dir))
-    return s.select("a", "b", "name_match", F.array_join("term_overlap", ",").alias("terms"), F.array_join("alias_overlap", ",").alias("aliases"), "same_type", "same_document")
+    return s.select("a", "b", "name_match", F.array_join("term_overlap", ",").alias("terms"), F.array_join("alias_overlap", ",").alias("aliases"), "same_type", "same_document", "similarity")
 
 
 def lnk_08_decisions(spark, sf_dir):
-    pairs = L.candidates(_parts(spark, sf_dir), prefix=False).select("a", "b").distinct()
-    s = L.signals(pairs, _parts(spark, sf_dir)).withColumn("similarity", F.when(F.col("name_match"), 1.0).otherwise(0.4))
-    return L.decisions(s).groupBy("decision", "reason").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"))
+    pairs = L.candidates(_parts(spark, sf_dir), most=400).select("a", "b").distinct()
+    s = L.signals(pairs, _parts(spark, sf_dir))
+    return L.decisions(s).groupBy("decision", "reason").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
 
 def ret_20_ratio(spark, sf_dir):
-    pairs = L.candidates(_parts(spark, sf_dir)).where("kind = 'prefix'").select("a", "b").distinct()
-    s = L.signals(pairs, _parts(spark, sf_dir))
-    return s.withColumn("similarity", F.round(L.ratio(F.col("name_a"), F.col("name_b")), 6)).select("a", "b", "similarity")
+    """Part names that are alike by matching blocks, with the names of the suppliers' nations among them."""
+    names = _t(spark, sf_dir, "part").select(F.col("p_name").alias("s")).union(_t(spark, sf_dir, "nation").select(F.lower("n_name")))
+    return similar_texts(names, None, L.SIMILAR).select("x", "y", "similarity", "reverse")
 
 
 def _links(spark, sf_dir):
@@ -200,9 +202,16 @@ h2 AS (SELECT query_id, seed_id, nodes, rels FROM x2 WHERE nth <= 20),
 p AS (SELECT *, 0 AS hop, round(least(1, 0.72 * 0.93 + 0.2 + 0.08), 6) AS score FROM h0 UNION ALL SELECT *, 1, round(least(1, 0.72 * 0.93 + 0.1 + 0.12), 6) FROM h1 UNION ALL SELECT *, 2, round(least(1, 0.72 * 0.93 + 0.2 / 3 + 0.12), 6) FROM h2)"""
 _EV = """ev AS (SELECT query_id, evidence_id, document_id, CAST(max(score) AS DOUBLE) AS score, max({'s': score, 'h': -hop, 'd': seed_id}) AS b, count(DISTINCT {'n': nodes, 'r': rels}) AS n_paths FROM p JOIN sup ON node_kind = 'entity' AND node_id = nodes[-1] GROUP BY ALL)"""
 _PARTS = "p AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS id, p_name AS name, p_brand AS alias, p_type AS type, 'd' || (p_size % 9) AS doc FROM part)"
-_BL = f"{_PARTS}, t AS (SELECT DISTINCT id, trim(regexp_replace(lower(x), '\\s+', ' ', 'g')) AS term FROM (SELECT id, unnest([name, alias]) AS x FROM p))"
-_EX = f"{_BL}, sz AS (SELECT term, count(*) AS n FROM t GROUP BY 1), c AS (SELECT a.id AS a, b.id AS b, term FROM t a JOIN t b USING (term) JOIN sz USING (term) WHERE a.id < b.id AND n <= 64)"
-_SIG = f"{_EX}, d AS (SELECT DISTINCT a, b FROM c), s AS (SELECT d.a, d.b, lower(x.name) = lower(y.name) AS name_match, list_sort(list_intersect(list_distinct([lower(x.name), lower(x.alias)]), list_distinct([lower(y.name), lower(y.alias)]))) AS t, CASE WHEN lower(x.alias) = lower(y.alias) THEN lower(x.alias) ELSE '' END AS al, x.type = y.type AS same_type, x.doc = y.doc AS same_document FROM d JOIN p x ON x.id = d.a JOIN p y ON y.id = d.b)"
+_BL = f"{_PARTS}, t AS (SELECT DISTINCT id, trim(regexp_replace(lower(x), '\\s+', ' ', 'g')) AS term FROM (SELECT id, unnest([name, alias]) AS x FROM p)), k AS (SELECT id, substr(lower(name), 1, 2) AS term FROM p)"
+_RATIO = """best AS (SELECT x AS px, y AS py, x, y, 0 AS m FROM np
+    UNION ALL SELECT px, py, unnest([x[:c.i - 1], x[c.i + c.l:], '']), unnest([y[:strpos(y, substr(x, c.i, c.l)) - 1], y[strpos(y, substr(x, c.i, c.l)) + c.l:], '']), unnest([0, 0, c.l])
+    FROM (SELECT px, py, x, y, list_filter(flatten(list_transform(range(length(x), 0, -1), lambda l: list_transform(range(1, length(x) - l + 2), lambda i: {'l': l, 'i': i}))), lambda c: contains(y, substr(x, c.i, c.l)))[1] AS c FROM best WHERE x <> '' AND y <> '') WHERE c IS NOT NULL),
+ra AS (SELECT px, py, round(2 * sum(m) / (length(px) + length(py)), 6) AS similarity FROM best GROUP BY px, py)"""
+_EX = f"{_BL}, sz AS (SELECT term, count(*) AS n FROM t GROUP BY 1), c AS (SELECT a.id AS a, b.id AS b, term FROM t a JOIN t b USING (term) JOIN sz USING (term) WHERE a.id < b.id AND n <= {{most}})"
+_BAND = "m AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY id) AS rn, count(*) OVER (PARTITION BY term) AS n FROM k), band AS (SELECT x.id AS a, y.id AS b, term FROM m x JOIN m y USING (term) WHERE x.n <= 400 AND y.rn BETWEEN x.rn + 1 AND x.rn + 16)"
+_NP = "np AS (SELECT DISTINCT lower(x.name) AS x, lower(y.name) AS y FROM p x, p y), " + _RATIO
+_ALL = f"{_EX.format(most=400)}, {_BAND}, {_NP}, near AS (SELECT a, b, term FROM band JOIN p x ON x.id = a JOIN p y ON y.id = b JOIN ra ON px = lower(x.name) AND py = lower(y.name) WHERE similarity >= 0.72)"
+_SIGNALS = "s AS (SELECT d.a, d.b, lower(x.name) = lower(y.name) AS name_match, list_sort(list_intersect(list_distinct([lower(x.name), lower(x.alias)]), list_distinct([lower(y.name), lower(y.alias)]))) AS t, CASE WHEN lower(x.alias) = lower(y.alias) THEN lower(x.alias) ELSE '' END AS al, x.type = y.type AS same_type, x.doc = y.doc AS same_document, similarity FROM d JOIN p x ON x.id = d.a JOIN p y ON y.id = d.b JOIN ra ON px = lower(x.name) AND py = lower(y.name))"
 _CC = f"""WITH RECURSIVE {_PARTS}, f AS (SELECT name || type AS k, min(id) AS a FROM p GROUP BY 1), l AS (SELECT f.a, p.id AS b FROM p JOIN f ON f.k = name || type WHERE p.id <> f.a UNION ALL SELECT id, lpad(CAST(CAST(id AS INT) + 1 AS VARCHAR), 6, '0') FROM p WHERE CAST(id AS INT) % 40 = 0),
     w AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS x, a AS y FROM w UNION SELECT r.x, w.b FROM r JOIN w ON w.a = r.y), cc AS (SELECT x AS node, min(y) AS root FROM r GROUP BY x)"""
 ORACLE = {
@@ -217,12 +226,13 @@ ORACLE = {
     "snk_07_merge": "SELECT p_name AS entity_id, array_to_string(list_sort(list_distinct(flatten(list([p_brand, p_type])))), ',') AS aliases FROM part GROUP BY 1",
     "lnk_05_conflicts": "SELECT p_name, count(DISTINCT p_brand) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1",
     "agg_25_graph_coverage": f"WITH {_E} SELECT type, count(*) AS entities, count(*) FILTER (WHERE entity_id NOT IN (SELECT s FROM rel UNION SELECT t FROM rel)) AS isolated FROM e GROUP BY 1",
-    "lnk_06_candidates": f"WITH {_EX} SELECT a, b, term FROM c",
-    "jn_11_band": f"WITH {_BL}, k AS (SELECT DISTINCT id, substr(term, 1, 2) AS term FROM t), m AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY id) AS rn, count(*) OVER (PARTITION BY term) AS n FROM k) SELECT x.id AS a, y.id AS b, term FROM m x JOIN m y USING (term) WHERE x.n <= 400 AND y.rn BETWEEN x.rn + 1 AND x.rn + 16",
-    "lnk_06_telemetry": f"WITH {_BL}, k AS (SELECT 'exact' AS kind, term, id FROM t UNION SELECT 'prefix', substr(term, 1, 2), id FROM t), z AS (SELECT kind, term, count(*) AS n FROM k GROUP BY 1, 2) SELECT kind, count(*) AS n_blocks, count(*) FILTER (WHERE n > 64) AS skipped_blocks, CAST(coalesce(sum(n * (n - 1) / 2) FILTER (WHERE n > 64), 0) AS BIGINT) AS skipped_pairs FROM z GROUP BY 1",
-    "lnk_06_budget": f"WITH {_EX}, f AS (SELECT a, b, min(term) AS term FROM c GROUP BY 1, 2) SELECT a, b, term FROM f ORDER BY term, a, b LIMIT 200",
-    "lnk_07_signals": f"WITH {_SIG} SELECT a, b, name_match, array_to_string(t, ',') AS terms, al AS aliases, same_type, same_document FROM s",
-    "lnk_08_decisions": f"WITH {_SIG}, z AS (SELECT *, CASE WHEN name_match THEN 1.0 ELSE 0.4 END AS sim FROM s), o AS (SELECT CASE WHEN NOT same_type OR (len(t) = 0 AND sim < 0.72) THEN 'NO_LINK' ELSE 'UNCERTAIN' END AS decision, CASE WHEN NOT same_type THEN 'type_mismatch' WHEN len(t) = 0 AND sim < 0.72 THEN 'no_shared_signal' ELSE 'needs_adjudication' END AS reason, sim FROM z) SELECT decision, reason, count(*) AS n, CAST(sum(CASE WHEN decision = 'NO_LINK' THEN 1.0 WHEN sim >= 0.5 THEN sim END) AS DOUBLE) AS confidence FROM o GROUP BY 1, 2",
+    "lnk_06_candidates": f"WITH RECURSIVE {_ALL} SELECT a, b, 'exact' AS kind, term FROM c WHERE length(term) > 8 UNION ALL SELECT a, b, 'prefix', term FROM near",
+    "jn_11_band": f"WITH {_BL}, {_BAND} SELECT a, b, term FROM band",
+    "lnk_06_telemetry": f"WITH {_BL}, u AS (SELECT 'exact' AS kind, term, id FROM t UNION SELECT 'prefix', term, id FROM k), z AS (SELECT kind, term, count(*) AS n FROM u GROUP BY 1, 2) SELECT kind, count(*) AS n_blocks, count(*) FILTER (WHERE n > 64) AS skipped_blocks, CAST(coalesce(sum(n * (n - 1) / 2) FILTER (WHERE n > 64), 0) AS BIGINT) AS skipped_pairs FROM z GROUP BY 1",
+    "lnk_06_budget": f"WITH {_EX.format(most=64)}, f AS (SELECT a, b, min(term) AS term FROM c GROUP BY 1, 2) SELECT a, b, term FROM f ORDER BY term, a, b LIMIT 200",
+    "lnk_07_signals": f"WITH RECURSIVE {_EX.format(most=64)}, {_NP}, d AS (SELECT DISTINCT a, b FROM c), {_SIGNALS} SELECT a, b, name_match, array_to_string(t, ',') AS terms, al AS aliases, same_type, same_document, similarity FROM s",
+    "lnk_08_decisions": f"WITH RECURSIVE {_ALL}, d AS (SELECT a, b FROM c UNION SELECT a, b FROM near), {_SIGNALS}, o AS (SELECT CASE WHEN NOT same_type OR (len(t) = 0 AND similarity < 0.72) THEN 'NO_LINK' ELSE 'UNCERTAIN' END AS decision, CASE WHEN NOT same_type THEN 'type_mismatch' WHEN len(t) = 0 AND similarity < 0.72 THEN 'no_shared_signal' ELSE 'needs_adjudication' END AS reason, similarity FROM s) SELECT decision, reason, count(*) AS n, round(CAST(sum(CASE WHEN decision = 'NO_LINK' THEN 1.0 WHEN similarity >= 0.5 THEN similarity END) AS DOUBLE), 4) AS confidence FROM o GROUP BY 1, 2",
+    "ret_20_ratio": f"WITH RECURSIVE w AS (SELECT p_name AS s FROM part UNION SELECT lower(n_name) FROM nation), np AS (SELECT a.s AS x, b.s AS y FROM w a, w b WHERE a.s <> b.s), {_RATIO} SELECT r.px AS x, r.py AS y, r.similarity, v.similarity AS reverse FROM ra r JOIN ra v ON v.px = r.py AND v.py = r.px WHERE r.px < r.py AND greatest(r.similarity, v.similarity) >= 0.72",
     "lnk_10_components": f"{_CC} SELECT node, root FROM cc",
     "lnk_11_canonical_plan": f"{_CC} SELECT root, arg_min(id, (lower(name), id)) AS representative, count(*) AS n_members, array_to_string(list_sort(list_distinct(flatten(list([name, alias])))), ',') AS aliases FROM cc JOIN p ON p.id = node GROUP BY root",
     "lnk_12_token_groups": r"""WITH RECURSIVE i AS (SELECT DISTINCT lpad(CAST(item_id AS VARCHAR), 6, '0') AS item, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[._-][\p{L}\p{N}]+)*')) AS term FROM benchmark), k AS (SELECT * FROM i WHERE length(term) >= 6), w AS (SELECT DISTINCT x.item AS a, y.item AS b FROM k x JOIN k y USING (term) WHERE x.item <> y.item),

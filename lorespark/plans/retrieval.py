@@ -62,7 +62,7 @@ def ret_04_bm25_scoped(spark, sf_dir):
     return got.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _bm25_sql(where: str, limit: int, terms: bool) -> str:
+def bm25_sql(where: str, limit: int, terms: bool) -> str:
     return f"""
 WITH c AS (SELECT doc_id, {_TOK} AS t FROM documents WHERE {where}),
 g AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM c),
@@ -273,15 +273,15 @@ _RRF = f"""WITH {_dense_sql(10)}, {_SP}, r AS (SELECT query_id, vec_id, round(co
     f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM r)"""
 _BR = f"""WITH {_dense_sql(10)}, {_SP}, {_dense_sql(4, 3, name='m')}, g AS (SELECT query_id, vec_id, score, rank FROM sp WHERE vec_id % 3 = 0),
     b AS (SELECT *, 0 AS i, 'dense' AS branch FROM d UNION ALL SELECT query_id, vec_id, score, rank, 1, 'sparse' FROM sp UNION ALL SELECT query_id, vec_id, score, rank, 2, 'graph' FROM g UNION ALL SELECT query_id, vec_id, score, rank, 3, 'multimodal' FROM m)"""
-_BM = _bm25_sql("true", 10, False)
+_BM = bm25_sql("true", 10, False)
 ORACLE = {
     "ret_01_tokens": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS t FROM documents)",
     "ret_02_term_frequencies": f"SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL",
     "ret_03_postings": f"SELECT lang, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT lang, doc_id, term, count(*) AS tf FROM (SELECT lang, doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL) GROUP BY lang, term HAVING count(*) >= 5",
     "ret_03_doc_stats": f"SELECT lang, doc_id, CAST(len({_TOK}) AS BIGINT) AS dl FROM documents",
     "snk_01_generation": f"WITH c AS (SELECT lang, doc_id, {_TOK} AS t FROM documents) SELECT lang, count(*) AS n_documents, CAST(sum(len(list_distinct(t))) AS BIGINT) AS n_postings, CAST(sum(len(t)) AS BIGINT) AS n_tokens, CAST(sum(len(t)) AS BIGINT) AS dl FROM c GROUP BY 1",
-    "ret_04_bm25": _bm25_sql("true", 10, True),
-    "ret_04_bm25_scoped": _bm25_sql("lang = 'en'", 5, False),
+    "ret_04_bm25": bm25_sql("true", 10, True),
+    "ret_04_bm25_scoped": bm25_sql("lang = 'en'", 5, False),
     "ret_06_dense_top_k": f"WITH {_dense_sql(10)} SELECT * FROM d",
     "jn_03_vector_filter": f"WITH {_dense_sql(5, where='v.label < 5')} SELECT * FROM d",
     "ret_07_exact_ranking": f"WITH {_dense_sql(3, 4)} SELECT * FROM d",
