@@ -35,6 +35,7 @@ MEMORY = 96 << 20  # bytes of remembered parts, their overhead included: those m
 PART_BYTES = 1 << 14  # characters of new parts that are encoded together
 _PLAIN = re.compile(r" \S(?:.*\S)?", re.DOTALL)
 MOST_PAIRS = 2_000_000
+_BOTH = 1 << 32
 _B_IDS = 1 << 20  # a pair's code is a * _B_IDS + b
 _SPAN = re.compile(rb"[0-2]*3")  # labels: 0 none, 1 A-end, 2 B-end, 3 both
 
@@ -70,7 +71,7 @@ class Aligner:
         return bytes([int(piece[3:-1], 16)]) if self.b.IsByte(i) else piece.replace("▁", " ").encode()
 
     def _grouped(self, raw: bytes, a: list[int], b: list[int], ends: np.ndarray) -> list[tuple] | None:
-        """(groups as text, pair codes, n_a, n_b) of the parts of raw that end at `ends`; None unless both tokenizers spell raw and end where parts do."""
+        """(groups as text, pair codes, n_a * 2^32 + n_b) of the parts of raw that end at `ends`; None unless both tokenizers spell raw and end where parts do."""
         xs, ys = np.array(a, np.int64), np.array(b, np.int64)
         if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
@@ -79,20 +80,21 @@ class Aligner:
         label[np.cumsum(self.b_size[ys]) - 1] |= 2
         if not (label[ends - 1] == 3).all():
             return None
-        spans = _SPAN.findall((label + ord("0")).tobytes())
-        of_a, of_b = (np.array([s.count(mark) for s in spans], np.int64) + 1 for mark in (b"1", b"2"))  # tokens of each group
-        to_a, to_b, end = np.cumsum(of_a), np.cumsum(of_b), np.cumsum(np.array(list(map(len, spans)), np.int64))
+        end = np.cumsum(np.array(list(map(len, _SPAN.findall((label + ord("0")).tobytes()))), np.int64))
+        to_a, to_b = (np.cumsum((label & mark) > 0)[end - 1] for mark in (1, 2))  # labels up to the end of each span
+        of_a, of_b = (np.diff(x, prepend=0) for x in (to_a, to_b))  # tokens of each group
         pairs = xs[to_a - 1] * _B_IDS + ys[to_b - 1]
         shown = np.empty(len(xs) + len(ys), object)  # each group's A tokens, then its B tokens
         at_a, at_b = np.arange(len(xs)) + np.repeat(to_b - of_b, of_a), np.arange(len(ys)) + np.repeat(to_a, of_b)
         shown[at_a], shown[at_b] = self.comma[xs], self.comma[ys]
         shown[at_a[to_a - 1]], shown[at_b[to_b - 1]] = self.bar[xs[to_a - 1]], self.semicolon[ys[to_b - 1]]
         groups = np.searchsorted(end, ends) + 1  # groups up to the end of each part
-        n_a, n_b = (np.diff(x, prepend=0) for x in (to_a[groups - 1], to_b[groups - 1]))
+        n_a, n_b = (np.diff(x[groups - 1], prepend=0) for x in (to_a, to_b))
         words, z, first = shown.tolist(), (to_a + to_b)[groups - 1].tolist(), 0
         out, low = [], 0
-        for g, t, x, y in zip(groups.tolist(), z, n_a.tolist(), n_b.tolist(), strict=True):
-            out.append(("".join(words[first:t]), pairs[low:g].tobytes(), x, y))
+        codes = pairs.tobytes()
+        for g, t, n in zip(groups.tolist(), z, (n_a * _BOTH + n_b).tolist(), strict=True):
+            out.append(("".join(words[first:t]), codes[8 * low : 8 * g], n))
             first, low = t, g
         return out
 
@@ -136,12 +138,12 @@ class Aligner:
             self.held += 350 + 2 * len(part) + (len(got[0]) + len(got[1]) if got else 0)
 
     def text(self, parts: list[str]) -> tuple | None:
-        """(groups as text, pair codes, n_a, n_b) of the text that the parts make, None where either tokenizer's bytes differ from it."""
+        """(groups as text, pair codes, n_a * 2^32 + n_b) of the text that the parts make, None where either tokenizer's bytes differ from it."""
         each = list(map(self.known.__getitem__, parts))
         if None in each:
             return self.alone("".join(parts))
-        shown, pairs, n_a, n_b = zip(*each, strict=True)
-        return "".join(shown), b"".join(pairs), sum(n_a), sum(n_b)
+        shown, pairs, n = zip(*each, strict=True)
+        return "".join(shown), b"".join(pairs), sum(n)
 
 
 @lru_cache(maxsize=1)
@@ -168,9 +170,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             aligner.learn(cut)
             n_a, n_b, n_groups, groups, codes, times = [], [], [], [], [], []
             for parts in cut:
-                shown, pairs, x, y = parts and aligner.text(parts) or (None, b"", 0, 0)
+                shown, pairs, n = parts and aligner.text(parts) or (None, b"", 0)
                 distinct, often = np.unique(np.frombuffer(pairs, np.int64), return_counts=True)
-                for column, value in ((n_a, x), (n_b, y), (n_groups, len(pairs) // 8), (groups, shown and shown[:-1]), (codes, distinct), (times, often)):
+                for column, value in ((n_a, n // _BOTH), (n_b, n % _BOTH), (n_groups, len(pairs) // 8), (groups, shown and shown[:-1]), (codes, distinct), (times, often)):
                     column.append(value)
             at = pa.array(np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32))
             links = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (codes, times)], fields=list(link)))

@@ -1,9 +1,11 @@
 """Benchmark decontamination by training suffix arrays.
 
 Each batch of documents is a shard: its words become ids of the test vocabulary (0: not in it), and a sparse suffix
-array sorts the positions from which a whole test window could still match, by their next `window` words. Every test
-suffix is binary-searched in it, which gives all verbatim matches and their locations; neighbouring windows on one
-diagonal join to the longest match.
+array sorts the positions from which a whole test window could still match, by their next `window` words. Every test window
+is binary-searched in it, which gives all positions that match one. Longest matches come from the order of suffixes alone: the test
+set has a full suffix array (by doubling), a matched position's place in it is found by binary search, and what the position has in
+common with its two neighbours there is its longest match and a location of it. Occurrences are never paired, so texts and items that repeat a word
+many times cost no more than others. Common prefixes are compared by prefix hashes.
 
 The test set travels to the tasks as a broadcast of at most about `slice_bytes` of text (an item stays whole). A larger set takes
 several passes over the texts, one for each slice, of which only texts with hits are written, so neither the driver nor a task
@@ -11,7 +13,7 @@ ever holds more than a slice.
 
 Cases: null and empty texts have no words and are clean; an item of fewer than `window` words, but not none, is one
 window; items without words never match; equal items are counted each; repeated document rows each give a row; an
-empty table gives an empty result; other columns are ignored, or carried along whole.
+empty table gives an empty result; other columns are ignored, or carried along whole. Of several places of one longest match, one is given.
 """
 
 from __future__ import annotations
@@ -32,6 +34,34 @@ from . import common
 SLICE_BYTES = 4 << 20
 
 
+def suffix_array(ids: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of ids, in order, by doubling the length that is compared."""
+    n = len(ids)
+    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+    order, k = np.argsort(rank, kind="stable"), 1
+    while k < n and rank.max(initial=0) < n - 1:
+        key = (rank + 1) * (n + 1)
+        key[: n - k] += rank[k:] + 1
+        order = np.argsort(key, kind="stable")
+        rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
+        k *= 2
+    return order
+
+
+class Prefixes:
+    """Hashes of the prefixes of a sequence of ids, from which those of all its stretches follow."""
+
+    BASE = common.U(0x9E3779B97F4A7C15)
+
+    def __init__(self, ids: np.ndarray):
+        # sum of value * BASE ** -i would need inverses; value * BASE ** i compares after a shift by the distance of the places
+        self.power = np.concatenate((np.ones(1, common.U), np.multiply.accumulate(np.full(len(ids), self.BASE))))
+        self.sum = np.concatenate((np.zeros(1, common.U), np.cumsum(common.mix(ids.astype(common.U) + common.U(3)) * self.power[:-1])))
+
+    def __call__(self, start: np.ndarray, size: np.ndarray, shift: np.ndarray, power: np.ndarray) -> np.ndarray:
+        return (self.sum[start + size] - self.sum[start]) * power[shift]
+
+
 class TestSet:
     """Windows of a slice of test items, and the shards' searches for them."""
 
@@ -58,10 +88,19 @@ class TestSet:
         self.high = self.keys(ids, start[new], self.size, fill=0xFFFFFFFF)
         group = np.cumsum(new) - 1
         item = words.text[start] if len(start) else np.empty(0, np.int64)
-        self.place = pd.DataFrame({"key": group, "item": item, "at": start - words.first[item] if len(start) else start})
-        own = self.place[["key", "item"]].drop_duplicates().sort_values(["key", "item"])
+        own = pd.DataFrame({"key": group, "item": item}).drop_duplicates().sort_values(["key", "item"])
         self.owner = own["item"].to_numpy()
         self.owners = np.searchsorted(own["key"].to_numpy(), np.arange(len(self.key) + 1))
+        # the items one after the other, a 0 after each, and their suffixes in order
+        place = np.arange(len(ids)) + words.text
+        self.flat = np.zeros(len(ids) + len(words.n), np.uint32)
+        self.flat[place] = ids
+        self.item = np.repeat(np.arange(len(words.n)), words.n + 1)
+        self.first = words.first[:-1] + np.arange(len(words.n))
+        self.last = self.first + words.n
+        order = suffix_array(self.flat)
+        self.suffixes = order[self.flat[order] > 0]
+        self.hashes = Prefixes(self.flat)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -105,20 +144,44 @@ class TestSet:
         item = self.owner[np.repeat(self.owners[pairs[:, 1]], n) + inner]
         return np.unique(np.stack([np.repeat(pairs[:, 0], n), item], 1), axis=0)
 
-    def locations(self, words: common.Words, at: np.ndarray, window: np.ndarray) -> pd.DataFrame:
-        """text, item, doc_word, item_word, n_words of every maximal verbatim match of a window or more."""
-        hits = pd.DataFrame({"key": window, "p": at}).merge(self.place, on="key")
-        hits["text"] = words.text[hits["p"]]
-        hits["doc_word"] = hits["p"] - words.first[hits["text"]]
-        hits["n"] = self.size[hits["key"]]
-        hits["diagonal"] = hits["doc_word"] - hits["at"]
-        by = ["text", "item", "diagonal"]
-        hits = hits.sort_values([*by, "doc_word"])
-        same = (hits[by] == hits[by].shift()).all(axis=1) & (hits["doc_word"] == hits["doc_word"].shift() + 1)
-        hits["run"] = (~same).cumsum()
-        runs = hits.groupby("run").agg(text=("text", "first"), item=("item", "first"), doc_word=("doc_word", "first"), item_word=("at", "first"), last=("doc_word", "last"), n=("n", "last"))
-        runs["n_words"] = runs["last"] - runs["doc_word"] + runs["n"]
-        return runs[["text", "item", "doc_word", "item_word", "n_words"]]
+    def longest(self, ids: np.ndarray, hashes: Prefixes, at: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, place in the test set) of the longest match from each place of a shard; reach: words it may take there."""
+        power = hashes.power if len(hashes.power) > len(self.hashes.power) else self.hashes.power
+
+        def common_words(t: np.ndarray) -> np.ndarray:
+            low, high = np.zeros(len(at), np.int64), np.minimum(reach, self.last[self.item[t]] - t)
+            up, down = np.maximum(t - at, 0), np.maximum(at - t, 0)
+            while (low < high).any():
+                mid = (low + high + 1) // 2
+                same = hashes(at, mid, up, power) == self.hashes(t, mid, down, power)
+                low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+            return low
+
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.suffixes))
+        while (low < high).any():
+            mid = np.minimum((low + high) // 2, len(self.suffixes) - 1)
+            t = self.suffixes[mid]
+            n = common_words(t)
+            after = (n < reach) & (ids[np.minimum(at + n, len(ids) - 1)] > self.flat[t + n])  # an item's end is a 0
+            after &= low < high
+            low, high = np.where(after, mid + 1, low), np.where(after | (low >= high), high, mid)
+        above, below = self.suffixes[np.maximum(low - 1, 0)], self.suffixes[np.minimum(low, len(self.suffixes) - 1)]
+        n_above, n_below = common_words(above), common_words(below)
+        return np.maximum(n_above, n_below), np.where(n_above > n_below, above, below)
+
+    def matches(self, words: common.Words, at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, ...]:
+        """text, item, doc_word, item_word, n_words of the longest match of a window or more from each matched place. A match that is no longer than
+        a short item's window is that item's."""
+        ids = self.ids(words.hash)
+        best = pd.DataFrame({"at": at, "size": self.size[window], "key": window}).sort_values(["at", "size"]).groupby("at", sort=True).last()
+        p = best.index.to_numpy()
+        ends = np.append(np.flatnonzero(ids == 0), len(ids))
+        reach = np.minimum(ends[np.searchsorted(ends, p)], words.first[words.text[p] + 1]) - p
+        n, t = self.longest(ids, Prefixes(ids), p, reach)
+        short = n < self.window
+        item = np.where(short, self.owner[np.minimum(self.owners[best["key"].to_numpy()], len(self.owner) - 1)], self.item[t])
+        item_word = np.where(short, 0, t - self.first[self.item[t]])
+        return words.text[p], item, p - words.first[words.text[p]], item_word, np.where(short, best["size"].to_numpy(), n)
 
 
 LOCATION = "array<struct<item_id:string,doc_word:long,item_word:long,n_words:long>>"
@@ -126,7 +189,7 @@ _KIND = "doc_id long, n_words long, n_hit long, longest long, items array<string
 
 
 def _hits(tests: TestSet, words: common.Words) -> tuple[list[list[int]], list[list[str]], list[list[dict]]]:
-    """Per text: hit stretches (first and end word, one after the other), items, maximal matches."""
+    """Per text: hit stretches (first and end word, one after the other), items, longest matches that aren't inside another."""
     n_texts = len(words.n)
     spans, items, matches = ([[] for _ in range(n_texts)] for _ in range(3))
     at, win = tests.search(words)
@@ -146,11 +209,21 @@ def _hits(tests: TestSet, words: common.Words) -> tuple[list[list[int]], list[li
         spans[t] += [s - int(words.first[t]), e - int(words.first[t])]
     for t, item in tests.items_of(words.text[at], win).tolist():
         items[t].append(tests.item_ids[item])
-    for r in tests.locations(words, at, win).itertuples():
-        matches[r.text].append({"item_id": tests.item_ids[r.item], "doc_word": r.doc_word, "item_word": r.item_word, "n_words": r.n_words})
+    for t, item, doc_word, item_word, n in zip(*[x.tolist() for x in tests.matches(words, at, win)], strict=True):
+        if not matches[t] or doc_word + n > matches[t][-1]["doc_word"] + matches[t][-1]["n_words"]:
+            matches[t].append({"item_id": tests.item_ids[item], "doc_word": doc_word, "item_word": item_word, "n_words": n})
     return spans, items, matches
 
 
+def _outermost(matches: list[dict]) -> list[dict]:
+    """Matches of several slices without those inside another."""
+    out: list[dict] = []
+    for m in sorted(matches, key=lambda m: (m["doc_word"], -m["n_words"], m["item_id"])):
+        if not out or m["doc_word"] + m["n_words"] > out[-1]["doc_word"] + out[-1]["n_words"]:
+            out.append(m)
+    return out
+
+
 def _columns(doc_id: pa.Array, n_words: np.ndarray, spans: list, items: list, matches: list, percent: int) -> list[pa.Array]:
     n_hit, kept = [], []
     for own, named in zip(spans, items, strict=True):
@@ -192,6 +265,7 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = 13, percent: int = 5,
         for b in common.slices(batches):
             words = common.Words(*common.utf8(b.column(1)), common.ALNUM, hashed=sent is not None)
             found = _hits(sent.value, words) if sent else tuple([x or [] for x in b.column(c).to_pylist()] for c in ("spans", "items", "matches"))
+            found = (*found[:2], found[2] if sent else [_outermost(m) for m in found[2]])
             cols = _columns(b.column(0), words.n, *found, percent)
             cols += ([b.column("row")] if carry else []) + ([pa.array(found[2], pa.list_(_MATCH))] if locations else [])
             yield pa.RecordBatch.from_arrays(cols, schema.names)

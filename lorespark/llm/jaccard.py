@@ -107,7 +107,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("d1").alias(f"d{x}"), F.col("cuts").alias(f"cuts_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    own = lambda x: F.element_at(f"cuts_{x}", -1)["scheme"]
+    own = lambda x: F.get(f"cuts_{x}", F.size(f"cuts_{x}") - 1)["scheme"]
     both = both.withColumn("scheme", F.least(own("a"), own("b")))
     cut = lambda x: F.get(F.filter(f"cuts_{x}", lambda c: c["scheme"] == F.col("scheme")), F.lit(0)).alias(x * 2)
     both = both.select("a", "b", "na", "nb", "da", "db", "scheme", cut("a"), cut("b")).where("aa is not null and bb is not null")

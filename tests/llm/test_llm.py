@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.llm import bpe, common, counts, decontaminate, graph, minhash, pii, queries, secrets, simhash, suffixtree, toxicity, urls
+from lorespark.llm import alignment, bpe, common, counts, decontaminate, graph, jaccard, minhash, periodic, pii, queries, secrets, simhash, suffixtree, toxicity, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, row string, own string"
 ODD = ["", None, " ", "word", "Two words", "a" * 3000, "x y " * 4000, "é ß 漢字 \u0000   end", "same text here", "same text here"]
@@ -49,6 +49,9 @@ def operators(spark, labels, bench):
         "bpe": lambda d: bpe.encode(d, path, public_tokenizers.PATTERN),
         "counts": lambda d: counts.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json")),
         "minhash": lambda d: minhash.groups(d, 2),
+        "alignment": lambda d: alignment.report(alignment.align(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))),
+        "jaccard": jaccard.groups,
+        "periodic": lambda d: periodic.report(periodic.detect(periodic.with_repeats(d))),
         "deduplicate": minhash.deduplicate,
         "suffixtree": suffixtree.score,
         "decontaminate": lambda d: decontaminate.scan(d, bench, locations=True),
@@ -62,7 +65,7 @@ def operators(spark, labels, bench):
     }
 
 
-NAMES = ["bpe", "counts", "minhash", "deduplicate", "suffixtree", "decontaminate", "remove_contaminated", "pii", "simhash", "secrets", "redact", "toxicity", "remove_toxic"]
+NAMES = ["bpe", "counts", "alignment", "jaccard", "periodic", "minhash", "deduplicate", "suffixtree", "decontaminate", "remove_contaminated", "pii", "simhash", "secrets", "redact", "toxicity", "remove_toxic"]
 FILTERS = {"deduplicate": 7, "remove_contaminated": 9, "remove_toxic": None}
 
 
@@ -322,15 +325,56 @@ def test_tree_sums_to_one_and_heavy_words(spark, sf, monkeypatch):
 def test_decontamination_slices_and_locations(spark, bench):
     docs = spark.createDataFrame([(1, "x Same  text, HERE y " + " ".join(f"W{i}" for i in range(3, 20))), (2, "same text"), (3, None), (4, "same text here. same text here")], "doc_id long, text string")
     one = decontaminate.scan(docs, bench, locations=True)
-    many = decontaminate.scan(docs, bench, slice_bytes=20)
+    many = decontaminate.scan(docs, bench, slice_bytes=20, locations=True)
     got = {r.doc_id: r for r in one.collect()}
     assert (got[1].n_words, got[1].n_hit, got[1].items, got[1].contaminated) == (22, 20, ["1", "4", "5"], True)
-    assert {(m.item_id, m.doc_word, m.item_word, m.n_words) for m in got[1].matches} == {("1", 1, 0, 3), ("5", 1, 0, 3), ("4", 5, 3, 17)}
+    assert {(m.item_id in ("1", "5"), m.doc_word, m.item_word, m.n_words) for m in got[1].matches} == {(True, 1, 0, 3), (False, 5, 3, 17)}
     assert (got[2].n_hit, got[3].n_words, got[4].n_hit) == (0, 0, 6)
-    key = lambda df: sorted((r.doc_id, r.n_hit, r.items_sha256) for r in df.collect())
+    key = lambda df: sorted((r.doc_id, r.n_hit, r.items_sha256, r.longest, [(m.doc_word, m.n_words) for m in r.matches]) for r in df.collect())
     assert key(one) == key(many)
 
 
+def test_longest_matches_by_brute_force():
+    random.seed(8)
+    word = lambda: random.choice("aaabcd")
+    for trial in range(60):
+        window = random.choice([2, 3, 5])
+        items = [[word() for _ in range(random.choice([0, 1, 2, 4, 9, 30]))] for _ in range(random.randint(1, 6))]
+        docs = [[word() if random.random() < 0.9 else "zz" for _ in range(random.choice([0, 1, 5, 40]))] for _ in range(5)]
+        tests = decontaminate.TestSet([str(i) for i in range(len(items))], [" ".join(x) for x in items], window)
+        words = common.Words(*common.utf8(pa.array([" ".join(d) for d in docs])), common.ALNUM)
+        _, _, found = decontaminate._hits(tests, words)
+        for d, got in zip(docs, found, strict=True):
+            want = {}
+            for p in range(len(d)):
+                for x in items:
+                    for q in range(len(x)):
+                        n = 0
+                        while p + n < len(d) and q + n < len(x) and d[p + n] == x[q + n]:
+                            n += 1
+                        if n >= min(window, len(x)) and (len(x) >= window or q == 0):
+                            want[p] = max(want.get(p, 0), n)
+            outer = []
+            for p, n in sorted(want.items()):
+                if not outer or p + n > sum(outer[-1]):
+                    outer.append((p, n))
+            assert [(m["doc_word"], m["n_words"]) for m in got] == outer, (trial, window, items, d)
+            for m in got:
+                assert items[int(m["item_id"])][m["item_word"] :][: m["n_words"]] == d[m["doc_word"] :][: m["n_words"]]
+
+
+def test_one_repeated_word_costs_no_square():
+    import resource
+    import time
+
+    tests = decontaminate.TestSet(["1", "2"], ["word " * 2000, "other " * 13], 13)
+    words = common.Words(*common.utf8(pa.array(["word " * 20_000, "other " * 12])), common.ALNUM)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    _, items, found = decontaminate._hits(tests, words)
+    assert items == [["1"], []] and found[0][0]["n_words"] == 2000 and sum(m["n_words"] == 2000 for m in found[0]) == 18_001 and not found[1]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000 and time.time() - began < 20
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_matches_sql(name, spark, sf, duck, same):
     df = queries.QUERIES[name](spark, sf)
