@@ -16,6 +16,8 @@ from lorespark.operators import candidates as C
 from lorespark.operators import comparisons as X
 from lorespark.operators import extraction as E
 from lorespark.operators import lifecycle as L
+from lorespark.operators import manifests
+from lorespark.operators.dense import vector_faults
 from lorespark.sources import catalog
 from lorespark.sources.tables import table as _t
 from lorespark.streaming import frames
@@ -198,25 +200,48 @@ def _built(spark, sf_dir, name, rows, contract, **checks):
     return store
 
 
-def snk_04_replace_vectors(spark, sf_dir):
+def _vector_index(spark, sf_dir, name):
+    """Vectors and their evidence as an index of many buckets, with the vectors."""
     v = _t(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("document_id"), "vec_id", F.col("embedding").alias("vector"))
-    store = _built(spark, sf_dir, "vectors", v, {"v": 1})
+    index = manifests.Index(spark, f"{shared_folder(spark)}/lorespark/{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
+    index.build({"vectors": v, "evidence": _evidence_of(v)}, {"v": 1}, bucket_rows=100)
+    return index, v
+
+
+def _evidence_of(v):
+    return v.select("document_id", F.concat(F.lit("ev-"), F.col("vec_id").cast("string")).alias("evidence_id"))
+
+
+def _unit_vectors(tables):
+    if bad := vector_faults(tables["vectors"], "vec_id", "vector", 64).first():
+        raise ValueError(f"{bad['vec_id']}: {bad['reason']}")
+
+
+def _documents_of(index):
+    n = index.read("evidence").groupBy("document_id").agg(F.count("*").alias("evidence"))
+    return index.read("vectors").groupBy("document_id").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids")).join(n, "document_id", "full_outer")
+
+
+def snk_04_replace_vectors(spark, sf_dir):
+    """Two documents keep every third vector, one loses all."""
+    index, v = _vector_index(spark, sf_dir, "vectors")
     new = v.where("document_id in ('1', '2') and vec_id % 3 = 0")
-    store.replace_documents(new, {"v": 1}, dimension=64, identity="vec_id")
-    return store.read().groupBy("document_id").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+    index.replace({"vectors": new, "evidence": _evidence_of(new)}, {"v": 1}, ["1", "2"], check=_unit_vectors, unique={"vectors": "vec_id"})
+    index.delete(["3"], {"v": 1})
+    return _documents_of(index)
 
 
 def snk_05_replace_refused(spark, sf_dir):
-    """Vectors of another dimension and repeated ids are refused, and the former generation stays."""
-    v = _t(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("document_id"), "vec_id", F.col("embedding").alias("vector"))
-    store = _built(spark, sf_dir, "representations", v, {"v": 1})
-    refused = 0
-    for bad in (v.where("document_id = '1'").withColumn("vector", F.slice("vector", 1, 5)), v.where("document_id = '1'").withColumn("vec_id", F.lit(0).cast(dict(v.dtypes)["vec_id"]))):
+    """Vectors of another dimension, repeated and foreign ids, another contract and rows of other documents are refused, and all tables stay as they were."""
+    index, v = _vector_index(spark, sf_dir, "representations")
+    one, other, refused = v.where("document_id = '1'"), v.where("document_id = '2'"), 0
+    zero = F.lit(0).cast(dict(v.dtypes)["vec_id"])
+    for rows, contract in ((one.withColumn("vector", F.slice("vector", 1, 5)), {"v": 1}), (one.withColumn("vec_id", zero), {"v": 1}), (other.withColumn("document_id", F.lit("1")), {"v": 1}), (one, {"v": 2}), (other, {"v": 1})):
         try:
-            store.replace_documents(bad, {"v": 1}, dimension=64, identity="vec_id")
+            index.replace({"vectors": rows, "evidence": _evidence_of(rows)}, contract, ["1"], check=_unit_vectors, unique={"vectors": "vec_id"})
         except ValueError:
             refused += 1
-    return store.read().agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids")).withColumn("refused", F.lit(refused).cast("long"))
+    return _documents_of(index).withColumn("refused", F.lit(refused).cast("long"))
 
 
 def snk_03_generation_delete(spark, sf_dir):
@@ -259,7 +284,7 @@ ORACLE = {
     "aud_02_snapshot_diff": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'added' WHEN o_orderkey % 15 = 0 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE (o_orderkey % 10 = 0) <> (o_orderkey % 15 = 0) OR (o_orderkey % 10 <> 0 AND o_orderkey % 15 <> 0 AND o_orderkey % 7 = 0)",
     "src_02_corpus": "WITH m AS (SELECT doc_id, md5(text) AS sha, length(text) AS n FROM documents WHERE text IS NOT NULL), r AS (SELECT sha, min(doc_id) AS document_id, count(*) AS n_copies FROM m GROUP BY 1) SELECT r.document_id, 'f' || r.document_id AS path, r.sha, r.n_copies, CASE WHEN r.document_id % 13 <> 0 THEN m.n END AS n, r.document_id % 13 <> 0 AS present FROM r JOIN m ON m.doc_id = r.document_id",
     "snk_03_generation_delete": "SELECT source AS document_id, count(*) AS n, (SELECT count(*) FROM documents WHERE source = 'src1') AS first, CAST(0 AS BIGINT) AS again FROM documents WHERE source <> 'src1' GROUP BY 1",
-    "snk_04_replace_vectors": "SELECT CAST(label AS VARCHAR) AS document_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings WHERE label NOT IN (1, 2) OR vec_id % 3 = 0 GROUP BY 1",
-    "snk_05_replace_refused": "SELECT count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, CAST(2 AS BIGINT) AS refused FROM embeddings",
+    "snk_04_replace_vectors": "SELECT CAST(label AS VARCHAR) AS document_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, count(*) AS evidence FROM embeddings WHERE label <> 3 AND (label NOT IN (1, 2) OR vec_id % 3 = 0) GROUP BY 1",
+    "snk_05_replace_refused": "SELECT CAST(label AS VARCHAR) AS document_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, count(*) AS evidence, CAST(5 AS BIGINT) AS refused FROM embeddings GROUP BY 1",
     "stream_frames": "SELECT conv_id AS query_id, CAST(turn AS BIGINT) AS seq, 'event: delta' || chr(10) || 'data: {\"text\":\"' || role || '\"}' || chr(10) || chr(10) AS frame FROM conversations UNION ALL SELECT conv_id, CAST(max(turn) + 1 AS BIGINT), 'event: done' || chr(10) || 'data: {\"n\":' || count(*) || '}' || chr(10) || chr(10) FROM conversations GROUP BY conv_id",
 }
