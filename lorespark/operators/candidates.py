@@ -1,11 +1,7 @@
-"""Candidates of several branches: mandatory filters, lineage audits, evidence in its chunk, identities, branch outcomes."""
+"""Candidates of several branches: mandatory filters, lineage audits, evidence in its chunk, identities."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,41 +86,3 @@ def candidate_id(kind: str, knowledge_base: Column, document: Column, local: Col
     fields = {"schema_version": F.lit("1.0"), "kind": F.lit(kind), "knowledge_base_id": knowledge_base.cast("string"), "document_id": document.cast("string"), "local_id": local.cast("string")}
     named = F.when(F.length(F.trim(local.cast("string"))) > 0, F.sha2(T.canonical_json(fields), 256)).otherwise(F.raise_error(F.lit("a local id is blank")))
     return F.concat(F.lit(f"{kind}_candidate_v1_"), named)
-
-
-@dataclass
-class Outcome:
-    status: str  # success, empty, failed, timed_out
-    rows: DataFrame
-    seconds: float
-    error: str | None = None
-
-
-class AllFailed(RuntimeError):
-    pass
-
-
-def run_branches(branches: dict[str, Callable[[], DataFrame]], empty: DataFrame, strict: bool = False) -> dict[str, Outcome]:
-    """Each branch's outcome; one that fails leaves the empty frame, so that the others can be fused (degraded mode). In strict
-    mode the first failure is raised. If all fail, so does the whole."""
-    out: dict[str, Outcome] = {}
-    for name, work in branches.items():
-        began = time.monotonic()
-        try:
-            rows = work()
-            status, error = ("empty" if rows.isEmpty() else "success"), None
-        except Exception as e:
-            if strict:
-                raise
-            late = isinstance(e, TimeoutError) or "timeout" in type(e).__name__.lower()
-            rows, status, error = empty, "timed_out" if late else "failed", type(e).__name__
-        out[name] = Outcome(status, rows, time.monotonic() - began, error)
-    if out and all(o.status in ("failed", "timed_out") for o in out.values()):
-        raise AllFailed(", ".join(f"{n}: {o.error}" for n, o in out.items()))
-    return out
-
-
-def statuses(outcomes: dict[str, Outcome], spark) -> DataFrame:
-    """branch, status, degraded (whether any branch failed)."""
-    bad = any(o.status in ("failed", "timed_out") for o in outcomes.values())
-    return spark.createDataFrame([(n, o.status, bad) for n, o in outcomes.items()], "branch string, status string, degraded boolean")

@@ -7,11 +7,13 @@ lines as pages and blocks, and JSON made from document ids for outputs of a mode
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorespark.functions.scratch import shared_folder
+from lorespark.operators import branches
 from lorespark.operators import candidates as C
 from lorespark.operators import comparisons as X
 from lorespark.operators import extraction as E
@@ -82,13 +84,27 @@ def ret_15_candidate_ids(spark, sf_dir):
 
 
 def ret_18_branches(spark, sf_dir):
-    hits = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"))
-
-    def late():
-        raise TimeoutError("too late")
-
-    out = C.run_branches({"dense": lambda: hits, "sparse": lambda: hits.where("key < 0"), "graph": lambda: spark.read.parquet(f"{sf_dir}/no-such-index"), "multimodal": late}, hits.where("false"))
-    return C.statuses(out, spark)
+    """The longest documents, the English ones of the least ids, nothing, a missing index, and all lines slowly: what the first two find is fused."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+
+    def slowly(batches):
+        for b in batches:
+            time.sleep(120)
+            yield b
+
+    found = branches.run(
+        spark,
+        {
+            "dense": lambda: d.orderBy(F.desc("n_chars"), "doc_id").limit(40).select("doc_id"),
+            "sparse": lambda: d.where("lang = 'en'").orderBy("doc_id").limit(40).select("doc_id"),
+            "graph": lambda: spark.read.parquet(f"{sf_dir}/no-such-index").select("doc_id"),
+            "multimodal": lambda: _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).mapInPandas(slowly, "doc_id long"),
+            "none": lambda: d.where("doc_id < 0").select("doc_id"),
+        },
+        d.select("doc_id").limit(0),
+        {"dense": 300, "sparse": 300, "graph": 300, "multimodal": 4, "none": 300},
+    )
+    return branches.fused(found, "doc_id")
 
 
 def lnk_02_parsed(spark, sf_dir):
@@ -273,7 +289,7 @@ ORACLE = {
     "jn_06_evidence_in_chunk": "WITH c AS (SELECT l_orderkey AS k, min(l_linenumber) AS a, max(l_linenumber) AS z, list(DISTINCT l_linenumber) AS b, 's' || (l_orderkey % 3) AS p FROM lineitem WHERE l_orderkey % 11 <> 0 GROUP BY l_orderkey), e AS (SELECT l_orderkey AS k, l_linenumber AS a, l_linenumber + CASE WHEN l_partkey % 13 = 0 THEN 9 ELSE 0 END AS z, l_linenumber + CASE WHEN l_partkey % 17 = 0 THEN 20 ELSE 0 END AS b, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 's' || (l_partkey % 3) END AS p FROM lineitem) SELECT CASE WHEN c.k IS NULL THEN 'absent' WHEN e.a < c.a OR e.z > c.z THEN 'page' WHEN NOT list_contains(c.b, e.b) THEN 'block' WHEN e.p <> '' AND e.p <> c.p THEN 'path' END AS fault, count(*) AS n FROM e LEFT JOIN c ON c.k = e.k GROUP BY 1",
     "ret_12_best_match": "SELECT query_id, chunk, score, hop, rank, seed_id, evidence_id FROM (SELECT CAST(l_suppkey % 20 AS BIGINT) AS query_id, l_partkey AS chunk, round(l_discount, 2) AS score, CAST(l_linenumber AS BIGINT) AS hop, CAST(trunc(l_quantity) AS BIGINT) % 5 AS rank, l_suppkey AS seed_id, l_orderkey AS evidence_id FROM lineitem) QUALIFY row_number() OVER (PARTITION BY query_id, chunk ORDER BY score DESC, hop, rank, seed_id, evidence_id) = 1",
     "ret_15_candidate_ids": f"SELECT doc_id, {_ID.format(kind='chunk')} AS chunk, {_ID.format(kind='evidence')} AS evidence FROM documents",
-    "ret_18_branches": "SELECT * FROM (VALUES ('dense', 'success', true), ('sparse', 'empty', true), ('graph', 'failed', true), ('multimodal', 'timed_out', true)) v(branch, status, degraded)",
+    "ret_18_branches": "WITH b AS (SELECT doc_id, 'dense' AS b FROM (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40) UNION ALL SELECT doc_id, 'sparse' FROM (SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 40)) SELECT doc_id, string_agg(b, ',' ORDER BY b) AS branches, 'graph' AS failed, 'multimodal' AS late FROM b GROUP BY 1",
     "lnk_02_parsed": f"SELECT doc_id, [{', '.join(repr(c) for _, c, _ in _OUTPUTS)}][doc_id % {len(_OUTPUTS)} + 1] AS category, [{', '.join('NULL' if n is None else str(n) for _, _, n in _OUTPUTS)}][doc_id % {len(_OUTPUTS)} + 1] AS n FROM documents",
     "lnk_03_relations": "WITH k AS (SELECT n_nationkey AS k, n_name AS s FROM nation UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_nationkey % 8 = 6) SELECT CAST(k AS BIGINT) AS relation_no, s AS source_id, CASE WHEN k >= 100 THEN 'duplicate' ELSE ['endpoint', 'evidence', 'source', 'target', 'ground', 'endpoint', 'ground', 'ground'][k % 8 + 1] END AS status FROM k",
     "cmp_02_facts": "WITH c AS (SELECT n_nationkey AS k, count(s_suppkey) AS n, count(DISTINCT s_name) AS names FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1) SELECT CAST(k AS BIGINT) AS case_id, CASE k % 5 WHEN 0 THEN n > 0 WHEN 1 THEN false WHEN 2 THEN n > 0 AND names < n WHEN 3 THEN n = 0 END AS holds FROM c",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
-from lorespark.operators import audits, blocks, candidates, comparisons, dense, fusion, graph, lifecycle, linking, metrics, sparse
+from lorespark.operators import audits, blocks, branches, candidates, comparisons, dense, fusion, graph, lifecycle, linking, metrics, sparse
 from lorespark.operators import sqlgate as gate
 from lorespark.sources import catalog
 from lorespark.streaming import usage
@@ -302,17 +302,42 @@ def test_generations(spark, tmp_path):
 
 
 def test_branches(spark):
+    import time
+
     rows_ = spark.range(2).toDF("key")
+    missing = lambda: spark.read.parquet("file:///no/such/index")
 
-    def broken():
+    def slowly(batches):
+        for b in batches:
+            time.sleep(60)
+            yield b
+
+    def mistaken():
         raise KeyError("x")
 
-    out = candidates.run_branches({"a": lambda: rows_, "b": broken}, rows_.where("false"))
-    assert (out["a"].status, out["b"].status, out["b"].error, out["b"].rows.count()) == ("success", "failed", "KeyError", 0)
-    with pytest.raises(KeyError):
-        candidates.run_branches({"a": lambda: rows_, "b": broken}, rows_, strict=True)
-    with pytest.raises(candidates.AllFailed):
-        candidates.run_branches({"b": broken}, rows_)
+    began = time.monotonic()
+    slow = lambda: rows_.repartition(2).mapInPandas(slowly, "key long")
+    out = branches.run(spark, {"a": lambda: rows_, "b": missing, "c": slow, "d": lambda: rows_.where("false"), "e": lambda: rows_.where("key = 1")}, rows_.where("false"), {"a": 60, "b": 60, "c": 3, "d": 60, "e": 60})
+    assert {n: o.status for n, o in out.items()} == {"a": "success", "b": "failed", "c": "timed_out", "d": "empty", "e": "success"}
+    assert time.monotonic() - began < 40 and out["c"].rows.count() == 0 and out["b"].error == "AnalysisException"
+    assert rows(branches.fused(out, "key"), "key") == [(0, "a", "b", "c"), (1, "a,e", "b", "c")]
+    tracker = spark.sparkContext.statusTracker()
+    for _ in range(50):  # the late branch's job is cancelled, not left to run
+        if not tracker.getActiveJobsIds():
+            break
+        time.sleep(0.2)
+    assert not tracker.getActiveJobsIds()
+    for bad, error in ((mistaken, KeyError), (missing, Exception)):
+        with pytest.raises(error):
+            branches.run(spark, {"a": lambda: rows_, "b": bad}, rows_, strict=True)
+    with pytest.raises(KeyError):  # a mistake isn't an outcome
+        branches.run(spark, {"a": lambda: rows_, "b": mistaken}, rows_)
+    with pytest.raises(branches.AllFailed):
+        branches.run(spark, {"b": missing}, rows_)
+
+
+def test_lineage_and_scope(spark):
+    rows_ = spark.range(2).toDF("key")
     with pytest.raises(Exception, match="no lineage"):
         candidates.with_lineage(rows_, rows_.where("key = 0"), "key").collect()
     with pytest.raises(ValueError):
