@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.operators.metrics import nearest_rank
+from lorespark.operators.selection import FEW, nearest_ranks
 
 
 def contribution(gold: DataFrame, vector: DataFrame, graph: DataFrame, hybrid: DataFrame, key: str, k: int = 10) -> DataFrame:
@@ -30,9 +30,12 @@ def contribution(gold: DataFrame, vector: DataFrame, graph: DataFrame, hybrid: D
     )
 
 
-def deltas(delta: Column) -> list[Column]:
-    """Aggregates of a distribution of differences: counts by sign, mean, ends, nearest-rank median and 95th percentile."""
-    return [F.count("*").alias("n"), F.count_if(delta > 0).alias("n_positive"), F.count_if(delta == 0).alias("n_zero"), F.count_if(delta < 0).alias("n_negative"), F.round(F.avg(delta), 8).alias("mean"), F.round(F.min(delta), 8).alias("least"), F.round(F.max(delta), 8).alias("most"), F.round(nearest_rank(delta, 0.5), 8).alias("p50"), F.round(nearest_rank(delta, 0.95), 8).alias("p95")]
+def deltas(df: DataFrame, by: list[str], delta: str, few: int = FEW) -> DataFrame:
+    """Aggregates of each group's differences: counts by sign, mean, ends, nearest-rank median and 95th percentile."""
+    d = F.col(delta)
+    signs = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(d > 0).alias("n_positive"), F.count_if(d == 0).alias("n_zero"), F.count_if(d < 0).alias("n_negative"), F.round(F.avg(d), 8).alias("mean"), F.round(F.min(d), 8).alias("least"), F.round(F.max(d), 8).alias("most"))
+    ranks = nearest_ranks(df, by, delta, {"p50": 0.5, "p95": 0.95}, few).select(*by, F.round("p50", 8).alias("p50"), F.round("p95", 8).alias("p95"))
+    return signs.join(ranks, by, "left")
 
 
 def corpus_audit(parts: dict[str, tuple[DataFrame, DataFrame]], key: str) -> DataFrame:

@@ -65,13 +65,6 @@ def nearest_rank(values: Column, q: float) -> Column:
     return F.when(F.size(v) > 0, F.element_at(v, (F.bround((F.size(v) - 1) * F.lit(float(q))).cast("int") + 1)))
 
 
-def nearest_rank_by(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """nearest_rank for groups of any size: places in a sorted order instead of gathered lists."""
-    w = Window.partitionBy(*by)
-    placed = df.where(F.col(value).isNotNull()).withColumns({"place": F.row_number().over(w.orderBy(value)), "n": F.count("*").over(w)})
-    return placed.groupBy(*by).agg(*[F.max(F.when(F.col("place") == F.bround((F.col("n") - 1) * F.lit(q)) + 1, F.col(value))).alias(name) for name, q in quantiles.items()])
-
-
 def summary(value: str) -> list[Column]:
     """sample_count, known_count, total, mean, p50, p95 (interpolated); unknown values are left out."""
     return [F.count("*").alias("sample_count"), F.count(value).alias("known_count"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.percentile(value, 0.95), 6).alias("p95")]

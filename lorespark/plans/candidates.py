@@ -180,7 +180,7 @@ def str_07_cells(spark, sf_dir):
 
 def agg_09_deltas(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").withColumn("delta", F.lit(1.0) / (1 + F.col("o_orderkey") % 5) - F.lit(1.0) / (1 + F.col("o_custkey") % 7))
-    return o.groupBy("o_orderstatus").agg(*X.deltas(F.col("delta")))
+    return X.deltas(o, ["o_orderstatus"], "delta", few=500)
 
 
 def agg_11_contribution(spark, sf_dir):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as T
 from lorespark.operators import audits as A
 from lorespark.operators import metrics as M
+from lorespark.operators import selection, sparse
 from lorespark.operators import similarity as S
-from lorespark.operators import sparse
 from lorespark.plans.retrieval import bm25_sql, document_index
 from lorespark.sources.tables import table as _t
 
@@ -19,7 +19,7 @@ def _events(spark, sf_dir):
 
 
 def agg_15_nearest_rank(spark, sf_dir):
-    return M.nearest_rank_by(_t(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return selection.nearest_ranks(_t(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, few=500)
 
 
 def agg_15_nearest_rank_list(spark, sf_dir):
@@ -27,8 +27,8 @@ def agg_15_nearest_rank_list(spark, sf_dir):
 
 
 def agg_16_percentiles(spark, sf_dir):
-    q = lambda p: F.round(F.percentile("value", p), 6)
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.95).alias("p95"))
+    found = selection.percentiles(_t(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95}, few=500)
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p95")])
 
 
 def agg_17_summary(spark, sf_dir):
