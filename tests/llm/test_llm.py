@@ -732,6 +732,17 @@ def test_toxicity_on_held_out(spark):
     assert hit >= 0.6 and wrong <= 0.05 and all(0 <= r.score <= 1 for r in got)  # six toxic ones, two of them mislabelled
 
 
+def test_noisy_words_of_all_scripts():
+    texts = ["x m o r o n y", "m ö r o n", "м у д а к", "мудак", "moooron", "mööööron", "мууудак и друг", "漢 字 漢 字", "m0ron", "ö", "", "m.ö.r.o.n", "plain wörds only"]
+    found: dict[int, list[str]] = {}
+    for t, token, spelled in toxicity.noisy_words(common.Words(*common.utf8(pa.array(texts)), hashed=False)):
+        found.setdefault(t, []).append(token)
+    assert {t: v[0] for t, v in found.items()} == {0: "xmorony", 1: "möron", 2: "мудак", 4: "moooron", 5: "mööööron", 6: "мууудак", 7: "漢字漢字", 8: "m0ron", 11: "m.ö.r.o.n"}
+    grams = Counter(w[i : i + 3] for w in ("  moron ", "  mudak ", "  мудак ") * 20 for i in range(len(w) - 2))
+    decode = toxicity.Decoder(grams)
+    assert [decode(x, True) for x in ("mörön", "мудак")] == ["moron", "мудак"] and decode("мууудак") == "мудак"
+
+
 def test_toxicity_finds_planted_texts(spark):
     """Held-out texts with planted obfuscated insults, of clean words otherwise."""
     random.seed(8)
