@@ -4,8 +4,9 @@ Card numbers (13 to 19 digits, Luhn), phone numbers (assigned country codes, 7 t
 modulo 97), social security numbers, calendar dates and mail addresses are validated, then permuted by a keyed Feistel network within
 their format: equal values get equal pseudonyms in every document and spelling, different values different ones. Check digits
 stay right, separators in place, country codes and the last label of a mail's domain as they are; social security numbers stay
-valid ones, dates stay dates, month-first dates (which no day-first date can be) month-first. Letters and digits of mail
-names and domains are permuted as digits of base 36, in lower case. The permutation needs no table, so nothing is gathered or
+valid ones, dates stay dates. There is one permutation of days for all spellings; it keeps days after the 12th of a month among themselves, so that a
+month-first date (which no day-first date can be) stays one. Letters and digits of mail names and domains are permuted as digits of
+base 36, in lower case: a label of one letter has 36 images, and letters beyond ASCII next to a mail name are no part of it. The permutation needs no table, so nothing is gathered or
 joined. The key is a secret: there is no default.
 
 Cases: null texts stay null and empty ones empty, with no findings; a null doc_id stays null; repeated rows each give a row; an empty
@@ -98,9 +99,9 @@ def pseudonym(m: Column, key: str) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     ip = F.transform(F.array(native.permuted_number(F.aggregate(parts, F.lit(0).cast("long"), lambda s, v: s * 256 + v), 1 << 32, key, "ip")), lambda x: F.concat_ws(".", *[(F.floor(x / (1 << s)) % 256).cast("string") for s in (24, 16, 8, 0)]))
     of = lambda v: F.date_add(F.lit(EPOCH).cast("date"), v.cast("int"))
-    usual = native.permuted_number(_days(m), DAYS, key, "date")
-    month_first = native.permuted_number(_days(m), DAYS, key, "month-first", lambda v: F.dayofmonth(of(v)) > 12)
-    day = F.when(_month_first(m), month_first).otherwise(usual)
+    late = lambda v: F.dayofmonth(of(v)) > 12
+    moved = lambda ok: native.permuted_number(_days(m), DAYS, key, "date", ok)
+    day = F.when(F.dayofmonth(_date(m)) > 12, moved(late)).otherwise(moved(lambda v: ~late(v)))
     shape = F.when(m.rlike(r"^\d{4}"), "yyyy-MM-dd").when(_month_first(m), "MM/dd/yyyy").otherwise(F.concat(F.lit("dd"), F.substring(m, 3, 1), F.lit("MM"), F.substring(m, 6, 1), F.lit("yyyy")))
     date = native.let(F.struct(of(day).alias("d"), shape.alias("s")), lambda x: F.when(x["s"] == "yyyy-MM-dd", x["d"].cast("string")).when(x["s"] == "MM/dd/yyyy", F.date_format(x["d"], "MM/dd/yyyy")).otherwise(F.concat(F.date_format(x["d"], "dd"), F.substring(x["s"], 3, 1), F.date_format(x["d"], "MM"), F.substring(x["s"], 6, 1), F.date_format(x["d"], "yyyy"))))
     code = F.when(m.startswith("+"), F.regexp_extract(digits, f"^{COUNTRY}", 0)).otherwise(F.lit(""))
