@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html.parser
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,8 @@ from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from lorespark.functions import text as T
+from lorespark.functions.scratch import cut
+from lorespark.operators import packing
 
 DOC = ["kb_id", "document_id"]
 PLACE = ["page_number", "reading_order"]
@@ -158,68 +159,39 @@ def pieces(text: Column, most: int = MOST) -> Column:
     return F.pandas_udf(of, ArrayType(StringType()))(text)
 
 
-CHUNK = "kb_id string, document_id string, section long, part long, text string, block_ids array<string>, page_start long, page_end long, content_types array<string>"
-
-
 def chunked(sections: DataFrame, target: int = TARGET, most: int = MOST, least: int = LEAST) -> DataFrame:
     """Chunks of each section, packed greedily in order: a chunk ends once it has `target` characters or the next block would bring it over `most`;
     leading titles stay with what follows; long texts are split, other long blocks stand alone; a short last chunk joins the one before
-    if both fit; a chunk of formulas alone joins the one before. Every block is in a chunk.
+    if both fit; a last chunk of formulas alone joins the one before. Every block is in a chunk.
 
-    One section at a time is in memory, as each is a row with the list of its blocks.
+    Only the blocks of one chunk are gathered in a row, not those of a section.
     """
-    rows = sections.withColumn("shown", rendered(sections)).groupBy(*DOC, "section").agg(F.array_sort(F.collect_list(F.struct(*PLACE, "block_id", "type", "shown"))).alias("b"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for kb, doc, section, blocks in frame.itertuples(index=False):
-                for i, chunk in enumerate(packed(list(blocks), target, most, least)):
-                    types = list(dict.fromkeys(b["type"] for b in chunk))
-                    ids = list(dict.fromkeys(b["block_id"] for b in chunk))
-                    numbers = [b["page_number"] for b in chunk]
-                    out.append((kb, doc, section, i, "\n\n".join(b["shown"] for b in chunk if b["shown"]), ids, min(numbers), max(numbers), types))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNK.split(", ")])
-
-    parts = rows.mapInPandas(run, CHUNK)
+    by = [*DOC, "section"]
+    place = Window.partitionBy(*by).orderBy(*PLACE, "block_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sections.withColumn("shown", rendered(sections)).select(*by, *PLACE, "block_id", "type", "shown")
+    rows = rows.withColumn("unit", F.count_if(F.col("type") != "title").over(place))  # titles belong to the block after them
+    long = (F.col("type") == "text") & (F.length("shown") > most)
+    split = rows.where(long).select(*by, *PLACE, "block_id", "type", "unit", F.posexplode(pieces(F.col("shown"), most)).alias("piece", "shown"))
+    rows = cut(rows.where(~F.coalesce(long, F.lit(False))).withColumn("piece", F.lit(0)).unionByName(split))
+    units = rows.groupBy(*by, "unit", "piece").agg((F.sum(F.length("shown")) + packing.JOINT * (F.count("*") - 1)).alias("size"))
+    parts = packing.packed(units, by, ["unit", "piece"], "size", target, most)
+    block = F.struct(*PLACE, "unit", "piece", "block_id", "type", "shown")
+    chunks = rows.join(parts.drop("size"), [*by, "unit", "piece"]).groupBy(*by, "part").agg(F.array_sort(F.collect_list(block)).alias("b"), (F.sum(F.length("shown")) + packing.JOINT * (F.count("*") - 1)).alias("size"))
+    w = Window.partitionBy(*by).orderBy("part")
+    ids = F.transform("b", lambda x: x["block_id"])
+    few = (F.col("size") < least) | F.forall("b", lambda x: x["type"] == "formula")
+    fits = (F.lag("size").over(w) + packing.JOINT + F.col("size") <= most) & ~F.arrays_overlap(F.lag(ids).over(w), ids)
+    last = F.lead("part").over(w).isNull()
+    chunks = chunks.withColumn("joins", F.coalesce(last & few & fits, F.lit(False))).withColumn("part", F.col("part") - F.col("joins").cast("int"))
+    chunks = chunks.groupBy(*by, "part").agg(F.array_sort(F.flatten(F.collect_list("b"))).alias("b"))  # two at most
+    pick = lambda name: F.transform("b", lambda x: x[name])
+    shown = F.array_join(F.filter(pick("shown"), lambda x: x != ""), "\n\n")
+    chunks = chunks.select(*by, "part", shown.alias("text"), F.array_distinct(pick("block_id")).alias("block_ids"), F.array_min(pick("page_number")).alias("page_start"), F.array_max(pick("page_number")).alias("page_end"), F.array_distinct(pick("type")).alias("content_types"))
     ordinal = F.row_number().over(Window.partitionBy(*DOC).orderBy("section", "part")) - 1
-    chunks = parts.withColumn("ordinal", ordinal.cast("long"))
+    chunks = chunks.withColumn("ordinal", ordinal.cast("long"))
     return chunks.withColumn("chunk_id", T.identity("chunk", {"document_id": F.col("document_id"), "ordinal": F.col("ordinal"), "blocks": F.col("block_ids")}))
 
 
-def packed(blocks: list, target: int, most: int, least: int) -> list[list]:
-    size = lambda c: sum(len(b["shown"]) for b in c) + 2 * max(0, len(c) - 1)
-    units: list[list] = []
-    lead: list = []
-    for b in blocks:
-        b = b.asDict() if hasattr(b, "asDict") else dict(b)
-        if b["type"] == "title":
-            lead.append(b)
-        elif b["type"] == "text" and len(b["shown"]) > most:
-            first, *others = split_text(b["shown"], most)
-            units += [[*lead, b | {"shown": first}], *([b | {"shown": p}] for p in others)]
-            lead = []
-        else:
-            units.append([*lead, b])
-            lead = []
-    if lead:
-        units.append(lead)
-    chunks: list[list] = []
-    now: list = []
-    for u in units:
-        if now and (size(now) >= target or size(now + u) > most):
-            chunks.append(now)
-            now = []
-        now = now + u
-    if now:
-        chunks.append(now)
-    if len(chunks) > 1 and (size(chunks[-1]) < least or all(b["type"] == "formula" for b in chunks[-1])):
-        apart = not {b["block_id"] for b in chunks[-1]} & {b["block_id"] for b in chunks[-2]}
-        if apart and size(chunks[-2] + chunks[-1]) <= most:
-            chunks[-2:] = [chunks[-2] + chunks[-1]]
-    return chunks
-
-
 def lineage_faults(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """code, n of what must not be: unknown_block, page_range, uncovered_block."""
     used = chunks.select(*DOC, "ordinal", "page_start", "page_end", F.explode("block_ids").alias("block_id"))

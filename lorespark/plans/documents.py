@@ -50,8 +50,7 @@ def blk_08_lineage(spark, sf_dir):
     every = lambda n: F.col("document_id").cast("long") % n == 0
     chunks = B.chunked(B.sectioned(b)).withColumn("page_end", F.when(every(40), F.col("page_end") + 1).otherwise(F.col("page_end")))
     chunks = chunks.where(~every(30))
-    found = B.lineage_faults(chunks, b.where(~every(50)))
-    return found.where("code <> 'page_range'")
+    return B.lineage_faults(chunks, b.where(~every(50)))
 
 
 def _sections_as_chunks(spark, sf_dir):
@@ -172,6 +171,20 @@ b AS (SELECT kb_id, document_id, CAST(floor(pos / 20) + 1 AS BIGINT) AS page_num
 _S = """x AS (SELECT *, type = 'title' AND NOT coalesce(lag(type = 'title') OVER (PARTITION BY document_id ORDER BY pos), true) AS begins FROM b),
 s AS (SELECT *, CAST(sum(CAST(begins AS INT)) OVER (PARTITION BY document_id ORDER BY pos) AS BIGINT) AS section FROM x)"""
 _SHOWN = "CASE WHEN type = 'title' THEN '## ' || text ELSE text END"
+_CHUNKS = f"""un AS (SELECT *, {_SHOWN} AS whole, count(*) FILTER (WHERE type <> 'title') OVER (PARTITION BY document_id, section ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS unit FROM s),
+q AS (SELECT document_id, section, unit, pos, page_number, type, whole AS rest, -1 AS piece, '' AS shown FROM un
+    UNION ALL SELECT document_id, section, unit, pos, page_number, type, substr(rest, n + 1), piece + 1, substr(rest, 1, n) FROM (SELECT *, CASE WHEN type <> 'text' OR length(rest) <= 1600 THEN length(rest)
+    WHEN regexp_matches(substr(rest, 1, 1600), '[。！？!?；;：:]') THEN length(regexp_extract(substr(rest, 1, 1600), '(?s)^.*[。！？!?；;：:]')) WHEN regexp_matches(substr(rest, 1, 1600), '\\s') THEN length(regexp_extract(substr(rest, 1, 1600), '(?s)^.*\\s')) ELSE 1600 END AS n FROM q WHERE rest <> '')),
+pc AS (SELECT * FROM q WHERE piece >= 0),
+us AS (SELECT document_id, section, unit, piece, sum(length(shown)) + 2 * (count(*) - 1) AS size, row_number() OVER (PARTITION BY document_id, section ORDER BY unit, piece) - 1 AS i FROM pc GROUP BY document_id, section, unit, piece),
+gr AS (SELECT document_id, section, i, 0 AS part, size AS now FROM us WHERE i = 0
+    UNION ALL SELECT us.document_id, us.section, us.i, part + CAST(now >= 1200 OR now + 2 + size > 1600 AS INT), CASE WHEN now >= 1200 OR now + 2 + size > 1600 THEN size ELSE now + 2 + size END FROM gr JOIN us ON us.document_id = gr.document_id AND us.section = gr.section AND us.i = gr.i + 1),
+pl AS (SELECT pc.*, gr.part FROM pc JOIN us USING (document_id, section, unit, piece) JOIN gr USING (document_id, section, i)),
+ck AS (SELECT document_id, section, part, sum(length(shown)) + 2 * (count(*) - 1) AS size, min(pos) AS a, max(pos) AS z FROM pl GROUP BY document_id, section, part),
+mg AS (SELECT *, lead(part) OVER w IS NULL AND size < 240 AND lag(size) OVER w + 2 + size <= 1600 AND lag(z) OVER w < a AS joins FROM ck WINDOW w AS (PARTITION BY document_id, section ORDER BY part)),
+fin AS (SELECT document_id, section, part - CAST(coalesce(joins, false) AS INT) AS part, shown, pos, page_number FROM pl JOIN mg USING (document_id, section, part)),
+ch AS (SELECT document_id, section, part, sum(length(shown)) + 2 * (count(*) - 1) AS n_chars, count(DISTINCT pos) AS n_blocks, min(page_number) AS page_start, max(page_number) AS page_end, list_sort(list(DISTINCT pos)) AS ps FROM fin GROUP BY document_id, section, part),
+chunk AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY section, part) - 1 AS ordinal FROM ch)"""
 _EID = """'evidence_v2_' || sha256('{"identity_schema_version":"2.0","kind":"evidence","payload":{"block_id":"' || block_id || '","document_id":"' || document_id || '","kb_id":"' || kb_id || '"}}')"""
 _C = """c0 AS (SELECT *, list(substr(text, 1, 160)) FILTER (WHERE type = 'title') OVER (PARTITION BY document_id, page_number ORDER BY reading_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS path,
     substr(lag(text) OVER w, 1, 480) AS before, substr(lead(text) OVER w, 1, 480) AS after FROM b WINDOW w AS (PARTITION BY document_id, page_number ORDER BY reading_order)),
@@ -183,7 +196,9 @@ _R = f"""r AS (SELECT document_id, block_id, {_M} AS modality, CASE type WHEN 't
 _SQ = "regexp_replace(lower(text), '\\s+', '', 'g')"
 _NG = f"list_distinct(list_transform(range(1, greatest(length({_SQ}) - 1, 2)), lambda i: substr({_SQ}, i, 3)))"
 ORACLE = {
-    "blk_08_lineage": f"WITH {_B}, d AS (SELECT CAST(document_id AS BIGINT) AS d FROM b) SELECT 'unknown_block' AS code, count(*) AS n FROM d WHERE d % 50 = 0 AND d % 30 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'uncovered_block', count(*) FROM d WHERE d % 30 = 0 AND d % 50 <> 0 HAVING count(*) > 0",
+    "blk_05_chunks": f"""WITH RECURSIVE {_B}, {_S}, {_CHUNKS} SELECT document_id, ordinal, section, CAST(n_chars AS BIGINT) AS n_chars, n_blocks, page_start, page_end,
+        'chunk_v2_' || sha256('{{"identity_schema_version":"2.0","kind":"chunk","payload":{{"blocks":["' || array_to_string(list_transform(ps, lambda x: 'b' || x), '","') || '"],"document_id":"' || document_id || '","ordinal":' || ordinal || '}}}}') AS chunk_id FROM chunk""",
+    "blk_08_lineage": f"WITH RECURSIVE {_B}, {_S}, {_CHUNKS}, d AS (SELECT CAST(document_id AS BIGINT) AS d FROM b), k AS (SELECT CAST(document_id AS BIGINT) AS d FROM chunk) SELECT 'unknown_block' AS code, count(*) AS n FROM d WHERE d % 50 = 0 AND d % 30 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'uncovered_block', count(*) FROM d WHERE d % 30 = 0 AND d % 50 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'page_range', count(*) FROM k WHERE d % 40 = 0 AND d % 30 <> 0 AND d % 50 <> 0 HAVING count(*) > 0",
     "src_07_blocks": f"WITH {_B} SELECT kb_id, document_id, page_number, reading_order, block_id, type, md5(text) AS text FROM b",
     "blk_01_render": f"WITH {_B} SELECT document_id, block_id, md5({_SHOWN}) AS shown FROM b",
     "blk_03_sections": f"WITH {_B}, {_S} SELECT document_id, block_id, section FROM s",

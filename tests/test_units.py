@@ -131,13 +131,6 @@ def test_split_is_lossless():
     assert blocks.split_text("aa! bb cc", 5) == ["aa!", " bb ", "cc"]
 
 
-def test_packing():
-    b = lambda i, t, s: {"block_id": f"b{i}", "type": t, "shown": s, "page_number": 1, "reading_order": i}
-    chunks = blocks.packed([b(0, "title", "## t"), b(1, "text", "x" * 50), b(2, "text", "y" * 130), b(3, "formula", "$$z$$")], 40, 100, 10)
-    assert [[x["block_id"] for x in c] for c in chunks] == [["b0", "b1"], ["b2"], ["b2", "b3"]]
-    assert "".join(x["shown"] for c in chunks for x in c if x["block_id"] == "b2") == "y" * 130
-
-
 def test_html_table(spark):
     assert blocks.table_text("<table><tr><th>a </th><td>b\n c</td></tr><tr><td>d</td></tr></table>") == "a | b c\nd"
     assert blocks.table_text("<p>only text</p>") == "only text" and blocks.table_text(None) is None
