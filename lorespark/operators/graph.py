@@ -106,17 +106,27 @@ def traverse(found: DataFrame, edge: DataFrame, hops: int = 2, relations: int =
     return out.withColumn("kind", kind).withColumn("score", score(F.col("seed_score"), F.col("hop"), F.col("kind")))
 
 
+PLACES = ("page_start", "page_end", "chunk_id")
+
+
 def evidence_of(paths: DataFrame, support: DataFrame, limit: int = EVIDENCE, documents: list[str] | None = None) -> DataFrame:
-    """query_id, evidence_id, score, hop, seed_id, n_paths, rank: the best path of each evidence (score, fewer hops, greater seed).
+    """query_id, evidence_id, document_id (and PLACES, as far as the support has them), score, hop, min_hop, seed_id, n_paths, paths, rank.
 
-    The filter by documents follows the scoring and precedes the cut.
+    A path brings the evidence of all its entities and of all its relations. The best path of an evidence is that of the highest score, fewer hops,
+    greater seed; hop is its length, min_hop the least of any. All distinct paths are kept, as `nodes/relations`, sorted. Order: score, min_hop, document,
+    places, evidence. The filter by documents follows the scoring and precedes the cut.
     """
-    reached = paths.withColumn("node_id", F.element_at("nodes", -1)).join(support.where("node_kind = 'entity'").select("node_id", "evidence_id", "document_id").distinct(), "node_id")
+    own = paths.select("query_id", "seed_id", "score", "hop", F.concat_ws("/", F.array_join("nodes", ">"), F.array_join("relations", ">")).alias("path"), "nodes", "relations")
+    parts = lambda kind, c: own.select("query_id", "seed_id", "score", "hop", "path", F.lit(kind).alias("node_kind"), F.explode(c).alias("node_id"))
+    places = [c for c in PLACES if c in support.columns]
+    known = support.select("node_kind", "node_id", "evidence_id", "document_id", *places).distinct()
+    reached = parts("entity", "nodes").unionByName(parts("relation", "relations")).join(known, ["node_kind", "node_id"])
     best = F.max(F.struct("score", (-F.col("hop")).alias("nearer"), "seed_id"))
-    got = reached.groupBy("query_id", "evidence_id", "document_id").agg(best.alias("b"), F.countDistinct("nodes", "relations").alias("n_paths"))
-    got = got.select("query_id", "evidence_id", "document_id", F.col("b.score").alias("score"), (-F.col("b.nearer")).alias("hop"), F.col("b.seed_id").alias("seed_id"), "n_paths")
+    of = ["query_id", "evidence_id", "document_id", *places]
+    got = reached.groupBy(*of).agg(best.alias("b"), F.min("hop").alias("min_hop"), F.sort_array(F.collect_set("path")).alias("paths"))
+    got = got.select(*of, F.col("b.score").alias("score"), (-F.col("b.nearer")).alias("hop"), "min_hop", F.col("b.seed_id").alias("seed_id"), F.size("paths").cast("long").alias("n_paths"), "paths")
     got = got.where(F.col("document_id").isin(documents)) if documents is not None else got
-    return ranked(got, ["query_id"], [F.desc("score"), F.asc("hop"), F.asc("document_id"), F.asc("evidence_id")], limit)
+    return ranked(got, ["query_id"], [F.desc("score"), F.asc("min_hop"), F.asc("document_id"), *[F.asc(c) for c in places], F.asc("evidence_id")], limit)
 
 
 def merged(entities: DataFrame, keys: list[str], aliases: str = "aliases") -> DataFrame:

@@ -29,7 +29,8 @@ def _relations(spark, sf_dir):
 def _support(spark, sf_dir):
     e = _entities(spark, sf_dir).where("entity_id not in ('n7', 's9')").select(F.lit("entity").alias("node_kind"), F.col("entity_id").alias("node_id"), F.concat(F.lit("ev-"), "entity_id").alias("evidence_id"), "document_id")
     r = _relations(spark, sf_dir).select(F.lit("relation").alias("node_kind"), F.col("relation_id").alias("node_id"), F.concat(F.lit("ev-"), "relation_id").alias("evidence_id"), "document_id")
-    return e.unionByName(r)
+    n = F.length("node_id")
+    return e.unionByName(r).withColumns({"page_start": n % 3, "page_end": n % 3 + n % 2, "chunk_id": F.concat(F.lit("c"), F.substring("node_id", 1, 2))})
 
 
 def _queries(spark, sf_dir):
@@ -62,7 +63,8 @@ def jn_08_two_hops(spark, sf_dir):
 
 def ret_22_evidence(spark, sf_dir):
     got = G.evidence_of(_paths(spark, sf_dir), _support(spark, sf_dir))
-    return got.select("query_id", "evidence_id", "document_id", "score", F.col("hop").cast("long").alias("hop"), "seed_id", "n_paths", F.col("rank").cast("long").alias("rank"))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return got.select("query_id", "evidence_id", "document_id", "score", long("hop"), long("min_hop"), "seed_id", "n_paths", F.md5(F.array_join("paths", ";")).alias("paths"), long("rank"))
 
 
 def flt_02_evidence_filtered(spark, sf_dir):
@@ -200,7 +202,9 @@ h1 AS (SELECT query_id, seed_id, nodes, rels FROM x1 WHERE nth <= 20),
 x2 AS (SELECT query_id, seed_id, list_append(nodes, b) AS nodes, list_append(rels, relation_id) AS rels, dense_rank() OVER (PARTITION BY query_id, seed_id, nodes ORDER BY b) AS nth FROM h1 JOIN ed ON a = nodes[-1] AND NOT list_contains(nodes, b)),
 h2 AS (SELECT query_id, seed_id, nodes, rels FROM x2 WHERE nth <= 20),
 p AS (SELECT *, 0 AS hop, round(least(1, 0.72 * 0.93 + 0.2 + 0.08), 6) AS score FROM h0 UNION ALL SELECT *, 1, round(least(1, 0.72 * 0.93 + 0.1 + 0.12), 6) FROM h1 UNION ALL SELECT *, 2, round(least(1, 0.72 * 0.93 + 0.2 / 3 + 0.12), 6) FROM h2)"""
-_EV = """ev AS (SELECT query_id, evidence_id, document_id, CAST(max(score) AS DOUBLE) AS score, max({'s': score, 'h': -hop, 'd': seed_id}) AS b, count(DISTINCT {'n': nodes, 'r': rels}) AS n_paths FROM p JOIN sup ON node_kind = 'entity' AND node_id = nodes[-1] GROUP BY ALL)"""
+_EV = """pp AS (SELECT *, array_to_string(nodes, '>') || '/' || array_to_string(rels, '>') AS path FROM p), nd AS (SELECT query_id, seed_id, score, hop, path, 'entity' AS kind, unnest(nodes) AS node FROM pp UNION ALL SELECT query_id, seed_id, score, hop, path, 'relation', unnest(rels) FROM pp),
+ev AS (SELECT query_id, evidence_id, document_id, length(node_id) % 3 AS ps, length(node_id) % 3 + length(node_id) % 2 AS pe, 'c' || substr(node_id, 1, 2) AS ck, CAST(max(score) AS DOUBLE) AS score, max({'s': score, 'h': -hop, 'd': seed_id}) AS b, min(hop) AS min_hop, list_sort(list(DISTINCT path)) AS paths FROM nd JOIN sup ON node_kind = kind AND node_id = node GROUP BY ALL)"""
+_EV_ORDER = "PARTITION BY query_id ORDER BY score DESC, min_hop, document_id, ps, pe, ck, evidence_id"
 _PARTS = "p AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS id, p_name AS name, p_brand AS alias, p_type AS type, 'd' || (p_size % 9) AS doc FROM part)"
 _BL = f"{_PARTS}, t AS (SELECT DISTINCT id, trim(regexp_replace(lower(x), '\\s+', ' ', 'g')) AS term FROM (SELECT id, unnest([name, alias]) AS x FROM p)), k AS (SELECT id, substr(lower(name), 1, 2) AS term FROM p)"
 _RATIO = """best AS (SELECT x AS px, y AS py, x, y, 0 AS m FROM np
@@ -219,8 +223,8 @@ ORACLE = {
     "ret_19_seeds": f"WITH {_E}, {_SEED} SELECT query_id, entity_id, method, CAST(score AS DOUBLE) AS score, rank FROM seed WHERE rank <= 5",
     "jn_07_one_hop": f"WITH {_E}, {_SEED}, {_P} SELECT query_id, array_to_string(nodes, '>') AS path, array_to_string(rels, '>') AS relations, 'relation' AS kind, CAST(score AS DOUBLE) AS score FROM p WHERE hop = 1",
     "jn_08_two_hops": f"WITH {_E}, {_SEED}, {_P} SELECT query_id, array_to_string(nodes, '>') AS path, array_to_string(rels, '>') AS relations, 'relation' AS kind, CAST(score AS DOUBLE) AS score FROM p WHERE hop = 2",
-    "ret_22_evidence": f"WITH {_E}, {_SEED}, {_P}, {_EV} SELECT query_id, evidence_id, document_id, score, CAST(-b.h AS BIGINT) AS hop, b.d AS seed_id, n_paths, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, -b.h, document_id, evidence_id) AS rank FROM ev) WHERE rank <= 50",
-    "flt_02_evidence_filtered": f"WITH {_E}, {_SEED}, {_P}, {_EV} SELECT query_id, evidence_id, document_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, -b.h, document_id, evidence_id) AS rank FROM ev WHERE document_id IN ('r0', 'r1')) WHERE rank <= 10",
+    "ret_22_evidence": f"WITH {_E}, {_SEED}, {_P}, {_EV} SELECT query_id, evidence_id, document_id, score, CAST(-b.h AS BIGINT) AS hop, CAST(min_hop AS BIGINT) AS min_hop, b.d AS seed_id, len(paths) AS n_paths, md5(array_to_string(paths, ';')) AS paths, rank FROM (SELECT *, row_number() OVER ({_EV_ORDER}) AS rank FROM ev) WHERE rank <= 50",
+    "flt_02_evidence_filtered": f"WITH {_E}, {_SEED}, {_P}, {_EV} SELECT query_id, evidence_id, document_id, score, rank FROM (SELECT *, row_number() OVER ({_EV_ORDER}) AS rank FROM ev WHERE document_id IN ('r0', 'r1')) WHERE rank <= 10",
     "jn_09_support_semi_join": f"WITH {_E} SELECT document_id, count(*) AS n FROM rel WHERE EXISTS (SELECT 1 FROM sup WHERE node_kind = 'relation' AND node_id = relation_id) GROUP BY 1",
     "snk_10_cascade": f"WITH {_E}, l AS (SELECT * FROM sup WHERE document_id <> 'r2'), k AS (SELECT entity_id FROM e WHERE entity_id IN (SELECT node_id FROM l WHERE node_kind = 'entity')) SELECT 'support' AS part, count(*) AS n FROM l UNION ALL SELECT 'entities', count(*) FROM k UNION ALL SELECT 'relations', count(*) FROM rel WHERE relation_id IN (SELECT node_id FROM l WHERE node_kind = 'relation') AND s IN (SELECT entity_id FROM k) AND t IN (SELECT entity_id FROM k)",
     "snk_07_merge": "SELECT p_name AS entity_id, array_to_string(list_sort(list_distinct(flatten(list([p_brand, p_type])))), ',') AS aliases FROM part GROUP BY 1",
