@@ -10,6 +10,7 @@ from lorespark.operators import metrics as M
 from lorespark.operators import selection, sparse
 from lorespark.operators import similarity as S
 from lorespark.plans.retrieval import bm25_sql, document_index
+from lorespark.sources import ordered
 from lorespark.sources.tables import table as _t
 
 
@@ -209,6 +210,14 @@ def src_03_representatives(spark, sf_dir):
     return A.representatives(d, ["sha"], ["source", "doc_id"]).select("doc_id", "source")
 
 
+def src_05_runs(spark, sf_dir):
+    """Runs of neighbouring turns of one role, in the order of the table's files, and the conversations as runs: which come back."""
+    rows = ordered.in_file_order(spark, f"{sf_dir}/conversations.parquet")
+    keyed = rows.withColumn("key", F.when(F.col("conv_id") % 7 == 0, F.lit("seventh")).otherwise(F.col("conv_id").cast("string")))
+    found = ordered.runs(keyed, "key", block=100)
+    return found.groupBy("key").agg(F.count("*").alias("runs"), F.sum("n").alias("n"), F.max("n").alias("longest"))
+
+
 def src_05_contiguous(spark, sf_dir):
     return A.contiguous(_t(spark, sf_dir, "conversations"), ["conv_id"], "turn")
 
@@ -257,7 +266,7 @@ def smp_01_review(spark, sf_dir):
 FUNCTIONS = (
     agg_10_split_summary, agg_15_nearest_rank, agg_15_nearest_rank_list, agg_16_percentiles, agg_17_summary, agg_18_rates, agg_19_stage_counts, agg_20_strict_sum, agg_21_cost, agg_22_failed_buckets, agg_23_extrapolation, agg_26_subject_summary,
     agg_27_duplicates, agg_27_inventory, agg_30_bad_cases, agg_31_warnings, top_04_stratified, top_05_diverse, top_06_worst, leak_01_codes, jn_15_near_pairs, jn_15_ratio_pairs, leak_02_same_text, aud_01_labels, aud_03_order, jn_12_index_audit, ret_05_index_status,
-    aud_04_fingerprint, snk_12_latest, snk_13_registration, snk_14_attribution, snk_15_resume, snk_16_roll_up, src_03_representatives, src_04_duplicate_keys, src_05_contiguous, flt_06_exclusion, cmp_01_tolerance, cmp_03_outcomes, srt_02_pagination, smp_01_review,
+    aud_04_fingerprint, snk_12_latest, snk_13_registration, snk_14_attribution, snk_15_resume, snk_16_roll_up, src_03_representatives, src_04_duplicate_keys, src_05_contiguous, src_05_runs, flt_06_exclusion, cmp_01_tolerance, cmp_03_outcomes, srt_02_pagination, smp_01_review,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -315,6 +324,7 @@ ORACLE = {
     "src_03_representatives": "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS rn FROM documents WHERE n_chars > 0) WHERE rn = 1",
     "src_04_duplicate_keys": "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "src_05_contiguous": "SELECT conv_id, count(*) AS n, max(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*) AND min(turn) = 0 AS ok FROM conversations GROUP BY 1",
+    "src_05_runs": "WITH k AS (SELECT row_number() OVER () AS i, CASE WHEN conv_id % 7 = 0 THEN 'seventh' ELSE CAST(conv_id AS VARCHAR) END AS key FROM conversations), b AS (SELECT *, CAST(key IS DISTINCT FROM lag(key) OVER (ORDER BY i) AS INT) AS begins FROM k), r AS (SELECT key, sum(begins) OVER (ORDER BY i) AS run FROM b), n AS (SELECT key, run, count(*) AS n FROM r GROUP BY 1, 2) SELECT key, count(*) AS runs, CAST(sum(n) AS BIGINT) AS n, max(n) AS longest FROM n GROUP BY 1",
     "flt_06_exclusion": f"WITH d AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents), l AS (SELECT * FROM d WHERE length(term) > 12), i AS (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) SELECT DISTINCT doc_id FROM l WHERE term IN (SELECT term FROM i WHERE item_id % 2 = 0) AND doc_id NOT IN (SELECT doc_id FROM l WHERE term IN (SELECT term FROM i WHERE item_id % 2 = 1))",
     "cmp_01_tolerance": "SELECT abs(o_totalprice - n) <= greatest(1e-6, 1e-9 * greatest(abs(o_totalprice), abs(n), 1.0)) AS equal, count(*) AS n FROM (SELECT o_totalprice, o_totalprice * (1 + CASE WHEN o_orderkey % 2 = 0 THEN 1e-10 ELSE 1e-8 END) AS n FROM orders) GROUP BY 1",
     "cmp_03_outcomes": "SELECT CASE WHEN event_type = 'error' THEN CASE WHEN value > 20 THEN 'execution_failure' ELSE 'validation_failure' END WHEN event_type = 'purchase' THEN CASE WHEN value > 30 THEN 'success' ELSE 'result_mismatch' END ELSE 'not_applicable' END AS outcome, count(*) AS n FROM events GROUP BY 1",
