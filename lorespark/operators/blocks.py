@@ -193,13 +193,42 @@ def chunked(sections: DataFrame, target: int = TARGET, most: int = MOST, least:
 
 
 def lineage_faults(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """code, n of what must not be: unknown_block, page_range, uncovered_block."""
-    used = chunks.select(*DOC, "ordinal", "page_start", "page_end", F.explode("block_ids").alias("block_id"))
-    known = blocks.select(*DOC, "block_id", "page_number", F.lit(True).alias("known"))
+    """code, n of what must not be: unknown_block (blocks), uncovered_block (blocks in no chunk), and chunks by the first rule that they break: order (blocks
+    repeated or not in reading order), page_range, section (blocks of several), path (not the titles of the section), types, assets.
+
+    Sections, paths and assets are judged as far as blocks have section and asset_ref, chunks path and asset_refs. A chunk with unknown blocks is judged by
+    no other rule.
+    """
+    has = lambda df, c: c in df.columns
+    extra = [c for c in ("content_types", "path", "asset_refs") if has(chunks, c)]
+    used = chunks.select(*DOC, "ordinal", F.posexplode("block_ids").alias("at", "block_id"))
+    section = F.col("section") if has(blocks, "section") else F.lit(0)
+    asset = F.when(F.col("type").isin("table", "image"), F.col("asset_ref")) if has(blocks, "asset_ref") else F.lit(None).cast("string")
+    known = blocks.select(*DOC, "block_id", *PLACE, "type", section.alias("section"), asset.alias("asset"), F.lit(True).alias("known"))
     both = used.join(known, [*DOC, "block_id"], "left")
-    pages = both.groupBy(*DOC, "ordinal", "page_start", "page_end").agg(F.min("page_number").alias("a"), F.max("page_number").alias("z")).where("a <> page_start or z <> page_end")
+    row = F.struct("at", *PLACE, "type", "section", "asset", "known")
+    own = both.groupBy(*DOC, "ordinal").agg(F.array_sort(F.collect_list(row)).alias("r")).join(chunks.select(*DOC, "ordinal", "page_start", "page_end", *extra), [*DOC, "ordinal"])
+    each = lambda f: F.transform("r", f)
+    places = each(lambda x: F.struct(x["page_number"], x["reading_order"]))
+    pages = each(lambda x: x["page_number"])
+    rules = [
+        ("order", (places != F.array_sort(places)) | (F.size(F.array_distinct(places)) < F.size(places))),
+        ("page_range", (F.array_min(pages) != F.col("page_start")) | (F.array_max(pages) != F.col("page_end"))),
+        ("section", F.size(F.array_distinct(each(lambda x: x["section"]))) > 1),
+    ]
+    if has(chunks, "path") and has(blocks, "section"):
+        own = own.withColumn("section", F.get("r", F.lit(0))["section"]).join(section_paths(blocks).select(*DOC, "section", F.col("path").alias("titles")), [*DOC, "section"], "left")
+        rules.append(("path", ~F.col("path").eqNullSafe(F.col("titles"))))
+    if has(chunks, "content_types"):
+        rules.append(("types", F.col("content_types") != F.array_distinct(each(lambda x: x["type"]))))
+    if has(chunks, "asset_refs"):
+        rules.append(("assets", F.col("asset_refs") != F.array_distinct(F.filter(each(lambda x: x["asset"]), lambda a: a.isNotNull()))))
+    code = F.lit(None).cast("string")
+    for name, broken in reversed(rules):
+        code = F.when(broken, F.lit(name)).otherwise(code)
+    found = own.where(F.forall("r", lambda x: x["known"].isNotNull())).select(code.alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("n"))
     one = lambda df, code: df.select(F.lit(code).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-    return one(both.where("known is null").select(*DOC, "block_id").distinct(), "unknown_block").unionByName(one(pages, "page_range")).unionByName(one(known.join(used, [*DOC, "block_id"], "left_anti"), "uncovered_block"))
+    return one(both.where("known is null").select(*DOC, "block_id").distinct(), "unknown_block").unionByName(found).unionByName(one(known.join(used, [*DOC, "block_id"], "left_anti"), "uncovered_block"))
 
 
 def profile(chunks: DataFrame, most: int = MOST) -> DataFrame:

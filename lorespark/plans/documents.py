@@ -45,12 +45,24 @@ def blk_05_chunks(spark, sf_dir):
 
 
 def blk_08_lineage(spark, sf_dir):
-    """Faults planted in the real chunks: every fiftieth document's blocks are unknown, every fortieth's chunks claim a page more."""
-    b = _blocks(spark, sf_dir)
-    every = lambda n: F.col("document_id").cast("long") % n == 0
-    chunks = B.chunked(B.sectioned(b)).withColumn("page_end", F.when(every(40), F.col("page_end") + 1).otherwise(F.col("page_end")))
-    chunks = chunks.where(~every(30))
-    return B.lineage_faults(chunks, b.where(~every(50)))
+    """Faults planted in the real chunks, by the document's number: unknown blocks, missing chunks, a page more, a type more, blocks turned round, another
+    path, and a block of the first section."""
+    s = B.sectioned(_blocks(spark, sf_dir))
+    number = F.col("document_id").cast("long")
+    by = lambda k: number % 20 == k
+    chunks = B.chunked(s).join(B.section_paths(s).select("kb_id", "document_id", "section", "path"), ["kb_id", "document_id", "section"])
+    other = by(4) & (F.col("section") > 0)
+    ids = F.when(by(2), F.reverse("block_ids")).when(other, F.concat(F.array(F.lit("b0")), "block_ids")).otherwise(F.col("block_ids"))
+    chunks = chunks.withColumns(
+        {
+            "block_ids": ids,
+            "page_start": F.when(other, 1).otherwise(F.col("page_start")),
+            "page_end": F.col("page_end") + by(0).cast("long"),
+            "content_types": F.when(by(1), F.array_append("content_types", F.lit("image"))).otherwise(F.col("content_types")),
+            "path": F.when(by(3), F.array_append("path", F.lit("zz"))).otherwise(F.col("path")),
+        }
+    )
+    return B.lineage_faults(chunks.where(number % 30 != 0), s.where(number % 50 != 0))
 
 
 def _sections_as_chunks(spark, sf_dir):
@@ -198,7 +210,7 @@ _NG = f"list_distinct(list_transform(range(1, greatest(length({_SQ}) - 1, 2)), l
 ORACLE = {
     "blk_05_chunks": f"""WITH RECURSIVE {_B}, {_S}, {_CHUNKS} SELECT document_id, ordinal, section, CAST(n_chars AS BIGINT) AS n_chars, n_blocks, page_start, page_end,
         'chunk_v2_' || sha256('{{"identity_schema_version":"2.0","kind":"chunk","payload":{{"blocks":["' || array_to_string(list_transform(ps, lambda x: 'b' || x), '","') || '"],"document_id":"' || document_id || '","ordinal":' || ordinal || '}}}}') AS chunk_id FROM chunk""",
-    "blk_08_lineage": f"WITH RECURSIVE {_B}, {_S}, {_CHUNKS}, d AS (SELECT CAST(document_id AS BIGINT) AS d FROM b), k AS (SELECT CAST(document_id AS BIGINT) AS d FROM chunk) SELECT 'unknown_block' AS code, count(*) AS n FROM d WHERE d % 50 = 0 AND d % 30 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'uncovered_block', count(*) FROM d WHERE d % 30 = 0 AND d % 50 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'page_range', count(*) FROM k WHERE d % 40 = 0 AND d % 30 <> 0 AND d % 50 <> 0 HAVING count(*) > 0",
+    "blk_08_lineage": f"WITH RECURSIVE {_B}, {_S}, {_CHUNKS}, d AS (SELECT CAST(document_id AS BIGINT) AS d FROM b), k AS (SELECT CAST(document_id AS BIGINT) AS d, section, n_blocks FROM chunk) SELECT 'unknown_block' AS code, count(*) AS n FROM d WHERE d % 50 = 0 AND d % 30 <> 0 HAVING count(*) > 0 UNION ALL SELECT 'uncovered_block', count(*) FROM d WHERE d % 30 = 0 AND d % 50 <> 0 HAVING count(*) > 0 UNION ALL SELECT code, count(*) FROM (SELECT CASE d % 20 WHEN 0 THEN 'page_range' WHEN 1 THEN 'types' WHEN 2 THEN CASE WHEN n_blocks > 1 THEN 'order' END WHEN 3 THEN 'path' WHEN 4 THEN CASE WHEN section > 0 THEN 'section' END END AS code FROM k WHERE d % 30 <> 0 AND d % 50 <> 0) WHERE code IS NOT NULL GROUP BY 1",
     "src_07_blocks": f"WITH {_B} SELECT kb_id, document_id, page_number, reading_order, block_id, type, md5(text) AS text FROM b",
     "blk_01_render": f"WITH {_B} SELECT document_id, block_id, md5({_SHOWN}) AS shown FROM b",
     "blk_03_sections": f"WITH {_B}, {_S} SELECT document_id, block_id, section FROM s",
