@@ -268,8 +268,10 @@ def snk_03_generation_delete(spark, sf_dir):
 
 
 def stream_frames(spark, sf_dir):
+    """Conversations as answers: their turns are tokens, the roles citations; every ninth fails after its first turn."""
     c = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), F.col("role").alias("text"))
-    return frames.answer_frames(c)
+    failures = c.where("query_id % 9 = 0").groupBy("query_id").agg(F.min("seq").alias("after")).withColumn("code", F.lit("provider"))
+    return frames.answer_frames(c, c.where("query_id % 4 <> 0").select("query_id", F.col("text").alias("citation")), failures)
 
 
 FUNCTIONS = (
@@ -302,5 +304,8 @@ ORACLE = {
     "snk_03_generation_delete": "SELECT source AS document_id, count(*) AS n, (SELECT count(*) FROM documents WHERE source = 'src1') AS first, CAST(0 AS BIGINT) AS again FROM documents WHERE source <> 'src1' GROUP BY 1",
     "snk_04_replace_vectors": "SELECT CAST(label AS VARCHAR) AS document_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, count(*) AS evidence FROM embeddings WHERE label <> 3 AND (label NOT IN (1, 2) OR vec_id % 3 = 0) GROUP BY 1",
     "snk_05_replace_refused": "SELECT CAST(label AS VARCHAR) AS document_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, count(*) AS evidence, CAST(5 AS BIGINT) AS refused FROM embeddings GROUP BY 1",
-    "stream_frames": "SELECT conv_id AS query_id, CAST(turn AS BIGINT) AS seq, 'event: delta' || chr(10) || 'data: {\"text\":\"' || role || '\"}' || chr(10) || chr(10) AS frame FROM conversations UNION ALL SELECT conv_id, CAST(max(turn) + 1 AS BIGINT), 'event: done' || chr(10) || 'data: {\"n\":' || count(*) || '}' || chr(10) || chr(10) FROM conversations GROUP BY conv_id",
+    "stream_frames": """WITH c AS (SELECT conv_id AS q, CAST(turn AS BIGINT) AS t, role, min(turn) OVER (PARTITION BY conv_id) AS f FROM conversations), l AS (SELECT q, max(t) AS l, count(*) AS n, list_sort(list(DISTINCT role)) AS r FROM c GROUP BY 1),
+        x AS (SELECT q, t AS seq, 'answer_delta' AS e, '{"text":"' || role || '"}' AS d FROM c WHERE q % 9 <> 0 OR t <= f UNION ALL SELECT q, l + 1, 'citations', CASE WHEN q % 4 = 0 THEN '{"citations":[]}' ELSE '{"citations":["' || array_to_string(r, '","') || '"]}' END FROM l WHERE q % 9 <> 0
+        UNION ALL SELECT q, l + 2, 'complete', '{"n":' || n || '}' FROM l WHERE q % 9 <> 0 UNION ALL SELECT DISTINCT q, f + 1, 'error', '{"code":"provider"}' FROM c WHERE q % 9 = 0)
+        SELECT q AS query_id, seq, 'event: ' || e || chr(10) || 'data: ' || d || chr(10) || chr(10) AS frame FROM x""",
 }
