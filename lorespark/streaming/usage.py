@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -32,6 +34,31 @@ def upserts(chunks: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
     return chunks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+FAILURES = "run_id string, seq long, signature string, retryable boolean"
+
+
+def breaker(failures: DataFrame, times: int = 3) -> DataFrame:
+    """run_id, signature, seq of a stream of failures (FAILURES): each run is stopped once, at the failure that makes the same non-retryable one `times` in a
+    row. What a run has had so far is state of the query, so failures in a row may come in different micro-batches, before and after a
+    restart from its checkpoint. Within a batch a run's failures are taken by seq; a run that has been stopped needs no more than that state."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, n, stopped = state.get if state.exists else (None, 0, False)
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        for signature, retryable, seq in zip(rows["signature"], rows["retryable"], rows["seq"], strict=True):
+            signature = None if pd.isna(signature) else signature
+            if stopped:
+                break
+            known, n = signature, (n if signature == known else 0) + (not retryable)
+            if n >= times:
+                stopped = True
+                yield pd.DataFrame({"run_id": [key[0]], "signature": [signature], "seq": [seq]})
+        state.update((known, int(n), stopped))
+
+    kind = "run_id string, signature string, seq long"
+    return failures.groupBy("run_id").applyInPandasWithState(step, kind, "signature string, n long, stopped boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def blocked_runs(failures: DataFrame, times: int = 3) -> DataFrame:
     """run_id, signature of runs to stop: the same non-retryable failure `times` in a row."""
     from pyspark.sql.window import Window
