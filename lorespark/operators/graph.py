@@ -139,12 +139,20 @@ def identity_conflicts(entities: DataFrame, key: str, columns: list[str]) -> Dat
     return entities.groupBy(key).agg(F.countDistinct(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]).alias("n")).where("n > 1")
 
 
-def without_document(entities: DataFrame, relations: DataFrame, support: DataFrame, document_id: str) -> dict[str, DataFrame]:
-    """What stays once a document's evidence goes: support, relations and entities that some evidence still supports."""
+def without_document(entities: DataFrame, relations: DataFrame, support: DataFrame, document_id: str, links: DataFrame | None = None, memberships: DataFrame | None = None, canonicals: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What stays once a document's evidence goes: support, relations and entities that some evidence still supports; then links (a, b) between entities that stay,
+    memberships (local_entity_id, canonical_entity_id) of such entities, and canonical entities (canonical_entity_id) that have a member left."""
     left = support.where(F.col("document_id") != document_id)
     of = lambda kind, key: left.where(F.col("node_kind") == kind).select(F.col("node_id").alias(key)).distinct()
     keep = entities.join(of("entity", "entity_id"), "entity_id", "left_semi")
-    ends = keep.select("entity_id")
-    rel = relations.join(of("relation", "relation_id"), "relation_id", "left_semi")
-    rel = rel.join(ends.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id", "left_semi").join(ends.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id", "left_semi")
-    return {"support": left, "relations": rel.select(*relations.columns), "entities": keep}
+    ids = keep.select("entity_id").distinct()
+    among = lambda df, *ends: [df := df.join(ids.withColumnRenamed("entity_id", c), c, "left_semi") for c in ends][-1]  # noqa: E731, F841
+    rel = among(relations.join(of("relation", "relation_id"), "relation_id", "left_semi"), "source_entity_id", "target_entity_id")
+    out = {"support": left, "relations": rel.select(*relations.columns), "entities": keep}
+    if links is not None:
+        out["links"] = among(links, "a", "b").select(*links.columns)
+    if memberships is not None:
+        out["memberships"] = among(memberships, "local_entity_id").select(*memberships.columns)
+        if canonicals is not None:
+            out["canonicals"] = canonicals.join(out["memberships"].select("canonical_entity_id").distinct(), "canonical_entity_id", "left_semi")
+    return out

@@ -100,6 +100,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     raise RuntimeError("components have not settled")
 
 
+def maintained(members: DataFrame, links: DataFrame, removed: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root of every node with links; the links) after links (a, b) have gone and come; members: node, root as they were for links.
+
+    Only components that a changed link touches are computed anew, from their own links; all others keep their rows. Links count in either direction,
+    and nodes that have lost their last link are members no more.
+    """
+    one = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    now = cut(one(links).join(one(removed), ["a", "b"], "left_anti").unionByName(one(added)).distinct())
+    ends = one(removed).unionByName(one(added))
+    changed = cut(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    roots = members.join(changed, "node", "left_semi").select("root").distinct()
+    touched = cut(members.join(roots, "root", "left_semi").select("node").unionByName(changed).distinct())
+    own = now.join(touched.withColumnRenamed("node", "a"), "a", "left_semi")  # a component's links lie within it
+    rest = members.join(touched, "node", "left_anti").select("node", "root")
+    return rest if own.isEmpty() else rest.unionByName(components(own)), now
+
+
 def canonical_plan(members: DataFrame, entities: DataFrame) -> DataFrame:
     """root, representative (least normalised name, id), n_members, aliases (all names and aliases, distinct and sorted)."""
     e = entities.select(F.col("entity_id").alias("node"), "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))

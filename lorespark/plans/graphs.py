@@ -78,9 +78,18 @@ def jn_09_support_semi_join(spark, sf_dir):
 
 
 def snk_10_cascade(spark, sf_dir):
-    left = G.without_document(_entities(spark, sf_dir), _relations(spark, sf_dir), _support(spark, sf_dir), "r2")
-    one = lambda name: left[name].select(F.lit(name).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
-    return one("support").unionByName(one("relations")).unionByName(one("entities"))
+    """A document goes, with all that nothing else supports: suppliers of one nation are linked and members of one canonical entity."""
+    e = _entities(spark, sf_dir)
+    s = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_nationkey").alias("k"))
+    first = s.groupBy("k").agg(F.min("id").alias("a"))
+    links = s.join(first, "k").where("id <> a").select("a", F.col("id").alias("b"))
+    members = s.select(F.col("id").alias("local_entity_id"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("canonical_entity_id"))
+    left = G.without_document(e, _relations(spark, sf_dir), _support(spark, sf_dir), "r2", links, members, members.select("canonical_entity_id").distinct())
+    out = None
+    for name, df in left.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def snk_07_merge(spark, sf_dir):
@@ -151,6 +160,17 @@ def lnk_10_components(spark, sf_dir):
     return L.components(_links(spark, sf_dir))
 
 
+def snk_08_maintained(spark, sf_dir):
+    """Components after every second link of the chain has gone and others have come, against those of all links from scratch."""
+    links = _links(spark, sf_dir)
+    number = F.col("a").cast("int")
+    removed = links.where((number % 80 == 0) & (F.col("b").cast("int") == number + 1))
+    shifted = lambda k: F.lpad((F.col("entity_id").cast("int") + k).cast("string"), 6, "0")
+    added = _parts(spark, sf_dir).where("cast(entity_id as int) % 100 = 7").select(F.col("entity_id").alias("b"), shifted(3).alias("a"))
+    members, _ = L.maintained(L.components(links), links, removed, added)
+    return members
+
+
 def lnk_11_canonical_plan(spark, sf_dir):
     plan = L.canonical_plan(L.components(_links(spark, sf_dir)), _parts(spark, sf_dir))
     return plan.select("root", "representative", "n_members", F.array_join("aliases", ",").alias("aliases"))
@@ -185,7 +205,7 @@ def snk_08_current_decisions(spark, sf_dir):
 
 FUNCTIONS = (
     src_12_supported, ret_19_seeds, jn_07_one_hop, jn_08_two_hops, ret_22_evidence, flt_02_evidence_filtered, jn_09_support_semi_join, snk_10_cascade, snk_07_merge, lnk_05_conflicts, agg_25_graph_coverage,
-    lnk_06_candidates, jn_11_band, lnk_06_telemetry, lnk_06_budget, lnk_07_signals, lnk_08_decisions, ret_20_ratio, lnk_10_components, lnk_11_canonical_plan, lnk_12_token_groups, lnk_03_grounding, lnk_04_duplicates, snk_08_current_decisions,
+    lnk_06_candidates, jn_11_band, lnk_06_telemetry, lnk_06_budget, lnk_07_signals, lnk_08_decisions, ret_20_ratio, lnk_10_components, snk_08_maintained, lnk_11_canonical_plan, lnk_12_token_groups, lnk_03_grounding, lnk_04_duplicates, snk_08_current_decisions,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -216,6 +236,7 @@ _BAND = "m AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY id) AS rn
 _NP = "np AS (SELECT DISTINCT lower(x.name) AS x, lower(y.name) AS y FROM p x, p y), " + _RATIO
 _ALL = f"{_EX.format(most=400)}, {_BAND}, {_NP}, near AS (SELECT a, b, term FROM band JOIN p x ON x.id = a JOIN p y ON y.id = b JOIN ra ON px = lower(x.name) AND py = lower(y.name) WHERE similarity >= 0.72)"
 _SIGNALS = "s AS (SELECT d.a, d.b, lower(x.name) = lower(y.name) AS name_match, list_sort(list_intersect(list_distinct([lower(x.name), lower(x.alias)]), list_distinct([lower(y.name), lower(y.alias)]))) AS t, CASE WHEN lower(x.alias) = lower(y.alias) THEN lower(x.alias) ELSE '' END AS al, x.type = y.type AS same_type, x.doc = y.doc AS same_document, similarity FROM d JOIN p x ON x.id = d.a JOIN p y ON y.id = d.b JOIN ra ON px = lower(x.name) AND py = lower(y.name))"
+_CHAIN = "FROM p WHERE CAST(id AS INT) % 40 = 0"
 _CC = f"""WITH RECURSIVE {_PARTS}, f AS (SELECT name || type AS k, min(id) AS a FROM p GROUP BY 1), l AS (SELECT f.a, p.id AS b FROM p JOIN f ON f.k = name || type WHERE p.id <> f.a UNION ALL SELECT id, lpad(CAST(CAST(id AS INT) + 1 AS VARCHAR), 6, '0') FROM p WHERE CAST(id AS INT) % 40 = 0),
     w AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS x, a AS y FROM w UNION SELECT r.x, w.b FROM r JOIN w ON w.a = r.y), cc AS (SELECT x AS node, min(y) AS root FROM r GROUP BY x)"""
 ORACLE = {
@@ -226,7 +247,7 @@ ORACLE = {
     "ret_22_evidence": f"WITH {_E}, {_SEED}, {_P}, {_EV} SELECT query_id, evidence_id, document_id, score, CAST(-b.h AS BIGINT) AS hop, CAST(min_hop AS BIGINT) AS min_hop, b.d AS seed_id, len(paths) AS n_paths, md5(array_to_string(paths, ';')) AS paths, rank FROM (SELECT *, row_number() OVER ({_EV_ORDER}) AS rank FROM ev) WHERE rank <= 50",
     "flt_02_evidence_filtered": f"WITH {_E}, {_SEED}, {_P}, {_EV} SELECT query_id, evidence_id, document_id, score, rank FROM (SELECT *, row_number() OVER ({_EV_ORDER}) AS rank FROM ev WHERE document_id IN ('r0', 'r1')) WHERE rank <= 10",
     "jn_09_support_semi_join": f"WITH {_E} SELECT document_id, count(*) AS n FROM rel WHERE EXISTS (SELECT 1 FROM sup WHERE node_kind = 'relation' AND node_id = relation_id) GROUP BY 1",
-    "snk_10_cascade": f"WITH {_E}, l AS (SELECT * FROM sup WHERE document_id <> 'r2'), k AS (SELECT entity_id FROM e WHERE entity_id IN (SELECT node_id FROM l WHERE node_kind = 'entity')) SELECT 'support' AS part, count(*) AS n FROM l UNION ALL SELECT 'entities', count(*) FROM k UNION ALL SELECT 'relations', count(*) FROM rel WHERE relation_id IN (SELECT node_id FROM l WHERE node_kind = 'relation') AND s IN (SELECT entity_id FROM k) AND t IN (SELECT entity_id FROM k)",
+    "snk_10_cascade": f"WITH {_E}, l AS (SELECT * FROM sup WHERE document_id <> 'r2'), k AS (SELECT entity_id FROM e WHERE entity_id IN (SELECT node_id FROM l WHERE node_kind = 'entity')) SELECT 'support' AS part, count(*) AS n FROM l UNION ALL SELECT 'entities', count(*) FROM k UNION ALL SELECT 'relations', count(*) FROM rel WHERE relation_id IN (SELECT node_id FROM l WHERE node_kind = 'relation') AND s IN (SELECT entity_id FROM k) AND t IN (SELECT entity_id FROM k) UNION ALL SELECT 'links', count(*) FROM (SELECT 's' || s_suppkey AS b, min('s' || s_suppkey) OVER (PARTITION BY s_nationkey) AS a FROM supplier) WHERE a <> b AND a IN (SELECT entity_id FROM k) AND b IN (SELECT entity_id FROM k) UNION ALL SELECT 'memberships', count(*) FROM supplier WHERE 's' || s_suppkey IN (SELECT entity_id FROM k) UNION ALL SELECT 'canonicals', count(DISTINCT s_nationkey) FROM supplier WHERE 's' || s_suppkey IN (SELECT entity_id FROM k)",
     "snk_07_merge": "SELECT p_name AS entity_id, array_to_string(list_sort(list_distinct(flatten(list([p_brand, p_type])))), ',') AS aliases FROM part GROUP BY 1",
     "lnk_05_conflicts": "SELECT p_name, count(DISTINCT p_brand) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1",
     "agg_25_graph_coverage": f"WITH {_E} SELECT type, count(*) AS entities, count(*) FILTER (WHERE entity_id NOT IN (SELECT s FROM rel UNION SELECT t FROM rel)) AS isolated FROM e GROUP BY 1",
@@ -238,6 +259,7 @@ ORACLE = {
     "lnk_08_decisions": f"WITH RECURSIVE {_ALL}, d AS (SELECT a, b FROM c UNION SELECT a, b FROM near), {_SIGNALS}, o AS (SELECT CASE WHEN NOT same_type OR (len(t) = 0 AND similarity < 0.72) THEN 'NO_LINK' ELSE 'UNCERTAIN' END AS decision, CASE WHEN NOT same_type THEN 'type_mismatch' WHEN len(t) = 0 AND similarity < 0.72 THEN 'no_shared_signal' ELSE 'needs_adjudication' END AS reason, similarity FROM s) SELECT decision, reason, count(*) AS n, round(CAST(sum(CASE WHEN decision = 'NO_LINK' THEN 1.0 WHEN similarity >= 0.5 THEN similarity END) AS DOUBLE), 4) AS confidence FROM o GROUP BY 1, 2",
     "ret_20_ratio": f"WITH RECURSIVE w AS (SELECT p_name AS s FROM part UNION SELECT lower(n_name) FROM nation), np AS (SELECT a.s AS x, b.s AS y FROM w a, w b WHERE a.s <> b.s), {_RATIO} SELECT r.px AS x, r.py AS y, r.similarity, v.similarity AS reverse FROM ra r JOIN ra v ON v.px = r.py AND v.py = r.px WHERE r.px < r.py AND greatest(r.similarity, v.similarity) >= 0.72",
     "lnk_10_components": f"{_CC} SELECT node, root FROM cc",
+    "snk_08_maintained": f"{_CC.replace(_CHAIN, _CHAIN + ' AND CAST(id AS INT) % 80 <> 0 UNION ALL SELECT lpad(CAST(CAST(id AS INT) + 3 AS VARCHAR), 6, ' + repr('0') + '), id FROM p WHERE CAST(id AS INT) % 100 = 7')} SELECT node, root FROM cc",
     "lnk_11_canonical_plan": f"{_CC} SELECT root, arg_min(id, (lower(name), id)) AS representative, count(*) AS n_members, array_to_string(list_sort(list_distinct(flatten(list([name, alias])))), ',') AS aliases FROM cc JOIN p ON p.id = node GROUP BY root",
     "lnk_12_token_groups": r"""WITH RECURSIVE i AS (SELECT DISTINCT lpad(CAST(item_id AS VARCHAR), 6, '0') AS item, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[._-][\p{L}\p{N}]+)*')) AS term FROM benchmark), k AS (SELECT * FROM i WHERE length(term) >= 6), w AS (SELECT DISTINCT x.item AS a, y.item AS b FROM k x JOIN k y USING (term) WHERE x.item <> y.item),
         r AS (SELECT a AS x, a AS y FROM w UNION SELECT r.x, w.b FROM r JOIN w ON w.a = r.y), cc AS (SELECT x AS node, min(y) AS root FROM r GROUP BY x) SELECT sha256(string_agg(node, '|' ORDER BY node)) AS group_id, count(*) AS n FROM cc GROUP BY root""",
