@@ -46,8 +46,23 @@ def fair_pool(branches: dict[str, DataFrame], key: str, limit: int = POOL, order
 
 
 def contributions(hits: DataFrame, key: str) -> DataFrame:
-    """query_id, key, branch with best score and least rank: hits (branch, score, rank) of one key in one branch are one."""
-    return hits.groupBy("query_id", key, "branch").agg(F.max("score").alias("score"), F.min("rank").alias("rank"), F.count("*").alias("n_hits"))
+    """query_id, key, branch, score, rank, point_id, seed_id, paths, representation_ids, n_hits: the hits of one key in one branch as one.
+
+    hits: query_id, key, branch, score, rank, and as far as there are any point_id, seed_id, paths and representation_ids (arrays). A graph's
+    hits give their best score, their least rank, all distinct paths and the seed of the best hit (score, rank, seed); multimodal ones their best score,
+    least rank and all representations; of other branches the best hit (score, rank, point) stands.
+    """
+    kinds = {"point_id": "string", "seed_id": "string", "paths": "array<string>", "representation_ids": "array<string>"}
+    hits = hits.select("query_id", key, "branch", "score", "rank", *[(F.col(c) if c in hits.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+    first = lambda c: F.min(F.struct((-F.col("score")).alias("s"), "rank", F.coalesce(c, F.lit("")).alias("x"), c))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
+    got = hits.groupBy("query_id", key, "branch").agg(F.max("score").alias("score"), F.min("rank").alias("least"), first("point_id").alias("p"), first("seed_id").alias("g"), union("paths").alias("paths"), union("representation_ids").alias("representations"), F.count("*").alias("n_hits"))
+    graph, many = F.col("branch") == "graph", F.col("branch") == "multimodal"
+    none = F.array().cast("array<string>")
+    return got.select(
+        "query_id", key, "branch", "score", F.when(graph | many, F.col("least")).otherwise(F.col("p.rank")).alias("rank"), F.when(~(graph | many), F.col("p.point_id")).alias("point_id"), F.when(graph, F.col("g.seed_id")).alias("seed_id"),
+        F.when(graph, F.col("paths")).otherwise(none).alias("paths"), F.when(many, F.col("representations")).otherwise(none).alias("representation_ids"), "n_hits",
+    )
 
 
 def rerank(candidates: DataFrame, key: str, scorer: Callable[[DataFrame], Column], limit: int = FINAL) -> DataFrame:

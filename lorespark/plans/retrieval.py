@@ -154,10 +154,13 @@ def ret_13_fair_pool(spark, sf_dir):
 
 def ret_14_contributions(spark, sf_dir):
     all_hits = None
+    v = F.col("vec_id")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     for name, df in _branches(spark, sf_dir).items():
-        one = df.select("query_id", F.floor(F.col("vec_id") / 3).alias("chunk"), F.lit(name).alias("branch"), "score", "rank")
+        one = df.select("query_id", F.floor(v / 3).alias("chunk"), F.lit(name).alias("branch"), "score", "rank", text("p", v).alias("point_id"), text("s", v % 7).alias("seed_id"), F.array(text("v", v), text("v", v % 5)).alias("paths"), F.array(text("r", v % 4)).alias("representation_ids"))
         all_hits = one if all_hits is None else all_hits.unionByName(one)
-    return _long(fusion.contributions(all_hits, "chunk"), "rank")
+    got = fusion.contributions(all_hits, "chunk")
+    return _long(got.withColumns({c: F.array_join(c, ",") for c in ("paths", "representation_ids")}), "rank")
 
 
 def ret_10_rerank(spark, sf_dir):
@@ -296,7 +299,9 @@ ORACLE = {
     "ret_13_fair_pool": f"""{_BR}, t AS (SELECT query_id, vec_id, min((rank2 - 1) * 4 + i) AS turn, string_agg(DISTINCT branch, ',' ORDER BY branch) AS branches
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, branch ORDER BY rank) AS rank2 FROM b) GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn) AS rank FROM t) SELECT query_id, vec_id, branches, rank FROM r WHERE rank <= 12""",
-    "ret_14_contributions": f"{_BR} SELECT query_id, CAST(floor(vec_id / 3) AS BIGINT) AS chunk, branch, max(score) AS score, min(rank) AS rank, count(*) AS n_hits FROM b GROUP BY 1, 2, 3",
+    "ret_14_contributions": f"""{_BR}, h AS (SELECT query_id, CAST(floor(vec_id / 3) AS BIGINT) AS chunk, branch, score, rank, 'p' || vec_id AS point, 's' || (vec_id % 7) AS seed, ['v' || vec_id, 'v' || (vec_id % 5)] AS paths, 'r' || (vec_id % 4) AS rep FROM b)
+        SELECT query_id, chunk, branch, max(score) AS score, CASE WHEN branch IN ('graph', 'multimodal') THEN min(rank) ELSE arg_min(rank, (-score, rank, point)) END AS rank, CASE WHEN branch NOT IN ('graph', 'multimodal') THEN arg_min(point, (-score, rank, point)) END AS point_id, CASE WHEN branch = 'graph' THEN arg_min(seed, (-score, rank, seed)) END AS seed_id,
+        CASE WHEN branch = 'graph' THEN array_to_string(list_sort(list_distinct(flatten(list(paths)))), ',') ELSE '' END AS paths, CASE WHEN branch = 'multimodal' THEN array_to_string(list_sort(list(DISTINCT rep)), ',') ELSE '' END AS representation_ids, count(*) AS n_hits FROM h GROUP BY 1, 2, 3""",
     "ret_27_ranking_difference": f"WITH {_dense_sql(10)}, {_SP}, j AS (SELECT query_id, d.vec_id AS a, sp.vec_id AS b FROM d FULL OUTER JOIN sp USING (query_id, vec_id)) SELECT query_id, count(a) AS n_a, count(b) AS n_b, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n_both, count(*) FILTER (WHERE b IS NULL) AS n_only_a, count(*) FILTER (WHERE a IS NULL) AS n_only_b FROM j GROUP BY 1",
     "agg_01_distinct_ranking": f"WITH {_dense_sql(10)}, m AS (SELECT query_id, CAST(floor(vec_id / 10) AS BIGINT) AS vec_id, min(rank) AS r FROM d GROUP BY 1, 2) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS pos FROM m",
     "agg_04_metrics": f"{_TWO} SELECT * FROM ma",
