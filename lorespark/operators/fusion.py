@@ -20,14 +20,37 @@ def distinct_ranks(ranking: DataFrame, key: str) -> DataFrame:
     return first.select("query_id", key, F.row_number().over(Window.partitionBy("query_id").orderBy("rank", key)).alias("pos"))
 
 
-def rrf(a: DataFrame, b: DataFrame, key: str, limit: int = FINAL, k: int = RRF_K, names: tuple[str, str] = ("vector", "graph")) -> DataFrame:
-    """query_id, key, score, source (one of the names or both), rank: sums of 1 / (k + place) over both rankings."""
+def _scores(a: DataFrame, b: DataFrame, key: str, k: int, names: tuple[str, str]) -> DataFrame:
     x, y = distinct_ranks(a, key).withColumnRenamed("pos", "pa"), distinct_ranks(b, key).withColumnRenamed("pos", "pb")
     both = x.join(y, ["query_id", key], "full_outer")
     part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
     source = F.when(F.col("pa").isNull(), names[1]).when(F.col("pb").isNull(), names[0]).otherwise("both")
-    both = both.select("query_id", key, F.round(part("pa") + part("pb"), 12).alias("score"), source.alias("source"))
-    return ranked(both, ["query_id"], [F.desc("score"), F.asc(key)], limit)
+    return both.select("query_id", key, F.round(part("pa") + part("pb"), 12).alias("score"), source.alias("source"))
+
+
+def rrf(a: DataFrame, b: DataFrame, key: str, limit: int = FINAL, k: int = RRF_K, names: tuple[str, str] = ("vector", "graph")) -> DataFrame:
+    """query_id, key, score, source (one of the names or both), rank: sums of 1 / (k + place) over both rankings."""
+    return ranked(_scores(a, b, key, k, names), ["query_id"], [F.desc("score"), F.asc(key)], limit)
+
+
+def fused_chunks(vector: DataFrame, graph: DataFrame, limit: int = FINAL, k: int = RRF_K) -> DataFrame:
+    """query_id, chunk_id, score, source, knowledge_base_id, document_id, page_start, page_end, blocks, evidence_ids, rank: chunks of both rankings by rrf.
+
+    Both: query_id, chunk_id, rank, knowledge_base_id, document_id, page_start, page_end, blocks; graph also evidence_id, with a row for each evidence of a chunk.
+    A chunk's pages are widened to those of its evidence; its blocks are the vector's, then those of its evidence in order of rank, each once. Order:
+    score, knowledge base, document, pages, chunk, blocks, evidence.
+    """
+    by = ["query_id", "chunk_id"]
+    where = F.struct("knowledge_base_id", "document_id")
+    v = vector.groupBy(*by).agg(F.min_by(F.struct(where.alias("w"), "page_start", "page_end", "blocks"), F.struct("rank", "page_start", "page_end")).alias("v"))
+    g = graph.groupBy(*by).agg(F.min_by(where, F.struct("rank", "evidence_id")).alias("w"), F.min("page_start").alias("a"), F.max("page_end").alias("z"), F.array_sort(F.collect_list(F.struct("rank", "evidence_id", "blocks"))).alias("rows"))
+    both = _scores(vector, graph, "chunk_id", k, ("vector", "graph")).join(v, by, "left").join(g, by, "left")
+    of = F.coalesce("v.w", "w")
+    own = F.coalesce("v.blocks", F.array().cast("array<string>"))
+    blocks = F.array_distinct(F.concat(own, F.coalesce(F.flatten(F.transform("rows", lambda x: x["blocks"])), F.array().cast("array<string>"))))
+    evidence = F.coalesce(F.array_distinct(F.transform("rows", lambda x: x["evidence_id"])), F.array().cast("array<string>"))
+    both = both.select(*by, "score", "source", of["knowledge_base_id"].alias("knowledge_base_id"), of["document_id"].alias("document_id"), F.least("v.page_start", "a").alias("page_start"), F.greatest("v.page_end", "z").alias("page_end"), blocks.alias("blocks"), evidence.alias("evidence_ids"))
+    return ranked(both, ["query_id"], [F.desc("score"), *map(F.asc, ("knowledge_base_id", "document_id", "page_start", "page_end", "chunk_id", "blocks", "evidence_ids"))], limit)
 
 
 def fair_pool(branches: dict[str, DataFrame], key: str, limit: int = POOL, order: tuple[str, ...] = BRANCHES) -> DataFrame:

@@ -136,6 +136,17 @@ def ret_11_rrf(spark, sf_dir):
     return _long(fusion.rrf(_dense(spark, sf_dir), _sparse_like(spark, sf_dir), "vec_id"), "rank")
 
 
+def ret_11_chunks(spark, sf_dir):
+    """Vectors as chunks of three: the graph's hits are evidence, a page further and in blocks of their own."""
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    chunk, v = F.floor(F.col("vec_id") / 3), F.col("vec_id")
+    shared = [chunk.alias("chunk_id"), "rank", text("k", chunk % 2).alias("knowledge_base_id"), text("d", chunk % 5).alias("document_id")]
+    vector = _dense(spark, sf_dir).select("query_id", *shared, (chunk % 7).alias("page_start"), (chunk % 7).alias("page_end"), F.array(text("b", chunk), text("c", chunk)).alias("blocks"))
+    graph = _sparse_like(spark, sf_dir).select("query_id", *shared, (chunk % 7 + v % 2).alias("page_start"), (chunk % 7 + v % 3).alias("page_end"), F.array(text("c", chunk), text("e", v % 4)).alias("blocks"), text("ev", v).alias("evidence_id"))
+    got = fusion.fused_chunks(vector, graph)
+    return _long(got.withColumns({c: F.array_join(c, ",") for c in ("blocks", "evidence_ids")}), "rank")
+
+
 def agg_32_source_distribution(spark, sf_dir):
     got = fusion.rrf(_dense(spark, sf_dir), _sparse_like(spark, sf_dir), "vec_id").groupBy("source").agg(F.count("*").alias("n"))
     return metrics.with_zeroes(got, "source", ["vector", "graph", "both", "multimodal"])
@@ -246,7 +257,7 @@ def entry_metrics(spark, sf_dir):
 
 FUNCTIONS = (
     ret_01_tokens, ret_02_term_frequencies, ret_03_postings, ret_03_doc_stats, snk_01_generation, ret_04_bm25, ret_04_bm25_scoped, ret_06_dense_top_k, jn_03_vector_filter, ret_07_exact_ranking, emb_vector_faults, ret_08_over_fetch,
-    ret_09_evidence_dedup, ret_10_rerank, ret_11_rrf, agg_32_source_distribution, ret_13_fair_pool, ret_14_contributions, ret_25_context, ret_26_rendered, ret_27_ranking_difference, agg_01_distinct_ranking, agg_04_metrics,
+    ret_09_evidence_dedup, ret_10_rerank, ret_11_rrf, ret_11_chunks, agg_32_source_distribution, ret_13_fair_pool, ret_14_contributions, ret_25_context, ret_26_rendered, ret_27_ranking_difference, agg_01_distinct_ranking, agg_04_metrics,
     agg_05_raw_hits, agg_06_means, agg_07_paired, agg_08_rank_movement, agg_13_branch_recovery, agg_14_coverage, agg_29_agreement, entry_metrics,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
@@ -295,6 +306,12 @@ ORACLE = {
         s AS (SELECT query_id, doc_id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END, 6) AS final_score FROM t),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
     "ret_11_rrf": f"{_RRF} SELECT query_id, vec_id, score, source, rank FROM f WHERE rank <= 20",
+    "ret_11_chunks": f"""WITH {_dense_sql(10)}, {_SP}, v AS (SELECT query_id, CAST(floor(vec_id / 3) AS BIGINT) AS c, min(rank) AS r FROM d GROUP BY 1, 2), g AS (SELECT query_id, CAST(floor(vec_id / 3) AS BIGINT) AS c, min(rank) AS r, min(vec_id % 2) AS a, max(vec_id % 3) AS z, list('e' || (vec_id % 4) ORDER BY rank) AS bl, list('ev' || vec_id ORDER BY rank) AS ev FROM sp GROUP BY 1, 2),
+        vp AS (SELECT query_id, c, row_number() OVER (PARTITION BY query_id ORDER BY r, c) AS p FROM v), gp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r, c) AS p FROM g),
+        j AS (SELECT query_id, c AS chunk_id, round(coalesce(1.0 / (60 + vp.p), 0) + coalesce(1.0 / (60 + gp.p), 0), 12) AS score, CASE WHEN vp.p IS NULL THEN 'graph' WHEN gp.p IS NULL THEN 'vector' ELSE 'both' END AS source, 'k' || (c % 2) AS knowledge_base_id, 'd' || (c % 5) AS document_id,
+        c % 7 + CASE WHEN vp.p IS NULL THEN gp.a ELSE 0 END AS page_start, c % 7 + coalesce(gp.z, 0) AS page_end, CASE WHEN vp.p IS NULL THEN ['c' || c] ELSE ['b' || c, 'c' || c] END AS own, list_transform(range(1, coalesce(len(gp.bl), 0) + 1), lambda i: gp.bl[i]) AS bl, coalesce(gp.ev, []) AS ev FROM vp FULL OUTER JOIN gp USING (query_id, c)),
+        k AS (SELECT *, array_to_string(own || list_filter(bl, lambda x, i: list_position(bl, x) = i), ',') AS blocks, array_to_string(ev, ',') AS evidence_ids, own || list_filter(bl, lambda x, i: list_position(bl, x) = i) AS bs FROM j),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, knowledge_base_id, document_id, page_start, page_end, chunk_id, bs, ev) AS rank FROM k) SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, source, knowledge_base_id, document_id, page_start, page_end, blocks, evidence_ids, rank FROM o WHERE rank <= 20""",
     "agg_32_source_distribution": f"{_RRF} SELECT s.source, count(f.source) AS n FROM (VALUES ('vector'), ('graph'), ('both'), ('multimodal')) s(source) LEFT JOIN f ON f.source = s.source AND f.rank <= 20 GROUP BY 1",
     "ret_13_fair_pool": f"""{_BR}, t AS (SELECT query_id, vec_id, min((rank2 - 1) * 4 + i) AS turn, string_agg(DISTINCT branch, ',' ORDER BY branch) AS branches
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, branch ORDER BY rank) AS rank2 FROM b) GROUP BY 1, 2),

@@ -376,7 +376,7 @@ def test_command_line(capsys, spark, sf, tmp_path):
 
     assert main(["list"]) == 0 and "ret_04_bm25" in capsys.readouterr().out
     assert main(["run", "no_such", sf]) == 2
-    assert main(["run", "ret_18_branches", sf, str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 4
+    assert main(["run", "cmp_02_facts", sf, str(tmp_path / "out")]) == 0 and spark.read.parquet(str(tmp_path / "out")).count() == 25
 
 
 def test_documents_source(spark, tmp_path):
