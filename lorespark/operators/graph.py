@@ -129,6 +129,24 @@ def evidence_of(paths: DataFrame, support: DataFrame, limit: int = EVIDENCE, doc
     return ranked(got, ["query_id"], [F.desc("score"), F.asc("min_hop"), F.asc("document_id"), *[F.asc(c) for c in places], F.asc("evidence_id")], limit)
 
 
+def covered(support: DataFrame) -> DataFrame:
+    """part, id: the documents with evidence, the chunks of any evidence, and those whose evidence supports an entity or a relation; once each."""
+    kind = F.array(F.struct(F.lit("documents").alias("part"), F.col("document_id").cast("string").alias("id")), F.struct(F.lit("evidence_chunks").alias("part"), F.col("chunk_id").cast("string").alias("id")), F.struct(F.concat("node_kind", F.lit("_chunks")).alias("part"), F.col("chunk_id").cast("string").alias("id")))
+    return support.select(F.inline(kind)).where("id is not null").distinct()
+
+
+def coverage_snapshot(entities: DataFrame, relations: DataFrame, support: DataFrame, memberships: DataFrame) -> DataFrame:
+    """part, n, ids: what there is of each part of the graph; for the parts of `covered` also a fingerprint of their ids, so that two snapshots can be compared
+    without keeping the sets."""
+    ids = F.sum(F.conv(F.substring(F.md5("id"), 1, 12), 16, 10).cast("long"))
+    sets = covered(support).groupBy("part").agg(F.count("*").alias("n"), ids.alias("ids"))
+    counts = {"entities": (entities, "entity_id"), "relations": (relations, "relation_id"), "evidence": (support, "evidence_id"), "canonical_entities": (memberships, "canonical_entity_id"), "memberships": (memberships, None)}
+    for part, (df, key) in counts.items():
+        n = F.countDistinct(key) if key else F.count("*")
+        sets = sets.unionByName(df.agg(n.alias("n")).select(F.lit(part).alias("part"), "n"), allowMissingColumns=True)
+    return sets
+
+
 def merged(entities: DataFrame, keys: list[str], aliases: str = "aliases") -> DataFrame:
     """One row for each entity: aliases united, distinct and sorted."""
     return entities.select(*keys, F.explode_outer(aliases).alias("x")).groupBy(*keys).agg(F.sort_array(F.collect_set("x")).alias(aliases))

@@ -107,6 +107,11 @@ def agg_25_graph_coverage(spark, sf_dir):
     return _entities(spark, sf_dir).join(ends, "entity_id", "left").groupBy("type").agg(F.count("*").alias("entities"), F.count_if(F.col("linked").isNull()).alias("isolated"))
 
 
+def agg_25_snapshot(spark, sf_dir):
+    members = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("local_entity_id"), F.concat(F.lit("c"), F.col("s_nationkey").cast("string")).alias("canonical_entity_id"))
+    return G.coverage_snapshot(_entities(spark, sf_dir), _relations(spark, sf_dir), _support(spark, sf_dir), members)
+
+
 def _parts(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     return p.select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("entity_id"), F.col("p_name").alias("name"), F.array("p_brand").alias("aliases"), F.col("p_type").alias("type"), F.concat(F.lit("d"), (F.col("p_size") % 9).cast("string")).alias("document_id"))
@@ -204,7 +209,7 @@ def snk_08_current_decisions(spark, sf_dir):
 
 
 FUNCTIONS = (
-    src_12_supported, ret_19_seeds, jn_07_one_hop, jn_08_two_hops, ret_22_evidence, flt_02_evidence_filtered, jn_09_support_semi_join, snk_10_cascade, snk_07_merge, lnk_05_conflicts, agg_25_graph_coverage,
+    src_12_supported, ret_19_seeds, jn_07_one_hop, jn_08_two_hops, ret_22_evidence, flt_02_evidence_filtered, jn_09_support_semi_join, snk_10_cascade, snk_07_merge, lnk_05_conflicts, agg_25_graph_coverage, agg_25_snapshot,
     lnk_06_candidates, jn_11_band, lnk_06_telemetry, lnk_06_budget, lnk_07_signals, lnk_08_decisions, ret_20_ratio, lnk_10_components, snk_08_maintained, lnk_11_canonical_plan, lnk_12_token_groups, lnk_03_grounding, lnk_04_duplicates, snk_08_current_decisions,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
@@ -251,6 +256,8 @@ ORACLE = {
     "snk_07_merge": "SELECT p_name AS entity_id, array_to_string(list_sort(list_distinct(flatten(list([p_brand, p_type])))), ',') AS aliases FROM part GROUP BY 1",
     "lnk_05_conflicts": "SELECT p_name, count(DISTINCT p_brand) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1",
     "agg_25_graph_coverage": f"WITH {_E} SELECT type, count(*) AS entities, count(*) FILTER (WHERE entity_id NOT IN (SELECT s FROM rel UNION SELECT t FROM rel)) AS isolated FROM e GROUP BY 1",
+    "agg_25_snapshot": f"""WITH {_E}, c AS (SELECT DISTINCT part, id FROM (SELECT 'documents' AS part, document_id AS id FROM sup UNION ALL SELECT 'evidence_chunks', 'c' || substr(node_id, 1, 2) FROM sup UNION ALL SELECT node_kind || '_chunks', 'c' || substr(node_id, 1, 2) FROM sup))
+        SELECT part, count(*) AS n, CAST(sum(CAST('0x' || md5(id)[1:12] AS BIGINT)) AS BIGINT) AS ids FROM c GROUP BY 1 UNION ALL SELECT 'entities', count(DISTINCT entity_id), NULL FROM e UNION ALL SELECT 'relations', count(DISTINCT relation_id), NULL FROM rel UNION ALL SELECT 'evidence', count(DISTINCT evidence_id), NULL FROM sup UNION ALL SELECT 'canonical_entities', count(DISTINCT s_nationkey), NULL FROM supplier UNION ALL SELECT 'memberships', count(*), NULL FROM supplier""",
     "lnk_06_candidates": f"WITH RECURSIVE {_ALL} SELECT a, b, 'exact' AS kind, term FROM c WHERE length(term) > 8 UNION ALL SELECT a, b, 'prefix', term FROM near",
     "jn_11_band": f"WITH {_BL}, {_BAND} SELECT a, b, term FROM band",
     "lnk_06_telemetry": f"WITH {_BL}, u AS (SELECT 'exact' AS kind, term, id FROM t UNION SELECT 'prefix', term, id FROM k), z AS (SELECT kind, term, count(*) AS n FROM u GROUP BY 1, 2) SELECT kind, count(*) AS n_blocks, count(*) FILTER (WHERE n > 64) AS skipped_blocks, CAST(coalesce(sum(n * (n - 1) / 2) FILTER (WHERE n > 64), 0) AS BIGINT) AS skipped_pairs FROM z GROUP BY 1",
