@@ -100,7 +100,7 @@ def blk_13_representations(spark, sf_dir):
 def agg_28_coverage_buckets(spark, sf_dir):
     b = _blocks(spark, sf_dir)
     r = B.representations(B.evidence(b), B.context(b))
-    stored = r.where(F.pmod(F.crc32("block_id"), F.lit(7)) != 0)
+    stored = r.where(F.substring("block_id", 2, 9).cast("int") % 7 != 0)
     keys = ["document_id", "block_id", "representation_type"]
     both = r.select(*keys, "modality", F.lit(1).alias("e")).join(stored.select(*keys, F.lit(1).alias("s")), keys, "left")
     return both.groupBy("modality", "representation_type").agg(F.count("*").alias("expected"), F.count("s").alias("matched"), F.count_if(F.col("s").isNull()).alias("missing"))
@@ -222,6 +222,8 @@ ORACLE = {
     "blk_11_context": f"WITH {_B}, {_C} SELECT kb_id, document_id, block_id, md5(context) AS context FROM c",
     "blk_12_coverage": f"WITH {_B} SELECT count(*) AS blocks, count(*) FILTER (WHERE type = 'table') AS missing, count(DISTINCT CASE WHEN type <> 'table' THEN {_EID} END) AS evidences FROM b",
     "blk_13_representations": f"WITH {_B}, {_C}, {_R} SELECT modality, representation_type, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars, count(DISTINCT document_id || block_id) AS evidences FROM r GROUP BY 1, 2",
+    "agg_28_coverage_buckets": f"WITH {_B}, {_C}, {_R}, k AS (SELECT *, CAST(block_id[2:] AS INT) % 7 = 0 AS gone FROM r) SELECT modality, representation_type, count(*) AS expected, count(*) FILTER (WHERE NOT gone) AS matched, count(*) FILTER (WHERE gone) AS missing FROM k GROUP BY 1, 2",
+    "blk_15_points": "WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('doc:' || doc_id)) AS h FROM documents) SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', h[17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS point_id FROM h",
     "blk_14_carrier": "SELECT doc_id, md5(CASE WHEN doc_id % 3 <> 0 AND trim(text) <> '' THEN text ELSE lang || ' / ' || source || ' [text, table]' END) AS carrier FROM documents",
     "blk_16_subject": "SELECT page_id, CASE WHEN n = 0 THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN a THEN 'org' WHEN b THEN 'commercial' ELSE 'spam' END AS subject FROM (SELECT *, CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) AS n FROM (SELECT page_id, contains(url, '.example.org') AS a, contains(url, '.example.com') OR contains(url, 'shop') AS b, contains(url, 'casino') OR contains(url, 'pills') OR contains(url, 'spam') AS c FROM pages))",
     "flt_03_word_filter": "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])The([^A-Za-z0-9_]|$)')",

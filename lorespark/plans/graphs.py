@@ -214,6 +214,10 @@ FUNCTIONS = (
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
+def _label(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '\\s+', ' ', 'g'), ' ')"
+
+
 _E = """e AS (SELECT 'n' || n_nationkey AS entity_id, n_name AS name, 'place' AS type, 'r' || n_regionkey AS document_id FROM nation UNION ALL SELECT 'g' || r_regionkey, r_name, 'place', 'r' || r_regionkey FROM region
     UNION ALL SELECT 's' || s_suppkey, s_name, 'firm', 'r' || (s_nationkey % 5) FROM supplier),
 rel AS (SELECT 'in' || n_nationkey AS relation_id, 'n' || n_nationkey AS s, 'g' || n_regionkey AS t, 'r' || n_regionkey AS document_id FROM nation UNION ALL SELECT 'at' || s_suppkey, 's' || s_suppkey, 'n' || s_nationkey, 'r' || (s_nationkey % 5) FROM supplier),
@@ -270,6 +274,7 @@ ORACLE = {
     "lnk_11_canonical_plan": f"{_CC} SELECT root, arg_min(id, (lower(name), id)) AS representative, count(*) AS n_members, array_to_string(list_sort(list_distinct(flatten(list([name, alias])))), ',') AS aliases FROM cc JOIN p ON p.id = node GROUP BY root",
     "lnk_12_token_groups": r"""WITH RECURSIVE i AS (SELECT DISTINCT lpad(CAST(item_id AS VARCHAR), 6, '0') AS item, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[._-][\p{L}\p{N}]+)*')) AS term FROM benchmark), k AS (SELECT * FROM i WHERE length(term) >= 6), w AS (SELECT DISTINCT x.item AS a, y.item AS b FROM k x JOIN k y USING (term) WHERE x.item <> y.item),
         r AS (SELECT a AS x, a AS y FROM w UNION SELECT r.x, w.b FROM r JOIN w ON w.a = r.y), cc AS (SELECT x AS node, min(y) AS root FROM r GROUP BY x) SELECT sha256(string_agg(node, '|' ORDER BY node)) AS group_id, count(*) AS n FROM cc GROUP BY root""",
+    "lnk_03_grounding": f"WITH d AS (SELECT {_label('text')} AS t, {_label('text[1:12]')} AS n, [{_label('text[5:10]')}, CASE WHEN doc_id % 4 = 0 THEN 'zzqq' ELSE {_label('text[1:4]')} END] AS a FROM documents) SELECT CASE WHEN NOT contains(t, n) AND len(list_filter(a, lambda x: contains(t, x))) = 0 THEN 'not_mentioned' WHEN len(list_filter(a, lambda x: contains(t, x))) < len(a) THEN 'alias_not_mentioned' ELSE 'grounded' END AS reason, count(*) AS n FROM d GROUP BY 1",
     "lnk_04_duplicates": f"WITH {_PARTS} SELECT lower(name) AS name, type, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) > 1",
     "snk_08_current_decisions": "SELECT CAST(user_id AS VARCHAR) AS link_pair_id, event_id AS decision_id, event_type AS decision FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts) DESC, event_id) AS rn FROM events) WHERE rn = 1",
 }
