@@ -183,9 +183,10 @@ def ret_10_rerank(spark, sf_dir):
 
 
 def ret_25_context(spark, sf_dir):
+    """The best documents packed; documents of one length count as sharing a block, so copies come once."""
     docs = table(spark, sf_dir, "documents")
     found = sparse.bm25(table(spark, sf_dir, "benchmark"), docs, "doc_id", "item_id", limit=10)
-    items = found.join(docs.select("doc_id", "text"), "doc_id").select("query_id", F.col("doc_id").alias("id"), "rank", "text", F.array("doc_id").alias("blocks"))
+    items = found.join(docs.select("doc_id", "text", "n_chars"), "doc_id").select("query_id", F.col("doc_id").alias("id"), "rank", "text", F.array("n_chars").alias("blocks"))
     return fusion.pack_context(items)
 
 
@@ -288,6 +289,10 @@ _RRF = f"""WITH {_dense_sql(10)}, {_SP}, r AS (SELECT query_id, vec_id, round(co
 _BR = f"""WITH {_dense_sql(10)}, {_SP}, {_dense_sql(4, 3, name='m')}, g AS (SELECT query_id, vec_id, score, rank FROM sp WHERE vec_id % 3 = 0),
     b AS (SELECT *, 0 AS i, 'dense' AS branch FROM d UNION ALL SELECT query_id, vec_id, score, rank, 1, 'sparse' FROM sp UNION ALL SELECT query_id, vec_id, score, rank, 2, 'graph' FROM g UNION ALL SELECT query_id, vec_id, score, rank, 3, 'multimodal' FROM m)"""
 _BM = bm25_sql("true", 10, False)
+_PACK = f"""it AS (SELECT query_id, rank, doc_id AS id, text, n_chars || '|' || trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') AS k FROM ({bm25_sql("true", 10, False)}) JOIN documents USING (doc_id)),
+pk AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS rank, CAST(NULL AS BIGINT) AS id, '' AS text, 0 AS used, 0 AS n, CAST([] AS VARCHAR[]) AS chosen, false AS ok FROM it
+    UNION ALL SELECT query_id, rank, id, text, CASE WHEN ok THEN used + length(text) ELSE used END, n + CAST(ok AS INT), CASE WHEN ok THEN list_append(chosen, k) ELSE chosen END, ok
+    FROM (SELECT it.*, pk.used, pk.n, pk.chosen, trim(it.text, ' ') <> '' AND NOT list_contains(pk.chosen, it.k) AND pk.used + length(it.text) <= 6000 AS ok FROM pk JOIN it ON it.query_id = pk.query_id AND it.rank = pk.rank + 1))"""
 ORACLE = {
     "ret_01_tokens": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS t FROM documents)",
     "ret_02_term_frequencies": f"SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL",
@@ -319,6 +324,8 @@ ORACLE = {
     "ret_14_contributions": f"""{_BR}, h AS (SELECT query_id, CAST(floor(vec_id / 3) AS BIGINT) AS chunk, branch, score, rank, 'p' || vec_id AS point, 's' || (vec_id % 7) AS seed, ['v' || vec_id, 'v' || (vec_id % 5)] AS paths, 'r' || (vec_id % 4) AS rep FROM b)
         SELECT query_id, chunk, branch, max(score) AS score, CASE WHEN branch IN ('graph', 'multimodal') THEN min(rank) ELSE arg_min(rank, (-score, rank, point)) END AS rank, CASE WHEN branch NOT IN ('graph', 'multimodal') THEN arg_min(point, (-score, rank, point)) END AS point_id, CASE WHEN branch = 'graph' THEN arg_min(seed, (-score, rank, seed)) END AS seed_id,
         CASE WHEN branch = 'graph' THEN array_to_string(list_sort(list_distinct(flatten(list(paths)))), ',') ELSE '' END AS paths, CASE WHEN branch = 'multimodal' THEN array_to_string(list_sort(list(DISTINCT rep)), ',') ELSE '' END AS representation_ids, count(*) AS n_hits FROM h GROUP BY 1, 2, 3""",
+    "ret_25_context": f"WITH RECURSIVE {_PACK} SELECT query_id, CAST(id AS VARCHAR) AS id, 'C' || n AS marker, CAST(length(text) AS BIGINT) AS n_chars FROM pk WHERE ok",
+    "ret_26_rendered": f"WITH RECURSIVE {_PACK}, c AS (SELECT query_id, string_agg('[C' || n || '] ' || text, chr(10) || chr(10) ORDER BY n) AS c FROM pk WHERE ok GROUP BY 1) SELECT query_id, length(c) AS n_chars, md5(c) AS digest FROM c",
     "ret_27_ranking_difference": f"WITH {_dense_sql(10)}, {_SP}, j AS (SELECT query_id, d.vec_id AS a, sp.vec_id AS b FROM d FULL OUTER JOIN sp USING (query_id, vec_id)) SELECT query_id, count(a) AS n_a, count(b) AS n_b, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n_both, count(*) FILTER (WHERE b IS NULL) AS n_only_a, count(*) FILTER (WHERE a IS NULL) AS n_only_b FROM j GROUP BY 1",
     "agg_01_distinct_ranking": f"WITH {_dense_sql(10)}, m AS (SELECT query_id, CAST(floor(vec_id / 10) AS BIGINT) AS vec_id, min(rank) AS r FROM d GROUP BY 1, 2) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS pos FROM m",
     "agg_04_metrics": f"{_TWO} SELECT * FROM ma",
