@@ -111,7 +111,13 @@ def ret_07_exact_ranking(spark, sf_dir):
 
 
 def emb_vector_faults(spark, sf_dir):
-    return dense.vector_faults(_vectors(spark, sf_dir), "vec_id", "vector", 64, tolerance=1e-8).groupBy("reason").agg((F.count("*") > 0).alias("some"))
+    """Vectors made unit ones, with faults planted by their number: too short, not a number, twice as long, none at all."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = v.where(norm > 0).select("vec_id", F.transform("v", lambda x: x / norm).alias("v"))
+    k = F.col("vec_id") % 11
+    planted = F.when(k == 1, F.slice("v", 1, 63)).when(k == 2, F.transform("v", lambda x, i: F.when(i == 5, F.lit(float("nan"))).otherwise(x))).when(k == 3, F.transform("v", lambda x: 2 * x)).when(k != 4, F.col("v"))
+    return dense.vector_faults(unit.select("vec_id", planted.alias("vector")), "vec_id", "vector", 64)
 
 
 def ret_08_over_fetch(spark, sf_dir):
@@ -324,6 +330,7 @@ ORACLE = {
     "ret_14_contributions": f"""{_BR}, h AS (SELECT query_id, CAST(floor(vec_id / 3) AS BIGINT) AS chunk, branch, score, rank, 'p' || vec_id AS point, 's' || (vec_id % 7) AS seed, ['v' || vec_id, 'v' || (vec_id % 5)] AS paths, 'r' || (vec_id % 4) AS rep FROM b)
         SELECT query_id, chunk, branch, max(score) AS score, CASE WHEN branch IN ('graph', 'multimodal') THEN min(rank) ELSE arg_min(rank, (-score, rank, point)) END AS rank, CASE WHEN branch NOT IN ('graph', 'multimodal') THEN arg_min(point, (-score, rank, point)) END AS point_id, CASE WHEN branch = 'graph' THEN arg_min(seed, (-score, rank, seed)) END AS seed_id,
         CASE WHEN branch = 'graph' THEN array_to_string(list_sort(list_distinct(flatten(list(paths)))), ',') ELSE '' END AS paths, CASE WHEN branch = 'multimodal' THEN array_to_string(list_sort(list(DISTINCT rep)), ',') ELSE '' END AS representation_ids, count(*) AS n_hits FROM h GROUP BY 1, 2, 3""",
+    "emb_vector_faults": "SELECT vec_id, CASE vec_id % 11 WHEN 2 THEN 'not_finite' WHEN 3 THEN 'norm' ELSE 'dimension' END AS reason FROM embeddings WHERE vec_id % 11 BETWEEN 1 AND 4",
     "ret_25_context": f"WITH RECURSIVE {_PACK} SELECT query_id, CAST(id AS VARCHAR) AS id, 'C' || n AS marker, CAST(length(text) AS BIGINT) AS n_chars FROM pk WHERE ok",
     "ret_26_rendered": f"WITH RECURSIVE {_PACK}, c AS (SELECT query_id, string_agg('[C' || n || '] ' || text, chr(10) || chr(10) ORDER BY n) AS c FROM pk WHERE ok GROUP BY 1) SELECT query_id, length(c) AS n_chars, md5(c) AS digest FROM c",
     "ret_27_ranking_difference": f"WITH {_dense_sql(10)}, {_SP}, j AS (SELECT query_id, d.vec_id AS a, sp.vec_id AS b FROM d FULL OUTER JOIN sp USING (query_id, vec_id)) SELECT query_id, count(a) AS n_a, count(b) AS n_b, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n_both, count(*) FILTER (WHERE b IS NULL) AS n_only_a, count(*) FILTER (WHERE a IS NULL) AS n_only_b FROM j GROUP BY 1",
