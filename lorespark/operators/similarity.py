@@ -86,6 +86,7 @@ def candidates(texts: DataFrame, threshold: float, once: bool = False) -> DataFr
     low = F.col("n") + F.ceil(threshold * F.col("n") / (2 - threshold) - _EPS)  # both lengths, with the shortest partner
     limit = _limit(threshold)
     reach = limit if math.isinf(limit) else math.floor(limit * (2 - threshold) / threshold)
+    width = math.log((2 - threshold) / threshold) + _EPS
     systems = []
     if limit >= 1:
         short = texts if math.isinf(reach) else texts.where(F.col("n") <= reach)
@@ -94,8 +95,9 @@ def candidates(texts: DataFrame, threshold: float, once: bool = False) -> DataFr
         systems.append((_prefixes(texts.where(F.col("n") > limit), "two", least_pairs(low, threshold)), F.lit(True)))
     found = None
     for tokens, holds in systems:
-        side = lambda c, rows: rows.select("token", F.col("s").alias(c), F.col("n").alias(f"n{c}"))
-        both = side("x", tokens.where("left")).join(side("y", tokens.where("right")), "token")
+        side = lambda c, rows, at: rows.select("token", F.col("s").alias(c), F.col("n").alias(f"n{c}"), at.alias("class"))
+        own = F.floor(F.log("n") / width)  # lengths that allow the ratio are of one class or of two beside each other
+        both = side("x", tokens.where("left"), own).join(side("y", tokens.where("right"), F.explode(F.array(own - 1, own, own + 1))), ["token", "class"])
         both = both.where((F.col("x") < F.col("y") if once else F.col("x") != F.col("y")) & long_enough(F.col("nx"), F.col("ny"), threshold) & holds).select("x", "y")
         found = both if found is None else found.unionByName(both)
     return _bounded(found.distinct(), texts, threshold)
