@@ -24,7 +24,7 @@ SENTENCE_ENDS = "。！？!?；;：:\n"
 
 def text_blocks(docs: DataFrame, id_col: str, text_col: str, kb: Column, per_page: int = 20) -> DataFrame:
     """Blocks of plain texts: a line each; short lines are titles, lines with bars tables, blank lines none."""
-    lines = docs.select(kb.alias("kb_id"), F.col(id_col).cast("string").alias("document_id"), F.posexplode(F.filter(F.transform(F.split(text_col, "\n"), F.trim), lambda x: x != "")).alias("pos", "line"))
+    lines = docs.select(kb.alias("kb_id"), F.col(id_col).cast("string").alias("document_id"), F.posexplode(F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "line"))
     kind = F.when(F.contains("line", F.lit(" | ")), "table").when(F.length("line") <= 30, "title").otherwise("text")
     return lines.select(*DOC, (F.floor(F.col("pos") / per_page) + 1).alias("page_number"), (F.col("pos") % per_page).cast("long").alias("reading_order"), F.concat(F.lit("b"), F.col("pos").cast("string")).alias("block_id"), kind.alias("type"), F.col("line").alias("text"))
 

@@ -122,6 +122,12 @@ def test_sections_and_chunks(spark):
     assert rows(blocks.lineage_faults(c.where("ordinal > 0"), b)) == [("uncovered_block", 3)]
 
 
+def test_lines_lose_spaces_at_their_ends_only(spark):
+    docs = spark.createDataFrame([(1, "0 call 555-8630\n 1 of 11 \n \n22 a2")], "doc_id long, text string")
+    b = blocks.text_blocks(docs, "doc_id", "text", F.lit("k")).orderBy("block_id")
+    assert [r.text for r in b.collect()] == ["0 call 555-8630", "1 of 11", "22 a2"]
+
+
 def test_split_is_lossless():
     random.seed(1)
     for _ in range(200):
