@@ -19,6 +19,29 @@ def query_metrics(queries: DataFrame, run: DataFrame, gold: DataFrame, key: str,
     """query_id, first_rank, mrr, hit_k, recall_k for every query: rankings are de-duplicated, queries without gold score 0."""
     n_gold = gold.groupBy("query_id").agg(F.countDistinct(key).alias("n_gold"))
     found = distinct_ranking(run, key).join(gold.select("query_id", key).distinct(), ["query_id", key])
+    return _measured(queries, found, n_gold, cuts)
+
+
+def class_metrics(queries: DataFrame, run: DataFrame, items: DataFrame, key: str, label: str, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """query_metrics where the gold of a query are the items of its class: queries (query_id, label), items (key, label), each with one label.
+
+    The pairs of queries and their gold, which grow with the square of the input, are never made: classes are counted, and found items are judged by theirs.
+    """
+    size = items.where(F.col(label).isNotNull()).groupBy(label).agg(F.countDistinct(key).alias("n_gold"))
+    n_gold = queries.select("query_id", label).distinct().join(F.broadcast(size), label).select("query_id", "n_gold")
+    found = of_class(distinct_ranking(run, key), queries, items, key, label).where("good").drop("good")
+    return _measured(queries, found, n_gold, cuts)
+
+
+def of_class(run: DataFrame, queries: DataFrame, items: DataFrame, key: str, label: str) -> DataFrame:
+    """run with good: whether an item is of its query's class."""
+    own = queries.select("query_id", F.col(label).alias("_q")).distinct()
+    kinds = items.select(key, F.col(label).alias("_i")).distinct()
+    both = run.join(own, "query_id", "left").join(kinds, key, "left")
+    return both.withColumn("good", F.coalesce(F.col("_q") == F.col("_i"), F.lit(False))).drop("_q", "_i")
+
+
+def _measured(queries: DataFrame, found: DataFrame, n_gold: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
     found = found.groupBy("query_id").agg(F.min("pos").alias("first_rank"), *[F.count_if(F.col("pos") <= k).alias(f"f{k}") for k in cuts])
     df = queries.select("query_id").distinct().join(n_gold, "query_id", "left").join(found, "query_id", "left")
     hit = [F.coalesce((F.col("first_rank") <= k).cast("long"), F.lit(0).cast("long")).alias(f"hit_{k}") for k in cuts]
@@ -29,7 +52,13 @@ def query_metrics(queries: DataFrame, run: DataFrame, gold: DataFrame, key: str,
 def raw_hits(run: DataFrame, gold: DataFrame, key: str, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """query_id, raw_hit_k over the first K entries as they are, repeated ones included."""
     good = run.join(gold.select("query_id", key).distinct().withColumn("good", F.lit(True)), ["query_id", key], "left")
-    return good.groupBy("query_id").agg(*[F.max((F.col("good").isNotNull() & (F.col("rank") <= k)).cast("long")).alias(f"raw_hit_{k}") for k in cuts])
+    return judged_hits(good, cuts)
+
+
+def judged_hits(run: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """raw_hits of a run that says which entries are good."""
+    good = F.coalesce("good", F.lit(False))
+    return run.groupBy("query_id").agg(*[F.max((good & (F.col("rank") <= k)).cast("long")).alias(f"raw_hit_{k}") for k in cuts])
 
 
 def mean_of_complete(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -128,6 +128,31 @@ def test_lines_lose_spaces_at_their_ends_only(spark):
     assert [r.text for r in b.collect()] == ["0 call 555-8630", "1 of 11", "22 a2"]
 
 
+def test_metrics_by_class_are_those_of_their_gold(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "z")], "query_id int, label string")
+    items = spark.createDataFrame([(10, "a"), (11, "a"), (12, "b"), (13, None), (14, "c"), (15, "a")], "key int, label string")
+    run = spark.createDataFrame([(1, 12, 1), (1, 10, 2), (1, 10, 3), (1, 11, 5), (2, 13, 1), (2, 12, 4), (3, 10, 1), (4, 13, 1), (5, 14, 1)], "query_id int, key int, rank int")
+    gold = queries.join(items, "label").select("query_id", "key")
+    assert rows(metrics.class_metrics(queries, run, items, "key", "label"), "query_id") == rows(metrics.query_metrics(queries, run, gold, "key"), "query_id")
+    judged = metrics.of_class(run, queries, items, "key", "label")
+    assert rows(metrics.judged_hits(judged), "query_id") == rows(metrics.raw_hits(run, gold, "key"), "query_id")
+
+
+def test_dense_keeps_the_best_of_a_task(spark, monkeypatch):
+    r = random.Random(3)
+    vectors = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(3000)] + [(5000 + i, [0.9] * 8) for i in range(40)]
+    df = spark.createDataFrame(vectors, "id int, vector array<double>").coalesce(1)
+    queries = df.where("id % 500 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    monkeypatch.setattr(dense, "CELLS", 700)
+    got = dense.top_k(queries, df, "id", 12)
+    want = []
+    for q, v in vectors:
+        if q % 500 == 0:
+            scores = sorted((-round(sum(a * b for a, b in zip(v, w, strict=True)), 5), i) for i, w in vectors)[:12]
+            want += [(q, i, n + 1) for n, (_, i) in enumerate(scores)]
+    assert sorted((x.query_id, x.id, x["rank"]) for x in got.collect()) == sorted(want)
+
+
 def test_split_is_lossless():
     random.seed(1)
     for _ in range(200):
