@@ -12,6 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lorespark.operators.sparse import ranked
 
+CELLS = 1 << 20  # scores that one matrix product gives
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in doubles."""
@@ -29,8 +31,9 @@ def vector_faults(vectors: DataFrame, key: str, vector: str, dimension: int, tol
 def top_k(queries: DataFrame, vectors: DataFrame, key: str, limit: int, query_id: str = "query_id", query_vector: str = "query_vector", vector: str = "vector", digits: int = 5, most_queries: int = 4096) -> DataFrame:
     """query_id, key, score, rank: exact, ties by key. The stated query set is held against all vectors in blocks of queries.
 
-    Vectors stream past a block of queries once: a matrix product for each Arrow batch, of which only each query's `limit` best
-    leave (and whatever rounding might still tie with them). Null vectors are left out; other dimensions than the queries' are an error.
+    Vectors stream past a block of queries once: a matrix product for each Arrow batch, of which only what is among each query's `limit` best of
+    the task so far leaves (and whatever rounding might still tie with them); products are of CELLS scores at most. Null vectors are left out; other
+    dimensions than the queries' are an error.
     """
     own = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q"))
     blocks = max(1, -(-own.count() // most_queries))
@@ -45,18 +48,19 @@ def top_k(queries: DataFrame, vectors: DataFrame, key: str, limit: int, query_id
         matrix = np.array([r["q"] for r in rows], float)
 
         def run(batches: Iterator[pa.RecordBatch], names=names, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            best = np.full((len(names), limit), -np.inf)
             for b in batches:
                 if not b.num_rows or not len(names):
                     continue
                 flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
                 if len(flat) != b.num_rows * matrix.shape[1]:
                     raise ValueError("vectors and queries are of different dimensions")
-                for a in range(0, b.num_rows, step := max(1, (1 << 22) // len(names))):
+                for a in range(0, b.num_rows, step := max(1, CELLS // len(names))):
                     part = flat[a * matrix.shape[1] : (a + step) * matrix.shape[1]].reshape(-1, matrix.shape[1])
                     got = matrix @ part.T
-                    k = min(limit, got.shape[1])
-                    least = np.partition(got, -k, axis=1)[:, -k] - 2 * 10.0**-digits
-                    x, y = np.nonzero(got >= least[:, None])
+                    sound = ~np.isnan(got)
+                    best = np.partition(np.concatenate([best, np.where(sound, got, -np.inf)], axis=1), -limit, axis=1)[:, -limit:]
+                    x, y = np.nonzero(sound & (got >= best[:, :1] - 2 * 10.0**-digits))
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), b.column(0).take(pa.array(y + a)), pa.array(got[x, y])], ["query_id", key, "score"])
 
         got = known.mapInArrow(run, schema).withColumn("score", F.round("score", digits))
