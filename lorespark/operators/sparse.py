@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorespark.functions import text as T
+from lorespark.functions.scratch import cut
 
 K1, B = 1.2, 0.75
+PAIRS = 2_000_000  # of queries and documents that a task scores
 
 
 def postings(chunks: DataFrame, keys: list[str], text_col: str = "text", tokens=T.tokens) -> DataFrame:
@@ -48,34 +50,46 @@ def index_rows(chunks: DataFrame, key: str, text_col: str = "text", tokens=T.tok
     return begun.select(key, *carry, "dl", F.explode(F.concat(chunk, own)).alias("x")).select(key, *carry, "dl", "x.term", "x.tf")
 
 
-def search(queries: DataFrame, index: DataFrame, key: str, query_id: str, limit: int = 20, scope: Column | None = None, query_text: str = "text", k1: float = K1, b: float = B, tokens=T.tokens) -> DataFrame:
-    """query_id, key, score, matched_terms, rank, from an index.
+def search(queries: DataFrame, index: DataFrame, key: str, query_id: str, limit: int | None = 20, scope: Column | None = None, query_text: str = "text", k1: float = K1, b: float = B, tokens=T.tokens, matched: bool = True) -> DataFrame:
+    """query_id, key, score, matched_terms (if asked for), rank, from an index.
 
     The scope (a filter of the index's key and carried columns) holds for everything: number of documents (empty ones too), mean
     length, document frequency. Only postings of query terms are joined; scores are rounded before they are ranked, so that ties are ties.
+
+    Postings are shuffled once, by document; pairs of queries and documents, of which there may be as many as both together, are scored and cut to
+    each query's best where they arise. Matched terms are looked up for what is found alone.
     """
     index = index.where(scope) if scope is not None else index
     terms = query_terms(queries, query_id, query_text, tokens)
     n, mean = index.where("term is null").agg(F.count("*"), F.avg("dl")).first()
     wanted = terms.select("term").distinct()
-    hits = index.where("term is not null").select("term", key, "tf", "dl").join(F.broadcast(wanted) if _few(wanted) else wanted, "term", "left_semi")
+    small = lambda df: F.broadcast(df) if _few(df) else df
+    hits = index.where("term is not null").select("term", key, "tf", "dl").join(small(wanted), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(mean or 1.0))))
     asked = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    scored = hits.select("term", key, weight.alias("w")).join(asked, "term")
-    scored = scored.groupBy("query_id", key).agg(F.round(F.sum(F.col("idf") * F.col("w")), 6).alias("score"), F.array_sort(F.collect_list("term")).alias("matched_terms"))
-    return ranked(scored, ["query_id"], [F.desc("score"), F.asc(key)], limit)
+    asked = F.broadcast(asked) if _few(terms) else asked
+    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(n or 0) * terms.select("query_id").distinct().count() // PAIRS))
+    own = hits.select("term", key, weight.alias("w")).repartition(parts, key)
+    scored = own.join(asked, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("idf") * F.col("w")), 6).alias("score"))
+    top = ranked(scored, ["query_id"], [F.desc("score"), F.asc(key)], limit)
+    if not matched:
+        return top
+    top = cut(top)
+    found = hits.select(key, "term").join(small(top.select("query_id", key)), key).join(terms, ["query_id", "term"])
+    found = found.groupBy("query_id", key).agg(F.array_sort(F.collect_list("term")).alias("matched_terms"))
+    return top.join(found, ["query_id", key]).select("query_id", key, "score", "matched_terms", "rank")
 
 
 def _few(terms: DataFrame, most: int = 100_000) -> bool:
     return terms.limit(most + 1).count() <= most
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, key: str, query_id: str, limit: int = 20, scope: Column | None = None, text_col: str = "text", query_text: str = "text", k1: float = K1, b: float = B, tokens=T.tokens) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, key: str, query_id: str, limit: int = 20, scope: Column | None = None, text_col: str = "text", query_text: str = "text", k1: float = K1, b: float = B, tokens=T.tokens, matched: bool = True) -> DataFrame:
     """search over an index of the chunks that the scope admits, made for this call."""
     chunks = chunks.where(scope) if scope is not None else chunks
-    return search(queries, index_rows(chunks, key, text_col, tokens), key, query_id, limit, None, query_text, k1, b, tokens)
+    return search(queries, index_rows(chunks, key, text_col, tokens), key, query_id, limit, None, query_text, k1, b, tokens, matched)
 
 
 def index_status(expected: DataFrame, stored: DataFrame, keys: list[str], fingerprint: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import uuid
 from difflib import SequenceMatcher
 
@@ -153,6 +154,15 @@ def test_dense_keeps_the_best_of_a_task(spark, monkeypatch):
     assert sorted((x.query_id, x.id, x["rank"]) for x in got.collect()) == sorted(want)
 
 
+def test_scored_pairs_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c") for i in range(30)], "id long, text string")
+    queries = spark.createDataFrame([(1, "a c"), (2, "b1 a")], "q int, text string")
+    found = sparse.search(queries, sparse.index_rows(docs, "id"), "id", "q", limit=4, matched=False)
+    assert "hashpartitioning(query_id#" in (plan := found._jdf.queryExecution().executedPlan().toString())
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, id#", plan)
+    assert [r.id for r in found.where("query_id = 2").orderBy("rank").collect()] == [1, 4, 7, 10]
+
+
 def test_split_is_lossless():
     random.seed(1)
     for _ in range(200):
