@@ -2,14 +2,16 @@
 
 Tokens that mix letters with leetspeak, are spelled with separators or spaces, or double letters are decoded: a character
 lattice holds what each sign may stand for (itself, letters, nothing, a gap between words), and Viterbi's algorithm finds the best
-words under a trigram character model over all letters of the sample, of any script. Tokens and runs of spelled letters have any
+words under a trigram character model over all letters of the labelled texts, of any script. Tokens and runs of spelled letters have any
 length; a token that has only one way through its lattice is its own decoding. The restored text (plain words and decoded ones)
 is scored by the presence of words and word beginnings that speak for toxic texts, combined by a logistic model.
 
-Learning. Labels come from rows whose crc32(doc_id as text) modulo 5 isn't 0. The fit takes at most SAMPLE labelled
-documents, those of the smallest hash of doc_id: one half gives log-odds of features, the other half the logistic weights,
+Learning. Labels come from rows whose crc32(doc_id as text) modulo 5 isn't 0. The fit takes all labelled
+documents: one half gives log-odds of features, the other half the logistic weights,
 so features that only a few copies share get no say. Features are counted on the executors; those with a support of three
-documents or more and log-odds of LEAST_ODDS or more stay, which the sample bounds. The character model counts all words of that sample.
+documents or more, and of a two-hundredth of the toxic ones, and log-odds of LEAST_ODDS or more stay, which bounds their number by that of the
+features of 200 documents. The character model counts all words of the labelled texts: its size is that of the alphabets cubed, at most. Sums of the
+logistic model are made on the executors.
 
 Cases: null and empty texts score by the share of toxic labels; a document without label is scored all the same; a doc_id with
 several labels counts as toxic if one says so; without labels of both kinds every score is the toxic share, 0.49 at
@@ -32,7 +34,6 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import common
 
-SAMPLE = 20_000
 PREFIXES = (4, 5, 6, 8)
 LEAST_ODDS = 2.0
 # What a sign may stand for besides itself.
@@ -55,7 +56,7 @@ END = " "
 
 class Trigrams:
     """Costs (negative logarithms) of a letter after two others; END stands before and after a word. Smoothed towards
-    shorter contexts, so letters that the sample lacks have a cost too."""
+    shorter contexts, so letters that the texts lack have a cost too."""
 
     def __init__(self, counts: dict[str, int]):
         self.three, self.two, self.one, self.before, self.pair = counts, Counter(), Counter(), Counter(), Counter()
@@ -239,14 +240,13 @@ def _known(text: np.ndarray, feature: np.ndarray, among: np.ndarray) -> tuple[np
     return _unique(text[has], at[has])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """doc_id, text, half, y of the labelled sample."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """doc_id, text, half, y of all labelled rows that aren't held out."""
     own = F.col(id_col).cast("long")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(own.alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
-    return common.texts(docs, id_col, text_col).join(F.broadcast(some), "doc_id").select("doc_id", "text", half.alias("half"), (F.col("y") > 0).cast("int").alias("y"))
+    return common.texts(docs, id_col, text_col).join(known, "doc_id").select("doc_id", "text", half.alias("half"), (F.col("y") > 0).cast("int").alias("y"))
 
 
 class Model:
@@ -271,7 +271,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    rows = common.written(training_rows(docs, labels, **options), "toxic-sample")
+    rows = common.written(training_rows(docs, labels, **options), "toxic-rows")
 
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
@@ -282,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
                     total[padded[i : i + 3]] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
-    # three letters each, of the sample's words: bounded by the sample
+    # three letters each: bounded by the alphabets
     got = common.arrow_map(rows, trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     counts = dict(zip(got["gram"].tolist(), got["n"].tolist(), strict=True))
     n = {(r["half"], r["y"]): r["count"] for r in rows.groupBy("half", "y").count().collect()}
@@ -316,19 +316,25 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
             x = model.columns(b.column(1), decode)
             yield pa.RecordBatch.from_arrays([b.column(3), *(pa.array(c) for c in x.T)], ["y", "a", "b", "c"])
 
-    got = common.arrow_map(rows.where("half = 1"), columns, "y int, a double, b double, c double").toPandas()
-    model.weights = logistic(got[["a", "b", "c"]].to_numpy(), got["y"].to_numpy(float))
+    judged = common.written(common.arrow_map(rows.where("half = 1"), columns, "y int, a double, b double, c double"), "toxic-columns")
+    model.weights = logistic(judged, "y", ["a", "b", "c"])
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 50) -> np.ndarray:
-    """Weights (intercept first) of a ridge logistic regression, by Newton steps."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-6, *[penalty] * (x.shape[1] - 1)])
+def logistic(rows: DataFrame, y: str, columns: list[str], penalty: float = 0.05, rounds: int = 50) -> np.ndarray:
+    """Weights (intercept first) of a ridge logistic regression, by Newton steps; each step's sums are one aggregate of the rows."""
+    x = [F.lit(1.0), *map(F.col, columns)]
+    k = len(x)
+    w = np.zeros(k)
+    ridge = np.diag([1e-6, *[penalty] * (k - 1)])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + ridge, x.T @ (y - p) - ridge @ w)
+        z = sum((x[i] * F.lit(float(w[i])) for i in range(k)), F.lit(0.0))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+        df = rows.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], p.alias("p"), F.col(y).cast("double").alias("y"))
+        spread = F.col("p") * (1 - F.col("p")) + 1e-9
+        slope = [F.sum(F.col(f"x{i}") * (F.col("y") - F.col("p"))) for i in range(k)]
+        got = np.array(df.agg(*slope, *[F.sum(F.col(f"x{i}") * F.col(f"x{j}") * spread) for i in range(k) for j in range(k)]).first(), float)
+        step = np.linalg.solve(got[k:].reshape(k, k) + ridge, got[:k] - ridge @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.llm import alignment, jaccard, minhash, periodic
+from lorespark.llm import alignment, jaccard, minhash, periodic, toxicity
 from lorespark.llm.bpe import byte_characters
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -198,3 +198,20 @@ def test_overlaps_are_counted_by_fragment(spark):
     whole = {(r.a, r.b) for r in minhash.verified(pairs, text, 3, 90).collect()}
     equal = {(a, b) for a, b in whole if dict(rows)[a].lower().split() == dict(rows)[b].lower().split()}
     assert got - equal == whole - equal  # equal sets of fewer than nine shingles fold before
+
+
+def test_toxicity_learns_from_every_label(spark):
+    docs = spark.range(26_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    kept = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).count()
+    assert toxicity.training_rows(docs, labels).count() == kept > 20_000
+
+
+def test_logistic_by_aggregates(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(400, 3))
+    y = (x @ [1.5, -2, 0.3] + 0.4 + r.normal(size=400) > 0).astype(float)
+    w = toxicity.logistic(spark.createDataFrame(np.column_stack([x, y]).tolist(), "a double, b double, c double, y double"), "y", ["a", "b", "c"])
+    one = np.column_stack([np.ones(400), x])
+    slope = one.T @ (y - 1 / (1 + np.exp(-one @ w))) - np.array([1e-6, 0.05, 0.05, 0.05]) * w
+    assert np.abs(slope).max() < 1e-6
