@@ -2,8 +2,9 @@
 
 Two variable-order Markov models (up to two characters of context, Witten-Bell smoothing towards shorter contexts) are
 trained on accepted and on rejected URLs, each text once, so that no host weighs by its pages: those that rules allow, and those
-that rules block or that have a rejected term as a whole word of host or path. As many last labels of the host and first segments of the path as any rule reads are
-left out of what the models read, for they would only learn the rules again; so is the query, and numbers are folded. A URL is blocked
+that rules block or that have a rejected term as a whole word of host or path. The last labels of the host that rules name, and first segments
+of the path as long as those that rules name (en, so also es), are left out of what the models read, for they would only learn the rules again; all else of host and
+path is read, numbers folded. A URL is blocked
 if its log-likelihood difference per character lies below a threshold, calibrated on a fifth of the accepted texts and of those with
 a rejected term, both kept from training. Both models are tables over 41 symbols cubed, whatever the input, so their join is a broadcast
 of bounded size. Only DataFrame functions are used.
@@ -15,6 +16,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,10 +48,16 @@ def with_rule(df: DataFrame, rules=RULES) -> DataFrame:
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, ruled = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(ruled)
-    labels, n_labels = F.split(host, r"\."), max((len(h.split(".")) for _, h, _ in rules), default=0)
-    n_segments = max((p.strip("/").count("/") + bool(p.strip("/")) for _, _, p in rules), default=0)
-    own = F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - n_labels, F.lit(0))), ".")
-    tail = F.regexp_replace(F.regexp_replace(path, f"^(?:/[^/]*){{0,{n_segments}}}", ""), r"[0-9]+", "0")
+    labels = [h.split(".") for _, h, _ in rules]
+    segments = [p.strip("/").split("/") for _, _, p in rules if p.strip("/")]
+    own, tail = host, path
+    if labels:
+        named = "|".join(sorted({re.escape(x) for h in labels for x in h}))
+        own = F.regexp_replace(host, rf"(?:^|\.)(?:{named})(?:\.(?:{named})){{0,{max(map(len, labels)) - 1}}}$", "")
+    if segments:
+        sizes = "|".join(f"[^/]{{{n}}}" for n in sorted({len(x) for p in segments for x in p}))
+        tail = F.regexp_replace(path, f"^(?:/(?:{sizes})(?=/|$)){{0,{max(map(len, segments))}}}", "")
+    tail = F.regexp_replace(tail, r"[0-9]+", "0")
     return df.withColumns({"rule": rule, "ruled": ruled, "stem": F.concat(own, F.lit("/"), F.lower(tail))})
 
 

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.llm import alignment, jaccard, minhash, periodic, toxicity
+from lorespark.llm import alignment, jaccard, minhash, periodic, toxicity, urls
 from lorespark.llm.bpe import byte_characters
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -215,3 +215,10 @@ def test_logistic_by_aggregates(spark):
     one = np.column_stack([np.ones(400), x])
     slope = one.T @ (y - 1 / (1 + np.exp(-one @ w))) - np.array([1e-6, 0.05, 0.05, 0.05]) * w
     assert np.abs(slope).max() < 1e-6
+
+
+def test_all_of_a_url_but_what_rules_name_is_read(spark):
+    urls_ = {"casino.com": ("/x", "casino/x"), "www.casino.shop.example.net": ("/en/a7", "www.casino.shop/a0"), "poker.biz": ("/casino/es/1", "poker.biz/casino/es/0"), "m.example.org": ("/es/b", "m/b"), "net": ("", "/"), "a.org.example.com": ("/de", "a.org/")}
+    df = spark.createDataFrame([(h, p) for h, (p, _) in urls_.items()], "host string, path string")
+    got = {r.host: r.stem for r in urls.with_rule(df).collect()}
+    assert {h: got[h].replace("//", "/") for h in got} == {h: w for h, (_, w) in urls_.items()}
