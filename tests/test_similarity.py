@@ -52,3 +52,28 @@ def test_threshold_and_empty_table(spark):
     assert similarity.similar_pairs(none, "id", "t", 0.8).count() == 0
     with pytest.raises(ValueError):
         similarity.similar_pairs(none, "id", "t", 0.5)
+
+
+@pytest.mark.parametrize("few", [0, similarity.FEW_PAIRS])
+@pytest.mark.parametrize("threshold", [0.72, 0.92])
+def test_blocks_and_tokens_lose_no_pair(spark, monkeypatch, threshold, few):
+    monkeypatch.setattr(similarity, "FEW_PAIRS", few)
+    monkeypatch.setattr(similarity, "BLOCK_TEXTS", 7)
+    rows = planted(11)
+    sides = spark.createDataFrame([(t, i % 3 > 0, i % 3 < 2) for t, i in {t: i for i, t in rows}.items()], "s string, left boolean, right boolean")
+    got = [(r.x, r.y) for r in similarity.candidates(sides, threshold).collect()]
+    left, right = ([r.s for r in sides.where(c).collect()] for c in ("left", "right"))
+    want = {(s, t) for s in left for t in right if s != t and SequenceMatcher(None, s, t).ratio() >= threshold}
+    assert len(got) == len(set(got)) and want <= set(got) and want
+
+
+def test_texts_of_few_syllables_meet_in_blocks(spark):
+    """Texts that all share most of their tokens: what they share makes no rows, and only what can reach the ratio leaves a block."""
+    random.seed(3)
+    syllables = ["the", "an", "er", "ing", "on", "re", "ed", "th", "ti", "st"]
+    texts = [" ".join("".join(random.choices(syllables, k=random.randint(1, 3))) for _ in range(80)) for _ in range(120)]
+    texts += [t[:200] + "#" + t[201:] for t in texts[::10]]
+    sides = spark.createDataFrame([(t, True, True) for t in texts], "s string, left boolean, right boolean")
+    found = similarity.candidates(sides, 0.92, once=True)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.x, r.y) for r in found.collect()} == {tuple(sorted((t, t[:200] + "#" + t[201:]))) for t in texts[:120:10]}
