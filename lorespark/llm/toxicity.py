@@ -241,12 +241,16 @@ def _known(text: np.ndarray, feature: np.ndarray, among: np.ndarray) -> tuple[np
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """doc_id, text, half, y of all labelled rows that aren't held out."""
+    """doc_id, text, half, y of all labelled rows that aren't held out.
+
+    Labels grow with the documents, so both sides are shuffled whatever their size; held-out texts stay where they are.
+    """
     own = F.col(id_col).cast("long")
+    learnt = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(own.alias("doc_id"), F.col(label_col).cast("int").alias("y"))
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known.where(learnt).groupBy("doc_id").agg(F.max("y").alias("y"))
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
-    return common.texts(docs, id_col, text_col).join(known, "doc_id").select("doc_id", "text", half.alias("half"), (F.col("y") > 0).cast("int").alias("y"))
+    return common.texts(docs, id_col, text_col).where(learnt).join(known.hint("merge"), "doc_id").select("doc_id", "text", half.alias("half"), (F.col("y") > 0).cast("int").alias("y"))
 
 
 class Model:

@@ -222,3 +222,11 @@ def test_all_of_a_url_but_what_rules_name_is_read(spark):
     df = spark.createDataFrame([(h, p) for h, (p, _) in urls_.items()], "host string, path string")
     got = {r.host: r.stem for r in urls.with_rule(df).collect()}
     assert {h: got[h].replace("//", "/") for h in got} == {h: w for h, (_, w) in urls_.items()}
+
+
+def test_toxicity_training_join_is_one_at_any_size(spark):
+    """Few labels aren't broadcast, so what is shuffled grows with the input alone; held-out texts aren't shuffled."""
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    plan = toxicity.training_rows(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and plan.count("crc32") >= 2
