@@ -164,7 +164,8 @@ def chunked(sections: DataFrame, target: int = TARGET, most: int = MOST, least:
     leading titles stay with what follows; long texts are split, other long blocks stand alone; a short last chunk joins the one before
     if both fit; a last chunk of formulas alone joins the one before. Every block is in a chunk.
 
-    Only the blocks of one chunk are gathered in a row, not those of a section.
+    Only the blocks of one chunk are gathered in a row, not those of a section. Texts are gathered beside the blocks' places, so that readers of places alone
+    don't shuffle them.
     """
     by = [*DOC, "section"]
     place = Window.partitionBy(*by).orderBy(*PLACE, "block_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -172,20 +173,23 @@ def chunked(sections: DataFrame, target: int = TARGET, most: int = MOST, least:
     rows = rows.withColumn("unit", F.count_if(F.col("type") != "title").over(place))  # titles belong to the block after them
     long = (F.col("type") == "text") & (F.length("shown") > most)
     split = rows.where(long).select(*by, *PLACE, "block_id", "type", "unit", F.posexplode(pieces(F.col("shown"), most)).alias("piece", "shown"))
-    rows = cut(rows.where(~F.coalesce(long, F.lit(False))).withColumn("piece", F.lit(0)).unionByName(split))
-    units = rows.groupBy(*by, "unit", "piece").agg((F.sum(F.length("shown")) + packing.JOINT * (F.count("*") - 1)).alias("size"))
+    rows = rows.where(~F.coalesce(long, F.lit(False))).withColumn("piece", F.lit(0)).unionByName(split)
+    rows = cut(rows.withColumn("chars", F.length("shown")))
+    size = (F.sum("chars") + packing.JOINT * (F.count("*") - 1)).alias("size")
+    units = rows.groupBy(*by, "unit", "piece").agg(size)
     parts = packing.packed(units, by, ["unit", "piece"], "size", target, most)
-    block = F.struct(*PLACE, "unit", "piece", "block_id", "type", "shown")
-    chunks = rows.join(parts.drop("size"), [*by, "unit", "piece"]).groupBy(*by, "part").agg(F.array_sort(F.collect_list(block)).alias("b"), (F.sum(F.length("shown")) + packing.JOINT * (F.count("*") - 1)).alias("size"))
+    block = [*PLACE, "unit", "piece", "block_id", "type"]
+    gathered = lambda *more: F.sort_array(F.collect_list(F.struct(*block, *more)))
+    chunks = rows.join(parts.drop("size"), [*by, "unit", "piece"]).groupBy(*by, "part").agg(gathered().alias("b"), gathered("shown").alias("t"), size)
     w = Window.partitionBy(*by).orderBy("part")
     ids = F.transform("b", lambda x: x["block_id"])
     few = (F.col("size") < least) | F.forall("b", lambda x: x["type"] == "formula")
     fits = (F.lag("size").over(w) + packing.JOINT + F.col("size") <= most) & ~F.arrays_overlap(F.lag(ids).over(w), ids)
     last = F.lead("part").over(w).isNull()
     chunks = chunks.withColumn("joins", F.coalesce(last & few & fits, F.lit(False))).withColumn("part", F.col("part") - F.col("joins").cast("int"))
-    chunks = chunks.groupBy(*by, "part").agg(F.array_sort(F.flatten(F.collect_list("b"))).alias("b"))  # two at most
+    chunks = chunks.groupBy(*by, "part").agg(*[F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in "bt"])  # two at most
     pick = lambda name: F.transform("b", lambda x: x[name])
-    shown = F.array_join(F.filter(pick("shown"), lambda x: x != ""), "\n\n")
+    shown = F.array_join(F.filter(F.transform("t", lambda x: x["shown"]), lambda x: x != ""), "\n\n")
     chunks = chunks.select(*by, "part", shown.alias("text"), F.array_distinct(pick("block_id")).alias("block_ids"), F.array_min(pick("page_number")).alias("page_start"), F.array_max(pick("page_number")).alias("page_end"), F.array_distinct(pick("type")).alias("content_types"))
     ordinal = F.row_number().over(Window.partitionBy(*DOC).orderBy("section", "part")) - 1
     chunks = chunks.withColumn("ordinal", ordinal.cast("long"))
@@ -201,6 +205,11 @@ def lineage_faults(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     has = lambda df, c: c in df.columns
     extra = [c for c in ("content_types", "path", "asset_refs") if has(chunks, c)]
+    # read several times below, so both are made once, without texts but titles
+    chunks = cut(chunks.select(*DOC, "ordinal", "block_ids", "page_start", "page_end", *extra))
+    own = [c for c in ("section", "asset_ref") if has(blocks, c)]
+    title = [F.when(F.col("type") == "title", F.col("text")).alias("text")] if has(blocks, "text") else []
+    blocks = cut(blocks.select(*DOC, "block_id", *PLACE, "type", *own, *title))
     used = chunks.select(*DOC, "ordinal", F.posexplode("block_ids").alias("at", "block_id"))
     section = F.col("section") if has(blocks, "section") else F.lit(0)
     asset = F.when(F.col("type").isin("table", "image"), F.col("asset_ref")) if has(blocks, "asset_ref") else F.lit(None).cast("string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
+from lorespark.functions.scratch import cut
 from lorespark.operators import blocks as B
 from lorespark.sources.tables import table
 
@@ -47,10 +48,11 @@ def blk_05_chunks(spark, sf_dir):
 def blk_08_lineage(spark, sf_dir):
     """Faults planted in the real chunks, by the document's number: unknown blocks, missing chunks, a page more, a type more, blocks turned round, another
     path, and a block of the first section."""
-    s = B.sectioned(_blocks(spark, sf_dir))
+    b = _blocks(spark, sf_dir)
+    s = cut(B.sectioned(b.withColumn("text", F.when(F.col("type") == "title", F.col("text")))))  # without the texts that only chunks need
     number = F.col("document_id").cast("long")
     by = lambda k: number % 20 == k
-    chunks = B.chunked(s).join(B.section_paths(s).select("kb_id", "document_id", "section", "path"), ["kb_id", "document_id", "section"])
+    chunks = B.chunked(B.sectioned(b)).join(B.section_paths(s).select("kb_id", "document_id", "section", "path"), ["kb_id", "document_id", "section"])
     other = by(4) & (F.col("section") > 0)
     ids = F.when(by(2), F.reverse("block_ids")).when(other, F.concat(F.array(F.lit("b0")), "block_ids")).otherwise(F.col("block_ids"))
     chunks = chunks.withColumns(

@@ -441,3 +441,11 @@ def test_stream_equals_batch(spark, sf, tmp_path):
 def test_blocked_runs(spark):
     df = spark.createDataFrame([("r", 1, "a", False), ("r", 2, "a", False), ("r", 3, "a", False), ("s", 1, "a", False), ("s", 2, "b", False), ("s", 3, "a", False), ("t", 1, "a", True), ("t", 2, "a", True), ("t", 3, "a", True)], "run_id string, seq int, signature string, retryable boolean")
     assert rows(usage.blocked_runs(df)) == [("r", "a")]
+
+
+def test_places_of_chunks_are_read_without_their_texts(spark):
+    b = spark.createDataFrame([("k", "d", 1, i, f"b{i}", "text", "x" * 900) for i in range(5)], "kb_id string, document_id string, page_number long, reading_order long, block_id string, type string, text string")
+    chunks = blocks.chunked(blocks.sectioned(b))
+    plan = chunks.select("block_ids")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "shown" in line]
+    assert [len(r.text) for r in chunks.orderBy("ordinal").collect()] == [900, 900, 900, 900, 900]
