@@ -40,7 +40,7 @@ def index_rows(chunks: DataFrame, key: str, text_col: str = "text", tokens=T.tok
     Tokens are counted within their row, so nothing is shuffled.
     """
     one = chunks.select(key, *carry, tokens(F.col(text_col)).alias("t"))
-    counted = one.select(key, *carry, F.greatest(F.size("t"), F.lit(0)).alias("dl"), F.array_sort(F.coalesce("t", F.array().cast("array<string>"))).alias("t"))
+    counted = one.select(key, *carry, F.greatest(F.size("t"), F.lit(0)).alias("dl"), F.sort_array(F.coalesce("t", F.array().cast("array<string>"))).alias("t"))
     # of sorted tokens the places where a new one begins; the distances between them are the frequencies
     places = F.filter(F.sequence(F.lit(0), F.size("t")), lambda i: (i == F.size("t")) | (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
     begun = counted.withColumn("p", places)
