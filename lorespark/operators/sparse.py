@@ -87,9 +87,16 @@ def _few(terms: DataFrame, most: int = 100_000) -> bool:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, key: str, query_id: str, limit: int = 20, scope: Column | None = None, text_col: str = "text", query_text: str = "text", k1: float = K1, b: float = B, tokens=T.tokens, matched: bool = True) -> DataFrame:
-    """search over an index of the chunks that the scope admits, made for this call."""
+    """search over an index of the chunks that the scope admits, made for this call.
+
+    search reads its index several times; the index is written in between, so that chunks are split into tokens once. Of its postings those of query terms are kept.
+    """
     chunks = chunks.where(scope) if scope is not None else chunks
-    return search(queries, index_rows(chunks, key, text_col, tokens), key, query_id, limit, None, query_text, k1, b, tokens, matched)
+    index = index_rows(chunks, key, text_col, tokens)
+    wanted = query_terms(queries, query_id, query_text, tokens).select("term").distinct()
+    if _few(wanted):
+        index = index.join(F.broadcast(wanted.withColumn("_asked", F.lit(True))), "term", "left").where("term is null or _asked").drop("_asked")
+    return search(queries, cut(index), key, query_id, limit, None, query_text, k1, b, tokens, matched)
 
 
 def index_status(expected: DataFrame, stored: DataFrame, keys: list[str], fingerprint: str) -> DataFrame:

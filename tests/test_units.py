@@ -53,6 +53,22 @@ def test_bm25_ties_and_scope(spark):
     assert sparse.bm25(queries, docs.limit(0), "id", "q").count() == 0
 
 
+def test_bm25_splits_chunks_once(spark):
+    """search reads its index several times; the chunks' tokens are made once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(x):
+        if x and x.startswith("chunk"):
+            seen.add(1)
+        return (x or "").split()
+
+    docs = spark.createDataFrame([(1, "chunk a b"), (2, "chunk b"), (3, "chunk c d"), (4, None)], "id int, text string")
+    queries = spark.createDataFrame([(9, "b d")], "q int, text string")
+    got = rows(sparse.bm25(queries, docs, "id", "q", tokens=split), "rank")
+    assert [(r[1], r[3]) for r in got] == [(3, ["d"]), (2, ["b"]), (1, ["b"])] and seen.value == 3
+
+
 def test_dense(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (5, [1.0])], "id int, vector array<float>")
     assert rows(dense.vector_faults(v, "id", "vector", 2), "id") == [(4, "norm"), (5, "dimension")]
