@@ -115,8 +115,9 @@ def pack_context(items: DataFrame, budget: int = CONTEXT) -> DataFrame:
 
     Left out: empty texts, ids seen before, items that share a block with a chosen one and have the same normalised text, and
     texts that don't fit into what is left of the budget (later ones may). A fold over each query's ranked list, which the final cut
-    bounds.
+    bounds; texts that are empty or alone beyond the budget are never chosen, so they aren't gathered, and no list holds a text of over `budget` characters.
     """
+    items = items.where((F.length(F.trim("text")) > 0) & (F.length("text") <= budget))
     norm = F.trim(F.regexp_replace(F.lower(F.col("text")), r"\s+", " "))
     item = F.struct("rank", F.col("id").cast("string").alias("id"), "text", F.transform("blocks", lambda b: b.cast("string")).alias("blocks"), norm.alias("norm"))
     lists = items.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))

@@ -103,6 +103,14 @@ def test_context(spark):
     assert [r[1] for r in rows(fusion.pack_context(items, 100), "marker")] == ["a", "b", "c"]
 
 
+def test_context_gathers_only_what_may_fit(spark):
+    items = spark.createDataFrame([(1, "a", 1, "x" * 90000, ["p"]), (1, "b", 2, "y" * 8, ["q"]), (1, "c", 3, None, ["r"]), (1, "d", 4, " ", ["s"]), (1, "e", 5, "z", ["p"]), (2, "a", 1, "x" * 11, ["p"])], "query_id int, id string, rank int, text string, blocks array<string>")
+    packed = fusion.pack_context(items, 10)
+    assert rows(packed, "marker") == [(1, "b", "C1", 8), (1, "e", "C2", 1)]
+    below = packed._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[-1]
+    assert re.search(r"Filter .*length\(text#\d+\) <= 10", below)
+
+
 def test_rerank_refuses_nan(spark):
     c = spark.createDataFrame([(1, "a", 0.5), (1, "b", float("nan"))], "query_id int, k string, s double")
     with pytest.raises(Exception, match="not finite"):
