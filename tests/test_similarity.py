@@ -77,3 +77,39 @@ def test_texts_of_few_syllables_meet_in_blocks(spark):
     found = similarity.candidates(sides, 0.92, once=True)
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.x, r.y) for r in found.collect()} == {tuple(sorted((t, t[:200] + "#" + t[201:]))) for t in texts[:120:10]}
+
+
+def edited(text, share, random):
+    out = []
+    for c in text:
+        kind = random.random()
+        out += [] if kind < share / 2 else [random.choice("abcdefgh xyz")] if kind < share else [c]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.88, 0.92])
+def test_groups_lose_no_pair_of_long_texts(spark, monkeypatch, threshold):
+    """Texts of 190 to 900 characters, about the threshold, some with characters that difflib takes as popular; small groups and blocks."""
+    monkeypatch.setattr(similarity, "GROUP_TEXTS", 5)
+    monkeypatch.setattr(similarity, "BLOCK_TEXTS", 3)
+    draw = random.Random(21)
+    words = ["the", "an", "er", "ing", "on", "zq", "re", "ed", "x", "th", "ti", "st"]
+    texts = []
+    for size in (190, 198, 205, 215, 300, 340, 620, 900):
+        base = " ".join("".join(draw.choices(words, k=draw.randint(1, 3))) for _ in range(size))[:size]
+        texts += [base, *(edited(base, share, draw) for share in (0.01, 0.03, 0.05, 0.07, 0.1, 0.14))]
+    texts = sorted(set(texts))
+    got = {(r.x, r.y) for r in similarity.candidates(spark.createDataFrame([(t, True, True) for t in texts], "s string, left boolean, right boolean"), threshold, once=True).collect()}
+    ratio = lambda s, t: SequenceMatcher(None, s, t).ratio()
+    want = {(s, t) for s in texts for t in texts if s < t and max(ratio(s, t), ratio(t, s)) >= threshold}
+    assert want <= got and len(want) > 20
+
+
+def test_a_product_bounds_texts_of_few_syllables(monkeypatch):
+    """Unlike texts that share most of their runs are told apart before their subsequence is looked at."""
+    draw = random.Random(4)
+    syllables = ["the", "an", "er", "ing", "on", "re", "ed", "th", "ti", "st", "ble", "of", "wh", "ha"]
+    texts = sorted((" ".join("".join(draw.choices(syllables, k=draw.randint(1, 3))) for _ in range(120)) for _ in range(200)), key=len)
+    looked = []
+    monkeypatch.setattr(similarity, "reaches", lambda *of: looked.append(of))
+    assert not list(similarity._meet([], [(t, True, True) for t in texts], True, 0.92)) and len(looked) < 100
