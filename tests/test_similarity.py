@@ -3,9 +3,11 @@
 import random
 from difflib import SequenceMatcher
 
+import duckdb
 import pytest
 
 from lorespark.operators import similarity
+from lorespark.plans import registry
 
 
 def planted(seed):
@@ -113,3 +115,28 @@ def test_a_product_bounds_texts_of_few_syllables(monkeypatch):
     looked = []
     monkeypatch.setattr(similarity, "reaches", lambda *of: looked.append(of))
     assert not list(similarity._meet([], [(t, True, True) for t in texts], True, 0.92)) and len(looked) < 100
+
+
+def test_copies_of_one_rank(spark):
+    rows = [(1, "a text with copies, one"), (2, "a text with copies, one"), (3, "a text with copies, one"), (11, "a text with copies. one"), (12, "a text with copies. one"), (20, "else")]
+    got = similarity.similar_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t", 0.92, ranked=True).collect()
+    assert sorted((r.a, r.b) for r in got) == [(1, 11), (2, 12), (3, 12)]
+
+
+def test_copies_keep_a_link_that_holds_in_one_order(spark):
+    s, t = "baabbbbabab", "baabbbbbaab"
+    assert SequenceMatcher(None, s, t).ratio() < 0.9 < SequenceMatcher(None, t, s).ratio()
+    got = similarity.similar_pairs(spark.createDataFrame([(1, s), (2, t), (4, s), (5, t)], "id long, t string"), "id", "t", 0.9, ranked=True).collect()
+    assert [(r.a, r.b) for r in got] == [(2, 4)]  # equal ranks, (1, 2) and (4, 5), have the wrong text first
+
+
+def test_turns_with_copies_equal_sql(spark, tmp_path, same):
+    """Three turns with one text and their changed ones: as many pairs as turns, not their product."""
+    turns = [(1, 0, "a common first turn of many conversations"), (2, 0, "a common first turn of many conversations"), (3, 0, "A common first turn  of many conversations"), (3, 1, "quite another text, which comes but once")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.QUERIES["jn_15_ratio_pairs"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(registry.ORACLE["jn_15_ratio_pairs"])
+    columns = [d[0] for d in want.description]
+    assert same(got.columns, [tuple(r) for r in got.collect()]) == same(columns, want.fetchall())
